@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files behind df, which nothing reads any more
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,20 +45,16 @@ def running_total(df: DataFrame, group: list[str], order: list[str], weight: Col
     A group may hold most rows, so it is dealt into buckets by a hash; each bucket is summed in
     order, and starts where the buckets before it end. The order of a group is therefore
     (bucket, order), the same in every run. The table of bucket totals has at most
-    groups x buckets rows.
+    groups x buckets rows. Group columns hold no nulls.
     """
     rows = df.withColumns({"_rt_w": weight.cast("long"), "_rt_b": F.pmod(F.xxhash64(spread_by), F.lit(buckets))})
     keys = [*group, "_rt_b"]
     totals = rows.groupBy(*keys).agg(F.sum("_rt_w").alias("_rt_sum"))
     before = Window.partitionBy(*group).orderBy("_rt_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*[F.col(k).alias(f"_rt_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_rt_sum").over(before), F.lit(0)).alias("_rt_start"))
+    starts = totals.select(*keys, F.coalesce(F.sum("_rt_sum").over(before), F.lit(0)).alias("_rt_start"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, F.coalesce(F.sum("_rt_w").over(inside), F.lit(0)))
-    same = [F.col(k).eqNullSafe(F.col(f"_rt_{i}")) for i, k in enumerate(keys)]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return rows.join(starts, on, "left").withColumn(out, F.col(out) + F.col("_rt_start")).drop("_rt_w", "_rt_start", *[f"_rt_{i}" for i in range(len(keys))], "_rt_b")
+    return rows.join(starts, keys).withColumn(out, F.col(out) + F.col("_rt_start")).drop("_rt_w", "_rt_start", "_rt_b")
 
 
 class Words(dict):
