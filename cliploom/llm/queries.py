@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_rules, sharding
+from . import line_dedup, ngram_join, packing, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), words_each=5, percent=80)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,6 +47,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
 }
@@ -59,4 +64,15 @@ marked AS (SELECT keyed.*, first IS NOT NULL AND doc_id <> first AS gone FROM ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({LOWER_SQL.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+  FROM each a JOIN each b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * i >= 80 * (na + nb - i) UNION ALL SELECT b, a FROM pairs WHERE 100 * i >= 80 * (na + nb - i)),
+reach AS (SELECT DISTINCT a AS node, a AS low FROM links UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node)
+SELECT sets.doc_id, len(s) AS n_shingles, coalesce(least(sets.doc_id, min(low)), sets.doc_id) AS component_id
+FROM sets LEFT JOIN reach ON reach.node = sets.doc_id GROUP BY sets.doc_id, s""",
 }
