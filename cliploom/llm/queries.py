@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality_rules, sharding
+from . import language_id, line_dedup, ngram_join, packing, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def crc_rest(column: str, by: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.train_network(docs.where(crc_rest("doc_id", 4) != 2))
+    out = language_id.identify(docs, net, keep=["doc_id"])
+    return out.select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
+    "op10_language_id": op10_language_id,
 }
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
