@@ -144,7 +144,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines = lines.join(again.withColumnRenamed("h", "_ld_h"), "_ld_h", "left_semi")
     lines = stored(lines.drop("_ld_h"), "line-suspects")
     first = lines.groupBy("_ld_key").agg(F.min("_ld_id").alias("_ld_first"), F.max("_ld_id").alias("_ld_last"))
-    first = first.where(F.col("_ld_first") != F.col("_ld_last")).drop("_ld_last")
+    # a table of its own, so that both sides of the join are dealt anew and Spark can split a very common line
+    first = stored(first.where(F.col("_ld_first") != F.col("_ld_last")).drop("_ld_last"), "line-firsts")
     return lines.join(first, "_ld_key").where(F.col("_ld_id") != F.col("_ld_first")).select("_ld_id", "_ld_key")
 
 
