@@ -89,7 +89,7 @@ def with_features(counts: DataFrame) -> DataFrame:
 def learn_rules(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.95, min_bad: int = 5, cuts: int = 32) -> list[Rule]:
     """Rules that find documents of quality 0, from all rows of labelled (_q_id, counts, _q_bad 0/1).
 
-    Each value becomes a bin between quantiles of either class; rows with equal bins are added up.
+    Each value becomes a bin between quantiles of either class, ends included; rows with equal bins are added up.
     Two thirds of the documents (by a hash of the id) grow a rule, one condition of highest
     information gain after another, from one histogram a step; the rest prune its last conditions
     and accept it, if it is right in at least min_precision of at least min_bad documents. Covered
@@ -97,13 +97,17 @@ def learn_rules(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3
     """
     names = list(FEATURES)
     rows = with_features(labelled)
-    steps = [i / cuts for i in range(1, cuts)]
+    steps = [0.0, 0.002, 0.01, *[i / cuts for i in range(1, cuts)], 0.99, 0.998, 1.0]
     asked = [F.percentile_approx(F.when(F.col("_q_bad") == y, F.col(f"_f_{n}")), steps, 10_000).alias(f"{n}_{y}") for n in names for y in (0, 1)]
     got = rows.agg(*asked).first()
     edges = {n: sorted({x for y in (0, 1) for x in got[f"{n}_{y}"] or []}) for n in names}
     if not any(edges.values()):
         return []
-    bins = F.array(*[F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[n]]).cast("array<double>"), lambda e, v=F.col(f"_f_{n}"): e <= v)) for n in names])
+
+    def bin_of(name: str) -> Column:  # how many edges the value reaches
+        return reduce(lambda c, e: c + (F.col(f"_f_{name}") >= e).cast("int"), edges[name], F.lit(0))
+
+    bins = F.array(*[bin_of(n) for n in names])
     cells = rows.select(bins.alias("bins"), F.col("_q_bad").cast("int").alias("bad"), (F.pmod(F.xxhash64("_q_id"), F.lit(3)) == 0).alias("held"))
     cells = stored(cells.groupBy("bins", "bad", "held").agg(F.count("*").alias("n")), "quality-cells")
     index = {n: i for i, n in enumerate(names)}
