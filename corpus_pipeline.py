@@ -1,30 +1,60 @@
-"""A corpus pipeline over `documents`; each stage reads what the one before it kept."""
+"""A corpus pipeline over `documents`: quality, language, lines, near duplicates, packing.
+
+Every stage works on all documents that the one before it kept, and its decisions take effect. Rows
+with a null doc_id pass every stage on their own text; rows that share a doc_id count as one
+document; an empty table gives no sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import line_dedup, quality_rules
+from cliploom.llm import language_id, line_dedup, ngram_join, packing, quality_rules
 from cliploom.llm.common import stored
+from cliploom.llm.queries import crc_rest, tokenizer_path
+
+#: The least score of the predicted language.
+LEAST_SCORE = 0.4
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the base rule nor meet a learned rule stay, by doc_id."""
+    """Documents stay that neither fail the base rule nor meet a rule learned from the labels of what is there."""
     judged, _ = quality_rules.judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, judged.where(~F.col("kept")))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose language is known with a score of LEAST_SCORE or more."""
+    net = language_id.train_network(docs.where(crc_rest("doc_id", 4) != 2))
+    known = language_id.identify(docs, net).where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE))
+    return known.select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, except where they stand first; n_chars is counted anew."""
-    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    """Lines go that a document of smaller id has; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest id stays."""
+    groups = ngram_join.jaccard_groups(docs)
+    return _without(docs, groups.where(F.col("component_id") != F.col("doc_id")))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with the shares of the sources in all that was kept."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096)
 
 
-STAGES = [("quality", quality), ("lines", lines)]
+STAGES = [("quality", quality), ("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("sequences", sequences)]
 
-#: The learned stages can't be said in SQL; tests compare the stages with brute force.
+#: Learned stages and token ids can't be said in SQL; the tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
