@@ -42,6 +42,9 @@ VIEWS = {
   CAST(20 + f.event_id * 17 % 200 AS INT) AS h, e.embedding
   FROM b_frames f CROSS JOIN (SELECT count(*) AS n FROM embeddings) c JOIN embeddings e ON e.vec_id = f.event_id % c.n""",
     "b_sightings": "SELECT video_id, frame AS pos, event_type AS identity, value FROM b_frames",
+    "b_matches": "SELECT video_id, frame, event_id % 5 < 3 AS hit, event_id % 7 = 0 AS unknown FROM b_frames",
+    "b_chunks": """SELECT video_id, CAST(floor(frame / 16) AS INT) AS chunk_idx, CAST(min(frame) AS INT) AS start_frame, CAST(max(frame) + 1 AS INT) AS end_frame, 0 AS first_frame,
+  CAST(max(max(frame)) OVER (PARTITION BY video_id) + 1 AS INT) AS last_frame FROM b_frames GROUP BY video_id, floor(frame / 16)""",
     "b_members": """SELECT DISTINCT user_id * 100 + extract(DAY FROM ts) AS clip_id, event_type AS identity FROM events""",
     "b_metrics": """SELECT video_id AS run_id, frame + 1 AS step, value AS loss, CAST(1 + event_id % 7 AS DOUBLE) AS step_time FROM b_frames""",
     "b_signal": "SELECT video_id AS clip_id, frame AS frame_idx, value AS rms FROM b_frames",

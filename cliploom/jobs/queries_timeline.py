@@ -82,7 +82,7 @@ def route_segments(t: Tables):
 
 
 @register("legal_frames", """SELECT video_id, CAST(greatest(8 * round_even((greatest(round_even(total_frames / 7.0::DOUBLE * fps, 0), 1) - 1) / 8, 0) + 1, 9) AS INT) AS frames,
-CAST(8 * ceil((ceil(total_frames / 7.0::DOUBLE * fps) - 1) / 8) + 1 AS INT) AS audio_frames FROM b_videos""")
+CAST(8 * ceil(floor(total_frames / 7.0::DOUBLE * fps) / 8) + 1 AS INT) AS audio_frames FROM b_videos""")
 def legal_frames(t: Tables):
     v = t.b_videos.withColumn("seconds", F.col("total_frames") / 7.0)
     v = L.legal_frames(v, "audio").withColumnRenamed("frames", "audio_frames")

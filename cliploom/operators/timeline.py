@@ -109,7 +109,7 @@ def legal_frames(df: DataFrame, mode: str = "nearest", seconds: str = "seconds",
     """Frame counts of the form 8k+1: the nearest one, 9 at least; or, for the length of an audio track, the next one."""
     raw = F.greatest(F.bround(F.col(seconds) * F.col(fps)), F.lit(1.0))
     near = F.greatest(8 * F.bround((raw - 1) / 8) + 1, F.lit(9.0))
-    up = 8 * F.ceil((F.ceil(F.col(seconds) * F.col(fps)) - 1) / 8) + 1
+    up = 8 * F.ceil(F.floor(F.col(seconds) * F.col(fps)) / 8) + 1
     return df.withColumn("frames", (near if mode == "nearest" else F.greatest(up, F.lit(1))).cast("int"))
 
 
