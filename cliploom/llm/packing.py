@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +15,21 @@ from pyspark.sql import functions as F
 from .common import running_total, stored
 
 #: Documents a worker tokenises at a time, and words that it remembers.
-CHUNK, CACHE = 2000, 400_000
+CHUNK, CACHE = 2000, 1_000_000
 
 
 class WordTokens:
-    """Ids of white-space separated words by a tokenizer file, remembered as bytes.
+    """Ids of whole texts by a tokenizer file; ids of white-space separated words are remembered as bytes.
 
-    Exact only for tokenizers whose pre-tokenizer never joins characters over white space, drops the
-    white space and whose normaliser does not look across it.
+    That is exact for tokenizers whose normaliser does not look across white space and whose
+    pre-tokenizer cuts there and drops it. Where the normaliser also lower-cases and the
+    pre-tokenizer cuts between a letter or digit and marks, A-Z are lower-cased and marks at the end
+    of a word are split off first, so that fewer words are new. A probe of the tokenizer decides
+    both; other tokenizers get whole texts.
     """
 
+    ENDS = re.compile(rb"([.,;:!?%$*#&](?<=[a-z0-9][.,;:!?%$*#&])[.,;:!?%$*#&]*)(?=[ \n]|$)")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -30,17 +37,27 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_word = ids(" ab1  cd\n\tef?\x0b") == ids("ab1") + ids("cd") + ids("ef?")
+        self.by_end = self.by_word and ids("AB, c.. d1!?") == ids("ab") + ids(",") + ids("c") + ids("..") + ids("d") + ids("1") + ids("!?")
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        code = "H" if self.dtype is np.uint16 else "I"
+        for at in range(0, len(texts), 20_000):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
+                yield array(code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return list(self._each([t.decode() for t in texts]))
+        if self.by_end:
+            texts = [t if b"<|" in t else self.ENDS.sub(rb" \1", t.lower()) for t in texts]
         words = [t.split() for t in texts]
         todo = set().union(*words)
         if len(self.known) + len(todo) > CACHE:
             self.known.clear()
-        todo = [w for w in todo if w not in self.known]
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        new = [w for w in todo if w not in self.known]
+        self.known.update(zip(new, self._each([w.decode() for w in new]), strict=True))
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
