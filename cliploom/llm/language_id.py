@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,11 +149,12 @@ class Network:
 
 
 def train_network(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_each: int = 400, windows_each: int = 8, rounds: int = 300) -> Network | None:
-    """Train on a bounded sample: of each language the docs_each distinct texts of smallest hash, of each
-    up to windows_each windows spread over the whole text. None without labelled text."""
+    """Train on a bounded sample: of each language about docs_each distinct texts (those of smallest hash), of
+    each up to windows_each windows spread over the whole text. None without labelled text."""
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("_li_lang"), F.col(text_col).alias("_li_text"), F.xxhash64(text_col).alias("_li_h"))
-    rank = F.row_number().over(Window.partitionBy("_li_lang").orderBy("_li_h"))
-    limits = rows.select("_li_lang", "_li_h").distinct().withColumn("_li_rank", rank).where(F.col("_li_rank") <= docs_each).groupBy("_li_lang").agg(F.max("_li_h").alias("_li_most"))
+    share = F.least(F.lit(1.0), docs_each / F.count("*"))
+    # hashes are spread evenly over 64 bits, so a share of them lies under that share of the range
+    limits = rows.select("_li_lang", "_li_h").distinct().groupBy("_li_lang").agg((share * 2.0**64 - 2.0**63).alias("_li_most"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +165,7 @@ def train_network(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.binary()))], names=["lang", "h", "windows"])
 
     few = rows.join(F.broadcast(limits), "_li_lang").where("_li_h <= _li_most").select("_li_lang", "_li_text", "_li_h").mapInArrow(windows, "lang string, h long, windows array<binary>")
-    got = few.groupBy("lang", "h").agg(F.first("windows").alias("windows")).orderBy("lang", "h").collect()  # docs_each a language at most
+    got = few.groupBy("lang", "h").agg(F.first("windows").alias("windows")).orderBy("lang", "h").collect()  # about docs_each a language
     if not got:
         return None
     net = Network.fresh(sorted({r.lang for r in got}))
