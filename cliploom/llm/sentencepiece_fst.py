@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 INFINITE = float("inf")
 #: Segments and pairs of pieces that a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -65,6 +66,7 @@ class Transducer:
             raise ValueError("only byte-pair models without character maps, user symbols and space removal are compiled")
         self.prefix = SPACE if rules.get(3, 1) else ""
         names = [p[1].decode() for p in pieces]
+        self.names = names
         self.ids = {w: i for i, (w, k) in enumerate(zip(names, kinds, strict=True)) if k == NORMAL}
         self.scores = {names[i]: float(np.frombuffer(pieces[i].get(2, b"\0\0\0\0"), "<f4")[0]) for i in self.ids.values()}
         self.byte_ids = {int(names[i][3:5], 16): i for i, k in enumerate(kinds) if k == BYTE}
@@ -82,19 +84,22 @@ class Transducer:
                 self.text[i] = b"" if k == CONTROL else " ⁇ ".encode()
         for byte, i in self.byte_ids.items():
             self.text[i] = bytes([byte])
+        self.touching = {w[i : i + 2] for w in self.ids for i in range(len(w) - 1)}
         self.paths: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], float] = {}
+        self.pairs: dict[int, float] = {}
 
     def normalise(self, text: str) -> str:
         return (self.prefix + text).replace(" ", SPACE) if text else ""
 
-    def weight(self, last: str, new: str) -> float:
+    def _name(self, state: int) -> str:
+        """The piece of a state: its id plus 1, a character that is no piece by its negative code, or 0 at the start."""
+        return self.names[state - 1] if state > 0 else chr(-state) if state else ""
+
+    def weight(self, last: int, new: int) -> float:
         """0 if merges over both pieces' characters never join what is left and right of the border, else infinite."""
-        known = self.pairs.get((last, new))
-        if known is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            known = self.pairs[last, new] = self._weight(last, new)
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        known = self.pairs[(last << 24) + new] = self._weight(self._name(last), self._name(new))
         return known
 
     def _weight(self, last: str, new: str) -> float:
@@ -113,32 +118,56 @@ class Transducer:
             if where < border - 1:
                 border -= 1
 
-    def shortest(self, segment: str) -> list[str]:
-        """The pieces of the shortest path over a segment."""
-        cost: list[float] = [0.0] + [INFINITE] * len(segment)
-        last: list[str] = [""] * (len(segment) + 1)
-        ids = self.ids
-        for end in range(1, len(segment) + 1):
-            for begin in range(end - 1, max(-1, end - self.longest - 1), -1):
-                piece = segment[begin:end]
-                if cost[begin] < INFINITE and (piece in ids or end == begin + 1):
-                    total = cost[begin] + self.weight(last[begin], piece)
-                    if total < cost[end]:
-                        cost[end], last[end] = total, piece
-                        break
-        out, at = [], len(segment)
+    def shortest(self, segment: str) -> list[int]:
+        """The states of the shortest path over a segment.
+
+        Paths of infinite weight are left out, and of the others only one ends at each place, so the
+        first arc of weight 0 into a place is the shortest path to it.
+        """
+        size, longest = len(segment), self.longest
+        ids, pairs = self.ids.get, self.pairs.get
+        last, back = [0] * (size + 1), [0] * (size + 1)
+        for end in range(1, size + 1):
+            for begin in range(end - 1, max(-1, end - longest - 1), -1):
+                new = ids(segment[begin:end])
+                if new is not None:
+                    new += 1
+                elif begin == end - 1:
+                    new = -ord(segment[begin])
+                else:
+                    continue
+                w = pairs((last[begin] << 24) + new)
+                if w is None:
+                    w = self.weight(last[begin], new)
+                if w == 0.0:
+                    last[end], back[end] = new, begin
+                    break
+        out, at = [], size
         while at:
             out.append(last[at])
-            at -= len(last[at])
+            at = back[at]
         return out[::-1]
 
-    def _ids(self, piece: str) -> list[int]:
-        own = self.ids.get(piece)
-        if own is not None:
-            return [own]
-        raw = piece.encode()
+    def _ids(self, state: int) -> list[int]:
+        if state > 0:
+            return [state - 1]
+        raw = chr(-state).encode()
         return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
 
+    def _path(self, segment: str) -> bytes:
+        """Ids of a segment, cut further where no piece holds both neighbours."""
+        cuts = [0, *(i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.touching), len(segment)]
+        if len(cuts) == 2:
+            return array("H" if self.dtype is np.uint16 else "I", [i for state in self.shortest(segment) for i in self._ids(state)]).tobytes()
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = segment[a:b]
+            got = self.paths.get(part)
+            if got is None:
+                got = self.paths[part] = self._path(part)
+            out.append(got)
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as an array of self.dtype."""
         paths, segments = self.paths, self.segment.findall(self.normalise(text))
@@ -152,7 +181,7 @@ class Transducer:
             if got is None:
                 if len(paths) >= CACHE:
                     paths.clear()
-                got = paths[s] = np.array([i for p in self.shortest(s) for i in self._ids(p)], self.dtype).tobytes()
+                got = paths[s] = self._path(s)
             out.append(got)
         return b"".join(out)
 
