@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BLANKS = b" \t\n\x0b\x0c\r"
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 #: Words a worker keeps in its caches before it starts them anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def work_dir(spark: SparkSession) -> str:

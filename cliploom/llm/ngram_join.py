@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,11 @@ from .components import components
 #: A shingle is a hash of 46 bits; the highest 6 choose its fragment, the others travel in 5 bytes.
 FRAGMENT_BITS, LOW_BITS = 6, 40
 FRAGMENTS = 1 << FRAGMENT_BITS
+SPARE = np.uint64(64 - FRAGMENT_BITS - LOW_BITS)
+#: Bits for a class in a fragment, which holds far fewer shingles than these can count.
+OWNER_BITS = 24
 #: Documents that a worker handles at a time.
-CHUNK = 2000
+CHUNK = 1000
 #: Fragments of the order in which the overlap of a pair is counted.
 PIECES = 8
 #: Documents for which one task can hold all reports of one class.
@@ -34,24 +38,33 @@ def _weights(n: int) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], words_each: int) -> tuple[list[int], list[np.ndarray]]:
     """Of each text: a hash of its words, and the sorted hashes of its distinct shingles."""
+    words = [t.lower().split() for t in texts]
+    of = [xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words]
+    sizes = [len(w) for w in words]
+    flat = list(chain.from_iterable(words))
+    del words
     with np.errstate(over="ignore"):
-        of, sets = [], []
-        for t in texts:
-            words = t.lower().split()
-            of.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-            k = _words.keys_of(words)
-            n = len(k) - words_each + 1
-            if not len(k):
-                sets.append(k)
-            elif n < 1:
-                sets.append(mixed((mixed(k) * _weights(len(k))).sum(keepdims=True) + np.uint64(len(k))) >> np.uint64(64 - FRAGMENT_BITS - LOW_BITS))
+        k = mixed(_words.keys_of(flat))
+        del flat
+        total = np.zeros(max(0, len(k) - words_each + 1), np.uint64)
+        for i, m in enumerate(_weights(words_each)):
+            total += k[i : i + len(total)] * m
+        total = mixed(total) >> SPARE
+        sets, at = [], 0
+        for n in sizes:
+            if n >= words_each:
+                sets.append(_distinct(total[at : at + n - words_each + 1]))
+            elif n:
+                sets.append(mixed((k[at : at + n] * _weights(n)).sum(keepdims=True) + np.uint64(n)) >> SPARE)
             else:
-                k = mixed(k)
-                total = np.zeros(n, np.uint64)
-                for i, m in enumerate(_weights(words_each)):
-                    total += k[i : i + n] * m
-                sets.append(np.unique(mixed(total) >> np.uint64(64 - FRAGMENT_BITS - LOW_BITS)))
-        return of, sets
+                sets.append(k[:0])
+            at += n
+    return of, sets
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -151,37 +164,42 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words_each: int
                         tok.append(_five_bytes(t))
                 yield pa.record_batch([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in (cls, ns, idx, tok))], names=["part", "kind", "cls", "ns", "idx", "tok"])
 
-    def fragment(parts: list[dict]) -> Iterator[pa.RecordBatch]:
-        classes = np.concatenate([np.frombuffer(p["cls"], np.int64) for p in parts])
-        sizes = np.concatenate([np.frombuffer(p["ns"], np.int32) for p in parts])
-        base = np.cumsum([0] + [len(p["cls"]) // 8 for p in parts])
-        idx = [np.frombuffer(p["idx"], np.uint16).astype(np.int64) for p in parts]
-        idx = np.concatenate([np.where(i == 65535, -1, i + b) for i, b in zip(idx, base, strict=False)])
-        tokens = np.concatenate([_from_five(p["tok"]) for p in parts]) | np.uint64(parts[0]["part"] // slices << LOW_BITS)
+    def fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        classes = np.concatenate([np.frombuffer(p[2], np.int64) for p in parts])
+        sizes = np.concatenate([np.frombuffer(p[3], np.int32) for p in parts])
         known, at, place = np.unique(classes, return_index=True, return_inverse=True)
-        owner = np.where(idx < 0, -1, place[idx])
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        new_token = np.diff(tokens, prepend=tokens[0] + np.uint64(1)) != 0
-        keep = new_token | (np.diff(owner, prepend=-2) != 0) | (owner < 0)  # copies of one class in several chunks count once
-        tokens, owner = tokens[keep], owner[keep]
-        starts = np.flatnonzero(np.diff(tokens, prepend=tokens[0] + np.uint64(1)) != 0)
+        # shingle and class (from 1; 0 is the mark of shared ones) in one number, so that one sort in place orders both
+        keys, base = [], 0
+        for _, _, cls, _, idx, tok in parts:
+            own = np.frombuffer(idx, np.uint16).astype(np.int64)
+            mark = own == 65535
+            own[mark] = 0
+            own = place[own + base] + 1 if len(cls) else own
+            own[mark] = 0
+            keys.append(_from_five(tok) << np.uint64(OWNER_BITS) | own.astype(np.uint64))
+            base += len(cls) // 8
+        keys = _distinct(np.concatenate(keys))  # copies of one class in several chunks count once
+        tokens = keys >> np.uint64(OWNER_BITS)
+        owner = (keys & np.uint64((1 << OWNER_BITS) - 1)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         runs = np.diff(np.append(starts, len(tokens)))
-        shared = np.repeat((runs > 1) | (owner[starts] < 0), runs) & (owner >= 0)
+        shared = np.repeat(runs > 1, runs) & (owner > 0)
         if shared.any():
-            yield _by_class(owner[shared], tokens[shared], known, sizes[at].astype(np.int64))
+            high = np.uint64(parts[0][0] // slices << LOW_BITS)
+            yield _by_class(owner[shared] - 1, tokens[shared] | high, known, sizes[at].astype(np.int64))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
-            for p in batch.to_pylist():
-                if p["kind"]:
-                    yield _by_class(np.frombuffer(p["idx"], np.uint16).astype(np.int64), np.frombuffer(p["tok"], np.uint64), np.frombuffer(p["cls"], np.int64), np.frombuffer(p["ns"], np.int32).astype(np.int64))
+            for i in range(batch.num_rows):
+                p = tuple(c[i].as_py() for c in batch.columns)
+                if p[1]:
+                    yield _by_class(np.frombuffer(p[4], np.uint16).astype(np.int64), np.frombuffer(p[5], np.uint64), np.frombuffer(p[2], np.int64), np.frombuffer(p[3], np.int32).astype(np.int64))
                     continue
-                if p["part"] != now:
+                if p[0] != now:
                     if parts:
                         yield from fragment(parts)
-                    now, parts = p["part"], []
+                    now, parts = p[0], []
                 parts.append(p)
         if parts:
             yield from fragment(parts)
@@ -190,18 +208,22 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words_each: int
     return sent.repartition(FRAGMENTS * slices, "part").sortWithinPartitions("part").mapInArrow(gather, "cls long, n long, tokens array<long>")
 
 
-def similar(na: str, nb: str, percent: int):
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+def similar(na: str, sa: str, nb: str, sb: str, percent: int):
+    """Whether sets of na and nb shingles, of which sa and sb are not theirs alone, can be similar enough."""
+    return F.least(sa, sb) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
 
+def overlaps(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) with their overlap: counted in each fragment of the order, then added up."""
+    left = pieces.select(F.col("id").alias("a"), F.col("pieces").alias("pa"))
+    right = pieces.select(F.col("id").alias("b"), F.col("pieces").alias("pb"))
+    part = F.transform(F.arrays_zip("pa", "pb"), lambda x: F.size(F.array_intersect(x["pa"], x["pb"])))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(part, F.lit(0), lambda x, y: x + y).cast("long").alias("overlap"))
 
-def verified(pairs: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) that link, with their overlap: counted in each fragment of the order, then added up."""
-    left = pieces.select(F.col("id").alias("a"), "piece", F.col("tokens").alias("ta"))
-    right = pieces.select(F.col("id").alias("b"), "piece", F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, ["b", "piece"])
-    parts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
-    return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap")).where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent)
+
+def links(counted: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that are similar enough."""
+    return counted.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * percent).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 80) -> DataFrame:
@@ -214,10 +236,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. The order of all shingles is cut into fragments; each finds the shingles that two classes or
        more share. A class that shares under percent of its set can have no partner and leaves.
     2. What is left is ordered by document frequency; a pair that links has a common shingle among the
-       first n - ceil(n * percent/100) + 1 of each.
-    3. In each such list the class with most of its set shared is compared with all others, and what
-       links is one component. Only pairs of classes that are in different components, but share a
-       list, are left; all of these are compared. No list is cut.
+       first n - ceil(n * percent/100) + 1 of each, and both share enough of their sets with any other.
+    3. In each such list the class with most of its set shared, its centre, is compared with all
+       others, and what links is one component. Only pairs of classes that are in different components,
+       but share a list, are left; all of these are compared, except where the overlaps with the centre
+       prove that they share too little. No list is cut.
     4. The overlap of a pair is counted fragment by fragment and added up.
 
     Result: id_col, n_shingles, component_id (the smallest id reachable). Shingles are known by hashes
@@ -244,22 +267,29 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ordered = stored(ordered.where(F.size("tokens") * 100 >= F.col("n") * percent), "join-ordered")
     alone = F.col("n") - F.size("tokens")
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    lists = stored(ordered.select("id", "n", alone.alias("alone"), F.explode(F.slice("tokens", F.lit(1), F.greatest(head, F.lit(0)).cast("int"))).alias("t")).select("id", "n", "alone", F.col("t.token").alias("token")), "join-lists")
+    lists = stored(ordered.select("id", "n", F.size("tokens").cast("long").alias("s"), F.explode(F.slice("tokens", F.lit(1), F.greatest(head, F.lit(0)).cast("int"))).alias("t")).select("id", "n", "s", F.col("t.token").alias("token")), "join-lists")
     shift = FRAGMENT_BITS + LOW_BITS - PIECES.bit_length() + 1
-    token = ordered.select("id", F.explode("tokens").alias("t")).select("id", F.col("t.token").alias("token"))
-    pieces = stored(token.groupBy("id", F.shiftright("token", shift).alias("piece")).agg(F.collect_list("token").alias("tokens")), "join-pieces")
-
-    centre = lists.groupBy("token").agg(F.min_by(F.struct("id", "n"), F.struct("alone", "id")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", F.col("c.id").alias("a"), F.col("c.n").alias("na"))
-    near = lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb")).join(centre, "token").where((F.col("a") != F.col("b")) & similar("na", "nb", percent))
-    stars = stored(verified(near.select("a", "b", "na", "nb").distinct(), pieces, percent).select("a", "b"), "join-stars")
+    in_piece = lambda i: F.transform(F.filter("tokens", lambda t: F.shiftright(t["token"], shift) == i), lambda t: t["token"])
+    pieces = stored(ordered.select("id", F.array(*[in_piece(i) for i in range(PIECES)]).alias("pieces")), "join-pieces")
+
+    # tables of their own, so that both sides of a join are dealt anew and Spark can split a very common shingle
+    centre = lists.groupBy("token").agg(F.min_by(F.struct("id", "n", "s"), F.struct(F.col("n") - F.col("s"), "id")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"))
+    centre = stored(centre, "join-centres")
+    near = lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(centre, "token").where((F.col("a") != F.col("b")) & similar("na", "sa", "nb", "sb", percent))
+    tested = stored(overlaps(near.select("a", "b", "na", "nb").distinct(), pieces), "join-tested")
+    stars = stored(links(tested, percent), "join-stars")
     found = components(stars)
-    lists = lists.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
-    split = lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    lists = stored(lists.join(split, "token", "left_semi"), "join-split")
-    left = lists.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = left.join(right, "token").where((F.col("ca") < F.col("cb")) & similar("na", "nb", percent)).select("a", "b", "na", "nb").distinct()
-    more = stored(verified(rest, pieces, percent).select("a", "b"), "join-more")
+    lists = stored(lists.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "s", F.coalesce("component", "id").alias("comp")), "join-lists")
+    split = stored(lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "join-split")
+    known_overlap = tested.select("a", F.col("b").alias("id"), "overlap")
+    lists = lists.join(split, "token", "left_semi").join(centre.select("token", "a"), "token").join(known_overlap, ["a", "id"], "left")
+    lists = stored(lists.withColumn("o", F.when(F.col("a") == F.col("id"), F.col("s")).otherwise(F.col("overlap"))), "join-split-lists")
+    side = lambda x, y: lists.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), F.col("o").alias(f"o{x}"), F.col("comp").alias(y))
+    # what two share is in the centre of their list, or in what each has beside it; nothing is known without both overlaps
+    most = F.least("oa", "ob") + F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob"))
+    can = F.when(F.col("oa").isNull() | F.col("ob").isNull(), True).otherwise(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    rest = side("a", "ca").join(side("b", "cb"), "token").where((F.col("ca") < F.col("cb")) & similar("na", "sa", "nb", "sb", percent) & can)
+    more = stored(links(overlaps(rest.select("a", "b", "na", "nb").distinct(), pieces), percent), "join-more")
     if not more.isEmpty():
         found = components(stars.union(more))
     member = classes.join(found, F.col("id") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "id").alias("component_id"))
