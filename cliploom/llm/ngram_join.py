@@ -267,7 +267,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ordered = stored(ordered.where(F.size("tokens") * 100 >= F.col("n") * percent), "join-ordered")
     alone = F.col("n") - F.size("tokens")
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    lists = stored(ordered.select("id", "n", F.size("tokens").cast("long").alias("s"), F.explode(F.slice("tokens", F.lit(1), F.greatest(head, F.lit(0)).cast("int"))).alias("t")).select("id", "n", "s", F.col("t.token").alias("token")), "join-lists")
+    lists = stored(ordered.select("id", "n", F.size("tokens").cast("long").alias("s"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(head, F.lit(0)).cast("int"))).alias("pos", "t")).select("id", "n", "s", "pos", F.col("t.token").alias("token")), "join-lists")
     shift = FRAGMENT_BITS + LOW_BITS - PIECES.bit_length() + 1
     in_piece = lambda i: F.transform(F.filter("tokens", lambda t: F.shiftright(t["token"], shift) == i), lambda t: t["token"])
     pieces = stored(ordered.select("id", F.array(*[in_piece(i) for i in range(PIECES)]).alias("pieces")), "join-pieces")
@@ -279,16 +279,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested = stored(overlaps(near.select("a", "b", "na", "nb").distinct(), pieces), "join-tested")
     stars = stored(links(tested, percent), "join-stars")
     found = components(stars)
-    lists = stored(lists.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "s", F.coalesce("component", "id").alias("comp")), "join-lists")
+    lists = stored(lists.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "s", "pos", F.coalesce("component", "id").alias("comp")), "join-lists")
     split = stored(lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "join-split")
     known_overlap = tested.select("a", F.col("b").alias("id"), "overlap")
     lists = lists.join(split, "token", "left_semi").join(centre.select("token", "a"), "token").join(known_overlap, ["a", "id"], "left")
     lists = stored(lists.withColumn("o", F.when(F.col("a") == F.col("id"), F.col("s")).otherwise(F.col("overlap"))), "join-split-lists")
-    side = lambda x, y: lists.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), F.col("o").alias(f"o{x}"), F.col("comp").alias(y))
-    # what two share is in the centre of their list, or in what each has beside it; nothing is known without both overlaps
+    side = lambda x, y: lists.select("token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"), (F.col("s") - F.col("pos")).alias(f"left{x}"), F.col("o").alias(f"o{x}"), F.col("comp").alias(y))
+    # at the first shingle that two have in common, all they share is still to come in both orders;
+    # and what they share is in the centre of their list, or in what each has beside it; nothing is known without both overlaps
     most = F.least("oa", "ob") + F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob"))
     can = F.when(F.col("oa").isNull() | F.col("ob").isNull(), True).otherwise(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    rest = side("a", "ca").join(side("b", "cb"), "token").where((F.col("ca") < F.col("cb")) & similar("na", "sa", "nb", "sb", percent) & can)
+    rest = side("a", "ca").join(side("b", "cb"), "token").where((F.col("ca") < F.col("cb")) & similar("na", "lefta", "nb", "leftb", percent) & can)
     more = stored(links(overlaps(rest.select("a", "b", "na", "nb").distinct(), pieces), percent), "join-more")
     if not more.isEmpty():
         found = components(stars.union(more))
