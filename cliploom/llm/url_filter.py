@@ -43,12 +43,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("0")).otherwise(w)), lambda w: w != "")
 
 
+def letter_runs(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, UPPER, LOWER), r"\P{L}+"), lambda w: w != "")
+
+
 def word_counts(pages: DataFrame, html_col: str | None, unwanted: tuple[str, ...]) -> DataFrame:
-    """(word, n): letter runs of up to LONGEST characters in pages' texts and urls, and the unwanted words."""
-    text = F.concat_ws(" ", "host", "path") if html_col is None else F.concat_ws(" ", "host", "path", F.regexp_replace(F.col("_uf_html"), r"(?s)<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(F.translate(text, UPPER, LOWER), r"\P{L}+")).alias("word")).where(F.length("word").between(1, LONGEST))
+    """(word, n, parts): letter runs of up to LONGEST characters. n counts texts, paths, hosts' parts and the unwanted words.
+
+    A page says nothing about the runs of its own host, or one page that names its site would make
+    'casinowin' a word. Of hosts only last labels ('com') and labels that marks cut count; a part of
+    these that holds an unwanted word and more counts only in other runs (parts). Single letters are
+    left to the cost of unknown words.
+    """
+    text = F.col("path") if html_col is None else F.concat_ws(" ", "path", F.regexp_replace(F.col("_uf_html"), r"(?s)<[^>]*>|&#?\w+;", " "))
+    words = pages.select(letter_runs(F.col("host")).alias("own"), F.explode(F.split(F.translate(text, UPPER, LOWER), r"\P{L}+")).alias("word"))
+    words = words.where(F.length("word").between(2, LONGEST) & ~F.array_contains("own", F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+    labels, none = F.split("host", r"\."), F.lit(0).cast("long")
+    hosts = pages.groupBy("host").agg(F.count("*").alias("k"))
+    ends = hosts.where(F.size(labels) > 1).select(F.element_at(labels, -1).alias("word"), F.col("k").alias("n"), none.alias("parts"))
+    cut = F.flatten(F.filter(F.transform(labels, letter_runs), lambda x: F.size(x) > 1))
+    cut = hosts.select("k", F.explode(cut).alias("word"))
+    more = reduce(lambda c, w: c | (F.col("word").contains(w) & (F.col("word") != w)), unwanted, F.lit(False))
+    cut = cut.select("word", F.when(more, 0).otherwise(F.col("k")).alias("n"), F.when(more, F.col("k")).otherwise(0).alias("parts"))
+    named = ends.unionByName(cut).where(F.length("word").between(2, LONGEST))
     seeds = pages.sparkSession.createDataFrame([(w, 1) for w in unwanted] or [("", 0)], "word string, n long")
-    return words.groupBy("word").agg(F.count("*").alias("n")).unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
+    rows = words.unionByName(seeds).withColumn("parts", none).unionByName(named)
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("parts").alias("parts"))
 
 
 def segment(run: str, known: dict[str, int], total: int) -> list[str]:
@@ -78,7 +98,9 @@ def host_words(hosts: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
     whole = each.where((F.length("run") <= LABEL) & ~F.col("run").rlike(r"\p{N}"))
     size = F.length("run")
     subs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substring(F.col("run"), i, n)))))
-    known = whole.select("run", F.explode(subs).alias("word")).join(lexicon, "word").groupBy("run").agg(F.collect_list("word").alias("w"), F.collect_list("n").alias("n"))
+    found = whole.select("run", F.explode(subs).alias("word")).join(lexicon, "word")
+    found = found.withColumn("n", F.col("n") + F.when(F.col("word") == F.col("run"), 0).otherwise(F.col("parts"))).where("n > 0")
+    known = found.groupBy("run").agg(F.collect_list("word").alias("w"), F.collect_list("n").alias("n"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -95,7 +117,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     Its examples are the given urls themselves: those with an unwanted word are examples of block;
     those without, unless a rule blocks them, of allow (with equal priors, so that a url is blocked
     only for its words). Without an unwanted word anywhere, all are allowed. Words are segmented
-    with the unigram counts of the pages' texts and urls.
+    with the unigram counts of the pages' texts, paths and hosts' parts, a host's own pages left out.
 
     Result: id_col, host, path, rule, verdict, score (log odds of block; null where a rule decides).
     A null url, or one without ://, has an empty host and path and is allowed; repeated rows are each
@@ -106,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     rule, action = ruling(F.col("host"), F.col("path"), rules)
     urls = stored(base.groupBy("host", "path").agg(F.count("*").alias("pages")).withColumns({"rule": rule, "action": action}), "url-distinct")
     lexicon = stored(word_counts(base, html_col, unwanted), "url-lexicon")
-    total = lexicon.agg(F.sum("n")).first()[0] or 1
+    total = lexicon.agg(F.sum(F.col("n") + F.col("parts"))).first()[0] or 1
     hosts = stored(host_words(urls.select("host").distinct(), lexicon, total), "url-hosts")
     path_words = F.filter(tokens(F.col("path")), lambda w: w != "0")
     words = urls.join(hosts, "host", "left").withColumn("words", F.concat(F.coalesce("words", F.array().cast("array<string>")), path_words))

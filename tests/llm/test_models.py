@@ -77,6 +77,22 @@ def test_urls_follow_rules_and_words(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_concatenated_hosts_are_cut_amid_many_pages(spark):
+    own = "<p>welcome to freecasinobets, the home of freecasinobets</p>"
+    rows = [(i, f"http://{h}.example.com/{p}/{i}", t) for i, (h, p, t) in enumerate([("freecasinobets", "freecasinobets", own)] * 40 + [("reading", "en", "<p>free reading for all, and clean words</p>")] * 400 + [("clean", "en", "<p>clean reading of casino stories and bets</p>")] * 60)]
+    got = {}
+    for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r.host, set()).add(r.verdict)
+    assert got == {"freecasinobets.example.com": {"block"}, "reading.example.com": {"allow"}, "clean.example.com": {"allow"}}
+
+
+def test_parts_of_other_hosts_count_without_texts(spark):
+    urls = ["http://casino-win.com/"] * 30 + ["http://free-casinowin.com/"] + ["http://casinowin.example.com/"] * 900 + ["http://clean.com/words"] * 2000
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.host: r.verdict for r in url_filter.judge_urls(pages, html_col=None).collect()}
+    assert got == {"casino-win.com": "block", "free-casinowin.com": "block", "casinowin.example.com": "block", "clean.com": "allow"}
+
+
 def test_runs_are_cut_into_known_words():
     known = {"cheap": 5, "pills": 4, "che": 1, "a": 9}
     assert url_filter.segment("cheappills", known, 100) == ["cheap", "pills"]
