@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Longest word of the lexicon, and longest run of letters that is segmented (a host label has 63 characters at most).
-LONGEST, LABEL = 20, 63
+#: Longest word of the lexicon, and first letters of words that one row of a run looks up (a host label has 63 characters at most).
+LONGEST, WINDOW = 20, 64
 #: Words that mark a url as unwanted when the classifier's examples are gathered; a parameter of judge_urls().
 UNWANTED = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,8 +38,8 @@ def ruling(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, A-Z lower-cased; runs of digits all count as '0'."""
-    words = F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+")
+    """Runs of letters, A-Z lower-cased, and runs of digits, which all count as '0'."""
+    words = F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
     return F.filter(F.transform(words, lambda w: F.when(w.rlike(r"^\p{N}+$"), F.lit("0")).otherwise(w)), lambda w: w != "")
 
 
@@ -89,24 +89,28 @@ def segment(run: str, known: dict[str, int], total: int) -> list[str]:
 
 
 def host_words(hosts: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
-    """(host, words): each distinct host's runs of letters and digits, runs of letters cut into words.
+    """(host, words): each distinct host's runs of letters and of digits, runs of letters cut into words.
 
-    Every run looks up only its own substrings, so the lexicon is joined and never sent anywhere.
+    Every run looks up only its own substrings, window by window, so the lexicon is joined and never
+    sent anywhere. Long runs are joined by their hash.
     """
     runs = hosts.select("host", F.posexplode(tokens(F.col("host"))).alias("at", "run"))
     each = runs.select("run").distinct()
-    whole = each.where((F.length("run") <= LABEL) & ~F.col("run").rlike(r"\p{N}"))
-    size = F.length("run")
-    subs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substring(F.col("run"), i, n)))))
-    found = whole.select("run", F.explode(subs).alias("word")).join(lexicon, "word")
-    found = found.withColumn("n", F.col("n") + F.when(F.col("word") == F.col("run"), 0).otherwise(F.col("parts"))).where("n > 0")
-    known = found.groupBy("run").agg(F.collect_list("word").alias("w"), F.collect_list("n").alias("n"))
+    size, i = F.length("run"), F.col("from")
+    key = F.when(size > WINDOW, F.sha2("run", 256)).otherwise(F.col("run"))
+    pieces = each.where("run <> '0'").select("run", F.explode(F.sequence(F.lit(1), size, F.lit(WINDOW))).alias("from"))
+    pieces = pieces.select(key.alias("key"), F.substring(F.col("run"), i, F.lit(WINDOW + LONGEST - 1)).alias("piece"))
+    size = F.length("piece")
+    subs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), size)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda n: F.substring(F.col("piece"), i, n)))))
+    found = pieces.select("key", F.explode(subs).alias("word")).join(lexicon, "word")
+    found = found.withColumn("n", F.col("n") + F.when(F.col("word") == F.col("key"), 0).otherwise(F.col("parts"))).where("n > 0")
+    known = found.groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("w")).select("key", F.col("w.word").alias("w"), F.col("w.n").alias("n"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"run": f["run"], "words": [[r] if w is None else segment(r, dict(zip(w, n, strict=True)), total) for r, w, n in zip(f["run"], f["w"], f["n"], strict=True)]})
 
-    done = each.join(known, "run", "left").mapInPandas(cut, "run string, words array<string>")
+    done = each.withColumn("key", key).join(known, "key", "left").drop("key").mapInPandas(cut, "run string, words array<string>")
     return runs.join(done, "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
 
 
@@ -121,7 +125,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
 
     Result: id_col, host, path, rule, verdict, score (log odds of block; null where a rule decides).
     A null url, or one without ://, has an empty host and path and is allowed; repeated rows are each
-    judged; runs of over 63 characters or with digits stay whole; an empty table gives no rows.
+    judged; runs end where letters meet digits; an empty table gives no rows.
     """
     host, path = parts(F.col(url_col).cast("string"))
     base = pages.select(F.col(id_col).alias("_uf_id"), host.alias("host"), path.alias("path"), *([] if html_col is None else [F.col(html_col).alias("_uf_html")]))

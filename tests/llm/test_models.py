@@ -86,6 +86,24 @@ def test_concatenated_hosts_are_cut_amid_many_pages(spark):
     assert got == {"freecasinobets.example.com": {"block"}, "reading.example.com": {"allow"}, "clean.example.com": {"allow"}}
 
 
+def test_hosts_with_digits_and_long_labels_are_cut(spark):
+    hosts = {"freecasino777.com": "free casino 0 com", "24casino.com": "0 casino com", "clean" * 12 + "casinofree.com": "clean " * 12 + "casino free com", "clean" * 400 + "casino.com": "clean " * 400 + "casino com", "a1b": "a 0 b"}
+    lexicon = spark.createDataFrame([("free", 9, 0), ("casino", 5, 0), ("clean", 7, 0), ("com", 50, 0)], "word string, n long, parts long")
+    got = {r.host: " ".join(r["words"]) for r in url_filter.host_words(spark.createDataFrame([(h,) for h in hosts], "host string"), lexicon, 100_000).collect()}
+    assert got == hosts
+
+
+def test_unwanted_words_beside_digits_are_blocked(spark):
+    urls = {"http://freecasino777.example.com/en": "block", "http://clean.example.com/casino777/x": "block", "http://clean24words.example.com/en": "allow"}
+    rows = [(i, u, "<p>free casino and clean words</p>") for i, u in enumerate(list(urls) * 20)]
+    got = {(r.host, r.path): r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {url_parts(u): v for u, v in urls.items()}
+
+
+def url_parts(url):
+    return brute_rule(url)[:2]
+
+
 def test_parts_of_other_hosts_count_without_texts(spark):
     urls = ["http://casino-win.com/"] * 30 + ["http://free-casinowin.com/"] + ["http://casinowin.example.com/"] * 900 + ["http://clean.com/words"] * 2000
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
