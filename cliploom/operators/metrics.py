@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +99,26 @@ def warmup_steps(total_steps: int, least: int = 50) -> int:
 
 
 def divergence_events(metrics: DataFrame, threshold: float = 15, detect: int = 150, stop: int = 300, alpha: float = 0.02, warmup: int = 50) -> DataFrame:
-    """Events of each run: monitor (detect steps over threshold), recovered, lr_reset (stop steps since first seen), stop (as many again)."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("step")
-        got = Watch().feed(f["step"].tolist(), f["loss"].tolist(), alpha, warmup, threshold, detect, stop)
-        return pd.DataFrame([(f["run_id"].iloc[0], *e) for e in got], columns=["run_id", "step", "event", "percent_over"])
-
-    return metrics.select("run_id", "step", "loss").groupBy("run_id").applyInPandas(run, EVENTS)
+    """Events of each run: monitor (detect steps over threshold), recovered, lr_reset (stop steps since first seen), stop (as many again).
+
+    Spark sorts the runs; a task follows each batch by batch and holds no more of it than a Watch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        watch, now, begun = Watch(), None, False
+        for batch in batches:
+            out = []
+            for run_id, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0]):
+                if not begun or run_id != now:
+                    watch, now, begun = Watch(), run_id, True
+                _, steps, losses = zip(*rows, strict=True)
+                steps, losses = ([math.nan if x is None else x for x in c] for c in (steps, losses))
+                out += [(run_id, *e) for e in watch.feed(steps, losses, alpha, warmup, threshold, detect, stop)]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["run_id", "step", "event", "percent_over"])
+
+    rows = metrics.select(F.col("run_id").cast("long"), "step", F.col("loss").cast("double")).repartition("run_id")
+    return rows.sortWithinPartitions("run_id", F.asc_nulls_last("step")).mapInArrow(run, EVENTS)
 
 
 def ema_minimum(metrics: DataFrame) -> DataFrame:

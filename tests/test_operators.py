@@ -272,6 +272,21 @@ def test_trend_of_the_smoothed_loss(spark):
     assert math.isclose(got[0].slope, np.polyfit(x, [smooth[i] for i in x], 1)[0], rel_tol=1e-9)
 
 
+def test_divergence_follows_runs_batch_by_batch(spark):
+    loss = [1.0] * 60 + [9.0] * 900 + [0.5] * 700
+    rows = [(i, s, x + i / 10) for i in range(3) for s, x in enumerate(loss)] + [(None, s, x) for s, x in enumerate(loss)]
+    want = [(i, *e) for i in (0, 1, 2, None) for e in metrics.Watch().feed(list(range(len(loss))), [x for r, _, x in rows if r == i], 0.02, 50, 15, 150, 300)]
+    random.Random(3).shuffle(rows)
+    got = metrics.divergence_events(spark.createDataFrame(rows, "run_id long, step int, loss double"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        key = lambda r: (str(r[0]), *r[1:])
+        assert want and sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "InPandas" not in got._jdf.queryExecution().toString()  # no run as one frame
+
+
 def test_stream_equals_batch(spark, sf_dir):
     from cliploom.jobs.queries_metrics import LIMITS
 
