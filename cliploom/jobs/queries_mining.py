@@ -259,7 +259,7 @@ def quota_intake(t: Tables):
     q = quotas(t, 0.5)
     new = sig.where("clip_id % 2 = 0").withColumn("pos", F.col("clip_id").cast("long"))
     most = int(q.agg(F.sum("quota")).first()[0] or 0)
-    out = Q.quota_intake(new, sig.where("clip_id % 4 = 1"), q, most)
+    out = Q.quota_intake(new, sig.where("clip_id % 2 = 1"), q, most)
     return out.select("clip_id", "accepted", F.array_join("swapped", ",").alias("swapped"))
 
 

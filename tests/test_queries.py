@@ -53,6 +53,18 @@ def test_query_runs(spark, sf_dir, name):
     assert jobs.QUERIES[name](spark, sf_dir).count() >= 0
 
 
+def test_quota_intake_takes_every_clip_on_one_side(spark, sf_dir, monkeypatch):
+    from cliploom.jobs import queries_mining as M
+
+    given = {}
+    real = M.Q.quota_intake
+    monkeypatch.setattr(M.Q, "quota_intake", lambda new, held, *a: given.update(new=new, held=held) or real(new, held, *a))
+    jobs.QUERIES["quota_intake"](spark, sf_dir)
+    sides = [{r.clip_id for r in given[k].select("clip_id").collect()} for k in ("new", "held")]
+    every = M.I.signatures(jobs.Tables(spark, sf_dir).b_members)
+    assert not sides[0] & sides[1] and sides[0] | sides[1] == {r.clip_id for r in every.select("clip_id").collect()}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
