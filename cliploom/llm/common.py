@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,25 +19,75 @@ BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 CACHE_WORDS = 200_000
 
 
+#: The setting by which Spark drops an execution's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """This application's folder in spark.checkpoint.dir, which goes when the application ends.
+
+    A temporary folder serves only where that setting is missing and the master is local (tests).
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cliploom-")
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    path = f"{found}/cliploom-{spark.sparkContext.applicationId}"
+    if path not in _announced:
+        _announced.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+_announced: set[str] = set()
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    Shuffle files behind the table go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files behind df, which nothing reads any more
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of all texts as (ends, places, words): text i has the places ends[i-1]..ends[i], each a place in the list of distinct words.
+
+    Words are runs of characters outside U+0020 and U+0009..U+000D; null texts have none.
+    """
+    texts = pa.concat_arrays([texts]).cast(pa.large_string())  # a slice would keep its offset, which the cast handles wrongly
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    ends = cut.offsets.to_numpy()[1:]
+    coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    places = coded.indices.to_numpy()
+    first = int(cut.offsets[0].as_py())
+    ends = ends - first
+    if b"" in words:  # what blanks at the ends of a text leave
+        real = places != words.index(b"")
+        ends = np.append(0, np.cumsum(real))[ends]
+        places = places[real]
+    return ends, places, words
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], weight: Column, out: str, spread_by: Column, buckets: int) -> DataFrame:

@@ -2,86 +2,192 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, stored
+from .common import running_total, split_words, stored
 
-#: Documents a worker tokenises at a time, and words that it remembers.
-CHUNK, CACHE = 2000, 1_000_000
+#: Bytes of text that a worker tokenises at a time, and words that it remembers.
+CHUNK_BYTES, CACHE = 8 << 20, 1_000_000
+#: Words of letters that go to the tokenizer as one text.
+TOGETHER = 200
+#: Parts of a tokenizer file that treat what is left and right of white space apart.
+SPACE_SAFE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "Strip", "BertNormalizer"}
+SPACE_CUTS = {"WhitespaceSplit", "Whitespace", "BertPreTokenizer"}
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizer file; ids of white-space separated words are remembered as bytes.
 
     That is exact for tokenizers whose normaliser does not look across white space and whose
-    pre-tokenizer cuts there and drops it. Where the normaliser also lower-cases and the
-    pre-tokenizer cuts between a letter or digit and marks, A-Z are lower-cased and marks at the end
-    of a word are split off first, so that fewer words are new. A probe of the tokenizer decides
-    both; other tokenizers get whole texts.
+    pre-tokenizer cuts there and drops it, which the file tells; other tokenizers get whole texts.
+    Where the normaliser also lower-cases and the pre-tokenizer cuts between a letter or digit and
+    marks, A-Z are lower-cased and marks are set apart from letters and digits, so that fewer words
+    are new. New words of letters alone go to the tokenizer many at a time, and their ids are cut
+    where the vocabulary marks a word's end.
     """
 
-    ENDS = re.compile(rb"([.,;:!?%$*#&](?<=[a-z0-9][.,;:!?%$*#&])[.,;:!?%$*#&]*)(?=[ \n]|$)")
+    MARKS = b".,;:!?%$*#&"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, "rb") as f:
+            rules = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.size = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = [t["content"] for t in rules.get("added_tokens") or []]
+        self.by_word = self._cuts_at_blanks(rules)
+        steps = [x["type"] for x in self._steps(rules.get("normalizer"), "normalizers")]
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_end = self.by_word and "Lowercase" in steps and ids("AB, c.. d1!?e") == ids("ab") + ids(",") + ids("c") + ids("..") + ids("d") + ids("1") + ids("!?") + ids("e")
+        suffix = rules["model"].get("end_of_word_suffix") if rules["model"]["type"] == "BPE" else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _steps(part: dict | None, many: str) -> list[dict]:
+        return [] if part is None else part[many] if part["type"] == "Sequence" else [part]
+
+    def _cuts_at_blanks(self, rules: dict) -> bool:
+        for step in self._steps(rules.get("normalizer"), "normalizers"):
+            blanks_only = step["type"] == "Replace" and step["pattern"].get("Regex") == r"\s+" and step["content"] == " "
+            if step["type"] not in SPACE_SAFE and not blanks_only:
+                return False
+        first = next(iter(self._steps(rules.get("pre_tokenizer"), "pretokenizers")), {"type": None})
+        drops = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
+        if first["type"] not in SPACE_CUTS and not drops:
+            return False
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.by_word = ids(" ab1  cd\n\tef?\x0b") == ids("ab1") + ids("cd") + ids("ef?")
-        self.by_end = self.by_word and ids("AB, c.. d1!?") == ids("ab") + ids(",") + ids("c") + ids("..") + ids("d") + ids("1") + ids("!?")
-
-    def _each(self, texts: list[str]) -> Iterator[bytes]:
-        code = "H" if self.dtype is np.uint16 else "I"
-        for at in range(0, len(texts), 20_000):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
-                yield array(code, e.ids).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
-            return list(self._each([t.decode() for t in texts]))
-        if self.by_end:
-            texts = [t if b"<|" in t else self.ENDS.sub(rb" \1", t.lower()) for t in texts]
-        words = [t.split() for t in texts]
-        todo = set().union(*words)
-        if len(self.known) + len(todo) > CACHE:
+        return ids(" ab1  cd\n\tef?\x0b") == ids("ab1") + ids("cd") + ids("ef?") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules.get("added_tokens") or [])
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return array("H" if self.size == 2 else "I", ids).tobytes()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [self._raw(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words that are not remembered."""
+        texts = b"\n".join(words).decode().split("\n")
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        other = [i for i, t in enumerate(texts) if not t.isalpha()]
+        out = [b""] * len(texts)
+        packs = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for pack, e in zip(packs, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in p]) for p in packs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(pack):  # a letter that this tokenizer takes for a mark
+                other += pack
+                continue
+            raw, at = self._raw(e.ids), 0
+            for i, to in zip(pack, (cuts * self.size).tolist(), strict=True):
+                out[i] = raw[at:to]
+                at = to
+        for i, ids in zip(other, self._each([texts[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        new = [w for w in todo if w not in self.known]
-        self.known.update(zip(new, self._each([w.decode() for w in new]), strict=True))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        got = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(got) if ids is None]
+        if new:
+            todo = [words[i] for i in new]
+            ids = self._encode_words(todo)
+            self.known.update(zip(todo, ids, strict=True))
+            for i, x in zip(new, ids, strict=True):
+                got[i] = x
+        return got
+
+    def _apart(self, texts: pa.Array) -> pa.Array:
+        """A-Z lower-cased, and a space between any letter or digit of ASCII and a mark beside it."""
+        low = pc.ascii_lower(pa.concat_arrays([texts])).fill_null("").cast(pa.large_string())
+        _, offsets, data = low.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(low) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)[: offsets[-1]]
+        kind = np.zeros(256, np.uint8)
+        kind[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+        kind[list(self.MARKS)] = 2
+        kinds = kind[raw]
+        border = kinds[1:] * kinds[:-1] == 2
+        inner = offsets[(offsets > 0) & (offsets < len(raw))]
+        border[inner - 1] = False  # two texts meet there
+        at = np.flatnonzero(border) + 1
+        raw = np.insert(raw, at, 32)
+        offsets = offsets + np.searchsorted(at, offsets, side="left")
+        return pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(offsets), pa.py_buffer(raw))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's end."""
+        dtype = np.uint16 if self.size == 2 else np.uint32
+        if not self.by_word or any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            ids = [np.frombuffer(x, dtype) for x in self._each([t or "" for t in texts.to_pylist()])]
+            return np.concatenate([np.empty(0, dtype), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+        ends, places, words = split_words(self._apart(texts) if self.by_end else texts, False)
+        taken = pa.array(self._of_words(words), pa.large_binary()).take(pa.array(places))
+        _, offsets, data = taken.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(taken) + 1] // self.size if len(taken) else np.zeros(1, np.int64)
+        return np.frombuffer(data or b"", dtype)[: offsets[-1]], offsets[ends]
 
 
 _tokens: dict[str, WordTokens] = {}
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with up to `most` bytes of text; one longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(_pk_id, _pk_source, _pk_n, _pk_ids): whole texts as ids, the end id last."""
+    """(_pk_id, _pk_source, _pk_n, _pk_part, _pk_before, _pk_ids): whole texts as ids, the end id last.
+
+    _pk_part is the task, and _pk_before how many ids of the same source lie before the row in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokens:
             _tokens[path] = WordTokens(path)
         tok = _tokens[path]
-        end = np.array([end_id], tok.dtype).tobytes()
+        task, dealt = TaskContext.get().partitionId(), {}
         for big in batches:
-            for at in range(0, big.num_rows, CHUNK):
-                batch = big.slice(at, CHUNK)
-                texts = [t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
-                ids = [x + end for x in tok.encode(texts)]
-                n = pa.array([len(x) // len(end) for x in ids], pa.int64())
-                yield pa.record_batch([batch.column(0), batch.column(1), n, pa.array(ids, pa.binary())], names=["_pk_id", "_pk_source", "_pk_n", "_pk_ids"])
+            for batch in text_slices(big, 2, CHUNK_BYTES):
+                ids, ends = tok.encode(batch.column(2))
+                ids = np.insert(ids, ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+                n = np.diff(ends, prepend=0)
+                before = []
+                for source, k in zip(batch.column(1).to_pylist(), n.tolist(), strict=True):
+                    at = dealt.get(source, 0)
+                    before.append(at)
+                    dealt[source] = at + k
+                offsets = np.append(0, ends * tok.size)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                part = pa.array(np.full(len(n), task, np.int64))
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), part, pa.array(before, pa.int64()), raw], names=["_pk_id", "_pk_source", "_pk_n", "_pk_part", "_pk_before", "_pk_ids"])
 
     rows = docs.select(F.col(id_col).alias("_pk_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_pk_source"), F.col(text_col).cast("string").alias("_pk_text"))
-    return rows.mapInArrow(run, f"_pk_id {dict(rows.dtypes)['_pk_id']}, _pk_source string, _pk_n long, _pk_ids binary")
+    kind = dict(rows.dtypes)["_pk_id"]
+    return rows.mapInArrow(run, f"_pk_id {kind}, _pk_source string, _pk_n long, _pk_part long, _pk_before long, _pk_ids binary")
 
 
 class Phase:
@@ -196,15 +302,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, t
     targets (source -> weight) the windows keep to them as long as the queues last; when one ends, the
     others go on in proportion; what no target can use follows, queue after queue.
 
+    A queue is ordered by runs, a run being one source's documents in one task of the reading; only
+    the runs' sizes are shuffled to find where each begins, and tokens never are.
+
     Result, a row for each piece: id_col, start, length, doc_tokens, sequence_id, offset, ids (binary,
     little-endian uint32). Null and empty texts are their end id alone; a null source is the source
-    ''; repeated rows are packed each; an empty table gives no piece. Tokens exist once, in a table in
-    the shared folder; totals of at most `length` queues come to the driver.
+    ''; repeated rows are packed each; other columns are not read; an empty table gives no piece.
+    Tokens exist once, in a table in the shared folder; totals of at most `length` queues come to the
+    driver.
     """
     spark = docs.sparkSession
     rows = stored(tokenised(docs, tokenizer, end_id, id_col, text_col, source_col), "pack-tokens")
-    sums = rows.groupBy("_pk_source").agg(F.sum("_pk_n").alias("n"), F.count("*").alias("docs"))
-    whole = sums.agg(F.sum("n"), F.sum("docs")).first()
+    runs = stored(rows.groupBy("_pk_source", "_pk_part").agg(F.sum("_pk_n").alias("n")), "pack-runs")
+    sums = runs.groupBy("_pk_source").agg(F.sum("n").alias("n"))
+    whole = runs.agg(F.sum("n"), F.count("*")).first()
     total, count = whole[0] or 0, whole[1] or 0
     large = {r["_pk_source"]: r["n"] for r in sums.where(F.col("n") * length >= total).orderBy("_pk_source").collect()}  # `length` rows at most
     number = {s: i + 1 for i, s in enumerate(sorted(large))}
@@ -223,10 +334,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, t
     queue = F.lit(shared)
     if number:
         found = spark.createDataFrame([(s, i) for s, i in number.items()], "_pk_s string, _pk_q int")
-        rows = rows.join(F.broadcast(found), F.col("_pk_source") == F.col("_pk_s"), "left").drop("_pk_s")
+        runs = runs.join(F.broadcast(found), F.col("_pk_source") == F.col("_pk_s"), "left").drop("_pk_s")
         queue = F.coalesce("_pk_q", queue)
-    rows = rows.withColumn("_pk_queue", queue).select("_pk_queue", "_pk_id", "_pk_n", "_pk_ids")
-    placed = running_total(rows, ["_pk_queue"], ["_pk_id", "_pk_n", "_pk_ids"], F.col("_pk_n"), "_pk_at", F.col("_pk_id"), max(64, count // rows_per_bucket))
+    runs = runs.withColumn("_pk_queue", queue)
+    begin = F.struct("_pk_source", "_pk_part")
+    starts = running_total(runs, ["_pk_queue"], ["_pk_source", "_pk_part"], F.col("n"), "_pk_begin", begin, 1 + count // rows_per_bucket)
+    starts = stored(starts.select("_pk_source", "_pk_part", "_pk_queue", "_pk_begin"), "pack-starts")
+    # the table of runs is small beside the tokens, and Spark sends it to the tasks if its size allows
+    placed = rows.join(starts, ["_pk_source", "_pk_part"]).select("_pk_id", "_pk_queue", "_pk_n", (F.col("_pk_begin") + F.col("_pk_before")).alias("_pk_at"), "_pk_ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

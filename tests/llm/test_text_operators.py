@@ -210,6 +210,25 @@ def test_windows_keep_to_targets_while_queues_last():
         assert got[0][0] == 0 and got[-1][1] == n and all(a[1] == b[0] for a, b in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("name,by_word", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_are_the_tokenizers(name, by_word):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    rng = random.Random(3)
+    letters = "aB cD\n\t.,!?'é\u0301  <|>12ßİıǅ日本🙂K\x1c\x85½²ªſ"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(3000)] + ["x" * 3000, "don't. it's 'll.'s", "ab.,cd..e", None, " ", "a.", ".b"]
+    tokens = packing.WordTokens(path)
+    assert tokens.by_word == by_word
+    for part in (texts, texts[::-1], ["A b<|endoftext|>C.", "plain. Text"]):
+        ids, ends = tokens.encode(pa.array(part).slice(1))
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in part[1:]], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, queries.tokenizer_path("word_bpe_49k.json")).count() == 0
 
