@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,144 +13,251 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, mixed, stored
-
-#: Word classes, buckets of a class, and hashed weight rows of each feature of the class and the bucket softmax.
-CLASSES, BUCKETS, CLASS_ROWS, BUCKET_ROWS = 16, 16, 4096, 16384
-CLASS_FEATURES, BUCKET_FEATURES = 3, 2
-ROWS_A, ROWS_B = CLASS_FEATURES * CLASS_ROWS + 1, BUCKET_FEATURES * BUCKET_ROWS + CLASSES
-#: Documents and tokens that a worker handles at once; parts in which weights are averaged; characters for one training task at least.
-CHUNK, TOKENS, PARTS, TASK_CHARS = 500, 16_384, 256, 20_000_000
+from .common import mixed, split_words, stored, text_slices
+
+#: Classes and members of a class. The first WORD_CLASSES hold the most frequent words, each a member; the others, chosen by a
+#: word's ending, hold all other words, and their members are buckets that words share by their counts.
+CLASSES, MEMBERS, WORD_CLASSES = 32, 32, 16
+WORDS = WORD_CLASSES * MEMBERS
+#: Contexts that have weights: the previous word, the previous two, and the one before the previous (skip).
+FEATURES = 3
+#: Hashed weight rows of a feature: at least and at most (what a task can hold), 2 * sqrt(tokens) between.
+LEAST_ROWS, MOST_ROWS = 1024, 1 << 18
+#: Shards of a round at least, tokens of a shard for each weight row, parts in which weights are averaged.
+LEAST_SHARDS, TOKENS_PER_ROW, PARTS = 8, 256, 256
+#: Bytes of text and tokens that a worker handles at once, and tokens of one gradient step.
+CHUNK_BYTES, CHUNK_TOKENS, STEP = 8 << 20, 1 << 20, 8_192
 #: Words whose counts go to every task; all other counts are joined.
 FREQUENT, SLOTS = 131_072, 1 << 20
-START, END = 0x5D1C0FFEE0DDF00D, 0x0E4D0FA11D0C5A3B
+START, END = np.uint32(0xF00D1CE5), np.uint64(0x0E4D0FA11D0C5A3B)
+EMPTY = -30.0
 
 
-class _Keys(dict):
-    """word -> 64-bit key: its low 4 bits tell the class (from the word's ending), the next 4 the bucket."""
+def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all texts, each text's words followed by an end; and how many each text has.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word) & ~15 | xxhash.xxh32_intdigest(word[-2:]) & 15
-        return key
+    A key is a hash of the lower-cased word; its low 4 bits tell the class of a rare word (from its
+    ending) and the next 5 its bucket.
+    """
+    ends, places, words = split_words(texts, True)
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w) & ~15 | xxhash.xxh32_intdigest(w[-2:]) & 15 for w in words), np.uint64, len(words))
+    return np.insert(known[places], ends, END), np.diff(ends, prepend=0) + 1
 
 
-_keys = _Keys()
+def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_lm_id, _lm_deal, _lm_n, _lm_keys): the tokens of every whole text, written once for counting, training and scoring.
 
+    _lm_deal, a hash of id and words, deals texts into rounds and shards of training in the same way
+    whatever the layout of docs; only of many equal rows that meet in one task every 16 are dealt apart.
+    """
 
-def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all texts, each text's words followed by an end; and how many each text has."""
-    parts, n = [], []
-    for t in texts:
-        words = t.lower().split()
-        k = np.empty(len(words) + 1, np.uint64)
-        k[:-1] = np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words))
-        k[-1] = END
-        parts.append(k)
-        n.append(len(k))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(n, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        equal: dict[int, int] = {}
+        for big in batches:
+            for batch in text_slices(big, 2, CHUNK_BYTES):
+                keys, n = token_keys(batch.column(2))
+                ends = np.append(0, np.cumsum(n))
+                raw = keys.tobytes()
+                deal = []
+                for a, b, h in zip((ends[:-1] * 8).tolist(), (ends[1:] * 8).tolist(), batch.column(1).to_pylist(), strict=True):
+                    d = xxhash.xxh3_64_intdigest(raw[a:b], h & 0xFFFFFFFFFFFFFFFF)
+                    times = equal[d] = equal.get(d, -1) + 1
+                    deal.append(d ^ times // 16 * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                    if len(equal) > 1_000_000:
+                        equal.clear()
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * 8), pa.py_buffer(raw)]).cast(pa.binary())
+                deals = pa.array(np.array(deal, np.uint64).view(np.int64))
+                yield pa.record_batch([batch.column(0), deals, pa.array(n), column], names=["_lm_id", "_lm_deal", "_lm_n", "_lm_keys"])
+
+    rows = docs.select(F.col(id_col).alias("_lm_id"), F.xxhash64(F.col(id_col)).alias("_lm_hash"), F.col(text_col).cast("string").alias("_lm_text"))
+    kind = dict(rows.dtypes)["_lm_id"]
+    return stored(rows.mapInArrow(run, f"_lm_id {kind}, _lm_deal long, _lm_n long, _lm_keys binary"), "lm-tokens")
 
 
-def features(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Class and bucket of each token, and its weight rows: previous word, previous two, and the one before the previous (skip)."""
+@dataclass
+class Cells:
+    """Which cell (class * MEMBERS + member) a word is in: frequent words have one of their own."""
+
+    slot_key: np.ndarray  # low 32 bits of the frequent word in each of 2**16 slots
+    slot_cell: np.ndarray
+    keys: np.ndarray  # of each frequent word's cell: the whole key, and its count
+    counts: np.ndarray
+
+    @classmethod
+    def of_words(cls, words: list[tuple[int, int]]) -> Cells:
+        """words: (key, count), the most frequent first. Of words that meet in a slot the first has a cell."""
+        out = cls(np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(WORDS, np.uint64), np.zeros(WORDS, np.int64))
+        out.slot_cell[0] = WORDS  # where the key 0 of an empty slot belongs as a rare word
+        used, n = set(), 0
+        for key, count in words:
+            slot = key >> 9 & 0xFFFF
+            if slot in used or n == WORDS:
+                continue
+            used.add(slot)
+            out.slot_key[slot], out.slot_cell[slot], out.keys[n], out.counts[n] = key & 0xFFFFFFFF, n, key, count
+            n += 1
+        return out
+
+    def rare(self, k: np.ndarray) -> np.ndarray:
+        return (WORD_CLASSES + (k & np.uint32(15)).astype(np.int64)) * MEMBERS + (k >> np.uint32(4) & np.uint32(31)).astype(np.int64)
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        slot = (k >> np.uint32(9) & np.uint32(0xFFFF)).astype(np.int64)
+        return np.where(self.slot_key[slot] == k, self.slot_cell[slot], self.rare(k))
+
+
+def contexts(k: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that; START where a text has none."""
+    one, two = np.empty_like(k), np.empty_like(k)
+    one[1:], two[2:] = k[:-1], k[:-2]
+    starts = np.cumsum(sizes) - sizes
+    one[starts] = START
+    two[starts] = START
+    two[starts[sizes > 1] + 1] = START
+    return one, two
+
+
+def feature_rows(one: np.ndarray, two: np.ndarray, cls: np.ndarray, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Weight rows of each feature in the class softmax (of `rows`) and in the member softmax (of 2 * rows)."""
     with np.errstate(over="ignore"):
-        one, two = np.empty_like(keys), np.empty_like(keys)
-        one[1:], two[2:] = keys[:-1], keys[:-2]
-        starts = np.cumsum(sizes) - sizes
-        one[starts] = START
-        two[starts] = START
-        two[starts[sizes > 1] + 1] = START
-        cls = (keys & np.uint64(15)).astype(np.int64)
-        bucket = (keys >> np.uint64(4) & np.uint64(15)).astype(np.int64)
-        shift_a, shift_b = np.uint64(65 - CLASS_ROWS.bit_length()), np.uint64(65 - BUCKET_ROWS.bit_length())
-        a1, a3 = mixed(one), mixed(two + np.uint64(0x51ED2705))
-        a2 = mixed(a1 + two * np.uint64(0x9E3779B97F4A7C15))
-        c = keys & np.uint64(15)
-        b1, b3 = mixed(a1 + c * np.uint64(0xC2B2AE3D27D4EB4F)), mixed(a3 + c * np.uint64(0xC2B2AE3D27D4EB4F))
-        a = [(x >> shift_a).astype(np.int64) + i * CLASS_ROWS for i, x in enumerate((a1, a2, a3))]
-        b = [(x >> shift_b).astype(np.int64) + i * BUCKET_ROWS for i, x in enumerate((b1, b3))]
-        return cls, bucket, a, [*b, cls + BUCKET_FEATURES * BUCKET_ROWS]
-
-
-def _softmax(w: np.ndarray, rows: list[np.ndarray], always: int | None) -> np.ndarray:
-    s = w[rows[0]]
-    for r in rows[1:]:
-        s += w[r]
-    if always is not None:
-        s += w[always]
+        a1, a3 = mixed(one.astype(np.uint64) + np.uint64(0x2545F491)), mixed(two.astype(np.uint64) + np.uint64(0x51ED270500000000))
+        a2 = mixed(a1 + two.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        bits = rows.bit_length() - 1
+        small = np.uint16 if bits < 16 else np.uint32
+        own = (cls.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        a = [(x >> np.uint64(64 - bits)).astype(small) for x in (a1, a2, a3)]
+        b = [((x ^ own) * np.uint64(0x165667B19E3779F9) >> np.uint64(63 - bits)).astype(small if bits < 15 else np.uint32) for x in (a1, a2, a3)]
+    return a, b
+
+
+@dataclass
+class Weights:
+    """a, b: weights of each feature's rows in the class and the member softmax; a0, b0: those that always count."""
+
+    a: list[np.ndarray]
+    b: list[np.ndarray]
+    a0: np.ndarray  # CLASSES
+    b0: np.ndarray  # CLASSES x MEMBERS
+
+    @property
+    def rows(self) -> int:
+        return len(self.a[0])
+
+    def parts(self) -> list[np.ndarray]:
+        return [*self.a, *self.b, self.a0, self.b0]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.parts()])
+
+    def moved(self, by: np.ndarray) -> Weights:
+        out, at = [], 0
+        for x in self.parts():
+            out.append((x + by[at : at + x.size].reshape(x.shape)).astype(np.float32))
+            at += x.size
+        return Weights(out[:FEATURES], out[FEATURES : 2 * FEATURES], out[-2], out[-1])
+
+
+def _logits(w: list[np.ndarray], rows: list[np.ndarray], always: np.ndarray) -> np.ndarray:
+    """Scores less their highest."""
+    s = np.take(w[0], rows[0], axis=0)
+    for x, r in zip(w[1:], rows[1:], strict=True):
+        s += np.take(x, r, axis=0)
+    s += always
     s -= s.max(axis=1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=1, keepdims=True)
     return s
 
 
+def _log_softmax(w: list[np.ndarray], rows: list[np.ndarray], always: np.ndarray, target: np.ndarray) -> np.ndarray:
+    s = _logits(w, rows, always)
+    own = s[np.arange(len(target)), target]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(axis=1))
+
+
+def log_parts(w: Weights, k: np.ndarray, sizes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Natural log of P(class | context) * P(member | class, context) of each token."""
+    one, two = contexts(k, sizes)
+    out = np.empty(len(k))
+    for at in range(0, len(k), STEP):
+        p = slice(at, at + STEP)
+        cls, member = cell[p] // MEMBERS, cell[p] % MEMBERS
+        ra, rb = feature_rows(one[p], two[p], cls, w.rows)
+        out[p] = _log_softmax(w.a, ra, w.a0, cls)
+        out[p] += _log_softmax(w.b, rb, w.b0[cls], member)
+    return out
+
+
+class _Trainer:
+    """Gradient steps (scaled for each weight row) on one shard's texts, from the weights that all shards share."""
+
+    def __init__(self, w: Weights, cells: Cells, rate: float) -> None:
+        self.w, self.cells, self.rate, self.seen = w.moved(np.zeros(len(w.flat()), np.float32)), cells, rate, 0
+        self.square = [np.full(len(x) if x.ndim > 1 else 1, 1e-6) for x in self.w.parts()]
+        self.held: list[np.ndarray] = []
+        self.waiting = 0
+
+    def _sum_rows(self, w: np.ndarray, square: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        ends = np.append(np.flatnonzero(rows[1:] != rows[:-1]), len(rows) - 1)
+        sums = np.cumsum(error[order], axis=0, dtype=np.float64)[ends]
+        g = sums.astype(np.float32)
+        g[1:] = sums[1:] - sums[:-1]  # differences of running sums are the sums of equal rows
+        at = rows[ends]
+        s = square[at] + np.einsum("ij,ij->i", g, g) / (g.shape[1] * len(error) ** 2)
+        square[at] = s
+        g *= (self.rate / (len(error) * np.sqrt(s))).astype(np.float32)[:, None]
+        w[at] -= g
+
+    def _step(self, first: int, w: list[np.ndarray], rows: list[np.ndarray], always: np.ndarray, which: np.ndarray | None, target: np.ndarray) -> None:
+        e = _logits(w, rows, always if which is None else always[which])
+        np.exp(e, out=e)
+        e /= e.sum(axis=1, keepdims=True)
+        e[np.arange(len(target)), target] -= 1
+        for i, (x, r) in enumerate(zip(w, rows, strict=True)):
+            self._sum_rows(x, self.square[first + i], r, e)
+        last = self.square[2 * FEATURES + (which is not None)]
+        if which is None:
+            self._sum_rows(always[None], last, np.zeros(len(e), np.uint16), e)
+        else:
+            self._sum_rows(always, last, which.astype(np.uint16), e)
+
+    def add(self, k: np.ndarray) -> None:
+        """One text; texts are learned in lots that depend on their sizes alone."""
+        self.held.append(k)
+        self.waiting += len(k)
+        if self.waiting >= CHUNK_TOKENS:
+            self.learn()
+
+    def learn(self) -> None:
+        if not self.held:
+            return
+        k, sizes = np.concatenate(self.held), np.array([len(x) for x in self.held])
+        self.held, self.waiting = [], 0
+        one, two = contexts(k, sizes)
+        cell = self.cells.find(k)
+        for at in range(0, len(k), STEP):
+            p = slice(at, at + STEP)
+            cls, member = cell[p] // MEMBERS, cell[p] % MEMBERS
+            ra, rb = feature_rows(one[p], two[p], cls, self.w.rows)
+            self._step(0, self.w.a, ra, self.w.a0, None, cls)
+            self._step(FEATURES, self.w.b, rb, self.w.b0, cls, member)
+        self.seen += len(k)
+
+
 @dataclass
 class Model:
-    """Weights of both softmaxes, and the counts that share a bucket's probability among its words."""
+    """Trained weights, cells, and the counts that share a bucket's probability among its words."""
 
-    a: np.ndarray
-    b: np.ndarray
+    w: Weights
+    cells: Cells
     tokens: int
     types: int
-    bucket_tokens: np.ndarray
-    bucket_types: np.ndarray
+    norm: np.ndarray  # of each cell: log10 of what its words' counts are divided by
     counts: DataFrame  # (h, c): every word of the training texts
 
 
-def _log_parts(w: tuple[np.ndarray, np.ndarray], keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context) * P(bucket | class, context) of each token."""
-    cls, bucket, fa, fb = features(keys, sizes)
-    out = np.empty(len(keys))
-    for at in range(0, len(keys), TOKENS):
-        p = slice(at, at + TOKENS)
-        n = np.arange(len(cls[p]))
-        pa_ = _softmax(w[0], [x[p] for x in fa], ROWS_A - 1)[n, cls[p]]
-        pb = _softmax(w[1], [x[p] for x in fb], None)[n, bucket[p]]
-        out[p] = np.log(np.maximum(pa_, 1e-30)) + np.log(np.maximum(pb, 1e-30))
-    return out
-
-
-class _Trainer:
-    """Gradient steps (with per-weight scaling) on a task's own texts, from the weights that all tasks share."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, rate: float) -> None:
-        self.a, self.b, self.rate, self.seen = a.copy(), b.copy(), rate, 0
-        self.sa, self.sb = np.full_like(a, 1e-6), np.full_like(b, 1e-6)
-
-    def _step(self, w: np.ndarray, square: np.ndarray, error: np.ndarray, rows: list[np.ndarray], always: int | None) -> None:
-        cell = np.arange(error.shape[1])
-        flat = np.concatenate([(r[:, None] * error.shape[1] + cell).ravel() for r in rows])
-        g = np.bincount(flat, np.tile(error.ravel(), len(rows)), w.size).reshape(w.shape).astype(np.float32)
-        if always is not None:
-            g[always] += error.sum(axis=0)
-        g /= len(error)
-        square += g * g
-        w -= self.rate * g / np.sqrt(square)
-
-    def learn(self, keys: np.ndarray, sizes: np.ndarray) -> None:
-        cls, bucket, fa, fb = features(keys, sizes)
-        for at in range(0, len(keys), TOKENS):
-            p = slice(at, at + TOKENS)
-            n = np.arange(len(cls[p]))
-            ra, rb = [x[p] for x in fa], [x[p] for x in fb]
-            e = _softmax(self.a, ra, ROWS_A - 1)
-            e[n, cls[p]] -= 1
-            self._step(self.a, self.sa, e, ra, ROWS_A - 1)
-            e = _softmax(self.b, rb, None)
-            e[n, bucket[p]] -= 1
-            self._step(self.b, self.sb, e, rb, None)
-        self.seen += len(keys)
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for big in batches:
-        for at in range(0, big.num_rows, CHUNK):
-            batch = big.slice(at, CHUNK)
-            yield batch, [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
-
-
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+def word_counts(tokens: DataFrame) -> DataFrame:
     """(h, c): how often each token occurs, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,85 +271,128 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             for at in range(0, len(k), 100_000):
                 yield pa.record_batch([pa.array(k[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], names=["h", "c"])
 
-        for _, texts in _texts(batches, 0):
-            held.append(np.unique(token_keys(texts)[0], return_counts=True))
-            if sum(len(h[0]) for h in held) > 2_000_000:
-                held = [merged()]
-                if len(held[0][0]) > 1_000_000:
-                    yield from out(*held[0])
-                    held = []
+        for batch in batches:
+            for part in text_slices(batch, 0, 8 * CHUNK_TOKENS):
+                held.append(np.unique(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64), return_counts=True))
+                if sum(len(h[0]) for h in held) > 2_000_000:
+                    held = [merged()]
+                    if len(held[0][0]) > 1_000_000:
+                        yield from out(*held[0])
+                        held = []
         if held:
             yield from out(*merged())
 
-    return docs.select(F.col(text_col).cast("string").alias("_lm_text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return tokens.select("_lm_keys").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _averaged(docs: DataFrame, text_col: str, tasks: int, a: np.ndarray, b: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """One round: every task takes steps on its texts; the weights are averaged by tokens, part by part."""
-    sent = docs.sparkSession.sparkContext.broadcast((a, b))
+def _averaged(tokens: DataFrame, w: Weights, cells: Cells, rate: float, rounds: int, part: int, shards: int) -> Weights:
+    """One round: every shard takes steps on its texts; the weights are averaged by tokens, in the order of the shards."""
+    sent = tokens.sparkSession.sparkContext.broadcast((w, cells))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = _Trainer(*sent.value, rate)
-        for _, texts in _texts(batches, 0):
-            trainer.learn(*token_keys(texts))
-        if trainer.seen:
-            moved = np.concatenate([(trainer.a - sent.value[0]).ravel(), (trainer.b - sent.value[1]).ravel()])
-            parts = [x.astype(np.float32).tobytes() for x in np.array_split(moved, PARTS)]
-            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([trainer.seen] * PARTS, pa.int64()), pa.array(parts, pa.binary())], names=["part", "n", "w"])
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_slices(batch, 1, 8 * CHUNK_TOKENS):
+                ends = np.append(0, np.cumsum(pa.compute.binary_length(b.column(1)).to_numpy() // 8)).astype(np.int64)
+                k = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).astype(np.uint32)
+                low = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends * 4), pa.py_buffer(k.tobytes())]).cast(pa.binary())
+                deal = b.column(0).to_numpy().view(np.uint64)
+                shard = pa.array((deal // np.uint64(rounds) % np.uint64(shards)).astype(np.int32))
+                yield pa.record_batch([shard, b.column(0), low], names=["shard", "deal", "k"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, cells = sent.value
+        now, trainer = None, None
+
+        def out() -> pa.RecordBatch:
+            trainer.learn()
+            moved = (trainer.w.flat() - w.flat()).astype(np.float16)
+            pieces = [x.tobytes() for x in np.array_split(moved, PARTS)]
+            return pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([now] * PARTS, pa.int32()), pa.array([trainer.seen] * PARTS, pa.int64()), pa.array(pieces, pa.binary())], names=["part", "shard", "n", "w"])
+
+        for batch in batches:
+            for shard, k in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != now:
+                    if trainer:
+                        yield out()
+                    now, trainer = shard, _Trainer(w, cells, rate)
+                trainer.add(np.frombuffer(k.as_buffer(), np.uint32))
+        if trainer:
+            yield out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for part, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, _, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = sums.setdefault(part, [0, 0.0])
                 got[0] += n
-                got[1] = got[1] + np.frombuffer(w, np.float32).astype(np.float64) * n
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([w.tobytes() for _, w in sums.values()], pa.binary())], names=["part", "n", "w"])
+                got[1] = got[1] + np.frombuffer(w, np.float16).astype(np.float64) * n
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([(w / n).astype(np.float32).tobytes() for n, w in sums.values()], pa.binary())], names=["part", "w"])
 
-    shape = "part int, n long, w binary"
-    rows = docs.select(F.col(text_col).cast("string").alias("_lm_text"))
-    if rows.rdd.getNumPartitions() > tasks:
-        rows = rows.coalesce(tasks)
-    got = rows.mapInArrow(run, shape).repartition(PARTS, "part").mapInArrow(add, shape).collect()  # the weights, once
-    if not got:
-        return a, b
-    moved = np.concatenate([np.frombuffer(bytes(r.w)) / r.n for r in sorted(got, key=lambda r: r.part)])
-    return (a + moved[: a.size].reshape(a.shape)).astype(np.float32), (b + moved[a.size :].reshape(b.shape)).astype(np.float32)
+    dealt = tokens.where(F.expr(f"pmod(_lm_deal, {rounds})") == part).select("_lm_deal", "_lm_keys").mapInArrow(narrow, "shard int, deal long, k binary")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "deal", "k").select("shard", "k")
+    moved = dealt.mapInArrow(train, "part int, shard int, n long, w binary").repartition(32, "part").sortWithinPartitions("part", "shard")
+    got = moved.mapInArrow(add, "part int, w binary").collect()  # the weights, once
+    sent.unpersist()
+    return w.moved(np.concatenate([np.frombuffer(bytes(r.w), np.float32) for r in sorted(got, key=lambda r: r.part)])) if got else w
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.25) -> Model:
-    """Counts of all words, and weights from all texts: each text is used in one of `rounds` rounds (by a hash of its id)."""
-    counts = stored(word_counts(docs, text_col), "lm-counts")
-    mask = CLASSES * BUCKETS - 1
-    per = counts.groupBy(F.col("h").bitwiseAND(F.lit(mask)).alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # 256 rows
-    n, v = np.zeros(mask + 1, np.int64), np.zeros(mask + 1, np.int64)
+def fit_tokens(tokens: DataFrame, rounds: int = 2, rate: float = 0.25) -> Model:
+    """Counts of all words, and weights from all texts of a token table: each text is used in one of `rounds` rounds.
+
+    Hashed rows grow with the square root of the tokens and shards with the tokens, so that what a
+    shard sends stays in proportion to what it reads.
+    """
+    counts = stored(word_counts(tokens), "lm-counts")
+    low = F.col("h").bitwiseAND(F.lit(16 * MEMBERS - 1))
+    per = counts.groupBy(low.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # 512 rows
+    most = counts.orderBy(F.desc("c"), "h").limit(WORDS + WORDS // 8).collect()  # some more, as words can meet in a slot
+    mask = (1 << 64) - 1
+    cells = Cells.of_words([(r.h & mask, r.c) for r in most])
+    n, v = np.zeros(CLASSES * MEMBERS, np.int64), np.zeros(CLASSES * MEMBERS, np.int64)
     for r in per:
-        n[r.b], v[r.b] = r.n, r.v
-    table = n.reshape(BUCKETS, CLASSES).T + 0.5  # class by bucket
-    a, b = np.zeros((ROWS_A, CLASSES), np.float32), np.zeros((ROWS_B, BUCKETS), np.float32)
-    a[-1] = np.log(table.sum(axis=1))
-    b[-CLASSES:] = np.log(table)
-    chars = docs.select(F.sum(F.length(text_col))).first()[0] or 0
-    tasks = max(1, chars // rounds // TASK_CHARS)
-    for i in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64(id_col), F.lit(rounds)) == i)
-        a, b = _averaged(part, text_col, tasks, a, b, rate / (i + 1))
-    return Model(a, b, int(n.sum()), int(v.sum()), n, v, counts)
+        cell = (WORD_CLASSES + (r.b & 15)) * MEMBERS + (r.b >> 4)
+        n[cell], v[cell] = r.n, r.v
+    total, types = int(n.sum()), int(v.sum())
+    own = cells.counts > 0
+    from_cell = cells.rare(cells.keys[own].astype(np.uint32))
+    np.subtract.at(n, from_cell, cells.counts[own])
+    np.subtract.at(v, from_cell, 1)
+    n[:WORDS] = cells.counts
+    norm = np.log10(n + 0.5 * (v + 1))
+    norm[:WORDS] = 0
+    table = (n + 0.5).reshape(CLASSES, MEMBERS)
+    table[:WORD_CLASSES][~own.reshape(WORD_CLASSES, MEMBERS)] = math.exp(EMPTY)
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (int(2 * math.sqrt(total)).bit_length() - 1))) if total else LEAST_ROWS
+    w = Weights([np.zeros((rows, CLASSES), np.float32) for _ in range(FEATURES)], [np.zeros((2 * rows, MEMBERS), np.float32) for _ in range(FEATURES)], np.log(table.sum(axis=1)).astype(np.float32), np.log(table).astype(np.float32))
+    shards = max(LEAST_SHARDS, -(-total // (rounds * TOKENS_PER_ROW * rows)))
+    for i in range(rounds if total else 0):
+        w = _averaged(tokens, w, cells, rate / (i + 1), rounds, i, shards)
+    return Model(w, cells, total, types, norm, counts)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.25) -> Model:
+    return fit_tokens(token_table(docs, id_col, text_col), rounds, rate)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """score_tokens() of docs; extra columns are not read."""
+    return score_tokens(token_table(docs, id_col, text_col), model, id_col, frequent)
+
+
+def score_tokens(tokens: DataFrame, model: Model, id_col: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
     """Base-10 log probability of every whole text, by a smoothed word model and by the trained one.
 
-    Tokens are words (A-Z lower-cased) and one end. The model's probability of a word is that of its
-    class and of its bucket in that class, both from the hashed context features, times the word's
-    smoothed share of its bucket (count + 1/2, with one unknown word a bucket). Counts of at most
-    `frequent` words go to every task; those of all others are joined, so no vocabulary has to fit
-    anywhere.
+    Tokens are words (A-Z lower-cased) and one end. The model's probability of one of the WORDS most
+    frequent words is that of its class, and of the word among the class's words, both from the
+    hashed context features. Any other word backs off: the probability of its class and of its bucket
+    there, both from the context, times its smoothed share of the bucket's counts (count + 1/2, with
+    one unknown word a bucket). Counts of at most `frequent` words go to every task; those of all
+    others are joined, so no vocabulary has to fit anywhere.
 
-    Result: id_col, n_tokens, n_known, base_score, score; null and empty texts are one end; repeated
-    rows are each scored; without training text every word is unknown.
+    Result: id_col, n_tokens, n_known, base_score, score; null and empty texts are one end; rows with
+    a null id and repeated rows are each scored; without training text every word is unknown.
     """
-    spark = docs.sparkSession
+    spark = tokens.sparkSession
     counts = model.counts
     sizes = {r.e: r.n for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
     least, room = 64, frequent
@@ -252,46 +403,55 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     key, val = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
     h, c = top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
     key[h >> np.uint64(44)], val[h >> np.uint64(44)] = h, c  # of words that meet in a slot the most frequent one stays
-    norm = np.log10(model.bucket_tokens + 0.5 * (model.bucket_types + 1))
-    sent = spark.sparkContext.broadcast((model.a, model.b, key, val, norm))
-    kind = docs.schema[id_col].dataType.simpleString()
+    sent = spark.sparkContext.broadcast((model.w, model.cells, model.norm, key, val))
+    kind = dict(tokens.dtypes)["_lm_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, key, val, norm = sent.value
+        w, cells, norm, key, val = sent.value
         uid = TaskContext.get().partitionId() << 34
-        for batch, texts in _texts(batches, 1):
-            keys, n = token_keys(texts)
-            doc = np.repeat(np.arange(len(n)), n)
-            parts = _log_parts((a, b), keys, n) / np.log(10) - norm[(keys & np.uint64(CLASSES * BUCKETS - 1)).astype(np.int64)]
-            slot = keys >> np.uint64(64 - SLOTS.bit_length() + 1)
-            hit = (key[slot] == keys) & (val[slot] > 0)
-            logs = np.log10(val[slot[hit]] + 0.5)
-            base = np.bincount(doc[hit], logs, len(n))
-            known = np.bincount(doc[hit], minlength=len(n))
-            whole = np.bincount(doc, parts, len(n)) + base
-            order = np.lexsort((keys[~hit], doc[~hit]))
-            d, k = doc[~hit][order], keys[~hit][order]
-            first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(k, prepend=np.uint64(0)) != 0)) if len(d) else np.empty(0, np.int64)
-            tf = np.diff(np.append(first, len(d)))
-            # the row of a document itself has a key of its own and no occurrences
-            ids = np.arange(len(n)) + uid
-            uid += len(n)
-            with np.errstate(over="ignore"):
-                own = mixed(ids.astype(np.uint64) + np.uint64(0xABCDEF))
-            pad = len(first)
-            nulls = [None] * pad
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate([ids, ids[d[first]]])),
-                    pa.array(np.concatenate([own, k[first]]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(len(n), np.int64), tf])),
-                    pa.concat_arrays([batch.column(0), pa.nulls(pad, batch.column(0).type)]),
-                    *(pa.array([*x.tolist(), *nulls], t) for x, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (whole, pa.float64()))),
-                ],
-                names=["uid", "h", "tf", "_lm_id", "n", "known", "base", "model"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("_lm_id"), F.col(text_col).cast("string").alias("_lm_text")).mapInArrow(run, f"uid long, h long, tf long, _lm_id {kind}, n long, known long, base double, model double")
+        for big in batches:
+            for batch in text_slices(big, 2, 8 * CHUNK_TOKENS):
+                n = batch.column(1).to_numpy()
+                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+                k = keys.astype(np.uint32)
+                cell = cells.find(k)
+                other = np.flatnonzero(cell < WORDS)
+                other = other[cells.keys[cell[other]] != keys[other]]
+                cell[other] = cells.rare(k[other])
+                doc = np.repeat(np.arange(len(n)), n)
+                model_part = log_parts(w, k, n, cell) / np.log(10) - norm[cell]
+                common = cell < WORDS
+                slot = keys >> np.uint64(64 - SLOTS.bit_length() + 1)
+                hit = ~common & (key[slot] == keys) & (val[slot] > 0)
+                miss = ~(common | hit)
+                logs = np.log10(val[slot[hit]] + 0.5)
+                shared = np.bincount(doc[hit], logs, len(n))
+                base = np.bincount(doc[common], np.log10(cells.counts[cell[common]] + 0.5), len(n)) + shared
+                known = np.bincount(doc[~miss], minlength=len(n))
+                whole = np.bincount(doc, model_part, len(n)) + shared
+                order = np.lexsort((keys[miss], doc[miss]))
+                d, x = doc[miss][order], keys[miss][order]
+                first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(x, prepend=np.uint64(0)) != 0)) if len(d) else np.empty(0, np.int64)
+                tf = np.diff(np.append(first, len(d)))
+                # the row of a document itself has a key of its own and no occurrences
+                ids = np.arange(len(n)) + uid
+                uid += len(n)
+                with np.errstate(over="ignore"):
+                    own = mixed(ids.astype(np.uint64) + np.uint64(0xABCDEF))
+                pad = len(first)
+                padded = lambda a, t, pad=pad: pa.concat_arrays([pa.array(a, t), pa.nulls(pad, t)])
+                yield pa.record_batch(
+                    [
+                        pa.array(np.concatenate([ids, ids[d[first]]])),
+                        pa.array(np.concatenate([own, x[first]]).view(np.int64)),
+                        pa.array(np.concatenate([np.zeros(len(n), np.int64), tf])),
+                        pa.concat_arrays([batch.column(0), pa.nulls(pad, batch.column(0).type)]),
+                        padded(n, pa.int64()), padded(known, pa.int64()), padded(base, pa.float64()), padded(whole, pa.float64()),
+                    ],
+                    names=["uid", "h", "tf", "_lm_id", "n", "known", "base", "model"],
+                )
+
+    rows = tokens.select("_lm_id", "_lm_n", "_lm_keys").mapInArrow(run, f"uid long, h long, tf long, _lm_id {kind}, n long, known long, base double, model double")
     c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
     rows = rows.join(counts, "h", "left").select("uid", "_lm_id", "n", F.when(tf == 0, F.col("known")).when(c > 0, tf).otherwise(0).alias("known"), F.when(tf > 0, tf * F.log10(c + 0.5)).otherwise(0.0).alias("rare"), "base", "model")
     each = rows.groupBy("uid").agg(F.max("_lm_id").alias("_lm_id"), F.max("n").alias("n"), F.sum("known").alias("known"), F.sum("rare").alias("rare"), F.max("base").alias("base"), F.max("model").alias("model"))

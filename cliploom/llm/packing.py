@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total, split_words, stored
+from .common import running_total, split_words, stored, text_slices
 
 #: Bytes of text that a worker tokenises at a time, and words that it remembers.
 CHUNK_BYTES, CACHE = 8 << 20, 1_000_000
@@ -148,16 +148,6 @@ class WordTokens:
 _tokens: dict[str, WordTokens] = {}
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with up to `most` bytes of text; one longer text is a run of its own."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(_pk_id, _pk_source, _pk_n, _pk_part, _pk_before, _pk_ids): whole texts as ids, the end id last.
 

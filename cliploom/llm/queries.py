@@ -29,10 +29,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = crc_rest("doc_id", 5) == 1
-    model = lm_scoring.fit(docs.where(~held))
-    out = lm_scoring.score(docs, model)
+    tokens = lm_scoring.token_table(table(spark, sf_dir, "documents"))
+    model = lm_scoring.fit_tokens(tokens.where(crc_rest("_lm_id", 5) != 1))
+    held = F.coalesce(crc_rest("doc_id", 5) == 1, F.lit(False))
+    out = lm_scoring.score_tokens(tokens, model)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

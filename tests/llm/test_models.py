@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,18 +188,74 @@ def test_model_without_training_text(spark):
     assert lm_scoring.score(docs.limit(0), model).count() == 0
 
 
-def test_probabilities_of_classes_and_buckets_add_up():
+def test_scores_do_not_depend_on_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "no id"), (7_000_001, "w " * 40_000)], docs.schema))
+    seen = []
+    for layout in (docs.repartition(1).sortWithinPartitions("text"), docs.repartition(5, "text"), docs.repartition(3).sortWithinPartitions(F.desc("doc_id"))):
+        model = lm_scoring.fit(layout)
+        seen.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(layout, model).collect()))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def small_model(spark, words):
+    """Fixed weights over a few words, the two most frequent with cells of their own."""
     rng = np.random.default_rng(1)
-    keys, sizes = lm_scoring.token_keys([b"one two three four", b"", b"five"])
+    keys, _ = lm_scoring.token_keys(pa.array([" ".join(words)]))
+    of = dict(zip([*words, None], keys.tolist()))
+    counts = {w: 3 + 5 * i for i, w in enumerate([*words, None])}
+    ordered = sorted(of, key=lambda w: -counts[w])
+    cells = lm_scoring.Cells.of_words([(of[w], counts[w]) for w in ordered[:2]])
+    w = lm_scoring.Weights([rng.normal(size=(1024, 32)).astype(np.float32) for _ in range(3)], [rng.normal(size=(2048, 32)).astype(np.float32) for _ in range(3)], rng.normal(size=32).astype(np.float32), rng.normal(size=(32, 32)).astype(np.float32))
+    n, v = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+    for x in ordered[2:]:
+        cell = cells.rare(np.array([of[x]], np.uint64).astype(np.uint32))[0]
+        n[cell] += counts[x]
+        v[cell] += 1
+    norm = np.log10(n + 0.5 * (v + 1))
+    norm[: lm_scoring.WORDS] = 0
+    table = spark.createDataFrame([(int(np.uint64(of[x]).astype(np.int64)), c) for x, c in counts.items()], "h long, c long")
+    return lm_scoring.Model(w, cells, sum(counts.values()), len(counts), norm, table), of, counts, ordered[:2]
+
+
+@pytest.mark.parametrize("frequent", [100, 0])
+def test_scores_as_by_brute_force(spark, frequent):
+    words = "one two three four five".split()
+    model, of, counts, own = small_model(spark, words)
+    texts = ["One two three", "five five new one", "", "two four THREE three new other"]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, frequent=frequent).collect()}
+    w = model.w
+
+    def log_softmax(s, i):
+        return s[i] - np.log(np.exp(s - s.max()).sum()) - s.max()
+
+    for i, t in enumerate(texts):
+        toks = [*t.lower().split(), None]
+        key = lambda x: np.array([of.get(x, lm_scoring.token_keys(pa.array([x or ""]))[0][0])], np.uint64)
+        total = 0.0
+        for j, x in enumerate(toks):
+            one = key(toks[j - 1]).astype(np.uint32) if j > 0 else np.array([lm_scoring.START])
+            two = key(toks[j - 2]).astype(np.uint32) if j > 1 else np.array([lm_scoring.START])
+            cell = own.index(x) if x in own else int(model.cells.rare(key(x).astype(np.uint32))[0])
+            c, m = divmod(cell, 32)
+            ra, rb = lm_scoring.feature_rows(one, two, np.array([c]), 1024)
+            total += log_softmax(w.a0 + sum(a[r[0]] for a, r in zip(w.a, ra)), c) + log_softmax(w.b0[c] + sum(b[r[0]] for b, r in zip(w.b, rb)), m)
+            if x not in own:
+                total += math.log(counts.get(x, 0) + 0.5) - model.norm[cell] * math.log(10)
+        assert abs(got[i].score - total / math.log(10)) < 1e-4
+
+
+def test_probabilities_add_up(spark):
+    words = "one two three four five".split()
+    model, of, counts, own = small_model(spark, words)
+    k, sizes = lm_scoring.token_keys(pa.array(["one two three four", None, "five"]))
     assert sizes.tolist() == [5, 1, 2]
-    w = (rng.normal(size=(lm_scoring.ROWS_A, lm_scoring.CLASSES)).astype(np.float32), rng.normal(size=(lm_scoring.ROWS_B, lm_scoring.BUCKETS)).astype(np.float32))
-    total = 0.0
-    for c in range(lm_scoring.CLASSES):
-        for b in range(lm_scoring.BUCKETS):
-            other = keys.copy()
-            other[2] = np.uint64(c | b << 4)
-            total += math.exp(lm_scoring._log_parts(w, other, sizes)[2])
+    k = k.astype(np.uint32)
+    total = sum(math.exp(lm_scoring.log_parts(model.w, k, sizes, np.array([0, 1, c, 3, 4, 5, 6, 7]))[2]) for c in range(lm_scoring.CLASSES * lm_scoring.MEMBERS))
     assert abs(total - 1) < 1e-4
+    for cell in range(lm_scoring.WORDS, 1024):  # what the words of a bucket and one unknown word get
+        inside = [counts[x] + 0.5 for x in counts if x not in own and model.cells.rare(np.array([of[x]], np.uint64).astype(np.uint32))[0] == cell]
+        assert abs(sum(inside) + 0.5 - 10 ** model.norm[cell]) < 1e-6
 
 
 def test_encoding_is_the_models_and_decodes(spark, sf_dir):
