@@ -21,8 +21,8 @@ CLASSES, MEMBERS, WORD_CLASSES = 32, 32, 16
 WORDS = WORD_CLASSES * MEMBERS
 #: Contexts that have weights: the previous word, the previous two, and the one before the previous (skip).
 FEATURES = 3
-#: Hashed weight rows of a feature: at least and at most (what a task can hold), 2 * sqrt(tokens) between.
-LEAST_ROWS, MOST_ROWS = 1024, 1 << 18
+#: Hashed weight rows of a feature: at least and at most (151 MB of weights, what a task can hold), sqrt(tokens) between.
+LEAST_ROWS, MOST_ROWS = 1024, 1 << 17
 #: Shards of a round at least, tokens of a shard for each weight row, parts in which weights are averaged.
 LEAST_SHARDS, TOKENS_PER_ROW, PARTS = 8, 256, 256
 #: Bytes of text and tokens that a worker handles at once, and tokens of one gradient step.
@@ -199,11 +199,12 @@ class _Trainer:
     def _sum_rows(self, w: np.ndarray, square: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
-        ends = np.append(np.flatnonzero(rows[1:] != rows[:-1]), len(rows) - 1)
-        sums = np.cumsum(error[order], axis=0, dtype=np.float64)[ends]
-        g = sums.astype(np.float32)
-        g[1:] = sums[1:] - sums[:-1]  # differences of running sums are the sums of equal rows
-        at = rows[ends]
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        runs = np.diff(np.append(starts, len(rows)))
+        at, many = rows[starts], runs > 1
+        g = np.take(error, order[starts], axis=0)  # of rows that occur once; the others are summed
+        if many.any():
+            g[many] = np.add.reduceat(np.take(error, order[np.repeat(many, runs)], axis=0), np.cumsum(runs[many]) - runs[many], axis=0)
         s = square[at] + np.einsum("ij,ij->i", g, g) / (g.shape[1] * len(error) ** 2)
         square[at] = s
         g *= (self.rate / (len(error) * np.sqrt(s))).astype(np.float32)[:, None]
@@ -362,7 +363,7 @@ def fit_tokens(tokens: DataFrame, rounds: int = 2, rate: float = 0.25) -> Model:
     norm[:WORDS] = 0
     table = (n + 0.5).reshape(CLASSES, MEMBERS)
     table[:WORD_CLASSES][~own.reshape(WORD_CLASSES, MEMBERS)] = math.exp(EMPTY)
-    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (int(2 * math.sqrt(total)).bit_length() - 1))) if total else LEAST_ROWS
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (math.isqrt(total).bit_length() - 1))) if total else LEAST_ROWS
     w = Weights([np.zeros((rows, CLASSES), np.float32) for _ in range(FEATURES)], [np.zeros((2 * rows, MEMBERS), np.float32) for _ in range(FEATURES)], np.log(table.sum(axis=1)).astype(np.float32), np.log(table).astype(np.float32))
     shards = max(LEAST_SHARDS, -(-total // (rounds * TOKENS_PER_ROW * rows)))
     for i in range(rounds if total else 0):
