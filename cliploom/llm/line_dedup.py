@@ -7,16 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, stored
+from .common import BLANKS, discard, stored
 
 #: Bits of one segment of a filter, bits for each line, and hash functions.
 SEGMENT_BITS, BITS_PER_LINE, HASHES = 1 << 22, 12, 5
-#: Twice-seen filters of up to so many bytes go to every task; beyond, suspects are joined by hash.
-SEND_BYTES = 64 << 20
+#: Lines of a segment, and what a hash that is sent there says: seen once in its batch, or in several documents of it; or, past
+#: the filters, an id that holds such a repeated hash.
+LINES_EACH = SEGMENT_BITS // BITS_PER_LINE
+ONCE, AGAIN, KNOWN = 0, 1, 2
 
 
 def line_key(line: bytes) -> bytes:
@@ -48,121 +51,130 @@ class _Pair:
     def __init__(self) -> None:
         self.once, self.twice = (np.zeros(SEGMENT_BITS, bool) for _ in range(2))
 
-    def add(self, bits: np.ndarray, again: np.ndarray) -> np.ndarray:
-        """Mark hashes, each given once a call; `again` flags those known to be seen twice. Returns the repeats."""
-        seen = self.once[bits].all(axis=0) | again
-        self.twice[bits[:, seen].ravel()] = True
+    def add(self, bits: np.ndarray, again: bool) -> None:
+        """Mark hashes, each given once a call; `again` tells that they are known to be seen twice."""
+        seen = bits if again else bits[:, self.once[bits].all(axis=0)]
+        self.twice[seen.ravel()] = True
         self.once[bits.ravel()] = True
-        return seen
 
+    def suspect(self, bits: np.ndarray) -> np.ndarray:
+        return self.twice[bits].all(axis=0)
 
-def suspect_filters(docs: DataFrame, id_col: str, text_col: str, least: int, segments: int, tasks: int, as_hashes: bool) -> DataFrame:
-    """The twice-seen filter of every segment; with as_hashes, the hashes that were seen twice instead.
 
-    Tasks send each hash once a batch, with a flag if the batch itself holds it in two documents, so
-    that a line of a third of all documents costs one row a batch.
+def suspects(docs: DataFrame, id_col: str, text_col: str, least: int, segments: int, tasks: int) -> DataFrame:
+    """(_ld_id, _ld_h): the hashes of lines that may be in another document too.
+
+    Hashes are dealt to segments with their ids, without the lines. The task that holds a segment
+    fills its two filters from all of them and then returns those that the twice-seen filter has. A
+    hash that several documents of one batch hold is known to be repeated: it goes to its segment
+    once a batch, and its ids are passed on, so that a line of a third of all documents is no load
+    for one task.
     """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ld_id"), F.col(text_col).cast("string").alias("_ld_text"))
+    kind = dict(rows.dtypes)["_ld_id"]
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("_ld_id")).to_pylist()
+            ids = batch.column(0).to_pylist()
             of: dict[int, int] = {}
-            twice: set[int] = set()
-            for i, text in zip(ids, _texts(batch, "_ld_text"), strict=True):
-                for k in doc_keys(text, least):
-                    h = xxhash.xxh3_64_intdigest(k)
-                    if of.setdefault(h, i) != i:
-                        twice.add(h)
-            h = np.fromiter(of, np.uint64, len(of))
-            flags = np.fromiter((x in twice for x in of), bool, len(of))
-            seg = _places(h, segments)[0]
-            order = np.argsort(seg, kind="stable")
-            starts = np.flatnonzero(np.diff(seg[order], prepend=-1)) if len(h) else []
-            parts = np.split(order, starts[1:]) if len(h) else []
-            yield pa.record_batch([pa.array([int(seg[p[0]]) for p in parts], pa.int64()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([flags[p].tobytes() for p in parts], pa.binary())], names=["seg", "hashes", "flags"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pair = None, None
-
-        def out():
-            return pa.record_batch([pa.array([now], pa.int64()), pa.array([np.packbits(pair.twice).tobytes()], pa.binary())], names=["seg", "bits"])
+            more: list[tuple[int, int]] = []
+            for i, text in enumerate(_texts(batch, "_ld_text")):
+                for h in {xxhash.xxh3_64_intdigest(k) for k in doc_keys(text, least)}:
+                    first = of.setdefault(h, i)
+                    if first >= 0 and ids[first] != ids[i]:
+                        more.append((first, h))
+                        first = of[h] = -1
+                    if first < 0:
+                        more.append((i, h))
+            turn += 1
+            once = [(i, h) for h, i in of.items() if i >= 0]
+            again = [h for h, i in of.items() if i < 0]
+            out = []
+            for state, owners, hashes in ((ONCE, [i for i, _ in once], [h for _, h in once]), (AGAIN, None, again), (KNOWN, [i for i, _ in more], [h for _, h in more])):
+                h = np.array(hashes, np.uint64)
+                if not len(h):
+                    continue
+                seg = np.full(len(h), turn % segments) if state == KNOWN else _places(h, segments)[0]
+                order = np.argsort(seg, kind="stable")
+                starts = np.flatnonzero(np.diff(seg[order], prepend=-1))
+                for p in np.split(order, starts[1:]):
+                    out.append((int(seg[p[0]]), state, [owners[j] for j in p] if owners else [], h[p].tobytes()))
+            sizes = np.append(0, np.cumsum([len(o[2]) for o in out])).astype(np.int32)
+            flat = batch.column(0).take(pa.array([i for o in out for i in o[2]], pa.int64()))
+            yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array([o[3] for o in out], pa.binary())], names=["seg", "state", "ids", "hashes"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pair, held = None, None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for ids, h in held:
+                hit = pair.suspect(_places(h, segments)[1])
+                yield pa.record_batch([ids.filter(pa.array(hit)), pa.array(h[hit].view(np.int64))], names=["_ld_id", "_ld_h"])
 
         for batch in batches:
-            for seg, h, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, (seg, state) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if seg != now:
-                    if now is not None and not as_hashes:
-                        yield out()
-                    now, pair = seg, _Pair()
-                h = np.frombuffer(h, np.uint64)
-                seen = pair.add(_places(h, segments)[1], np.frombuffer(f, bool))
-                if as_hashes and seen.any():
-                    yield pa.record_batch([pa.array(h[seen].view(np.int64))], names=["h"])
-        if now is not None and not as_hashes:
-            yield out()
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ld_id"), F.col(text_col).alias("_ld_text"))
-    sent = rows.mapInArrow(hashes, "seg long, hashes binary, flags binary")
-    return sent.repartition(tasks, "seg").sortWithinPartitions("seg").mapInArrow(fill, "h long" if as_hashes else "seg long, bits binary")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, send_bytes: int = SEND_BYTES) -> DataFrame:
+                    yield from out()
+                    now, pair, held = seg, _Pair(), []
+                h = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
+                if state == KNOWN:
+                    yield pa.record_batch([batch.column(2)[i].values, pa.array(h.view(np.int64))], names=["_ld_id", "_ld_h"])
+                    continue
+                pair.add(_places(h, segments)[1], state == AGAIN)
+                if state == ONCE:
+                    held.append((batch.column(2)[i].values, h))
+        yield from out()
+
+    sent = rows.mapInArrow(send, f"seg long, state int, ids array<{kind}>, hashes binary")
+    return sent.repartition(tasks, "seg").sortWithinPartitions("seg").mapInArrow(judge, f"_ld_id {kind}, _ld_h long")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, lines_each: int = LINES_EACH) -> DataFrame:
     """(_ld_id, _ld_key) of every line key that a document has to give up, confirmed on the key itself."""
     spark = docs.sparkSession
     most = docs.select(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    segments = max(16, -(-most * BITS_PER_LINE // SEGMENT_BITS))
+    segments = 1 + most // lines_each
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments // 8)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ld_id"), F.col(text_col).alias("_ld_text"))
-    id_type = dict(rows.dtypes)["_ld_id"]
-    filters = None
-    if segments * SEGMENT_BITS // 8 <= send_bytes:
-        found = suspect_filters(docs, id_col, text_col, least, segments, tasks, False).collect()  # send_bytes at most
-        filters = spark.sparkContext.broadcast({r.seg: bytes(r.bits) for r in found})
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = None
-        if filters is not None:
-            twice = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-            for seg, bits in filters.value.items():
-                twice[seg] = np.frombuffer(bits, np.uint8)
+    marks = suspects(docs, id_col, text_col, least, segments, tasks).groupBy("_ld_id").agg(F.collect_set("_ld_h").alias("_ld_hs"))
+    marks = stored(marks, "line-marks")
+    rows = docs.select(F.col(id_col).alias("_ld_id"), F.col(text_col).cast("string").alias("_ld_text"))
+    kind = dict(rows.dtypes)["_ld_id"]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, keys = [], []
+            at, found = [], []
+            marked = batch.column(batch.schema.get_field_index("_ld_hs"))
             for i, text in enumerate(_texts(batch, "_ld_text")):
-                own = doc_keys(text, least)
-                keys += own
+                hs = set(marked[i].values.to_numpy().view(np.uint64).tolist())
+                own = [k for k in doc_keys(text, least) if xxhash.xxh3_64_intdigest(k) in hs]
+                found += own
                 at += [i] * len(own)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-            hit = np.arange(len(keys))
-            if twice is not None and len(keys):
-                seg, bits = _places(h, segments)
-                hit = np.flatnonzero((twice[seg, bits >> np.uint64(3)] >> (7 - (bits & np.uint64(7))).astype(np.uint8) & 1).all(axis=0))
             ids = batch.column(batch.schema.get_field_index("_ld_id"))
-            yield pa.record_batch([ids.take(pa.array([at[i] for i in hit], pa.int64())), pa.array([keys[i] for i in hit], pa.binary()), pa.array(h[hit].view(np.int64))], names=["_ld_id", "_ld_key", "_ld_h"])
+            yield pa.record_batch([ids.take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], names=["_ld_id", "_ld_key"])
 
-    lines = rows.mapInArrow(suspects, f"_ld_id {id_type}, _ld_key binary, _ld_h long")
-    if filters is None:
-        again = suspect_filters(docs, id_col, text_col, least, segments, tasks, True).distinct()
-        lines = lines.join(again.withColumnRenamed("h", "_ld_h"), "_ld_h", "left_semi")
-    lines = stored(lines.drop("_ld_h"), "line-suspects")
+    lines = stored(rows.join(marks, "_ld_id").mapInArrow(keys, f"_ld_id {kind}, _ld_key binary"), "line-suspects")
+    discard(marks)
     first = lines.groupBy("_ld_key").agg(F.min("_ld_id").alias("_ld_first"), F.max("_ld_id").alias("_ld_last"))
     # a table of its own, so that both sides of the join are dealt anew and Spark can split a very common line
     first = stored(first.where(F.col("_ld_first") != F.col("_ld_last")).drop("_ld_last"), "line-firsts")
     return lines.join(first, "_ld_key").where(F.col("_ld_id") != F.col("_ld_first")).select("_ld_id", "_ld_key")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, send_bytes: int = SEND_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, lines_each: int = LINES_EACH) -> DataFrame:
     """Docs with the text reduced to lines that no document of smaller id has, and two counts.
 
     A text is split at \\n (null or empty: one empty line). A line's key is the line without blanks
     at its ends and A-Z lower-cased. A key of at least `least` code points in two documents or more
     loses all its lines, except in the document of smallest id. Filters grow with the number of lines
-    in segments of fixed size; they only choose what is shuffled, and every suspect is confirmed by
-    comparing keys.
+    in segments of fixed size, each in one task; hashes of 8 bytes go there, whatever the size of the
+    input, the lines of suspects alone are shuffled, and every suspect is confirmed by comparing keys.
 
     Result: the columns of docs with the text replaced (null becomes empty), then _n_lines and
     _n_dropped. Rows of one id count as one document and are all kept; rows with a null id keep all
     lines and count for no other document; the order of rows is not kept.
     """
-    drops = repeated_lines(docs, id_col, text_col, least, send_bytes).groupBy("_ld_id").agg(F.collect_set("_ld_key").alias("_ld_keys"))
+    drops = repeated_lines(docs, id_col, text_col, least, lines_each).groupBy("_ld_id").agg(F.collect_set("_ld_key").alias("_ld_keys"))
     out = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     names = docs.columns
 

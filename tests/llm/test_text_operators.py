@@ -59,14 +59,23 @@ def brute_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("send", [line_dedup.SEND_BYTES, 0])
-def test_lines_are_dropped_as_by_brute_force(odd, send):
-    got = line_dedup.dedup_lines(odd, send_bytes=send)
+@pytest.mark.parametrize("lines_each", [line_dedup.LINES_EACH, 10])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_lines_are_dropped_as_by_brute_force(odd, lines_each, parts):
+    got = line_dedup.dedup_lines(odd.repartition(parts), lines_each=lines_each)
     assert got.columns == [*odd.columns, "_n_lines", "_n_dropped"]
     rows = [(r.doc_id, r.text, r._n_lines, r._n_dropped) for r in got.collect()]
     assert sorted(rows, key=str) == brute_lines(ODD)
 
 
+def test_filters_pass_few_lines_that_are_not_repeated(spark):
+    rows = [(i, "\n".join(f"own line {i} {j}" for j in range(200)) + "\nthe line of all of them") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = line_dedup.suspects(docs, "doc_id", "text", 10, 40, 3).collect()
+    repeated = Counter(r._ld_h for r in got).most_common(1)[0]
+    assert repeated[1] == 60 and len(got) < 60 + 0.02 * 12_000
+
+
 def brute_counts(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0d]+", t)
