@@ -19,14 +19,25 @@ VECTORS = "vec_id long, embedding array<float>"
 
 
 def brute_top(rows, k):
-    v = {i: [math.floor(1024 * x) for x in np.array(e, np.float32).astype(float)] for i, e in rows if e is not None and all(x is not None and math.isfinite(x) for x in e)}
+    v = [(i, [math.floor(1024 * x) for x in np.array(e, np.float32).astype(float)]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q in (i for i in v if i % 100 == 0):
-        s = sorted((-sum(a * b for a, b in zip(v[q], w)), i) for i, w in v.items() if i != q)[:k]
+    for q in {i for i, _ in v if i % 100 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(own, w)), i) for own in (w for i, w in v if i == q) for i, w in v if i != q)[:k]
         out += [(q, n, i, -x) for n, (x, i) in enumerate(s, 1)]
     return sorted(out)
 
 
+def test_top_k_of_repeated_ids_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERIES_PER_PASS", 4)
+    monkeypatch.setattr(topk_search, "AT_ONCE", 3)
+    rng = np.random.default_rng(2)
+    rows = [(int(i) // 2 * 10, rng.normal(size=4).tolist()) for i in range(120)] + [(1, [0.5] * 4), (1, [0.9] * 4), (1, [0.9] * 4), (200, [0.1] * 4), (200, [0.1] * 4), (None, [1.0] * 4), (7, [2.0] * 2)]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({"id": F.lit("x"), "v": F.lit(None).cast("string"), "score": F.lit(1), "rank": F.lit(2), "query_id": F.lit(3)})
+    padded = [(i, [*e, 0.0, 0.0][:4] if len(e) < 4 else e) for i, e in rows]
+    got = topk_search.top_k(df.repartition(5), df.where("vec_id % 100 = 0")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(padded, 10)
+
+
 def test_top_k_with_ties_nulls_and_few_candidates(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
