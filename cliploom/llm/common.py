@@ -9,15 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of all contracts here: space and U+0009..U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
-#: Words a worker keeps in its caches before it starts them anew.
-CACHE_WORDS = 200_000
 
 
 #: The setting by which Spark drops an execution's shuffle files when it ends.
@@ -119,19 +116,6 @@ def running_total(df: DataFrame, group: list[str], order: list[str], weight: Col
     return rows.join(starts, keys).withColumn(out, F.col(out) + F.col("_rt_start")).drop("_rt_w", "_rt_start", "_rt_b")
 
 
-class Words(dict):
-    """word (bytes) -> 64-bit key, computed once a word and worker. The cache is emptied when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
-
-    def keys_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(31))

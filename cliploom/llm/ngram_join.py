@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, stored
+from .common import discard, mixed, split_words, stored, text_slices
 from .components import components
 
 #: A shingle is a hash of 46 bits; the highest 6 choose its fragment, the others travel in 5 bytes.
@@ -21,45 +21,40 @@ FRAGMENTS = 1 << FRAGMENT_BITS
 SPARE = np.uint64(64 - FRAGMENT_BITS - LOW_BITS)
 #: Bits for a class in a fragment, which holds far fewer shingles than these can count.
 OWNER_BITS = 24
-#: Documents that a worker handles at a time.
-CHUNK = 1000
+#: Documents and bytes of text that a worker handles at a time, and shingles of a cell of a fragment, about.
+CHUNK, CHUNK_BYTES, TOKENS_PER_CELL = 2000, 8 << 20, 1_000_000
 #: Fragments of the order in which the overlap of a pair is counted.
 PIECES = 8
 #: Documents for which one task can hold all reports of one class.
 DOCS_PER_SALT = 2_000_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
-_words = Words()
-
-
 def _weights(n: int) -> np.ndarray:
     return np.resize(MULTIPLIERS, n) + np.arange(n, dtype=np.uint64) * np.uint64(2)
 
 
-def shingle_sets(texts: list[bytes], words_each: int) -> tuple[list[int], list[np.ndarray]]:
-    """Of each text: a hash of its words, and the sorted hashes of its distinct shingles."""
-    words = [t.lower().split() for t in texts]
-    of = [xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words]
-    sizes = [len(w) for w in words]
-    flat = list(chain.from_iterable(words))
-    del words
+def shingle_sets(texts: pa.Array, words_each: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each text: a hash of its words, another one to check it by, and the sorted hashes of its distinct shingles."""
+    ends, places, words = split_words(texts, True)
     with np.errstate(over="ignore"):
-        k = mixed(_words.keys_of(flat))
-        del flat
+        k = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))[places]
         total = np.zeros(max(0, len(k) - words_each + 1), np.uint64)
         for i, m in enumerate(_weights(words_each)):
             total += k[i : i + len(total)] * m
         total = mixed(total) >> SPARE
-        sets, at = [], 0
-        for n in sizes:
+        sets, of, check, at = [], [], [], 0
+        for to in ends.tolist():
+            n, raw = to - at, k[at:to].tobytes()
+            of.append(xxhash.xxh3_64_intdigest(raw, seed))
+            check.append(xxhash.xxh64_intdigest(raw, 1))
             if n >= words_each:
-                sets.append(_distinct(total[at : at + n - words_each + 1]))
+                sets.append(_distinct(total[at : to - words_each + 1]))
             elif n:
-                sets.append(mixed((k[at : at + n] * _weights(n)).sum(keepdims=True) + np.uint64(n)) >> SPARE)
+                sets.append(mixed((k[at:to] * _weights(n)).sum(keepdims=True) + np.uint64(n)) >> SPARE)
             else:
                 sets.append(k[:0])
-            at += n
-    return of, sets
+            at = to
+    return np.array(of, np.uint64), np.array(check, np.uint64), sets
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -67,8 +62,10 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for at in range(0, big.num_rows, CHUNK):
+            yield from text_slices(big.slice(at, CHUNK), 1, CHUNK_BYTES)
 
 
 def _five_bytes(x: np.ndarray) -> bytes:
@@ -85,18 +82,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_nj_id"), F.col(text_col).cast("string").alias("_nj_text"))
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """(_nj_id, cls, n): documents of equal words have one class; n is the size of their set."""
+def digests(docs: DataFrame, id_col: str, text_col: str, words_each: int, seed: int = 0) -> DataFrame:
+    """(_nj_id, cls, chk, n): documents of equal words have one class, and one check; n is the size of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, CHUNK):
-                batch = big.slice(at, CHUNK)
-                of, sets = shingle_sets(_texts(batch), words_each)
-                yield pa.record_batch([batch.column(0), pa.array(np.array(of, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64())], names=["_nj_id", "cls", "n"])
+        for batch in _chunks(batches):
+            of, check, sets = shingle_sets(batch.column(1), words_each, seed)
+            yield pa.record_batch([batch.column(0), pa.array(of.view(np.int64)), pa.array(check.view(np.int64)), pa.array([len(s) for s in sets], pa.int64())], names=["_nj_id", "cls", "chk", "n"])
 
     rows = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"_nj_id {dict(rows.dtypes)['_nj_id']}, cls long, n long")
+    return rows.mapInArrow(run, f"_nj_id {dict(rows.dtypes)['_nj_id']}, cls long, chk long, n long")
 
 
 def _by_class(where: np.ndarray, tokens: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
@@ -109,7 +104,7 @@ def _by_class(where: np.ndarray, tokens: np.ndarray, classes: np.ndarray, sizes:
     return pa.record_batch([pa.array(classes[at]), pa.array(sizes[at]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64)))], names=["cls", "n", "tokens"])
 
 
-def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words_each: int, slices: int) -> DataFrame:
+def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words_each: int, slices: int, seed: int = 0) -> DataFrame:
     """(cls, n, tokens): shingles that documents of another class have too, in parts for each class.
 
     The order of the shingles (by hash) is cut into fragments, and each fragment into `slices` cells (a power of two).
@@ -120,49 +115,48 @@ def shared_shingles(docs: DataFrame, id_col: str, text_col: str, words_each: int
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() * 7919
-        for big in batches:
-            for begin in range(0, big.num_rows, CHUNK):
-                of, sets = shingle_sets(_texts(big.slice(begin, CHUNK)), words_each)
-                distinct = {c: s for c, s in zip(of, sets, strict=True) if len(s)}
-                if not distinct:
-                    continue
-                chunk += 1
-                classes = np.fromiter(distinct, np.uint64, len(distinct)).view(np.int64)
-                sizes = np.array([len(s) for s in distinct.values()], np.int32)
-                tokens = np.concatenate(list(distinct.values()))
-                owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                first = np.diff(tokens, prepend=tokens[0] + np.uint64(1)) != 0
-                starts = np.flatnonzero(first)
-                runs = np.diff(np.append(starts, len(tokens)))
-                many = np.repeat(runs > 1, runs)
-                part, kind, cls, ns, idx, tok = [], [], [], [], [], []
-                if many.any():
-                    part.append(FRAGMENTS * slices + chunk % 64)
-                    kind.append(1)
-                    used, inverse = np.unique(owner[many], return_inverse=True)
-                    cls.append(classes[used].tobytes())
-                    ns.append(sizes[used].tobytes())
+        for batch in _chunks(batches):
+            of, _, sets = shingle_sets(batch.column(1), words_each, seed)
+            distinct = {c: s for c, s in zip(of.tolist(), sets, strict=True) if len(s)}
+            if not distinct:
+                continue
+            chunk += 1
+            classes = np.fromiter(distinct, np.uint64, len(distinct)).view(np.int64)
+            sizes = np.array([len(s) for s in distinct.values()], np.int32)
+            tokens = np.concatenate(list(distinct.values()))
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            first = np.diff(tokens, prepend=tokens[0] + np.uint64(1)) != 0
+            starts = np.flatnonzero(first)
+            runs = np.diff(np.append(starts, len(tokens)))
+            many = np.repeat(runs > 1, runs)
+            part, kind, cls, ns, idx, tok = [], [], [], [], [], []
+            if many.any():
+                part.append(FRAGMENTS * slices + chunk % 64)
+                kind.append(1)
+                used, inverse = np.unique(owner[many], return_inverse=True)
+                cls.append(classes[used].tobytes())
+                ns.append(sizes[used].tobytes())
+                idx.append(inverse.astype(np.uint16).tobytes())
+                tok.append(tokens[many].tobytes())
+            send = first  # one entry for each distinct shingle; 65535 marks those known to be shared
+            owner = np.where(many, np.uint16(65535), owner)[send]
+            tokens = tokens[send]
+            cells = FRAGMENTS * slices
+            bounds = np.searchsorted(tokens, np.arange(1, cells, dtype=np.uint64) << np.uint64(LOW_BITS - slices.bit_length() + 1))
+            for cell, (t, o) in enumerate(zip(np.split(tokens, bounds), np.split(owner, bounds), strict=True)):
+                if len(t):
+                    used, inverse = np.unique(o, return_inverse=True)
+                    real = used[used != 65535]
+                    part.append(cell)
+                    kind.append(0)
+                    cls.append(classes[real].tobytes())
+                    ns.append(sizes[real].tobytes())
+                    inverse = np.where(o == 65535, 65535, inverse)
                     idx.append(inverse.astype(np.uint16).tobytes())
-                    tok.append(tokens[many].tobytes())
-                send = first  # one entry for each distinct shingle; 65535 marks those known to be shared
-                owner = np.where(many, np.uint16(65535), owner)[send]
-                tokens = tokens[send]
-                cells = FRAGMENTS * slices
-                bounds = np.searchsorted(tokens, np.arange(1, cells, dtype=np.uint64) << np.uint64(LOW_BITS - slices.bit_length() + 1))
-                for cell, (t, o) in enumerate(zip(np.split(tokens, bounds), np.split(owner, bounds), strict=True)):
-                    if len(t):
-                        used, inverse = np.unique(o, return_inverse=True)
-                        real = used[used != 65535]
-                        part.append(cell)
-                        kind.append(0)
-                        cls.append(classes[real].tobytes())
-                        ns.append(sizes[real].tobytes())
-                        inverse = np.where(o == 65535, 65535, inverse)
-                        idx.append(inverse.astype(np.uint16).tobytes())
-                        tok.append(_five_bytes(t))
-                yield pa.record_batch([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in (cls, ns, idx, tok))], names=["part", "kind", "cls", "ns", "idx", "tok"])
+                    tok.append(_five_bytes(t))
+            yield pa.record_batch([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in (cls, ns, idx, tok))], names=["part", "kind", "cls", "ns", "idx", "tok"])
 
     def fragment(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         classes = np.concatenate([np.frombuffer(p[2], np.int64) for p in parts])
@@ -214,11 +208,15 @@ def similar(na: str, sa: str, nb: str, sb: str, percent: int):
 
 
 def overlaps(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) with their overlap: counted in each fragment of the order, then added up."""
-    left = pieces.select(F.col("id").alias("a"), F.col("pieces").alias("pa"))
-    right = pieces.select(F.col("id").alias("b"), F.col("pieces").alias("pb"))
-    part = F.transform(F.arrays_zip("pa", "pb"), lambda x: F.size(F.array_intersect(x["pa"], x["pb"])))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(part, F.lit(0), lambda x, y: x + y).cast("long").alias("overlap"))
+    """Pairs (a, b, na, nb) with their overlap: each fragment of the order counts its part of it, and the parts are added per pair.
+
+    pieces: (id, piece, tokens), a row for each fragment of the order in which the document has a shared shingle.
+    """
+    left = pieces.select(F.col("id").alias("a"), "piece", F.col("tokens").alias("ta"))
+    right = pieces.select(F.col("id").alias("b"), "piece", F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, ["b", "piece"])
+    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
+    return part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
 def links(counted: DataFrame, percent: int) -> DataFrame:
@@ -244,16 +242,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     4. The overlap of a pair is counted fragment by fragment and added up.
 
     Result: id_col, n_shingles, component_id (the smallest id reachable). Shingles are known by hashes
-    of 46 bits. Null texts are empty; a row with a null id has a null component and joins no group;
-    repeated rows are each returned; other columns are not read; an empty table gives no rows.
+    of 46 bits, and classes by hashes of 64 bits, confirmed by a second one. Null texts are empty; a
+    row with a null id has a null component and joins no group; repeated rows are each returned; other
+    columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     chars = docs.select(F.sum(F.length(text_col))).first()[0] or 0
-    slices = 1 << max(0, (chars // (6 * FRAGMENTS * 2_500_000)).bit_length())
-    known = stored(digests(docs, id_col, text_col, words_each), "join-digests")
-    classes = known.where("_nj_id IS NOT NULL AND n > 0").groupBy("cls", "n").agg(F.min("_nj_id").alias("id"))
+    slices = 1 << max(0, (chars // (6 * FRAGMENTS * TOKENS_PER_CELL)).bit_length())
+    for seed in count():
+        known = stored(digests(docs, id_col, text_col, words_each, seed), "join-digests")
+        classes = known.where("n > 0").groupBy("cls", "n").agg(F.min("_nj_id").alias("id"), F.min("chk").alias("low"), F.max("chk").alias("high"))
+        classes = stored(classes, "join-classes")
+        if classes.where("low <> high").isEmpty():
+            break
+        discard(known, classes)  # different words met in one class: another seed keeps them apart
+    classes = classes.where("id IS NOT NULL").select("cls", "n", "id")
     named = docs.where(F.col(id_col).isNotNull())
-    parts = shared_shingles(named, id_col, text_col, words_each, slices)
+    parts = shared_shingles(named, id_col, text_col, words_each, slices, seed)
     whole = F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")
     salts = 1 + known.count() // DOCS_PER_SALT
     if salts > 1:  # a class of very many copies reports from as many chunks
@@ -265,12 +269,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = each.join(often, "token")
     ordered = each.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     ordered = stored(ordered.where(F.size("tokens") * 100 >= F.col("n") * percent), "join-ordered")
+    discard(sets)
     alone = F.col("n") - F.size("tokens")
     head = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     lists = stored(ordered.select("id", "n", F.size("tokens").cast("long").alias("s"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(head, F.lit(0)).cast("int"))).alias("pos", "t")).select("id", "n", "s", "pos", F.col("t.token").alias("token")), "join-lists")
     shift = FRAGMENT_BITS + LOW_BITS - PIECES.bit_length() + 1
     in_piece = lambda i: F.transform(F.filter("tokens", lambda t: F.shiftright(t["token"], shift) == i), lambda t: t["token"])
-    pieces = stored(ordered.select("id", F.array(*[in_piece(i) for i in range(PIECES)]).alias("pieces")), "join-pieces")
+    pieces = ordered.select("id", F.posexplode(F.array(*[in_piece(i) for i in range(PIECES)])).alias("piece", "tokens"))
+    pieces = stored(pieces.where(F.size("tokens") > 0), "join-pieces")
+    discard(ordered)
 
     # tables of their own, so that both sides of a join are dealt anew and Spark can split a very common shingle
     centre = lists.groupBy("token").agg(F.min_by(F.struct("id", "n", "s"), F.struct(F.col("n") - F.col("s"), "id")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.s").alias("sa"))
@@ -294,5 +301,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not more.isEmpty():
         found = components(stars.union(more))
     member = classes.join(found, F.col("id") == F.col("node"), "left").select("cls", "n", F.coalesce("component", "id").alias("component_id"))
-    out = known.join(member, ["cls", "n"], "left")
+    # again a table of its own: a class of very many copies is then split between tasks
+    out = known.join(stored(member, "join-members"), ["cls", "n"], "left")
     return out.select(F.col("_nj_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_nj_id").isNotNull(), F.coalesce("component_id", "_nj_id")).alias("component_id"))
