@@ -1,26 +1,36 @@
-"""Similarity of embeddings against a reference table."""
+"""Similarity of embeddings against a reference table of any size."""
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: References of one block; a larger table is matched block by block.
-BLOCK = 4096
+from .shared import shared_folder
 
+#: References of one block, and blocks that one pass over the vectors compares with.
+BLOCK, BLOCKS_PER_PASS = 4096, 16
+BEST = "struct<sim:double,ref_order:int,trigger_name:string>"
+
+
+def _blocks(refs: DataFrame) -> Iterator[tuple[np.ndarray, list]]:
+    """References in order, BLOCK at a time, as unit vectors; gaps in ref_order don't matter."""
+    rows = []
+    for r in refs.select("ref_order", "trigger_name", "ref_embedding").orderBy("ref_order", "trigger_name").toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK:
+            yield _block(rows)
+            rows = []
+    if rows:
+        yield _block(rows)
 
-def _blocks(refs: DataFrame) -> list[tuple[np.ndarray, list]]:
-    """References in order, BLOCK at a time, as unit vectors."""
-    n = refs.count()
-    out = []
-    for k in range(-(-n // BLOCK)):
-        rows = refs.where(F.floor((F.col("ref_order") - 1) / BLOCK) == k).orderBy("ref_order").collect()  # BLOCK rows at most
-        out.append((np.array([r.ref_embedding for r in rows], np.float64), [(r.trigger_name, r.ref_order) for r in rows]))
-    return out
+
+def _block(rows: list) -> tuple[np.ndarray, list]:
+    return np.array([r.ref_embedding for r in rows], np.float32), [(r.trigger_name, r.ref_order) for r in rows]
 
 
 def _similarities(vectors: pd.Series, matrix: np.ndarray) -> np.ndarray:
@@ -28,37 +38,84 @@ def _similarities(vectors: pd.Series, matrix: np.ndarray) -> np.ndarray:
     have = vectors.notna().to_numpy()
     out = np.full((len(vectors), len(matrix)), -2.0)
     if have.any():
-        out[have] = np.stack(vectors[have].to_numpy()).astype(np.float64) @ matrix.T
+        out[have] = np.stack(vectors[have].to_numpy()).astype(np.float64) @ matrix.T.astype(np.float64)
     return out
 
 
-def _best_udf(matrix: np.ndarray, names: list):
-    @F.pandas_udf("sim double, ref_order int, trigger_name string")
-    def best(v: pd.Series) -> pd.DataFrame:
-        sims = _similarities(v, matrix)
-        at = sims.shape[1] - 1 - sims[:, ::-1].argmax(axis=1)
-        return pd.DataFrame({"sim": sims[np.arange(len(v)), at], "ref_order": [names[i][1] for i in at], "trigger_name": [names[i][0] for i in at]})
-
-    return best
-
-
-def _over_udf(matrix: np.ndarray, names: list, threshold: float):
-    @F.pandas_udf("array<struct<trigger_name:string,sim:double>>")
-    def over(v: pd.Series) -> pd.Series:
-        return pd.Series([[{"trigger_name": names[i][0], "sim": row[i]} for i in np.flatnonzero(row >= threshold)] for row in _similarities(v, matrix)])
-
-    return over
-
-
-def best_reference(column: str, refs: DataFrame) -> Column:
-    """struct(sim, ref_order, trigger_name) of the most similar reference; of equal ones the last. refs: ref_order counts from 1."""
-    parts = [_best_udf(matrix, names)(F.col(column)) for matrix, names in _blocks(refs)]
-    if not parts:
-        return F.lit(None).cast("struct<sim:double,ref_order:int,trigger_name:string>")
-    return reduce(lambda a, b: F.greatest(a, b), parts)
-
-
-def references_over(column: str, refs: DataFrame, threshold: float) -> Column:
-    """array<struct(trigger_name, sim)> of all references at least `threshold` similar, in order."""
-    parts = [_over_udf(matrix, names, threshold)(F.col(column)) for matrix, names in _blocks(refs)]
-    return F.concat(*parts) if parts else F.array().cast("array<struct<trigger_name:string,sim:double>>")
+def _in_passes(df: DataFrame, refs: DataFrame, out: str, start: Column, step: Callable, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with the column `out`: merge() of start and of step(block) for every block of references.
+
+    Each block is broadcast by itself. After BLOCKS_PER_PASS blocks the rows are written to the shared
+    folder with what was found so far, so that neither the driver nor a task ever holds more.
+    """
+    spark = df.sparkSession
+    so_far, n = df.withColumn(out, start), 0
+    for block in _blocks(refs):
+        if n and n % BLOCKS_PER_PASS == 0:
+            path = f"{shared_folder(spark)}/references-{uuid.uuid4().hex}"
+            so_far.write.parquet(path)
+            so_far = spark.read.schema(so_far.schema).parquet(path)
+        so_far = so_far.withColumn(out, merge(F.col(out), step(spark.sparkContext.broadcast(block))))
+        n += 1
+    return so_far
+
+
+def with_best_reference(df: DataFrame, column: str, refs: DataFrame, out: str) -> DataFrame:
+    """df with struct(sim, ref_order, trigger_name) of the most similar reference; of equal ones the last; null without references."""
+
+    def step(block) -> Column:
+        @F.pandas_udf("sim double, ref_order int, trigger_name string")
+        def best(v: pd.Series) -> pd.DataFrame:
+            matrix, names = block.value
+            sims = _similarities(v, matrix)
+            at = sims.shape[1] - 1 - sims[:, ::-1].argmax(axis=1)
+            return pd.DataFrame({"sim": sims[np.arange(len(v)), at], "ref_order": [names[i][1] for i in at], "trigger_name": [names[i][0] for i in at]})
+
+        return best(F.col(column))
+
+    return _in_passes(df, refs, out, F.lit(None).cast(BEST), step, F.greatest)
+
+
+def with_references_over(df: DataFrame, column: str, refs: DataFrame, threshold: float, out: str) -> DataFrame:
+    """df with array<struct(trigger_name, sim)> of all references at least `threshold` similar, in order."""
+    kind = "array<struct<trigger_name:string,sim:double>>"
+
+    def step(block) -> Column:
+        @F.pandas_udf(kind)
+        def over(v: pd.Series) -> pd.Series:
+            matrix, names = block.value
+            return pd.Series([[{"trigger_name": names[i][0], "sim": row[i]} for i in np.flatnonzero(row >= threshold)] for row in _similarities(v, matrix)])
+
+        return over(F.col(column))
+
+    return _in_passes(df, refs, out, F.array().cast(kind), step, F.concat)
+
+
+def with_two_nearest(df: DataFrame, column: str, favoured: str, refs: DataFrame, bonus: float, out: str) -> DataFrame:
+    """df with the two nearest references, array<struct(d, name)>: distance 1 - similarity, `bonus` less for names in `favoured`."""
+    kind = "array<struct<d:double,name:string>>"
+
+    def step(block) -> Column:
+        @F.pandas_udf(kind)
+        def two(v: pd.Series, near: pd.Series) -> pd.Series:
+            matrix, names = block.value
+            order = sorted(range(len(names)), key=lambda i: names[i][0])  # of equal distances the first name
+            sorted_names = [names[i][0] for i in order]
+            columns: dict[str, list[int]] = {}
+            for i, name in enumerate(sorted_names):
+                columns.setdefault(name, []).append(i)
+            d = 1 - _similarities(v, matrix[order])
+            for row, some in enumerate(near):
+                for name in set(some) if some is not None else ():
+                    d[row, columns.get(name, [])] -= bonus
+            found = [[] for _ in range(len(v))]
+            for _ in range(min(2, len(names))):
+                at = d.argmin(axis=1)
+                for row, i in enumerate(at):
+                    found[row].append({"d": d[row, i], "name": sorted_names[i]})
+                d[np.arange(len(v)), at] = np.inf
+            return pd.Series(found)
+
+        return two(F.col(column), F.col(favoured))
+
+    return _in_passes(df, refs, out, F.array().cast(kind), step, lambda a, b: F.slice(F.array_sort(F.concat(a, b)), 1, 2))

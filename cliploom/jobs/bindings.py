@@ -28,12 +28,12 @@ VIEWS = {
   CAST(CASE c_nationkey % 3 WHEN 0 THEN 1920 WHEN 1 THEN 1280 ELSE 720 END AS INT) AS width,
   CAST(CASE c_nationkey % 3 WHEN 0 THEN 1080 WHEN 1 THEN 720 ELSE 1280 END AS INT) AS height FROM customer""",
     "b_files": """SELECT page_id AS file_id, concat('/data/', CASE WHEN page_id % 17 = 0 THEN '_' ELSE '' END, 'Clip_', CAST(page_id % 190 AS STRING), '.',
-  CASE page_id % 6 WHEN 0 THEN 'mp4' WHEN 1 THEN 'MOV' WHEN 2 THEN 'png' WHEN 3 THEN 'JPG' WHEN 4 THEN 'txt' ELSE 'html' END) AS path FROM pages""",
+  CASE page_id % 11 WHEN 0 THEN 'mp4' WHEN 1 THEN 'MOV' WHEN 2 THEN 'png' WHEN 3 THEN 'JPG' WHEN 4 THEN 'txt' WHEN 5 THEN 'wmv' WHEN 6 THEN 'Tiff' WHEN 7 THEN 'flv' WHEN 8 THEN 'tif' WHEN 9 THEN 'wav' ELSE 'html' END) AS path FROM pages""",
     "b_ledger": f"""SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('clips/', {STEM}, '.mp4') END AS media_path,
   concat('v', CAST(o_custkey % 500 AS STRING), '.mp4') AS source_file,
   CASE o_orderkey % 4 WHEN 0 THEN 'no_known_character' WHEN 1 THEN 'unknown face!' WHEN 2 THEN 'deleted' ELSE 'caption/too long' END AS reason,
   CAST(o_orderkey AS INT) AS chunk_idx FROM orders WHERE o_orderkey % 29 = 0""",
-    "b_refs": """SELECT concat('id-', CAST(label AS STRING)) AS trigger_name, CAST(row_number() OVER (ORDER BY label) AS INT) AS ref_order, embedding AS ref_embedding
+    "b_refs": """SELECT concat('id-', CAST(label AS STRING)) AS trigger_name, CAST(row_number() OVER (ORDER BY label) * 5000 AS INT) AS ref_order, embedding AS ref_embedding
   FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) r WHERE rn = 1""",
     "b_frames": """SELECT event_id, user_id AS video_id, event_type, value, ts,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame FROM events""",
@@ -91,6 +91,7 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not head:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {head}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head}, {body[len(start) :]}"
     return f"WITH {head} {body}"

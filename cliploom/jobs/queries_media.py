@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import reconcile as R
 from cliploom.sources import media as M
+from cliploom.streaming.telemetry import work_path
 
 from . import Tables, register
 
 SCAN = "SELECT *, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS ext, regexp_extract(path, '([^/]*)$', 1) AS name FROM b_files"
-KIND = "CASE WHEN ext IN ('mp4','mov','avi','mkv','webm') THEN 'video' WHEN ext IN ('png','jpg','jpeg','webp','bmp') THEN 'image' END"
+IMAGES = "('png','jpg','jpeg','webp','bmp','tiff','tif')"
+VOICES = "('wav','mp3','flac','m4a','ogg','opus','mp4','mkv','mov','avi','webm','m4v')"
+KIND = f"CASE WHEN ext IN ('mp4','mov','avi','mkv','webm','flv','wmv') THEN 'video' WHEN ext IN {IMAGES} THEN 'image' END"
 FILE_STEM = "regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '\\.[^.]*$', '')"
 KIND_ROWS = "(SELECT unnest(['latents','conditions','audio_latents']) AS kind)"
 MEDIA = f"media AS (SELECT file_id, path FROM ({SCAN}) s WHERE {KIND} IS NOT NULL AND name NOT LIKE '\\_%' ESCAPE '\\')"
@@ -25,23 +28,32 @@ def scan_media(t: Tables):
 
 @register("read_entries", "SELECT entry_id, media_path, caption, transcript FROM b_entries")
 def read_entries(t: Tables):
-    # the manifest as JSON text and back: an absent key stays null, an empty text stays empty
-    text = t.b_entries.select("entry_id", F.to_json(F.struct("media_path", "source_file", "caption", "transcript")).alias("j"))
-    back = text.select("entry_id", F.from_json("j", M.ENTRIES).alias("e"))
-    return back.select("entry_id", "e.media_path", "e.caption", "e.transcript")
+    # manifests of some hundred entries each as JSON files, read by the operator: an absent key stays null, an empty text stays empty
+    path = work_path(t.spark, "manifests")
+    fields = F.struct("media_path", "source_file", F.concat(F.col("entry_id").cast("string"), F.lit("|"), "caption").alias("caption"), "transcript")
+    files = t.b_entries.groupBy(F.floor(F.col("entry_id") / 2000)).agg(F.to_json(F.collect_list(fields)).alias("value")).select("value")
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    cut = F.split("caption", r"\|", 2)
+    return M.read_entries(t.spark, path).select(cut[0].cast("long").alias("entry_id"), "media_path", cut[1].alias("caption"), "transcript")
 
 
-@register("write_entries", "SELECT entry_id, CASE WHEN media_path LIKE 'clips/v1%' THEN substr(media_path, 7) ELSE media_path END AS media_path FROM b_entries")
+@register("write_entries", """SELECT entry_id, CASE WHEN media_path LIKE 'clips/v1%' THEN substr(media_path, 7) ELSE media_path END AS media_path FROM b_entries""")
 def write_entries(t: Tables):
-    full = t.b_entries.withColumn("media_path", F.when(F.col("media_path").startswith("clips/v1"), F.concat(F.lit("/set/"), F.substr("media_path", F.lit(7)))).otherwise(F.col("media_path")))
-    return M.portable_paths(full, "/set").select("entry_id", "media_path")
+    root = work_path(t.spark, "set")
+    full = t.b_entries.withColumn("media_path", F.when(F.col("media_path").startswith("clips/v1"), F.concat(F.lit(root + "/"), F.substr("media_path", F.lit(7)))).otherwise(F.col("media_path")))
+    M.write_entries(full.limit(0), root)  # an older version, which the newer one replaces
+    M.write_entries(full, root)
+    return M.current_entries(t.spark, root).select("entry_id", "media_path")
 
 
 @register("append_rejections", """SELECT media_path, source_file, reason, chunk_idx, NULL::INTEGER AS start_frame FROM b_ledger
-UNION ALL SELECT media_path, source_file, 'deleted', NULL, 0 FROM b_entries WHERE entry_id % 7 = 0""")
+UNION ALL SELECT media_path, source_file, 'deleted', NULL, 0 FROM b_entries WHERE caption = ''""")
 def append_rejections(t: Tables):
-    new = t.b_entries.where("entry_id % 7 = 0").select("media_path", "source_file", F.lit("deleted").alias("reason"), F.lit(0).alias("start_frame"))
-    return M.append_rejections(t.b_ledger, new)
+    path = work_path(t.spark, "ledger")
+    M.append_rejections(t.b_ledger, path)
+    M.append_rejections(t.b_entries.where("caption = ''").select("media_path", "source_file", F.lit("deleted").alias("reason"), F.lit(0).alias("start_frame")), path)
+    kinds = "media_path string, source_file string, chunk_idx int, start_frame int, reason string"
+    return M.read_rejections(t.spark, path, kinds).select("media_path", "source_file", "reason", "chunk_idx", "start_frame")
 
 
 @register("artifact_inventory", """SELECT stem, CAST(max((kind = 'latents')::INT) AS INT) AS has_latents, CAST(max((kind = 'conditions')::INT) AS INT) AS has_conditions,
@@ -50,15 +62,21 @@ def artifact_inventory(t: Tables):
     return M.artifact_inventory(t.b_artifacts, R.KINDS)
 
 
-@register("load_refs", f"SELECT replace(lower({FILE_STEM.format('path')}), '_', '-') AS ref_key, min(path) AS path FROM b_files GROUP BY 1")
+@register("load_refs", f"""WITH f AS (SELECT path, ext, {FILE_STEM.format('path')} AS stem FROM ({SCAN}) s)
+SELECT 'character' AS ref_kind, replace(lower(stem), '_', '-') AS ref_key, min(path) AS path FROM f WHERE ext IN {IMAGES} GROUP BY 2
+UNION ALL SELECT 'location', trim(replace(stem, '_', ' ')), min(path) FROM f WHERE ext IN {IMAGES} GROUP BY 2
+UNION ALL SELECT 'voice', replace(lower(stem), '_', '-'), min(path) FROM f WHERE ext IN {VOICES} GROUP BY 2""")
 def load_refs(t: Tables):
-    return M.load_refs(t.b_files)
+    found = [M.load_refs(t.b_files, kind).select(F.lit(kind).alias("ref_kind"), "ref_key", "path") for kind in ("character", "location", "voice")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@register("loss_history_flatten", "SELECT run_id, step, loss, step_time FROM b_metrics")
+@register("loss_history_flatten", """SELECT run_id, 'step' AS kind, step, loss, step_time, NULL::DOUBLE AS ema_loss FROM b_metrics
+UNION ALL SELECT run_id, 'ema', step, NULL, NULL, loss + 1 FROM b_metrics WHERE step > 20""")
 def loss_history_flatten(t: Tables):
-    nested = t.b_metrics.groupBy("run_id", F.floor(F.col("step") / 100).alias("file")).agg(F.to_json(F.struct(F.collect_list(F.struct("step", "loss", "step_time")).alias("steps"))).alias("history"))
-    return M.loss_history_flatten(nested).select("run_id", "step", "loss", "step_time")
+    point = F.when(F.col("step") > 20, F.array(F.col("step").cast("double"), F.col("loss") + 1))
+    nested = t.b_metrics.groupBy("run_id", F.floor(F.col("step") / 100).alias("file")).agg(F.to_json(F.struct(F.collect_list(F.struct("step", "loss", "step_time")).alias("steps"), F.collect_list(point).alias("ema_history"))).alias("history"))
+    return M.loss_history_flatten(nested).select("run_id", "kind", "step", "loss", "step_time", "ema_loss")
 
 
 @register("parse_train_log", """SELECT event_id, line, CAST(coalesce(nullif(regexp_extract(line, '[Ss]tep\\s*[:=]?\\s*(\\d+)', 1), ''), nullif(regexp_extract(line, '\\|\\s*(\\d+)/(\\d+)', 1), '')) AS BIGINT) AS step FROM b_log""")
@@ -66,23 +84,25 @@ def parse_train_log(t: Tables):
     return M.parse_train_log(t.b_log)
 
 
-PATHS = "(SELECT entry_id, CASE entry_id % 3 WHEN 0 THEN media_path WHEN 1 THEN '/set/' || media_path ELSE '/old/' || media_path END AS media_path FROM b_entries)"
+PATHS = "(SELECT entry_id, CASE WHEN caption = '' THEN '' WHEN entry_id % 3 = 0 THEN media_path WHEN entry_id % 3 = 1 THEN '/set/' || media_path ELSE '/old/' || media_path END AS media_path FROM b_entries)"
+
+
+def paths(t: Tables):
+    return t.b_entries.select("entry_id", F.expr("CASE WHEN caption = '' THEN '' WHEN entry_id % 3 = 0 THEN media_path WHEN entry_id % 3 = 1 THEN concat('/set/', media_path) ELSE concat('/old/', media_path) END AS media_path"))
 
 
 @register("normalize_media_paths", f"""WITH e AS {PATHS}, files AS (SELECT '/set/' || path AS path FROM b_clips)
-SELECT entry_id, media_path, CASE WHEN media_path NOT LIKE '/%' THEN '/set/' || media_path WHEN f.path IS NOT NULL THEN media_path
+SELECT entry_id, media_path, CASE WHEN media_path = '' THEN '' WHEN media_path NOT LIKE '/%' THEN '/set/' || media_path WHEN f.path IS NOT NULL THEN media_path
   ELSE coalesce(c.path, media_path) END AS resolved
 FROM e LEFT JOIN files f ON f.path = e.media_path LEFT JOIN files c ON regexp_extract(c.path, '([^/]*)$', 1) = regexp_extract(e.media_path, '([^/]*)$', 1)""")
 def normalize_media_paths(t: Tables):
-    e = t.b_entries.select("entry_id", F.expr("CASE entry_id % 3 WHEN 0 THEN media_path WHEN 1 THEN concat('/set/', media_path) ELSE concat('/old/', media_path) END AS media_path"))
-    return R.normalize_media_paths(e, t.b_clips.select(F.concat(F.lit("/set/"), "path").alias("path")), "/set")
+    return R.normalize_media_paths(paths(t), t.b_clips.select(F.concat(F.lit("/set/"), "path").alias("path")), "/set")
 
 
 @register("artifact_paths", f"""SELECT entry_id, media_path, kind, '/set/' || kind || '/' || CASE WHEN media_path LIKE '/set/%' THEN regexp_replace(substr(media_path, 6), '\\.[^./]*$', '')
   ELSE {FILE_STEM.format('media_path')} END || '.pt' AS artifact_path FROM {PATHS} e CROSS JOIN {KIND_ROWS} k""")
 def artifact_paths(t: Tables):
-    e = t.b_entries.select("entry_id", F.expr("CASE entry_id % 3 WHEN 0 THEN media_path WHEN 1 THEN concat('/set/', media_path) ELSE concat('/old/', media_path) END AS media_path"))
-    return R.artifact_paths(e, "/set")
+    return R.artifact_paths(paths(t), "/set")
 
 
 @register("clip_lineage", """SELECT entry_id, stem, regexp_extract(stem, '^(.*)_chunk', 1) AS lineage_source, CAST(regexp_extract(stem, '_chunk(\\d+)$', 1) AS INT) AS lineage_chunk,

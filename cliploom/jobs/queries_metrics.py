@@ -13,15 +13,20 @@ from . import Tables, register
 LIMITS = {"threshold": 5.0, "detect": 4, "stop": 8, "alpha": 0.2, "warmup": 10}
 
 
-@register("loss_ema")
+@register("loss_ema", """WITH RECURSIVE m AS MATERIALIZED (SELECT run_id, step, loss, (1 - 2 / (greatest(n / 5, 2) + 1)) AS w FROM (SELECT *, count(*) OVER (PARTITION BY run_id)::DOUBLE AS n FROM b_metrics) z),
+e AS (SELECT run_id, step, loss, NULL::DOUBLE AS ema_before, loss AS ema_after, loss AS chart_ema FROM m WHERE step = 1
+ UNION ALL SELECT m.run_id, m.step, m.loss, e.ema_after, 0.98 * e.ema_after + 0.02 * m.loss, least(0.95, w) * e.chart_ema + (1 - least(0.95, w)) * m.loss FROM e JOIN m ON m.run_id = e.run_id AND m.step = e.step + 1)
+SELECT run_id, step, round(ema_before, 6) AS ema_before, round(ema_after, 6) AS ema_after, round(chart_ema, 6) AS chart_ema FROM e""")
 def loss_ema(t: Tables):
     out = K.loss_ema(t.b_metrics)
-    return out.select("run_id", "step", *[F.round(c, 9).alias(c) for c in ("ema_before", "ema_after", "chart_ema")])
+    return out.select("run_id", "step", *[F.round(c, 6).alias(c) for c in ("ema_before", "ema_after", "chart_ema")])
 
 
 @register("divergence_events")
 def divergence_events(t: Tables):
-    return K.divergence_events(t.b_metrics, **LIMITS).withColumn("percent_over", F.round("percent_over", 6))
+    # each run's own warm-up: a quarter of its steps, 10 at least
+    limits = {k: v for k, v in LIMITS.items() if k != "warmup"}
+    return K.divergence_events(t.b_metrics, **limits, least_warmup=10).withColumn("percent_over", F.round("percent_over", 6))
 
 
 @register("loss_trend", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step DESC) AS rn FROM b_metrics), v AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM r WHERE rn <= 60)
@@ -62,9 +67,17 @@ def checkpoint_retention(t: Tables):
     return K.checkpoint_retention(t.b_checkpoints, 3, watched).select("run_id", "path", "removed", "sidecar")
 
 
-@register("resume_truncate", """SELECT run_id, count(*) FILTER (step > 40) AS dropped, min(loss) FILTER (step <= 40) AS low, arg_min(step, loss * 100000 + step) FILTER (step <= 40) AS low_step FROM b_metrics GROUP BY run_id""")
+#: A stand-in for the average, which starts after ten steps.
+AVERAGED = "(SELECT *, CASE WHEN step > 10 THEN avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS ema_loss FROM b_metrics)"
+
+
+@register("resume_truncate", f"""WITH a AS {AVERAGED}, s AS (SELECT run_id, count(*) FILTER (step > 40) AS dropped, min(ema_loss) FILTER (step <= 40) AS ema_low, max(CASE WHEN step <= 40 AND ema_loss IS NOT NULL THEN step END) AS last FROM a GROUP BY run_id)
+SELECT a.run_id, a.step, a.loss, s.dropped, round(s.ema_low, 6) AS ema_low, round((SELECT b.ema_loss FROM a b WHERE b.run_id = s.run_id AND b.step = s.last), 6) AS ema_last,
+ (SELECT min(b.step) FROM a b WHERE b.run_id = s.run_id AND b.step <= 40 AND b.ema_loss = s.ema_low) AS ema_low_step FROM a JOIN s USING (run_id) WHERE a.step <= 40""")
 def resume_truncate(t: Tables):
-    return K.resume_truncate(t.b_metrics, 40)
+    rows = t.spark.sql(AVERAGED.replace("b_metrics", "{m}")[1:-1], m=t.b_metrics)
+    kept = K.resume_truncate(rows, 40).join(K.resume_state(rows, 40), "run_id")
+    return kept.select("run_id", "step", "loss", "dropped", F.round("ema_low", 6).alias("ema_low"), F.round("ema_last", 6).alias("ema_last"), "ema_low_step")
 
 
 def event_stream(t: Tables, folder: str = "events"):
@@ -81,11 +94,15 @@ def stream_divergence(t: Tables):
     return t.spark.read.schema(K.EVENTS).parquet(path).withColumn("percent_over", F.round("percent_over", 6))
 
 
-@register("stream_identity_status", "SELECT event_type AS identity, count(*) AS appearances FROM events GROUP BY event_type")
+@register("stream_identity_status", """WITH c AS (SELECT event_type AS identity, count(*) AS appearances FROM events GROUP BY ROLLUP(event_type)),
+t AS (SELECT (SELECT count(*) FROM b_clips) AS clips, (SELECT count(*) FROM b_chunks) AS pool_remaining)
+SELECT identity, appearances, CASE WHEN identity IS NULL THEN clips END AS clips, CASE WHEN identity IS NULL THEN pool_remaining END AS pool_remaining, CASE WHEN identity IS NULL THEN 5000 END::BIGINT AS cap FROM c CROSS JOIN t""")
 def stream_identity_status(t: Tables):
     sink = S.work_path(t.spark, "identities")
     S.stream_identity_status(event_stream(t).select(F.col("event_type").alias("identity")), sink).awaitTermination()
-    return t.spark.read.parquet(sink)
+    status = S.current_status(t.spark, sink)
+    totals = S.status_totals(status, t.b_clips, t.b_chunks, 9000, 5000).select(F.lit(None).cast("string").alias("identity"), "appearances", "clips", "pool_remaining", "cap")
+    return status.where("identity IS NOT NULL").unionByName(totals, allowMissingColumns=True)
 
 
 @register("stream_ingest", """SELECT DISTINCT stem FROM (SELECT 'h' || length(url) || '-' || page_id % 100 AS stem FROM pages) p WHERE stem NOT IN (SELECT 'h' || length(url) || '-' || page_id % 100 FROM pages WHERE page_id % 9 = 0)""")

@@ -67,14 +67,14 @@ def largest_face(t: Tables):
     return I.largest_face(faces(t))
 
 
-@register("single_identity_gate", """WITH r AS (SELECT ref_embedding FROM b_refs WHERE ref_order = 1),
+@register("single_identity_gate", """WITH r AS (SELECT ref_embedding FROM b_refs WHERE ref_order = 5000),
 f AS (SELECT video_id, frame, list_inner_product(d.embedding::DOUBLE[], (SELECT ref_embedding FROM r)::DOUBLE[]) AS sim FROM b_detections d WHERE det_score >= 0.8),
 p AS (SELECT video_id, chunk_idx, i AS pos, start_frame + floor(i * (end_frame - start_frame) / 4)::INT AS frame FROM b_chunks CROSS JOIN range(0, 4) g(i)),
 j AS (SELECT p.*, sim FROM p LEFT JOIN f ON f.video_id = p.video_id AND f.frame = p.frame WHERE p.frame >= 0)
 SELECT video_id, chunk_idx, round(arg_min(sim, pos) FILTER (sim IS NOT NULL), 6) AS similarity, CASE WHEN count(sim) = 0 THEN 'no_face' WHEN arg_min(sim, pos) FILTER (sim IS NOT NULL) < 0 THEN 'face_mismatch' ELSE 'pass' END AS reason
 FROM j GROUP BY video_id, chunk_idx""")
 def single_identity_gate(t: Tables):
-    target = t.b_refs.where("ref_order = 1").first().ref_embedding
+    target = t.b_refs.where("ref_order = 5000").first().ref_embedding
     pos = M.sample_positions(t.b_chunks).select("video_id", "chunk_idx", "pos", "frame")
     out = I.single_identity_gate(pos, t.b_detections.where("det_score >= 0.8"), list(target), 0.0)
     return out.select("video_id", "chunk_idx", F.round("similarity", 6).alias("similarity"), "reason")
@@ -92,15 +92,21 @@ def dominant_identities(t: Tables):
 
 
 @register("relabel_diff", """WITH o AS (SELECT clip_id, identity FROM b_members WHERE clip_id % 5 <> 0 OR identity < 'd'), n AS (SELECT clip_id, identity FROM b_members WHERE clip_id % 3 <> 0 OR identity > 'd'),
-a AS (SELECT identity, count(*) AS added FROM (SELECT * FROM n EXCEPT SELECT * FROM o) x GROUP BY identity), r AS (SELECT identity, count(*) AS removed FROM (SELECT * FROM o EXCEPT SELECT * FROM n) x GROUP BY identity)
-SELECT identity, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed FROM a FULL JOIN r USING (identity)""")
+x AS (SELECT *, 1 AS up FROM (SELECT * FROM n EXCEPT SELECT * FROM o) a UNION ALL SELECT *, 0 FROM (SELECT * FROM o EXCEPT SELECT * FROM n) r)
+SELECT identity, count(*) FILTER (up = 1) AS added, count(*) FILTER (up = 0) AS removed, count(DISTINCT clip_id) AS clips FROM x GROUP BY ROLLUP(identity)""")
 def relabel_diff(t: Tables):
     return I.relabel_diff(t.b_members.where("clip_id % 5 <> 0 OR identity < 'd'"), t.b_members.where("clip_id % 3 <> 0 OR identity > 'd'"))
 
 
-@register("capacity_limit", "SELECT clip_id, source_stem FROM (SELECT *, row_number() OVER (PARTITION BY source_stem ORDER BY clip_id) AS rn FROM b_clips) z WHERE rn <= 20")
+@register("capacity_limit", """SELECT clip_id, source_stem FROM (SELECT *, row_number() OVER (ORDER BY source_stem, clip_id) AS rn FROM b_clips) z WHERE rn <= (SELECT count(*) // 2 FROM b_clips)""")
 def capacity_limit(t: Tables):
-    return I.capacity_limit(t.b_clips, 20, ["clip_id"]).select("clip_id", "source_stem")
+    return I.capacity_limit(t.b_clips, t.b_clips.count() // 2, ["clip_id"]).select("clip_id", "source_stem")
+
+
+@register("capacity_shortfall", """SELECT *, greatest(20000 - samples, 0) AS shortfall, CASE WHEN samples < 20000 THEN CASE WHEN pool_remaining > 0 THEN 'mine more' ELSE 'add sources' END END AS advice
+FROM (SELECT (SELECT count(*) FROM b_clips) AS samples, (SELECT count(*) FROM b_chunks) AS pool_remaining) z""")
+def capacity_shortfall(t: Tables):
+    return I.capacity_shortfall(t.b_clips, t.b_chunks, 20_000)
 
 
 @register("shuffle_pool", "SELECT clip_id, md5('42:' || clip_id) AS shuffle_key FROM b_clips")
@@ -260,7 +266,7 @@ def quota_intake(t: Tables):
     new = sig.where("clip_id % 2 = 0").withColumn("pos", F.col("clip_id").cast("long"))
     most = int(q.agg(F.sum("quota")).first()[0] or 0)
     out = Q.quota_intake(new, sig.where("clip_id % 2 = 1"), q, most)
-    return out.select("clip_id", "accepted", F.array_join("swapped", ",").alias("swapped"))
+    return out.select("clip_id", "accepted", "swapped")
 
 
 @register("swap_candidates", """WITH s AS (SELECT clip_id, list(DISTINCT identity ORDER BY identity) AS g FROM b_members GROUP BY clip_id), met AS (SELECT list(identity ORDER BY identity) AS f FROM (SELECT DISTINCT identity FROM b_members) z WHERE identity < 'p'),

@@ -10,11 +10,12 @@ from . import Tables, register
 
 #: Names that occur in the test texts.
 NAMES = ["the-ha", "the", "is the", "und der", "le", "de"]
-REPLY = "(SELECT doc_id, 'name ' || doc_id AS name, CASE doc_id % 7 WHEN 0 THEN '<think>x</think> ' || left(text, 60) WHEN 1 THEN left(text, 40) || ' <think> open' WHEN 2 THEN 'None' WHEN 3 THEN '**The** [le]' WHEN 4 THEN 'No match, the' WHEN 5 THEN NULL ELSE left(text, 80) || ' MisMatch' END AS reply FROM documents)"
+#: Every text as a reply: after a thought, before an open one, in marks, or with a verdict.
+REPLY = "(SELECT doc_id, 'name ' || doc_id AS name, CASE doc_id % 4 WHEN 0 THEN '<think>x</think> ' || text WHEN 1 THEN text || ' <think> open' WHEN 2 THEN '**' || text || '** [le]' ELSE text || ' MisMatch' END AS reply FROM documents)"
 
 
 def replies(t: Tables):
-    return t.documents.select("doc_id", F.expr("concat('name ', doc_id) AS name"), F.expr("CASE doc_id % 7 WHEN 0 THEN concat('<think>x</think> ', left(text, 60)) WHEN 1 THEN concat(left(text, 40), ' <think> open') WHEN 2 THEN 'None' WHEN 3 THEN '**The** [le]' WHEN 4 THEN 'No match, the' WHEN 5 THEN NULL ELSE concat(left(text, 80), ' MisMatch') END AS reply"))
+    return t.documents.select("doc_id", F.expr("concat('name ', doc_id) AS name"), F.expr("CASE doc_id % 4 WHEN 0 THEN concat('<think>x</think> ', text) WHEN 1 THEN concat(text, ' <think> open') WHEN 2 THEN concat('**', text, '** [le]') ELSE concat(text, ' MisMatch') END AS reply"))
 
 
 THOUGHT = "regexp_replace(regexp_replace(trim({0}), '<think>.*?</think>', '', 'gs'), '<think>.*', '', 's')"
@@ -36,7 +37,8 @@ def first_ok_caption(t: Tables):
 
 @register("normalize_caption")
 def normalize_caption(t: Tables):
-    return C.normalize_caption(t.b_captions, NAMES).select("doc_id", "caption")
+    names = t.spark.createDataFrame([(n,) for n in NAMES], "name string")
+    return C.normalize_caption(t.b_captions, names).select("doc_id", "caption")
 
 
 @register("speaker_display", """SELECT clip_id, line, CASE WHEN s IN ('', 'unknown') THEN 'Someone' ELSE array_to_string(list_transform(list_filter(string_split(replace(s, '_', '-'), '-'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS display,
@@ -81,10 +83,15 @@ def filename_caption(t: Tables):
     return C.filename_caption(t.b_entries, "auto", "tok").select("entry_id", "caption")
 
 
-@register("merge_transcript", """SELECT entry_id, CASE WHEN coalesce(transcript, '') <> '' AND entry_id % 4 <> 0 THEN caption END AS caption_original,
-CASE WHEN coalesce(transcript, '') <> '' AND entry_id % 4 <> 0 THEN trim(caption) || ' Dialogue: "' || trim(transcript) || '"' ELSE caption END AS caption FROM b_entries""")
+#: Entries of urgent orders have no caption at all, and every fourth one has attributed segments.
+SAID = "(SELECT entry_id, transcript, CASE WHEN caption LIKE '%urgent' THEN NULL ELSE caption END AS caption FROM b_entries)"
+
+
+@register("merge_transcript", f"""SELECT entry_id, CASE WHEN coalesce(transcript, '') <> '' AND entry_id % 4 <> 0 THEN caption END AS caption_original,
+CASE WHEN coalesce(transcript, '') <> '' AND entry_id % 4 <> 0 THEN CASE WHEN coalesce(caption, '') = '' THEN '' ELSE caption || ' ' END || 'Dialogue: "' || transcript || '"' ELSE caption END AS caption FROM {SAID} s""")
 def merge_transcript(t: Tables):
-    rows = t.b_entries.withColumn("transcript_segments", F.when(F.col("entry_id") % 4 == 0, F.array(F.lit("x"))))
+    rows = t.b_entries.withColumn("caption", F.when(~F.col("caption").endswith("urgent"), F.col("caption")))
+    rows = rows.withColumn("transcript_segments", F.when(F.col("entry_id") % 4 == 0, F.array(F.lit("x"))))
     return C.merge_transcript(rows).select("entry_id", "caption_original", "caption")
 
 

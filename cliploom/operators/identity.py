@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.functions.vectors import best_reference, references_over
+from cliploom.functions.vectors import with_best_reference, with_references_over, with_two_nearest
 
 
 def detection_confidence_split(det: DataFrame, keep: float = 0.5, unknown: float = 0.85) -> DataFrame:
@@ -15,19 +15,20 @@ def detection_confidence_split(det: DataFrame, keep: float = 0.5, unknown: float
 
 def match_face_refs(det: DataFrame, refs: DataFrame, threshold: float = 0.40) -> DataFrame:
     """The most similar reference of each detection, if it is similar enough; of equal ones the last."""
-    best = det.withColumn("_b", best_reference("embedding", refs)).drop("embedding")
+    best = with_best_reference(det, "embedding", refs, "_b").drop("embedding")
     ok = F.col("_b.sim") >= threshold
     return best.withColumns({"similarity": F.col("_b.sim"), "matched": F.when(ok, F.col("_b.trigger_name"))}).drop("_b")
 
 
 def match_scene_refs(frames: DataFrame, refs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """A row for every reference at least `threshold` similar to a whole frame."""
-    return frames.withColumn("_m", F.explode(references_over("embedding", refs, threshold))).select(*[c for c in frames.columns if c != "embedding"], "_m.trigger_name", F.col("_m.sim").alias("similarity"))
+    found = with_references_over(frames, "embedding", refs, threshold, "_m").withColumn("_m", F.explode("_m"))
+    return found.select(*[c for c in frames.columns if c != "embedding"], "_m.trigger_name", F.col("_m.sim").alias("similarity"))
 
 
 def unknown_faces(det: DataFrame, refs: DataFrame, threshold: float = 0.40, min_score: float = 0.85) -> DataFrame:
     """For each frame, whether a confident detection is like no reference; never, if there are no references."""
-    best = det.withColumn("_b", best_reference("embedding", refs)).drop("embedding")
+    best = with_best_reference(det, "embedding", refs, "_b").drop("embedding")
     odd = (F.col("det_score") >= min_score) & (F.col("_b.sim") < threshold)
     return best.groupBy("video_id", "frame").agg(F.coalesce(F.bool_or(odd), F.lit(False)).alias("has_unknown"))
 
@@ -35,12 +36,10 @@ def unknown_faces(det: DataFrame, refs: DataFrame, threshold: float = 0.40, min_
 def attribute_speakers(segments: DataFrame, voices: DataFrame, max_dist: float = 0.70, margin: float = 0.05, bonus: float = 0.15, least: float = 0.3) -> DataFrame:
     """Speaker of each segment: the nearest voice (on-screen ones are `bonus` nearer), if near enough and clearly nearer than the next.
 
-    segments: embedding, on_screen (names, may be null), t_start, t_end. Short segments are unknown. The
-    distances of one segment are an array in its row, so nothing is shuffled.
+    segments: embedding, on_screen (names, may be null), t_start, t_end. Short segments are unknown. Only
+    the two nearest voices of a segment are kept, and nothing is shuffled.
     """
-    sims = references_over("embedding", voices, -2.0)
-    near = F.transform(F.col("_s"), lambda x: F.struct((1 - x["sim"] - F.when(F.coalesce(F.array_contains("on_screen", x["trigger_name"]), F.lit(False)), bonus).otherwise(0.0)).alias("d"), x["trigger_name"].alias("name")))
-    rows = segments.withColumn("_s", sims).withColumn("_n", F.array_sort(near)).drop("_s", "embedding")
+    rows = with_two_nearest(segments, "embedding", "on_screen", voices, bonus, "_n").drop("embedding")
     first, second = F.get("_n", F.lit(0)), F.get("_n", F.lit(1))
     clear = F.coalesce(second["d"] - first["d"] >= margin, F.lit(True))
     ok = (F.col("t_end") - F.col("t_start") >= least) & (first["d"] <= max_dist) & clear
@@ -88,10 +87,14 @@ def dominant_identities(sightings: DataFrame, keys: list[str], ratio: float = 0.
 
 
 def relabel_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Appearances that each identity gains and loses between two labelings of (clip_id, identity)."""
-    added = new.join(old, ["clip_id", "identity"], "left_anti").groupBy("identity").agg(F.count("*").alias("added"))
-    removed = old.join(new, ["clip_id", "identity"], "left_anti").groupBy("identity").agg(F.count("*").alias("removed"))
-    return added.join(removed, "identity", "full").na.fill(0, ["added", "removed"])
+    """What changes between two labelings of (clip_id, identity): appearances added and removed, and clips changed.
+
+    A row for each identity with a change and, without an identity, one for all.
+    """
+    added = new.join(old, ["clip_id", "identity"], "left_anti").select("clip_id", "identity", F.lit(1).alias("_up"))
+    removed = old.join(new, ["clip_id", "identity"], "left_anti").select("clip_id", "identity", F.lit(0).alias("_up"))
+    both = added.unionByName(removed)
+    return both.rollup("identity").agg(F.count_if(F.col("_up") == 1).alias("added"), F.count_if(F.col("_up") == 0).alias("removed"), F.count_distinct("clip_id").alias("clips"))
 
 
 def signatures(members: DataFrame) -> DataFrame:
@@ -100,10 +103,34 @@ def signatures(members: DataFrame) -> DataFrame:
 
 
 def capacity_limit(clips: DataFrame, max_samples: int, order: list[str], group: str = "source_stem") -> DataFrame:
-    """The first max_samples clips of each source in order; max_samples 0 keeps all."""
+    """The first max_samples clips of the whole set, source after source (by name); max_samples 0 keeps all.
+
+    Clips are counted by source. Sources that fit whole are kept whole; only the clips of the one in
+    which the cap lies are put in order. The table of sources, one row each, is summed as one window.
+    """
     if not max_samples:
         return clips
-    return clips.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= max_samples).drop("_rn")
+    upto = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
+    sources = clips.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    whole = clips.join(sources.where(F.col("_upto") <= max_samples).select(group), group, "left_semi")
+    cut = sources.where(F.col("_upto") > max_samples).orderBy("_upto").first()
+    room = max_samples - (cut["_upto"] - cut["_n"]) if cut else 0
+    if not room:
+        return whole
+    part = clips.where(F.col(group).eqNullSafe(F.lit(cut[group]))).orderBy(*order).limit(room)
+    return whole.unionByName(part.select(whole.columns))
+
+
+def capacity_shortfall(clips: DataFrame, pool: DataFrame, max_samples: int) -> DataFrame:
+    """One row: samples, how many are missing to the cap, what the pool still holds, and what to do about it.
+
+    With open slots in the pool more can be mined; with none, sources have to be added. Without a cap (0) nothing is missing.
+    """
+    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(1))
+    rows = one(clips, "samples").join(one(pool, "pool_remaining"), "_k").drop("_k")
+    short = F.greatest(F.lit(max_samples) - F.col("samples"), F.lit(0)).cast("long") if max_samples else F.lit(0).cast("long")
+    advice = F.when(F.col("shortfall") > 0, F.when(F.col("pool_remaining") > 0, "mine more").otherwise("add sources"))
+    return rows.withColumn("shortfall", short).withColumn("advice", advice)
 
 
 def shuffle_pool(pool: DataFrame, seed: int, key: str) -> DataFrame:

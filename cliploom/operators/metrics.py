@@ -10,7 +10,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,13 +94,17 @@ WATCH = "ema double, low double, low_step int, since int, monitoring boolean, bo
 EVENTS = "run_id long, step int, event string, percent_over double"
 
 
-def warmup_steps(total_steps: int, least: int = 50) -> int:
-    return max(least, int(total_steps * 0.25))
+def warmup_end(total_steps: Column, start_step: Column | None = None, least: int = 50, share: float = 0.25) -> Column:
+    """The first step that is watched: after a quarter of the steps to come, `least` at least."""
+    start = F.lit(0) if start_step is None else start_step
+    return (start + F.greatest(F.lit(least), F.floor((total_steps - start) * share))).cast("int")
 
 
-def divergence_events(metrics: DataFrame, threshold: float = 15, detect: int = 150, stop: int = 300, alpha: float = 0.02, warmup: int = 50) -> DataFrame:
+def divergence_events(metrics: DataFrame, threshold: float = 15, detect: int = 150, stop: int = 300, alpha: float = 0.02, warmup: int | None = None, least_warmup: int = 50) -> DataFrame:
     """Events of each run: monitor (detect steps over threshold), recovered, lr_reset (stop steps since first seen), stop (as many again).
 
+    Without a fixed `warmup` each run has its own, from its last step (see warmup_end).
+
     Spark sorts the runs; a task follows each batch by batch and holds no more of it than a Watch.
     """
 
@@ -111,13 +115,19 @@ def divergence_events(metrics: DataFrame, threshold: float = 15, detect: int = 1
             for run_id, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0]):
                 if not begun or run_id != now:
                     watch, now, begun = Watch(), run_id, True
-                _, steps, losses = zip(*rows, strict=True)
+                _, steps, losses, first = zip(*rows, strict=True)
                 steps, losses = ([math.nan if x is None else x for x in c] for c in (steps, losses))
-                out += [(run_id, *e) for e in watch.feed(steps, losses, alpha, warmup, threshold, detect, stop)]
+                out += [(run_id, *e) for e in watch.feed(steps, losses, alpha, first[0], threshold, detect, stop)]
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["run_id", "step", "event", "percent_over"])
 
-    rows = metrics.select(F.col("run_id").cast("long"), "step", F.col("loss").cast("double")).repartition("run_id")
+    rows = metrics.select(F.col("run_id").cast("long"), "step", F.col("loss").cast("double"))
+    if warmup is None:
+        ends = rows.groupBy(F.col("run_id").alias("_r")).agg(warmup_end(F.max("step"), least=least_warmup).alias("first"))
+        rows = rows.join(ends, F.col("run_id").eqNullSafe(F.col("_r"))).drop("_r")
+    else:
+        rows = rows.withColumn("first", F.lit(warmup))
+    rows = rows.repartition("run_id")
     return rows.sortWithinPartitions("run_id", F.asc_nulls_last("step")).mapInArrow(run, EVENTS)
 
 
@@ -187,6 +197,20 @@ def checkpoint_retention(checkpoints: DataFrame, keep_last: int = 2, monitoring:
 
 
 def resume_truncate(metrics: DataFrame, resume_step: int) -> DataFrame:
-    """For each run: records dropped because they are past the resume step, and the lowest loss (with its first step) of the rest."""
-    kept = F.col("step") <= resume_step
-    return metrics.groupBy("run_id").agg(F.count_if(~kept).alias("dropped"), F.min(F.when(kept, F.col("loss"))).alias("low"), F.min_by(F.when(kept, F.col("step")), F.when(kept, F.struct("loss", "step"))).alias("low_step"))
+    """The records of each run up to the step from which it goes on; those past it are stale."""
+    return metrics.where(F.col("step") <= resume_step)
+
+
+def resume_state(metrics: DataFrame, resume_step: int, ema: str = "ema_loss") -> DataFrame:
+    """What each run goes on with: records dropped, and of the rest the last average, the lowest one and its first step.
+
+    Steps without an average (the warm-up) count for none of these.
+    """
+    kept = (F.col("step") <= resume_step) & F.col(ema).isNotNull()
+    at = F.when(kept, F.col("step"))
+    return metrics.groupBy("run_id").agg(
+        F.count_if(F.col("step") > resume_step).alias("dropped"),
+        F.max_by(ema, at).alias("ema_last"),
+        F.min(F.when(kept, F.col(ema))).alias("ema_low"),
+        F.min_by(at, F.when(kept, F.struct(ema, "step"))).alias("ema_low_step"),
+    )

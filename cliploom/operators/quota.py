@@ -1,12 +1,13 @@
 """Per-identity quotas: tables, rebalancing and intake.
 
-The greedy folds run over signatures (identity sets), of which there are few, and never over all
-clips: clips of equal signature differ only in order, so row numbers within a signature suffice.
+The greedy walks never take all clips: clips of equal signature (identity set) differ only in order,
+so of each signature only as many first clips are walked over as the walk could take.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,95 +26,125 @@ def quota_table(counts: DataFrame, identities: DataFrame, max_samples: int) -> D
     return out.withColumns({"over": F.greatest(F.lit(0), F.col("n") - F.col("quota")), "under": F.greatest(F.lit(0), F.col("quota") - F.col("n")), "met": F.col("n") >= F.col("quota")})
 
 
-def removals(groups: list[tuple[tuple[str, ...], int]], counts: dict[str, int], quotas: dict[str, int]) -> dict[tuple[str, ...], int]:
-    """How many clips of each signature to remove: only identities over quota, largest excess first, none below its quota."""
-    counts = dict(counts)
-    excess = {s: max(counts[c] - quotas[c] for c in s) for s, _ in groups if s and all(counts.get(c, 0) > quotas.get(c, 0) for c in s)}
-    size, out = dict(groups), {}
-    for s in sorted(excess, key=lambda s: (-excess[s], s)):
-        n = max(0, min(size[s], min(counts[c] - quotas[c] for c in s)))
-        out[s] = n
-        for c in s:
-            counts[c] -= n
+#: Rows that one walk may take; they are a few numbers each.
+WALK_ROWS = 20_000_000
+
+
+def _one_walk(rows: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], shape: str) -> DataFrame:
+    """fold() over all rows as one group, whose size is checked before."""
+    n = rows.count()
+    if n > WALK_ROWS:
+        raise ValueError(f"a walk over {n} rows does not fit one task (at most {WALK_ROWS}); lower the cap or the quotas")
+    return rows.withColumn("_k", F.lit(1)).groupBy("_k").applyInPandas(fold, shape)
+
+
+def removals(clips: list[tuple[int, tuple[str, ...]]], counts: dict[str, int], quotas: dict[str, int]) -> list[int]:
+    """Positions to remove from clips (position, identities), in order: those of largest excess first, none below its quota.
+
+    Only identities with a quota can be over it. Of equal excess the first clips go.
+    """
+    counts, start, out = dict(counts), dict(counts), []
+    over = {c for c, q in quotas.items() if start.get(c, 0) > q}
+    able = [(max(start[c] - quotas[c] for c in s), at, s) for at, s in clips if s and over.issuperset(s)]
+    for _, at, s in sorted(able, key=lambda x: (-x[0], x[1])):
+        if all(counts[c] > quotas[c] for c in s):
+            out.append(at)
+            for c in s:
+                counts[c] -= 1
     return out
 
 
-def rebalance_over_quota(entries: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Clips to remove. entries: (clip_id, signature); quotas: (identity, quota). Of one signature the first clips go."""
-    groups = entries.where(F.size("signature") > 0).groupBy("signature").agg(F.count("*").alias("n"))
-    limit = F.broadcast(quotas.agg(F.map_from_entries(F.collect_list(F.struct("identity", "quota"))).alias("quotas")).withColumn("_k", F.lit(1)))
-    rows = groups.withColumn("_k", F.lit(1)).join(limit, "_k")
+def rebalance_over_quota(entries: DataFrame, quotas: DataFrame, order: str = "clip_id") -> DataFrame:
+    """Clips to remove. entries: (clip_id, signature), `order` being their place in the manifest; quotas: (identity, quota).
+
+    A clip is removed only while all its identities are over their quotas, so of a signature at most
+    its smallest excess, and only its first clips, can go: no others are walked over.
+    """
+    seen = entries.select(F.explode("signature").alias("identity")).groupBy("identity").agg(F.count("*").alias("n"))
+    table = {r.identity: (r.n, r.quota) for r in quotas.join(seen, "identity").collect()}  # the cast
+    counts, limits = {c: n for c, (n, _) in table.items()}, {r: q for r, (_, q) in table.items()}
+    excess = quotas.join(seen, "identity").select("identity", (F.col("n") - F.col("quota")).alias("x"))
+    each = entries.where(F.size("signature") > 0).select("signature").distinct().withColumn("identity", F.explode("signature"))
+    most = each.join(excess, "identity", "left").groupBy("signature").agg(F.min(F.coalesce("x", F.lit(0))).alias("most"))
+    place = F.row_number().over(Window.partitionBy("signature").orderBy(order))
+    some = entries.join(most.where(F.col("most") > 0), "signature").withColumn("_rn", place).where(F.col("_rn") <= F.col("most"))
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
-        found = [(tuple(s), int(n)) for s, n in zip(f["signature"], f["n"], strict=True)]
-        q = dict(f["quotas"].iloc[0])
-        counts = Counter()
-        for s, n in found:
-            for c in s:
-                counts[c] += n
-        gone = removals(found, counts, {c: q.get(c, 0) for c in counts})
-        return pd.DataFrame({"signature": [list(s) for s in gone], "remove": list(gone.values())})
+        return pd.DataFrame({"_at": removals([(int(p), tuple(s)) for p, s in zip(f["_at"], f["signature"], strict=True)], counts, limits)}, dtype="int64")
 
-    gone = rows.groupBy("_k").applyInPandas(fold, "signature array<string>, remove long")
-    first = F.row_number().over(Window.partitionBy("signature").orderBy("clip_id"))
-    return entries.withColumn("_rn", first).join(gone, "signature").where(F.col("_rn") <= F.col("remove")).drop("_rn", "remove")
+    gone = _one_walk(some.select(F.col(order).cast("long").alias("_at"), "signature"), fold, "_at long")
+    return entries.join(gone, F.col(order) == F.col("_at"), "left_semi")
 
 
-def intake(candidates: list[tuple[int, tuple[str, ...]]], existing: dict[tuple[str, ...], int], quotas: dict[str, int]) -> list[tuple[int, bool, tuple[str, ...] | None]]:
-    """Walk candidates in order: (order, accepted, signature swapped out)."""
-    have, counts = Counter(existing), Counter()
-    for s, n in existing.items():
+def intake(candidates: list[tuple[int, tuple[str, ...]]], existing: dict[tuple[str, ...], tuple[int, list[int]]], quotas: dict[str, int]) -> list[tuple[int, bool, int | None]]:
+    """Walk candidates (id, identities) in order: (id, accepted, id of the clip that leaves for it).
+
+    existing: of each signature the number of its clips, and the ids of the first ones, all signatures'
+    clips being ordered by `place` of their id in the manifest, which is the order of the ids. The clip
+    that leaves is the first of those with fewest identities; accepted clips come after all others.
+    """
+    queues = {s: deque((0, i) for i in ids) for s, (_, ids) in existing.items()}
+    counts: Counter = Counter()
+    members: dict[str, set] = {}
+    for s, (n, _) in existing.items():
         for c in s:
             counts[c] += n
+            members.setdefault(c, set()).add(s)
     out = []
-    for order, s in candidates:
+    for turn, (clip, s) in enumerate(candidates):
         if all(counts[c] >= q for c, q in quotas.items()):
             break
         if not s:
-            out.append((order, True, None))
+            out.append((clip, True, None))
             continue
         full = {c for c in s if counts[c] >= quotas.get(c, 0)}
         if len(full) == len(set(s)):
-            out.append((order, False, None))
+            out.append((clip, False, None))
             continue
-        swap = None
+        leaves = None
         if full:
-            fit = [o for o, n in have.items() if n > 0 and o and set(o) < set(s) and full <= set(o)]
+            fit = [o for o in members.get(next(iter(full)), ()) if queues[o] and set(o) < set(s) and full <= set(o)]
             if not fit:
-                out.append((order, False, None))
+                out.append((clip, False, None))
                 continue
-            swap = min(fit, key=lambda o: (len(o), o))
-            have[swap] -= 1
+            swap = min(fit, key=lambda o: (len(o), queues[o][0]))
+            leaves = queues[swap].popleft()[-1]
             for c in swap:
                 counts[c] -= 1
-        have[tuple(s)] += 1
+        queues.setdefault(tuple(s), deque()).append((1, turn, clip))
         for c in s:
             counts[c] += 1
-        out.append((order, True, swap))
+            members.setdefault(c, set()).add(tuple(s))
+        out.append((clip, True, leaves))
     return out
 
 
 def quota_intake(candidates: DataFrame, entries: DataFrame, quotas: DataFrame, max_samples: int) -> DataFrame:
-    """Decision on each candidate (clip_id, pos, signature), in the order pos: accepted, and the signature that is swapped out for it.
+    """Decision on each candidate (clip_id, pos, signature), in the order pos: accepted, and the clip that leaves for it (swapped).
 
-    A signature once refused stays refused, and at most max_samples clips are ever accepted, so the
-    first max_samples + 1 candidates of a signature decide; those without identities skip the gate
-    and are all kept, as they change no count. All others are not accepted.
+    entries: (clip_id, signature), clip ids in the order of the manifest. A signature once refused stays
+    refused, and at most max_samples clips are ever accepted, so the first max_samples + 1 candidates
+    of a signature decide, and its first max_samples + 1 entries can leave; those without identities
+    skip the gate and are all kept, as they change no count. All others are not accepted.
     """
     rank = F.row_number().over(Window.partitionBy("signature").orderBy("pos"))
     some = candidates.where(F.size("signature") > 0).withColumn("_rn", rank).where(F.col("_rn") <= max_samples + 1)
-    held = entries.where(F.size("signature") > 0).groupBy("signature").agg(F.count("*").alias("n"))
-    limit = F.broadcast(quotas.agg(F.map_from_entries(F.collect_list(F.struct("identity", "quota"))).alias("quotas")).withColumn("_k", F.lit(1)))
-    rows = some.select("pos", "signature", F.lit(None).cast("long").alias("n")).unionByName(held.select(F.lit(None).cast("long").alias("pos"), "signature", "n"))
-    rows = rows.withColumn("_k", F.lit(1)).join(limit, "_k")
+    size = F.count("*").over(Window.partitionBy("signature"))
+    first = F.row_number().over(Window.partitionBy("signature").orderBy("clip_id"))
+    held = entries.where(F.size("signature") > 0).withColumns({"n": size, "_rn": first}).where(F.col("_rn") <= max_samples + 1)
+    limits = {r.identity: r.quota for r in quotas.select("identity", "quota").collect()}  # the cast
+    rows = some.select("pos", "clip_id", "signature", F.lit(None).cast("long").alias("n")).unionByName(held.select(F.lit(None).cast("long").alias("pos"), "clip_id", "signature", "n"))
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         mine = f[f["pos"].notna()].sort_values("pos")
-        old = f[f["pos"].isna()]
-        got = intake([(int(p), tuple(s)) for p, s in zip(mine["pos"], mine["signature"], strict=True)], {tuple(s): int(n) for s, n in zip(old["signature"], old["n"], strict=True)}, {k: int(v) for k, v in dict(f["quotas"].iloc[0]).items()})
-        return pd.DataFrame([(p, a, None if s is None else list(s)) for p, a, s in got], columns=["pos", "accepted", "swapped"])
-
-    done = rows.groupBy("_k").applyInPandas(fold, "pos long, accepted boolean, swapped array<string>")
+        existing: dict[tuple, tuple[int, list[int]]] = {}
+        for clip, s, n in f[f["pos"].isna()].sort_values("clip_id")[["clip_id", "signature", "n"]].itertuples(index=False):
+            existing.setdefault(tuple(s), (int(n), []))[1].append(int(clip))
+        place = dict(zip(mine["clip_id"], mine["pos"], strict=True))
+        got = intake([(int(c), tuple(s)) for c, s in zip(mine["clip_id"], mine["signature"], strict=True)], existing, limits)
+        return pd.DataFrame({"pos": [int(place[c]) for c, _, _ in got], "accepted": [a for _, a, _ in got], "swapped": pd.array([x for *_, x in got], dtype="Int64")})
+
+    done = _one_walk(rows.withColumn("pos", F.col("pos").cast("long")), fold, "pos long, accepted boolean, swapped long")
     last = F.broadcast(done.agg(F.max("pos").alias("_last")).withColumn("_k", F.lit(1)))
     out = candidates.withColumn("_k", F.lit(1)).join(last, "_k", "left").drop("_k").join(done, "pos", "left")
     free = (F.size("signature") == 0) & (F.col("pos") <= F.coalesce("_last", F.col("pos")))

@@ -15,11 +15,14 @@ def _kinds(with_audio: bool) -> tuple[str, ...]:
 
 
 def normalize_media_paths(entries: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """Relative paths go under root; absolute ones stay if the file exists, else the clip of that name under root, if there is one."""
+    """Relative paths go under root; absolute ones stay if the file exists, else the clip of that name under root, if there is one.
+
+    Null and empty paths stay.
+    """
     known = files.select(F.col("path").alias("_known")).distinct()
     clips = files.where(F.col("path").startswith(f"{root}/clips/")).groupBy(base_name("path").alias("_name")).agg(F.min("path").alias("_clip"))
     out = entries.join(known, F.col("media_path") == F.col("_known"), "left").join(clips, base_name("media_path") == F.col("_name"), "left")
-    path = F.when(~F.col("media_path").startswith("/"), F.concat(F.lit(f"{root}/"), "media_path")).when(F.col("_known").isNotNull(), F.col("media_path"))
+    path = F.when(F.col("media_path") == "", "").when(~F.col("media_path").startswith("/"), F.concat(F.lit(f"{root}/"), "media_path")).when(F.col("_known").isNotNull(), F.col("media_path"))
     return out.withColumn("resolved", F.coalesce(path, "_clip", "media_path")).drop("_known", "_name", "_clip")
 
 

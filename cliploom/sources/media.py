@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What counts as video and as image.
-VIDEO_EXT = ("mp4", "mov", "avi", "mkv", "webm")
-IMAGE_EXT = ("png", "jpg", "jpeg", "webp", "bmp")
+#: What counts as video, as image and as voice reference.
+VIDEO_EXT = ("mp4", "mov", "avi", "mkv", "webm", "flv", "wmv")
+IMAGE_EXT = ("png", "jpg", "jpeg", "webp", "bmp", "tiff", "tif")
+VOICE_EXT = ("wav", "mp3", "flac", "m4a", "ogg", "opus", "mp4", "mkv", "mov", "avi", "webm", "m4v")
 
 SEGMENT = T.ArrayType(T.StructType([T.StructField("speaker", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
 ENTRIES = T.StructType([
@@ -33,12 +34,23 @@ def stem_of(path):
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def extension_of(path):
+    """Last extension of a file name, in lower case and without its dot."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """Path, length and time of the files of a folder, in any store that Spark reads; the files themselves are not opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    return reader.load(folder).select("path", "length", "modificationTime")
+
+
 def scan_media(files: DataFrame, video_ext: tuple[str, ...] = VIDEO_EXT, image_ext: tuple[str, ...] = IMAGE_EXT) -> DataFrame:
     """Files of a listing that are videos or images and whose name doesn't begin with '_', with their kind.
 
     The order of a listing is its path column; consumers sort where they need it.
     """
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    ext = extension_of("path")
     kind = F.when(ext.isin(*video_ext), "video").when(ext.isin(*image_ext), "image")
     return files.where(~base_name("path").startswith("_")).withColumns({"ext": ext, "kind": kind}).where(F.col("kind").isNotNull())
 
@@ -56,26 +68,45 @@ def portable_paths(entries: DataFrame, root: str) -> DataFrame:
     return entries.withColumn("media_path", F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(F.col("media_path")))
 
 
-def write_entries(entries: DataFrame, root: str, version: str | None = None) -> str:
-    """Write a new version of the manifest beside the old ones; the pointer file moves only after it is whole.
+def write_entries(entries: DataFrame, root: str) -> str:
+    """Write a new version of the manifest beside the old ones, then a record that names it.
 
-    The version before stays readable, so it is the backup. Returns the new version's folder.
+    The record is one more file, and nothing is replaced: after a crash the newest record still names
+    a whole version, and the versions before stay readable as backups. Returns the new version's folder.
     """
     spark = entries.sparkSession
-    target = f"{root}/manifest/{version or uuid.uuid4().hex}"
+    made = _versions(spark, root)
+    number = 1 + max((r.version for r in made.select("version").collect()), default=0) if made is not None else 1
+    target = f"{root}/manifest/v{number:06d}-{uuid.uuid4().hex}"
     portable_paths(entries, root).write.mode("errorifexists").parquet(target)
-    spark.createDataFrame([(target,)], "current string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest/current")
+    spark.createDataFrame([(number, target)], "version long, current string").coalesce(1).write.mode("append").json(f"{root}/manifest/current")
     return target
 
 
+def _versions(spark: SparkSession, root: str) -> DataFrame | None:
+    """Records of whole versions; None if nothing was ever written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/current")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema("version long, current string").json(f"{root}/manifest/current")
+
+
 def current_entries(spark: SparkSession, root: str) -> DataFrame:
-    """The version of the manifest that the pointer names."""
-    return spark.read.parquet(spark.read.text(f"{root}/manifest/current").first()[0])
+    """The newest whole version of the manifest."""
+    made = _versions(spark, root)
+    if made is None:
+        raise FileNotFoundError(f"no manifest under {root}")
+    return spark.read.parquet(made.orderBy(F.desc("version"), "current").first().current)
+
+
+def append_rejections(new: DataFrame, path: str) -> None:
+    """Append records to the ledger under path, a folder for each reason; what is there is not read."""
+    new.write.mode("append").partitionBy("reason").parquet(path)
 
 
-def append_rejections(ledger: DataFrame, new: DataFrame) -> DataFrame:
-    """Both sets of records; columns that one of them lacks are null."""
-    return ledger.unionByName(new, allowMissingColumns=True)
+def read_rejections(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The whole ledger; columns that some records lack are null."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def artifact_inventory(artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -84,17 +115,24 @@ def artifact_inventory(artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFram
 
 
 def load_refs(files: DataFrame, kind: str = "character") -> DataFrame:
-    """Reference files keyed by trigger (lower-case stem, _ as -) or, for locations, by label (stem, _ as space)."""
+    """Reference files keyed by trigger (lower-case stem, _ as -) or, for locations, by label (stem, _ as space).
+
+    kind: character and location take images, voice takes sound and the sound of videos; other files are no references.
+    """
     stem = stem_of("path")
-    key = F.translate(F.lower(stem), "_", "-") if kind == "character" else F.trim(F.translate(stem, "_", " "))
-    return files.groupBy(key.alias("ref_key")).agg(F.min("path").alias("path"))
+    key = F.trim(F.translate(stem, "_", " ")) if kind == "location" else F.translate(F.lower(stem), "_", "-")
+    fit = files.where(extension_of("path").isin(*(VOICE_EXT if kind == "voice" else IMAGE_EXT)))
+    return fit.groupBy(key.alias("ref_key")).agg(F.min("path").alias("path"))
 
 
 def loss_history_flatten(history: DataFrame, column: str = "history") -> DataFrame:
-    """Step rows of a loss history held as JSON text; unreadable text gives none."""
+    """Rows of a loss history held as JSON text: its steps, and its points of the average (kind ema); unreadable text gives none."""
     step = "struct<step:int,loss:double,lr:double,ema_loss:double,epoch:int,step_time:double>"
     parsed = F.from_json(column, f"struct<steps:array<{step}>,ema_history:array<array<double>>>")
-    return history.select("run_id", F.explode(parsed["steps"]).alias("s")).select("run_id", "s.*")
+    points = F.transform(parsed["ema_history"], lambda x: F.struct(F.lit("ema").alias("kind"), F.get(x, F.lit(0)).cast("int").alias("step"), F.get(x, F.lit(1)).alias("value")))
+    steps = history.select("run_id", F.explode(parsed["steps"]).alias("s")).select("run_id", F.lit("step").alias("kind"), "s.*")
+    averages = history.select("run_id", F.explode(points).alias("p")).select("run_id", "p.kind", "p.step", F.col("p.value").alias("ema_loss"))
+    return steps.unionByName(averages, allowMissingColumns=True)
 
 
 def parse_train_log(lines: DataFrame, column: str = "line") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,17 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cliploom.functions.shared import shared_folder
 from cliploom.operators.metrics import EVENTS, WATCH, Watch
 
 
 def work_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, or in a temporary one where none is set (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="cliploom-")
-    return f"{base}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
@@ -50,28 +45,39 @@ def stream_divergence(stream: DataFrame, threshold: float = 15, detect: int = 15
 
 
 def stream_identity_status(stream: DataFrame, sink: str) -> StreamingQuery:
-    """Keep a table of appearances of each identity up to date under sink, as entries (identity) arrive."""
+    """Keep a table of appearances of each identity and, in the row without one, of all, as entries (identity) arrive.
+
+    Every micro-batch writes a version of its own under sink; current_status() reads the newest whole one.
+    """
     counts = stream.groupBy("identity").agg(F.count("*").alias("appearances"))
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        all_of_them = batch.agg(F.lit(None).cast("string").alias("identity"), F.coalesce(F.sum("appearances"), F.lit(0)).alias("appearances"))
+        batch.unionByName(all_of_them).coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{sink.rstrip('/')}-state").trigger(availableNow=True).start()
+
 
-    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start()
+def current_status(spark: SparkSession, sink: str) -> DataFrame:
+    """(identity, appearances) of the newest micro-batch."""
+    rows = spark.read.parquet(sink)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).drop("batch")
+
+
+def status_totals(status: DataFrame, clips: DataFrame, pool: DataFrame, total_slots: int, max_samples: int) -> DataFrame:
+    """One row beside the counts: appearances and their cap, clips, and slots of the pool that are still open."""
+    seen = status.where(F.col("identity").isNull()).agg(F.coalesce(F.max("appearances"), F.lit(0)).alias("appearances"), F.lit(1).alias("_k"))
+    one = lambda df, name: df.agg(F.count("*").alias(name), F.lit(1).alias("_k"))
+    rows = seen.join(one(clips, "clips"), "_k").join(one(pool, "pool_remaining"), "_k").drop("_k")
+    return rows.withColumns({"cap": F.lit(max_samples).cast("long"), "pool_total": F.lit(total_slots).cast("long")})
 
 
 def stream_ingest(stream: DataFrame, blocked: DataFrame, sink: str, key: str = "stem", rows: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
-    """Append what arrives to sink, without what is blocked or is there already; `rows` turns files into rows, each key once."""
+    """Append what arrives to sink, each key once, without what is blocked; `rows` turns files into rows.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = rows(batch).dropDuplicates([key]).join(blocked, key, "left_anti")
-        try:
-            seen = spark.read.parquet(sink).where(F.col("batch") != batch_id).select(key)
-            new = new.join(seen, key, "left_anti")
-        except Exception as e:  # noqa: BLE001  nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        # a batch that is tried again replaces its own folder
-        new.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink.rstrip('/')}-state").trigger(availableNow=True).start()
+    Keys that came before are the state of the stream, dealt over its partitions, and the sink is never read.
+    """
+    new = rows(stream).dropDuplicates([key]).join(blocked.select(key).distinct(), key, "left_anti")
+    state = f"{sink.rstrip('/')}-state"
+    return new.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(sink)

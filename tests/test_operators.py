@@ -21,15 +21,52 @@ from cliploom.sources import media
 
 
 def test_names_and_quotes(spark):
-    rows = [(1, "a 'pee-wee' and it's MISS YVONNE, yvonne; `x`"), (2, ""), (3, None)]
-    got = {r.i: r.caption for r in captions.normalize_caption(spark.createDataFrame(rows, "i int, caption string"), ["yvonne", "miss yvonne", "pee-wee"]).collect()}
-    assert got[1] == "a Pee-wee and it's Miss Yvonne, Yvonne; x" and got[2] == "" and got[3] is None
+    rows = [(1, "a 'mo-mo' and it's AUNT RUTH, ruth; `x`"), (2, ""), (3, None), (4, "ÉLODIE met élodie, not xélodie or ruthless; STRAßE")]
+    names = spark.createDataFrame([("ruth",), ("aunt ruth",), ("mo-mo",), ("élodie",), ("",), (None,)], "name string")
+    got = {r.i: r.caption for r in captions.normalize_caption(spark.createDataFrame(rows, "i int, caption string"), names).collect()}
+    assert got[1] == "a Mo-mo and it's Aunt Ruth, Ruth; x" and got[2] == "" and got[3] is None
+    assert got[4] == "Élodie met Élodie, not xélodie or ruthless; STRAßE"
+    assert captions.normalize_caption(spark.createDataFrame(rows, "i int, caption string"), names.limit(0)).where("i = 4").first().caption == rows[3][1]
+
+
+def test_captions_are_normalised_as_by_brute_force(spark, sf_dir):
+    from cliploom.jobs.queries_text import NAMES
+
+    def brute(t):
+        if t is None:
+            return None
+        t = re.sub(captions.QUOTES, "", t)
+        for n in sorted(NAMES, key=lambda n: (-len(n), n)):
+            t = re.sub(rf"\b{re.escape(n)}\b", " ".join(w.capitalize() for w in n.split(" ")), t, flags=re.IGNORECASE)
+        return t
+
+    want = {r.doc_id: brute(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.caption for r in jobs.QUERIES["normalize_caption"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_short_replies(spark):
+    rows = [(1, "None"), (2, "No match, the"), (3, "**The** [le]"), (4, None), (5, "<think>the</think> le. <think> the"), (6, " ")]
+    df = spark.createDataFrame([(i, f"n{i}", r) for i, r in rows], "i int, name string, reply string")
+    cast = {r.i: r.cast_names for r in captions.parse_cast_reply(df, ["the", "le"]).collect()}
+    assert cast == {1: [], 2: [], 3: ["the", "le"], 4: [], 5: ["le"], 6: []}
+    place = {r.i: r.location for r in captions.parse_location_reply(df, ["le", "the"]).collect()}
+    assert place == {1: None, 2: None, 3: "le", 4: None, 5: "le", 6: None}
+    clean = {r.i: r.clean for r in captions.clean_reply(df, "tok").collect()}
+    assert clean == {1: "None", 2: "No match, the", 3: "**The** [le]", 4: "tok n4", 5: "le.", 6: "tok n6"}
+
+
+def test_transcripts_without_captions(spark):
+    rows = [(1, None, "hi"), (2, "", "hi"), (3, " A shot", " hi "), (4, "A shot", ""), (5, None, None)]
+    df = spark.createDataFrame(rows, "i int, caption string, transcript string").withColumn("transcript_segments", F.lit(None).cast("array<string>"))
+    got = {r.i: (r.caption, r.caption_original) for r in captions.merge_transcript(df).collect()}
+    assert got == {1: ('Dialogue: "hi"', None), 2: ('Dialogue: "hi"', ""), 3: (' A shot Dialogue: " hi "', " A shot"), 4: ("A shot", None), 5: (None, None)}
 
 
 def test_speaker_names(spark):
-    rows = [("miss-yvonne",), ("pee-wee",), ("unknown",), ("",), (None,)]
+    rows = [("aunt-ruth",), ("mo-mo",), ("unknown",), ("",), (None,)]
     got = [r.x for r in spark.createDataFrame(rows, "s string").select(captions.speaker_display(F.col("s")).alias("x")).collect()]
-    assert got == ["Miss Yvonne", "Pee Wee", "Someone", "Someone", "Someone"]
+    assert got == ["Aunt Ruth", "Mo Mo", "Someone", "Someone", "Someone"]
 
 
 # --- timelines --------------------------------------------------------------
@@ -151,52 +188,83 @@ sets = st.lists(st.sampled_from(NAMES), max_size=3, unique=True).map(lambda x: t
 
 
 def brute_removals(entries, quotas):
+    """Clip by clip, in the order of the manifest; identities without a quota are never over it."""
     counts = {c: sum(c in s for s in entries) for c in NAMES}
-    start = dict(counts)
-    order = sorted((s for s in entries if s and all(start[c] > quotas[c] for c in s)), key=lambda s: (-max(start[c] - quotas[c] for c in s), s))
-    out = {}
-    for s in order:
+    over = {c for c in quotas if counts.get(c, 0) > quotas[c]}
+    able = [(max(counts[c] - quotas[c] for c in s), i, s) for i, s in enumerate(entries) if s and set(s) <= over]
+    out = []
+    for _, i, s in sorted(able, key=lambda x: -x[0]):
         if all(counts[c] > quotas[c] for c in s):
-            out[s] = out.get(s, 0) + 1
+            out.append(i)
             for c in s:
                 counts[c] -= 1
-    return out, counts
+    return out
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(sets, max_size=40), st.lists(st.integers(0, 12), min_size=4, max_size=4))
-def test_rebalancing_over_signatures_is_rebalancing_over_clips(entries, q):
-    quotas = dict(zip(NAMES, q))
-    want, counts = brute_removals(entries, quotas)
-    groups = {s: entries.count(s) for s in set(entries)}
-    got = quota.removals(list(groups.items()), {c: sum(c in s for s in entries) for c in NAMES}, quotas)
-    assert {s: n for s, n in got.items() if n} == want
-    assert all(counts[c] >= min(quotas[c], sum(c in s for s in entries)) for c in NAMES)
+@given(st.lists(sets, max_size=40), st.dictionaries(st.sampled_from(NAMES), st.integers(0, 12)))
+def test_first_clips_of_a_signature_are_enough_to_rebalance(entries, quotas):
+    counts = {c: sum(c in s for s in entries) for c in NAMES}
+    some, seen = [], {}
+    for i, s in enumerate(entries):
+        seen[s] = seen.get(s, 0) + 1
+        if s and all(c in quotas for c in s) and seen[s] <= min(counts[c] - quotas[c] for c in s):
+            some.append((i, s))
+    assert quota.removals(some, counts, quotas) == brute_removals(entries, quotas)
+
+
+def test_rebalancing_as_by_brute_force(spark):
+    rng = random.Random(8)
+    entries = [tuple(sorted(rng.sample(NAMES, rng.randint(0, 3)))) for _ in range(300)] + [("z",)] * 5
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(entries)], "clip_id long, signature array<string>").repartition(5)
+    for quotas in ({"a": 90, "b": 100, "c": 80, "d": 120}, {"a": 20, "c": 0}, {"q": 3}):
+        limits = spark.createDataFrame(list(quotas.items()), "identity string, quota long")
+        assert sorted(r.clip_id for r in quota.rebalance_over_quota(df, limits).collect()) == sorted(brute_removals(entries, quotas))
+    ties = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["a"]), (4, ["a"])], "clip_id long, signature array<string>")
+    assert sorted(r.clip_id for r in quota.rebalance_over_quota(ties, spark.createDataFrame([("a", 2), ("b", 0)], "identity string, quota long")).collect()) == [1, 2]
+
+
+def brute_intake(pool, old, quotas):
+    """Clip by clip: (accepted, clip that leaves); old clips are 0, 1, ..., the pool's come after them."""
+    have = list(enumerate(old))
+    counts = {c: sum(c in s for s in old) for c in NAMES}
+    out = {}
+    for i, s in enumerate(pool, len(old)):
+        if all(counts[c] >= quotas[c] for c in NAMES):
+            break
+        full = {c for c in s if counts[c] >= quotas[c]}
+        if full == set(s):
+            continue
+        leaves = None
+        if full:
+            fit = sorted((o for o in have if o[1] and set(o[1]) < set(s) and full <= set(o[1])), key=lambda o: len(o[1]))
+            if not fit:
+                continue
+            leaves = fit[0]
+            have.remove(leaves)
+            for c in leaves[1]:
+                counts[c] -= 1
+        have.append((i, s))
+        for c in s:
+            counts[c] += 1
+        out[i] = leaves and leaves[0]
+    return out
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(sets.filter(len), max_size=60), st.lists(sets.filter(len), max_size=6), st.lists(st.integers(0, 4), min_size=4, max_size=4))
-def test_first_candidates_of_a_signature_decide(pool, old, q):
+@given(st.lists(sets.filter(len), max_size=60), st.lists(sets.filter(len), max_size=12), st.lists(st.integers(0, 4), min_size=4, max_size=4))
+def test_first_clips_of_a_signature_decide_on_intake(pool, old, q):
     quotas = dict(zip(NAMES, q))
-    existing = {s: old.count(s) for s in set(old)}
     most = sum(q)
-    every = quota.intake(list(enumerate(pool)), existing, quotas)
-    seen, some = {}, []
-    for i, s in enumerate(pool):
+    existing, seen, some = {}, {}, []
+    for i, s in enumerate(old):
+        n, ids = existing.setdefault(s, (0, []))
+        existing[s] = (n + 1, [*ids, i][: most + 1])
+    for i, s in enumerate(pool, len(old)):
         seen[s] = seen.get(s, 0) + 1
         if seen[s] <= most + 1:
             some.append((i, s))
-    few = quota.intake(some, existing, quotas)
-    assert [x for x in every if x[1]] == [x for x in few if x[1]]
-    counts = {c: sum(n for s, n in existing.items() if c in s) for c in NAMES}
-    start = dict(counts)
-    for i, ok, swap in every:
-        if ok:
-            for c in pool[i]:
-                counts[c] += 1
-            for c in swap or ():
-                counts[c] -= 1
-    assert all(counts[c] <= max(quotas[c], start[c]) for c in NAMES)
+    assert {i: leaves for i, ok, leaves in quota.intake(some, existing, quotas) if ok} == brute_intake(pool, old, quotas)
 
 
 def test_intake_marks_all_candidates(spark):
@@ -204,7 +272,14 @@ def test_intake_marks_all_candidates(spark):
     old = spark.createDataFrame([(100, ["a"])], "clip_id long, signature array<string>")
     q = spark.createDataFrame([("a", 2), ("b", 2)], "identity string, quota long")
     got = {r.clip_id: (r.accepted, r.swapped) for r in quota.quota_intake(new, old, q, 4).collect()}
-    assert got == {0: (True, None), 1: (False, None), 2: (False, None), 3: (True, None), 4: (True, ["a"]), 5: (True, None), 6: (False, None)}
+    assert got == {0: (True, None), 1: (False, None), 2: (False, None), 3: (True, None), 4: (True, 100), 5: (True, None), 6: (False, None)}
+
+
+def test_a_walk_that_is_too_long_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(quota, "WALK_ROWS", 3)
+    new = spark.createDataFrame([(i, i, ["a"]) for i in range(5)], "clip_id long, pos long, signature array<string>")
+    with pytest.raises(ValueError):
+        quota.quota_intake(new, new.limit(0), spark.createDataFrame([("a", 9)], "identity string, quota long"), 9)
 
 
 # --- telemetry --------------------------------------------------------------
@@ -277,7 +352,7 @@ def test_divergence_follows_runs_batch_by_batch(spark):
     rows = [(i, s, x + i / 10) for i in range(3) for s, x in enumerate(loss)] + [(None, s, x) for s, x in enumerate(loss)]
     want = [(i, *e) for i in (0, 1, 2, None) for e in metrics.Watch().feed(list(range(len(loss))), [x for r, _, x in rows if r == i], 0.02, 50, 15, 150, 300)]
     random.Random(3).shuffle(rows)
-    got = metrics.divergence_events(spark.createDataFrame(rows, "run_id long, step int, loss double"))
+    got = metrics.divergence_events(spark.createDataFrame(rows, "run_id long, step int, loss double"), warmup=50)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         key = lambda r: (str(r[0]), *r[1:])
@@ -352,5 +427,81 @@ def test_manifest_versions(spark, tmp_path):
 
 
 def test_capacity(spark):
-    clips = spark.createDataFrame([(i, "s") for i in range(60)], "clip_id int, source_stem string")
-    assert identity.capacity_limit(clips, 50, ["clip_id"]).count() == 50 and identity.capacity_limit(clips, 0, ["clip_id"]).count() == 60
+    clips = spark.createDataFrame([(i, f"s{i % 4}") for i in range(60)], "clip_id int, source_stem string").repartition(3)
+    for most in (50, 45, 15, 7, 60, 99, 0):
+        want = sorted((f"s{i % 4}", i) for i in range(60))[: most or None]
+        got = identity.capacity_limit(clips, most, ["clip_id"]).select("source_stem", "clip_id").collect()
+        assert sorted(map(tuple, got)) == want
+    assert identity.capacity_limit(clips.limit(0), 5, ["clip_id"]).count() == 0
+    short = identity.capacity_shortfall(clips, clips.limit(0), 70).first()
+    assert (short.samples, short.pool_remaining, short.shortfall, short.advice) == (60, 0, 10, "add sources")
+    assert identity.capacity_shortfall(clips, clips, 70).first().advice == "mine more" and identity.capacity_shortfall(clips, clips, 60).first().advice is None
+
+
+def test_references_with_gaps_and_in_many_blocks(spark, monkeypatch):
+    from cliploom.functions import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "BLOCKS_PER_PASS", 2)
+    rng = np.random.default_rng(4)
+    refs = rng.normal(size=(11, 6))
+    refs /= np.linalg.norm(refs, axis=1, keepdims=True)
+    order = [1, 5000, 5001, 9000, 12000, 40000, 40001, 50000, 60000, 70000, 90000]
+    table = spark.createDataFrame([(o, f"r{i % 9}", v.tolist()) for i, (o, v) in enumerate(zip(order, refs))], "ref_order int, trigger_name string, ref_embedding array<double>")
+    rows = rng.normal(size=(40, 6))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[0] = refs[1]
+    det = spark.createDataFrame([(i, v.tolist(), [f"r{i % 4}"] if i % 2 else None, 0.0, 1.0) for i, v in enumerate(rows)] + [(99, None, None, 0.0, 1.0)], "det_id int, embedding array<double>, on_screen array<string>, t_start double, t_end double")
+    sims = rows @ refs.T
+    got = {r.det_id: r for r in identity.match_face_refs(det, table, -1.0).collect()}
+    assert all(got[i].matched == f"r{sims[i].argmax() % 9}" and math.isclose(got[i].similarity, sims[i].max(), rel_tol=1e-5, abs_tol=1e-6) for i in range(40))
+    assert got[0].matched == "r1" and got[99].matched is None
+    over = {(r.det_id, r.trigger_name, round(r.similarity, 4)) for r in identity.match_scene_refs(det, table, 0.4).collect()}
+    assert over == {(i, f"r{j % 9}", round(float(sims[i, j]), 4)) for i in range(40) for j in range(11) if sims[i, j] >= 0.4}
+    said = {r.det_id: r for r in identity.attribute_speakers(det, table).collect()}
+    for i in range(40):
+        d = sorted((1 - sims[i, j] - (0.15 if i % 2 and f"r{j % 9}" == f"r{i % 4}" else 0.0), f"r{j % 9}") for j in range(11))
+        assert math.isclose(said[i].distance, d[0][0], rel_tol=1e-5, abs_tol=1e-6)
+        assert said[i].speaker == (d[0][1] if d[0][0] <= 0.7 and d[1][0] - d[0][0] >= 0.05 else "unknown")
+    assert identity.match_face_refs(det, table.limit(0)).where("matched IS NULL").count() == 41
+
+
+def test_media_and_references_by_extension(spark, tmp_path):
+    names = ["a.TIFF", "b.wmv", "c.flv", "d.tif", "_e.mp4", "notes.txt", "f.wav", "Big_Cat.png"]
+    for n in names:
+        (tmp_path / n).write_bytes(b"x")
+    files = media.list_files(spark, str(tmp_path))
+    assert {(r.path.rsplit("/", 1)[-1], r.kind) for r in media.scan_media(files).collect()} == {("a.TIFF", "image"), ("b.wmv", "video"), ("c.flv", "video"), ("d.tif", "image"), ("Big_Cat.png", "image")}
+    assert {r.ref_key for r in media.load_refs(files).collect()} == {"a", "d", "big-cat"}
+    assert {r.ref_key for r in media.load_refs(files, "location").collect()} == {"a", "d", "Big Cat"}
+    assert {r.ref_key for r in media.load_refs(files, "voice").collect()} == {"f"}  # names that begin with _ are hidden from listings
+
+
+def test_a_run_goes_on_from_its_averages(spark):
+    rows = [(1, s, float(s), e) for s, e in enumerate([None, 3.0, 2.0, 2.0, 5.0, 1.0], 1)] + [(2, 9, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "run_id long, step int, loss double, ema_loss double")
+    assert {(r.run_id, r.step) for r in metrics.resume_truncate(df, 5).collect()} == {(1, s) for s in range(1, 6)}
+    got = {r.run_id: (r.dropped, r.ema_last, r.ema_low, r.ema_low_step) for r in metrics.resume_state(df, 5).collect()}
+    assert got == {1: (1, 5.0, 2.0, 3), 2: (1, None, None, None)}
+
+
+def test_each_run_has_its_own_warm_up(spark):
+    loss = [1.0] * 60 + [9.0] * 540
+    rows = [(1, s, x) for s, x in enumerate(loss, 1)] + [(2, s, x) for s, x in enumerate(loss[:200], 1)]
+    got = metrics.divergence_events(spark.createDataFrame(rows, "run_id long, step int, loss double"), detect=20, stop=40).collect()
+    for run, n in ((1, 600), (2, 200)):
+        want = metrics.Watch().feed(list(range(1, n + 1)), loss[:n], 0.02, max(50, n // 4), 15, 20, 40)
+        assert want and sorted((r.step, r.event) for r in got if r.run_id == run) == [e[:2] for e in want]
+
+
+def test_status_has_totals(spark, tmp_path):
+    from cliploom.streaming import telemetry
+
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in (["a", "b", "b"], ["b", "d"]):
+        spark.createDataFrame([(x,) for x in batch], "identity string").coalesce(1).write.mode("append").parquet(source)
+        telemetry.stream_identity_status(spark.readStream.schema("identity string").parquet(source), sink).awaitTermination()
+    status = telemetry.current_status(spark, sink)
+    assert {(r.identity, r.appearances) for r in status.collect()} == {("a", 1), ("b", 3), ("d", 1), (None, 5)}
+    totals = telemetry.status_totals(status, status, status.limit(2), 9, 50).first()
+    assert (totals.appearances, totals.clips, totals.pool_remaining, totals.cap, totals.pool_total) == (5, 4, 2, 50, 9)
