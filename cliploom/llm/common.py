@@ -58,14 +58,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    made.append(out)
     return out
 
 
+#: Tables of stored() that are still there, in the order in which they were made.
+made: list[DataFrame] = []
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of stored() that nothing reads any more."""
     for df in tables:
         folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        made[:] = [t for t in made if t is not df]
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

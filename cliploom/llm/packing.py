@@ -283,14 +283,16 @@ def plan(totals: dict[int, int], targets: dict[int, int] | None, length: int) ->
     return [*phases, Rest(first, begins, dict(used), length)]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 5_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, targets: dict[str, float] | None = None, flatten: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 5_000) -> DataFrame:
     """Cut the token streams of all documents into windows of `length` with fixed shares of each source.
 
     Every source is a queue; window after window takes from each queue what its share and its deficit
     allow. Sources with under one token a window share a queue. Without targets the shares are those
     of the whole corpus, so that all queues end together and every window but the last is full. With
     targets (source -> weight) the windows keep to them as long as the queues last; when one ends, the
-    others go on in proportion; what no target can use follows, queue after queue.
+    others go on in proportion; what no target can use follows, queue after queue. `flatten` sets the
+    targets from the corpus: a source of n tokens has the weight n ** flatten, so that below 1 small
+    sources have more of each window than of the corpus, and the largest ones fill the last windows.
 
     A queue is ordered by runs, a run being one source's documents in one task of the reading; only
     the runs' sizes are shuffled to find where each begins, and tokens never are.
@@ -320,6 +322,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, t
     weights = None
     if targets:
         weights = {number[s]: round(w * 1_000_000) for s, w in targets.items() if s in number}
+    elif flatten is not None:
+        most = max(totals.values(), default=1)
+        weights = {q: max(1, round((n / most) ** flatten * 1_000_000)) for q, n in totals.items()}
     phases = plan(totals, weights, length)
     queue = F.lit(shared)
     if number:

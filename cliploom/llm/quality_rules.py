@@ -24,15 +24,18 @@ FEATURES = {
 FEW = 12
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (as _q_id), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of whole texts."""
+def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id (as _q_id), n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of whole texts; with `whole`, the row as struct _q_row too."""
     blank = F.expr(BLANKS_SQL)
-    rows = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_q_text"))
+    row = [F.struct(*docs.columns).alias("_q_row")] if whole else []
+    kept = ["_q_row"] if whole else []
+    rows = docs.select(*row, F.col(id_col).alias("_q_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_q_text"))
     rows = rows.withColumn("_q_trim", F.btrim("_q_text", blank))
     rows = rows.withColumn("_q_words", F.when(F.col("_q_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_q_trim", r"[\x20\x09-\x0D]+")))
     lines = F.filter(F.split("_q_text", "\n"), lambda x: F.btrim(x, blank) != "")
     w = F.col("_q_words")
     rows = rows.select(
+        *kept,
         "_q_id",
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -53,7 +56,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("_q_at", F.coalesce("_q_few", many, F.array().cast("array<int>"))).drop("_q_pairs", "_q_few", "_q_win", "_q_again")
     at = F.col("_q_at")
     covered = F.aggregate(F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return rows.select("_q_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
+    return rows.select(*kept, "_q_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
@@ -75,7 +78,15 @@ class Condition:
         return f"{self.feature} {'>=' if self.at_least else '<'} {self.threshold:.6g}"
 
 
-Rule = tuple[Condition, ...]
+@dataclass(frozen=True)
+class Rule:
+    """All conditions together tell the class: 1 is bad, 0 is good."""
+
+    conditions: tuple[Condition, ...]
+    bad: int
+
+    def __str__(self) -> str:
+        return " and ".join(map(str, self.conditions)) + (": reject" if self.bad else ": keep")
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -87,13 +98,15 @@ def with_features(counts: DataFrame) -> DataFrame:
 
 
 def learn_rules(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.95, min_bad: int = 5, cuts: int = 32) -> list[Rule]:
-    """Rules that find documents of quality 0, from all rows of labelled (_q_id, counts, _q_bad 0/1).
+    """An ordered list of rules for documents of quality 0 and 1, from all rows of labelled (_q_id, counts, _q_bad 0/1).
 
     Each value becomes a bin between quantiles of either class, ends included; rows with equal bins are added up.
     Two thirds of the documents (by a hash of the id) grow a rule, one condition of highest
     information gain after another, from one histogram a step; the rest prune its last conditions
     and accept it, if it is right in at least min_precision of at least min_bad documents. Covered
-    documents then leave. Only histograms (features x cuts rows) come to the driver.
+    documents then leave. A rule that rejects comes next where one is accepted; where none is, a rule
+    that keeps may take documents out of the way, once between two that reject. What no rule meets is
+    kept, so a last rule that keeps is dropped. Only histograms (features x cuts rows) come to the driver.
     """
     names = list(FEATURES)
     rows = with_features(labelled)
@@ -109,74 +122,106 @@ def learn_rules(labelled: DataFrame, max_rules: int = 6, max_conditions: int = 3
 
     bins = F.array(*[bin_of(n) for n in names])
     cells = rows.select(bins.alias("bins"), F.col("_q_bad").cast("int").alias("bad"), (F.pmod(F.xxhash64("_q_id"), F.lit(3)) == 0).alias("held"))
-    cells = stored(cells.groupBy("bins", "bad", "held").agg(F.count("*").alias("n")), "quality-cells")
+    cells = stored(cells.groupBy("bins", "bad", "held").agg(F.count("*").alias("n")), "quality-cells").persist()
     index = {n: i for i, n in enumerate(names)}
-    hits = lambda rule: _all([c.in_bins(index[c.feature]) for c in rule])
-    bad, good = F.sum(F.when(F.col("bad") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("bad") == 0, F.col("n")).otherwise(0))
-    rules: list[Rule] = []
-    left = cells
-    while len(rules) < max_rules:
-        rule: Rule = ()
-        while len(rule) < max_conditions:
-            seen = left.where(~F.col("held") & hits(rule)).select(F.posexplode("bins").alias("f", "bin"), "bad", "n")
+    hits = lambda conditions: _all([c.in_bins(index[c.feature]) for c in conditions])
+
+    def grown(left: DataFrame, target: int) -> tuple[Condition, ...]:
+        own, other = (F.sum(F.when(F.col("bad") == y, F.col("n")).otherwise(0)) for y in (target, 1 - target))
+        found: tuple[Condition, ...] = ()
+        while len(found) < max_conditions:
+            seen = left.where(~F.col("held") & hits(found)).select(F.posexplode("bins").alias("f", "bin"), "bad", "n")
             table: dict[int, dict[int, tuple[int, int]]] = {}
-            for r in seen.groupBy("f", "bin").agg(bad.alias("p"), good.alias("q")).collect():
+            for r in seen.groupBy("f", "bin").agg(own.alias("p"), other.alias("q")).collect():
                 table.setdefault(r.f, {})[r.bin] = (r.p, r.q)
             best = (0.0, None)
-            for f, found in table.items():
-                p_all, q_all = (sum(v[i] for v in found.values()) for i in (0, 1))
+            for f, bins_of in sorted(table.items()):
+                p_all, q_all = (sum(v[i] for v in bins_of.values()) for i in (0, 1))
                 if not q_all or not p_all:
                     continue
                 base = math.log2(p_all / (p_all + q_all))
                 for b in range(1, len(edges[names[f]]) + 1):
-                    p_up, q_up = (sum(v[i] for k, v in found.items() if k >= b) for i in (0, 1))
+                    p_up, q_up = (sum(v[i] for k, v in bins_of.items() if k >= b) for i in (0, 1))
                     for up, p, q in ((True, p_up, q_up), (False, p_all - p_up, q_all - q_up)):
                         gain = p * (math.log2(p / (p + q)) - base) if p else 0.0
                         if gain > best[0] + 1e-9:
                             best = (gain, Condition(names[f], up, float(edges[names[f]][b - 1]), b))
             if best[1] is None:
                 break
-            rule = (*rule, best[1])
-        if not rule:
-            break
-        shorter = [rule[:k] for k in range(1, len(rule) + 1)]
-        held = left.where(F.col("held"))
-        got = held.agg(*[F.coalesce(F.sum(F.when(hits(r) & (F.col("bad") == y), F.col("n"))), F.lit(0)).alias(f"{k}_{y}") for k, r in enumerate(shorter) for y in (0, 1)]).first()
-        scored = [((got[f"{k}_1"] - got[f"{k}_0"]) / max(1, got[f"{k}_1"] + got[f"{k}_0"]), got[f"{k}_1"], -len(r), k) for k, r in enumerate(shorter)]
-        fit = [s for s in scored if s[1] >= min_bad and (s[0] + 1) / 2 >= min_precision]
-        if not fit:
+            found = (*found, best[1])
+        return found
+
+    def accepted(left: DataFrame, conditions: tuple[Condition, ...], target: int) -> Rule | None:
+        shorter = [conditions[:k] for k in range(1, len(conditions) + 1)]
+        if not shorter:
+            return None
+        got = left.where(F.col("held")).agg(*[F.coalesce(F.sum(F.when(hits(c) & (F.col("bad") == y), F.col("n"))), F.lit(0)).alias(f"{k}_{y}") for k, c in enumerate(shorter) for y in (0, 1)]).first()
+        right = [(got[f"{k}_{target}"], got[f"{k}_{1 - target}"]) for k in range(len(shorter))]
+        scored = [((p - q) / max(1, p + q), p, -len(shorter[k]), k) for k, (p, q) in enumerate(right)]
+        fit = [x for x in scored if x[1] >= min_bad and (x[0] + 1) / 2 >= min_precision]
+        # of those that are right often enough, the one that finds most
+        return Rule(shorter[max(fit, key=lambda x: (x[1], x[0], x[2]))[3]], target) if fit else None
+
+    rules: list[Rule] = []
+    left = cells
+    while len(rules) < max_rules:
+        rule = accepted(left, grown(left, 1), 1)
+        if rule is None and not (rules and rules[-1].bad == 0):
+            rule = accepted(left, grown(left, 0), 0)
+        if rule is None:
             break
-        # of the rules that are right often enough, the one that finds most
-        rule = shorter[max(fit, key=lambda s: (s[1], s[0], s[2]))[3]]
         rules.append(rule)
-        left = left.where(~hits(rule))
-    return rules
+        left = left.where(~hits(rule.conditions))
+    cells.unpersist()
+    return rules[:-1] if rules and rules[-1].bad == 0 else rules
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """Number of the first rule that a document meets (from 1), else 0, as one conditional expression."""
+    """Number of the first rule that a document meets (from 1), negative if that rule keeps it; 0 without one. One conditional expression."""
     out = F.when(F.lit(False), F.lit(0))
     for k, rule in enumerate(rules, 1):
-        out = out.when(_all([c.column() for c in rule]), F.lit(k))
+        out = out.when(_all([c.column() for c in rule.conditions]), F.lit(k if rule.bad else -k))
     return out.otherwise(F.lit(0))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _labels(labels: DataFrame, label_id: str, label_col: str) -> DataFrame:
+    return labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id).alias("_q_lid")).agg(F.min(label_col).alias("_q_label"))
+
+
+def _with_labels(counts: DataFrame, known: DataFrame) -> DataFrame:
+    return counts.where(~_failed()).join(known, F.col("_q_id") == F.col("_q_lid")).withColumn("_q_bad", 1 - F.col("_q_label"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", **learning) -> tuple[DataFrame, list[Rule]]:
+    """The rows of docs that judge_quality() keeps, with all their columns, and the rules.
+
+    Counts are written beside the rows, so that every row is judged where it stands, by its own text:
+    nothing is shuffled, and rows with a null or repeated id are judged each for itself.
+    """
+    rows = stored(text_counts(docs, id_col, text_col, whole=True), "quality-rows")
+    rules = learn_rules(_with_labels(rows.drop("_q_row"), _labels(labels, label_id, label_col)), **learning)
+    return with_features(rows).where(~_failed() & (verdict(rules) <= 0)).select("_q_row.*"), rules
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", **learning) -> tuple[DataFrame, list[Rule]]:
     """Counts and verdict of every document, and the learned rules.
 
     Words are runs of characters outside U+0020 and U+0009..U+000D. base_failed: under 50 words, or
     more than half of them in three-word windows found twice or more. kept: neither base_failed nor
-    met by a learned rule. Labels that are null or of unknown documents teach nothing; without
+    rejected by the first learned rule that is met. Labels that are null or of unknown documents teach nothing; without
     labels there is no rule. Null and empty texts have no words and fail the base rule; repeated
     rows are each judged; other columns of docs are not read.
 
+    rule is the number of the first rule that is met, negative if that rule keeps.
+
     Result: (id_col, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
     base_failed, rule, kept), rules. The text is read once.
     """
     counts = stored(text_counts(docs, id_col, text_col), "quality-counts")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_id).alias("_q_lid")).agg(F.min(label_col).alias("_q_label"))
-    labelled = counts.where(~base).join(known, F.col("_q_id") == F.col("_q_lid")).withColumn("_q_bad", 1 - F.col("_q_label"))
-    rules = learn_rules(labelled, **learning)
-    judged = with_features(counts).withColumns({"base_failed": base, "rule": verdict(rules)})
-    return judged.select(F.col("_q_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept")), rules
+    rules = learn_rules(_with_labels(counts, _labels(labels, label_id, label_col)), **learning)
+    judged = with_features(counts).withColumns({"base_failed": _failed(), "rule": verdict(rules)})
+    return judged.select(F.col("_q_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") <= 0)).alias("kept")), rules

@@ -1,8 +1,10 @@
 """A corpus pipeline over `documents`: quality, language, lines, near duplicates, packing.
 
-Every stage works on all documents that the one before it kept, and its decisions take effect. Rows
-with a null doc_id pass every stage on their own text; rows that share a doc_id count as one
-document; an empty table gives no sequence.
+Every stage works on all documents that the one before it kept, and its decisions take effect. Each
+row is judged by its own text in the first two stages. In the others rows that share a doc_id count as
+one document, and rows with a null doc_id keep their lines and are no duplicates. Null and empty texts
+fail the quality rule; very long texts are worked on whole; columns beside those of documents are
+carried along to the last stage, whatever their names; an empty table gives no sequence.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import language_id, line_dedup, ngram_join, packing, quality_rules
-from cliploom.llm.common import stored
+from cliploom.llm import common, language_id, line_dedup, ngram_join, packing, quality_rules
+from cliploom.llm.common import BLANKS_SQL, discard, stored
 from cliploom.llm.queries import crc_rest, tokenizer_path
 
-#: The least score of the predicted language.
-LEAST_SCORE = 0.4
+#: The least score of the predicted language, and how far the mixture of sources is flattened.
+LEAST_SCORE, FLATTEN = 0.5, 0.7
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -23,9 +25,9 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay that neither fail the base rule nor meet a rule learned from the labels of what is there."""
-    judged, _ = quality_rules.judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where(~F.col("kept")))
+    """Documents stay that neither fail the base rule nor are rejected by a rule learned from the labels of what is there."""
+    kept, _ = quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines go that a document of smaller id has; n_chars follows the text."""
+    """Lines go that a document of smaller id has, and documents of which no word is left; n_chars follows the text."""
     out = line_dedup.dedup_lines(docs)
+    out = out.where((F.col("_n_dropped") == 0) | (F.btrim("text", F.expr(BLANKS_SQL)) != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -48,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, with the shares of the sources in all that was kept."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096)
+    """Pieces of sequences of 4096 tokens, mixed from the sources by flattened shares."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, length=4096, flatten=FLATTEN)
 
 
 STAGES = [("quality", quality), ("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("sequences", sequences)]
@@ -59,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; a stage's work tables, and the table that it read, go when its own is written."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        begun = len(common.made)
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*common.made[begun:-1])
+        if hasattr(before, "stored_at"):
+            discard(before)
+        before = docs
     return docs

@@ -296,11 +296,11 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
     words = {i: len((t or "").encode().split()) for i, t in kept["quality"].items()}
     assert min(words.values()) >= 50
-    assert set(kept["language"]) <= set(kept["quality"]) and set(kept["lines"]) == set(kept["language"])
+    assert set(kept["language"]) <= set(kept["quality"])
     from tests.llm.test_text_operators import brute_groups, brute_lines
 
     want = {i: t for i, t, *_ in brute_lines(list(kept["language"].items()))}
-    assert kept["lines"] == want
+    assert kept["lines"] == {i: t for i, t in want.items() if t == kept["language"][i] or t.strip(" \t\n\x0b\x0c\r")}
     groups = brute_groups(list(kept["lines"].items()))
     assert set(kept["near_duplicates"]) == {i for i, (_, low) in groups.items() if i == low}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
@@ -310,6 +310,21 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
         assert sum(r.length for r in own) == own[0].doc_tokens
 
 
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(300_000))
+    more = [(None, "short", "en", "s", 5), (None, "the of and to in is that for it as with was on be by at this from or an are have not one had all were we her when there their been has if more who so no out up them then than into only some could time these two may any other what will said each which do how about many its now over such our man me even most made after also did must before through back years where much your way well down should because " * 2, "en", "s", 1), (7_000_001, None, None, None, None), (7_000_002, long, "en", None, 1), (7_000_002, long, "en", None, 1)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"n_words": F.lit("x"), "_lang": F.lit(1), "component_id": F.lit(None).cast("string"), "length": F.lit(3)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "language":
+            docs = docs.drop("_lang")
+        docs = stored(stage(spark, docs, sf_dir), name)
+        assert "component_id" in docs.columns and docs.where("doc_id IS NULL AND text = 'short'").count() == 0
+    assert docs.where("doc_id = 7000002").count() == 2 and docs.where("doc_id = 7000001").count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert pieces.where("doc_id = 7000002").agg(F.sum("length")).first()[0] == 2 * pieces.where("doc_id = 7000002").first().doc_tokens
+
+
 def test_pipeline_of_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -99,10 +99,41 @@ def test_a_rule_is_learned_and_kept_documents_are_clean(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1) for i in range(300)] + [(0, None), (9999, 0)], "doc_id long, quality int")
     judged, rules = quality_rules.judge_quality(docs, labels)
-    assert rules and all(len(r) <= 3 for r in rules)
+    assert rules and all(len(r.conditions) <= 3 for r in rules)
     assert {r.doc_id for r in judged.where("NOT kept").collect()} == {i for i in range(400) if i % 4 == 0}
 
 
+def test_rules_of_both_classes_are_ordered(spark):
+    # bad: many symbols; but of these, texts of 200 words and more are good, and half of the shorter ones with few symbols are too
+    rows, labels = [], []
+    for i in range(3000):
+        n, marked = (220 if i % 3 == 0 else 60), i % 2 == 0
+        rows.append((i, " ".join(f"w{i}x{j}{'%%%' if marked else ''}" for j in range(n))))
+        labels.append((i, 0 if marked and (n == 60 or i % 10 == 0) else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_words": F.lit("x"), "rule": F.lit(None).cast("int")})
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    judged, rules = quality_rules.judge_quality(docs, table)
+    assert rules and rules[-1].bad == 1
+    got = {r.doc_id: (r.rule, r.kept) for r in judged.collect()}
+    assert all(kept == (rule <= 0) for rule, kept in got.values())
+    wrong = sum(got[i][1] != bool(q) for i, q in labels)
+    assert wrong <= 100  # the tenth of the long ones is noise
+    kept, again = quality_rules.keep_good(docs.unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))), table)
+    assert kept.columns == docs.columns and again == rules
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i, (_, k) in got.items() if k] + [None])
+
+
+def test_rules_hold_on_labels_that_were_kept_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
+    judged, _ = quality_rules.judge_quality(docs, labels.where(~out))
+    rows = judged.where("NOT base_failed").join(labels.where(out & F.col("quality").isin(0, 1)), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in rows}
+    assert n.get((0, False), 0) >= 0.8 * (n.get((0, False), 0) + n.get((0, True), 0)) > 0
+    assert n.get((1, False), 0) <= 0.02 * n[1, True]
+
+
 def test_quality_without_labels_or_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     judged, rules = quality_rules.judge_quality(odd, labels)
@@ -167,10 +198,10 @@ def whole_ids(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [2]
 
 
-@pytest.mark.parametrize("targets", [None, {"s0": 3.0, "s1": 1.0}])
-def test_packing_holds_every_token_once(odd, targets):
+@pytest.mark.parametrize("targets, flatten", [(None, None), ({"s0": 3.0, "s1": 1.0}, None), (None, 0.5)])
+def test_packing_holds_every_token_once(odd, targets, flatten):
     path = queries.tokenizer_path("word_bpe_49k.json")
-    rows = packing.pack(odd, path, length=64, targets=targets, rows_per_bucket=2).collect()
+    rows = packing.pack(odd, path, length=64, targets=targets, flatten=flatten, rows_per_bucket=2).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -193,7 +224,7 @@ def test_packing_holds_every_token_once(odd, targets):
             at += r.length
         assert at <= 64
     full = [k for k in by_seq if sum(r.length for r in by_seq[k]) == 64]
-    assert len(by_seq) - len(full) <= (1 if targets is None else 2)
+    assert len(by_seq) - len(full) <= (1 if targets is None and flatten is None else 2)
 
 
 def test_every_window_has_the_mixture_of_the_whole():
