@@ -97,5 +97,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     for key in last:
         shard = shard + (F.col("key") > F.lit(key)).cast("int")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    placed = running_total(rows.withColumn("shard", shard.cast("int")), ["shard"], ["_sh_id", "key"], F.lit(1), "slot", F.col("_sh_id"), max(32, total // rows_per_bucket))
+    placed = running_total(rows.withColumn("shard", shard.cast("int")), ["shard"], ["_sh_id", "key"], F.lit(1), "slot", F.struct("_sh_id", "key"), max(32, total // rows_per_bucket))
     return placed.select(F.col("_sh_id").alias(id_col), "size", "text_crc32", "shard", "slot")
