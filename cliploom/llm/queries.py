@@ -72,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.train_network(docs.where(crc_rest("doc_id", 4) != 2))
     out = language_id.identify(docs, net, keep=["doc_id"])
-    return out.select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return out.select("doc_id", F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
