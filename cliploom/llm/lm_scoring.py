@@ -22,7 +22,7 @@ WORDS = WORD_CLASSES * MEMBERS
 #: Contexts that have weights: the previous word, the previous two, and the one before the previous (skip).
 FEATURES = 3
 #: Hashed weight rows of a feature: at least and at most (151 MB of weights, what a task can hold), sqrt(tokens) between.
-LEAST_ROWS, MOST_ROWS = 1024, 1 << 17
+LEAST_ROWS, MOST_ROWS = 4096, 1 << 17
 #: Shards of a round at least, tokens of a shard for each weight row, parts in which weights are averaged.
 LEAST_SHARDS, TOKENS_PER_ROW, PARTS = 8, 256, 256
 #: Bytes of text and tokens that a worker handles at once, and tokens of one gradient step.
@@ -287,7 +287,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 
 def _averaged(tokens: DataFrame, w: Weights, cells: Cells, rate: float, rounds: int, part: int, shards: int) -> Weights:
-    """One round: every shard takes steps on its texts; the weights are averaged by tokens, in the order of the shards."""
+    """One round: every shard takes steps on its texts; each weight is averaged, by tokens, over the shards that moved it, in their order."""
     sent = tokens.sparkSession.sparkContext.broadcast((w, cells))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,10 +324,11 @@ def _averaged(tokens: DataFrame, w: Weights, cells: Cells, rate: float, rounds:
         sums: dict[int, list] = {}
         for batch in batches:
             for part, _, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = sums.setdefault(part, [0, 0.0])
-                got[0] += n
-                got[1] = got[1] + np.frombuffer(w, np.float16).astype(np.float64) * n
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([(w / n).astype(np.float32).tobytes() for n, w in sums.values()], pa.binary())], names=["part", "w"])
+                moved = np.frombuffer(w, np.float16).astype(np.float64)
+                got = sums.setdefault(part, [np.zeros(len(moved)), np.zeros(len(moved))])
+                got[0] += n * (moved != 0)
+                got[1] += n * moved
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([(w / np.maximum(n, 1)).astype(np.float32).tobytes() for n, w in sums.values()], pa.binary())], names=["part", "w"])
 
     dealt = tokens.where(F.expr(f"pmod(_lm_deal, {rounds})") == part).select("_lm_deal", "_lm_keys").mapInArrow(narrow, "shard int, deal long, k binary")
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "deal", "k").select("shard", "k")
