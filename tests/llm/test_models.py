@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -330,3 +331,52 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf_dir), "none")
         assert docs.count() == 0
+
+
+def message(*fields):
+    """A protocol-buffer message of (number, value) fields: ints, floats (32 bits) and bytes."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    kinds = {int: lambda k, v: varint(k << 3) + varint(v), float: lambda k, v: varint(k << 3 | 5) + np.float32(v).tobytes(), bytes: lambda k, v: varint(k << 3 | 2) + varint(len(v)) + v}
+    return b"".join(kinds[type(v)](k, v) for k, v in fields)
+
+
+def small_model(path, kind, pieces, fallback, squeeze, prefix, rule=None, users=()):
+    """Writes a model of given pieces (no training), with the character map that the library has under the name `rule`."""
+    rows = [(b"<unk>", 0.0, 2), (b"<s>", 0.0, 3), (b"</s>", 0.0, 3), *((u.encode(), 0.0, 4) for u in users)]
+    rows += [(f"<0x{b:02X}>".encode(), 0.0, 6) for b in range(256)] if fallback else []
+    rows += [(w.encode(), s, 1) for w, s in pieces.items()]
+    charsmap = b""
+    if rule:
+        spec = dict(sentencepiece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+        charsmap = dict(sentencepiece_fst._fields(spec))[2]
+    normal = message((1, (rule or "identity").encode()), *([(2, charsmap)] if charsmap else []), (3, int(prefix)), (4, int(squeeze)), (5, 1))
+    raw = b"".join(message((1, message((1, w), (2, s), (3, k)))) for w, s, k in rows) + message((2, message((3, kind), (35, int(fallback)))), (3, normal))
+    path.write_bytes(raw)
+    return sentencepiece.SentencePieceProcessor(model_proto=raw), sentencepiece_fst.Transducer(str(path))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback,squeeze,prefix,rule,users", [(True, True, True, "nmt_nfkc", ()), (False, True, True, "nfkc_cf", ("<sep>", "a[b]")), (True, False, False, None, ("ab",)), (False, False, True, "nmt_nfkc_cf", ())])
+def test_small_models_equal_the_library(tmp_path, kind, fallback, squeeze, prefix, rule, users):
+    rng = np.random.default_rng(11)
+    names = {c for c in "▁abcdeé한"} | {"".join(rng.choice(list("abcdeé"), rng.integers(2, 5))) for _ in range(40)}
+    names |= {"▁" + w for w in list(names)[:25] if "▁" not in w} | {"▁▁"} | ({"a▁b", "c▁"} if kind == 1 else set())
+    names -= set(users)
+    pieces = {w: -float(rng.integers(8, 96)) / 8 for w in sorted(names)}  # eighths: sums are exact, ties occur
+    if kind == 2:
+        pieces = {w: -float(i) for i, w in enumerate(sorted(pieces, key=lambda w: (len(w), w)))}
+    library, fst = small_model(tmp_path / "m.model", kind, pieces, fallback, squeeze, prefix, rule, users)
+    letters = list("aabbccddeeé") + [" ", " ", "  ", "▁", "x", "Ａ", "ﬁ", "①", "é", " ", "\t", "\n", "​", "\x01", "한", "ᄒ", "ß", "😀", "´", "<sep>", "a[b]", "A", "\x00"]
+    texts = ["", " ", "  ", "\x01", "▁", "a", " a ", "a" * 3000, "ab c" * 2000] + ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(1500)]
+    for t in texts:
+        ids = np.frombuffer(fst.encode(t), fst.dtype).tolist()
+        assert ids == library.encode(t), (t, library.encode(t, out_type=str))
+        assert fst.decode(np.array(ids, fst.dtype).tobytes()) == library.decode(ids), (t, ids)
+
+
+def test_other_models_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        small_model(tmp_path / "w.model", 3, {"▁a": -1.0}, False, True, True)
