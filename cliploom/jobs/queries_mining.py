@@ -177,7 +177,28 @@ def shift_search(t: Tables):
     return M.shift_search(t.b_chunks, t.b_matches).select("video_id", "chunk_idx", "shift", "hits", "unknowns")
 
 
-@register("shift_extend")
+#: As CAND, with moves of 1.5 and 2 lengths only, a quarter of hits required, and three quarters of unknown faces allowed.
+WIDE = CAND.replace("SELECT CAST(k AS INT) AS k, CASE WHEN k <= 8 THEN -k * 0.25 ELSE (k - 8) * 0.25 END AS part FROM range(1, 17) g(k)", "SELECT * FROM (VALUES (1, -1.5), (2, -2.0), (3, 1.5), (4, 2.0)) v(k, part)")
+WIDE = WIDE.replace("round_even(0.25 * n_pos, 0)", "round_even(3 * n_pos / 4, 0)").replace("round_even(0.75 * n_pos, 0)", "round_even(n_pos / 4, 0)")
+
+
+@register(
+    "shift_extend",
+    f"""WITH {WIDE},
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY video_id, chunk_idx
+  ORDER BY hits DESC, CASE WHEN hits = n_pos THEN 0 ELSE unknowns END, CASE WHEN hits = n_pos THEN 0 ELSE abs(shift) END, k) = 1),
+far AS (SELECT c.*, hits AS hits_before, sign(shift) AS side, end_frame - start_frame AS size FROM best JOIN b_chunks c USING (video_id, chunk_idx)
+  WHERE shift <> 0 AND hits < n_pos AND abs(shift) >= floor((end_frame - start_frame) * 2 / 8) * 8),
+further AS (SELECT *, CAST(o AS INT) AS search_order, CAST(side * floor(floor(size * (2 + o * 0.25)) / 8) * 8 AS INT) AS shift FROM far CROSS JOIN range(1, 9) g(o)),
+seen AS (SELECT f.video_id, chunk_idx, search_order, shift, hits_before, start_frame + shift >= first_frame AND end_frame + shift <= last_frame AS inside,
+  count(*) FILTER (coalesce(hit, false)) AS hits, count(*) FILTER (coalesce(m.unknown, false)) AS unknowns, count(*) AS n_pos
+  FROM further f CROSS JOIN range(0, 4) p(i) LEFT JOIN b_matches m ON m.video_id = f.video_id AND m.frame = start_frame + shift + CAST(floor(i * size / 4) AS INT) GROUP BY ALL),
+judged AS (SELECT *, inside AND hits >= greatest(1, round_even(n_pos / 4, 0)) AND unknowns <= round_even(3 * n_pos / 4, 0)
+  AND hits >= coalesce(lag(hits) OVER w, hits_before) AND NOT coalesce(lag(hits = n_pos) OVER w, false) AS good
+  FROM seen WINDOW w AS (PARTITION BY video_id, chunk_idx ORDER BY search_order))
+SELECT video_id, chunk_idx, search_order, shift, hits, unknowns, n_pos FROM judged
+QUALIFY bool_and(good) OVER (PARTITION BY video_id, chunk_idx ORDER BY search_order)""",
+)
 def shift_extend(t: Tables):
     # a wide tolerance, so that many chunks end at the farthest move
     best = M.shift_search(t.b_chunks, t.b_matches, required=0.25, unknown=0.75, fractions=(1.5, 2.0))
