@@ -22,7 +22,26 @@ def loss_ema(t: Tables):
     return out.select("run_id", "step", *[F.round(c, 6).alias(c) for c in ("ema_before", "ema_after", "chart_ema")])
 
 
-@register("divergence_events")
+def watch_sql(rows: str, warmup: int | None, alpha: float, threshold: float, detect: int, stop: int, least_warmup: int = 0) -> str:
+    """The divergence watch as a recursion over the steps of all runs at once. rows: a table of run_id, step, loss."""
+    first = f"greatest({least_warmup}, floor(max(step) OVER (PARTITION BY run_id) * 0.25))" if warmup is None else warmup
+    return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT run_id, step, loss, {first} AS first, row_number() OVER (PARTITION BY run_id ORDER BY step) AS n FROM {rows}),
+w AS (SELECT DISTINCT run_id, 0::BIGINT AS n, 0 AS step, NULL::DOUBLE AS ema, NULL::DOUBLE AS low, 0 AS since, false AS watched, false AS reset, false AS stopped, NULL::DOUBLE AS over, false AS began, NULL::VARCHAR AS event FROM m
+ UNION ALL SELECT run_id, n, step, ema, low, CASE event WHEN 'recovered' THEN 0 WHEN 'lr_reset' THEN step ELSE since END, watched AND event IS DISTINCT FROM 'recovered',
+  CASE event WHEN 'recovered' THEN false WHEN 'lr_reset' THEN true ELSE reset END, stopped OR event IS NOT DISTINCT FROM 'stop', over, began, event
+ FROM (SELECT * EXCLUDE (watched), watched OR began AS watched, CASE WHEN NOT active OR NOT (watched OR began) THEN NULL WHEN NOT high THEN 'recovered' WHEN step - since < {stop} THEN NULL WHEN reset THEN 'stop' ELSE 'lr_reset' END AS event
+ FROM (SELECT *, active AND high AND NOT watched AND step - since >= {detect} AS began
+ FROM (SELECT * EXCLUDE (since), CASE WHEN NOT active OR watched THEN since WHEN NOT high THEN 0 WHEN since = 0 THEN step ELSE since END AS since
+ FROM (SELECT *, active AND over > {threshold} AS high
+ FROM (SELECT *, CASE WHEN low > 0 THEN (ema - low) / low * 100 ELSE 0 END AS over
+ FROM (SELECT * EXCLUDE (low), CASE WHEN active THEN least(ema, low) ELSE low END AS low
+ FROM (SELECT w.run_id, m.n, m.step, CASE WHEN w.ema IS NULL THEN m.loss WHEN w.stopped THEN w.ema ELSE {1 - alpha}::DOUBLE * w.ema + {alpha}::DOUBLE * m.loss END AS ema,
+   w.low, w.since, w.watched, w.reset, w.stopped, NOT w.stopped AND m.step >= m.first AS active FROM w JOIN m ON m.run_id = w.run_id AND m.n = w.n + 1))))))))
+SELECT run_id, step, 'monitor' AS event, round(over, 6) AS percent_over FROM w WHERE began
+UNION ALL SELECT run_id, step, event, round(over, 6) FROM w WHERE event IS NOT NULL"""
+
+
+@register("divergence_events", watch_sql("b_metrics", **{**LIMITS, "warmup": None}, least_warmup=10))
 def divergence_events(t: Tables):
     # each run's own warm-up: a quarter of its steps, 10 at least
     limits = {k: v for k, v in LIMITS.items() if k != "warmup"}
@@ -86,7 +105,7 @@ def event_stream(t: Tables, folder: str = "events"):
     return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{folder}.parque[t]")
 
 
-@register("stream_divergence")
+@register("stream_divergence", watch_sql("(SELECT user_id AS run_id, event_id::INT AS step, value AS loss FROM events)", **LIMITS))
 def stream_divergence(t: Tables):
     stream = event_stream(t).select(F.col("user_id").alias("run_id"), F.col("event_id").cast("int").alias("step"), F.col("value").alias("loss"))
     path = S.work_path(t.spark, "divergence")

@@ -10,7 +10,7 @@ from cliploom import jobs
 from cliploom.jobs import bindings
 
 #: Those that SQL can't say, with the test that holds them against a restatement.
-OTHERWISE = {"normalize_caption", "silence_dp_cuts", "align_words_to_lines", "rebalance_over_quota", "quota_intake", "divergence_events", "stream_divergence"}
+OTHERWISE = {"normalize_caption", "silence_dp_cuts", "align_words_to_lines", "rebalance_over_quota", "quota_intake"}
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert got == sorted(str([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(OTHERWISE - {"stream_divergence"}))
+@pytest.mark.parametrize("name", sorted(OTHERWISE))
 def test_query_runs(spark, sf_dir, name):
     assert jobs.QUERIES[name](spark, sf_dir).count() >= 0
 
