@@ -275,7 +275,16 @@ def quotas(t: Tables, part: float):
     return t.b_members.groupBy("identity").agg(F.floor(F.count("*") * part).cast("bigint").alias("quota"))
 
 
-@register("rebalance_over_quota")
+@register(
+    "rebalance_over_quota",
+    """WITH RECURSIVE counted AS (SELECT identity, count(*) - floor(count(*) * 0.9::DOUBLE)::BIGINT AS excess FROM (SELECT DISTINCT clip_id, identity FROM b_members) d GROUP BY identity),
+clips AS (SELECT clip_id, list_sort(list(identity)) AS signature, max(excess) AS most FROM (SELECT DISTINCT clip_id, identity FROM b_members) d JOIN counted USING (identity) GROUP BY clip_id),
+m AS MATERIALIZED (SELECT clip_id, signature, row_number() OVER (ORDER BY most DESC, clip_id) AS n FROM clips),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS clip_id, NULL::VARCHAR[] AS signature, false AS gone, (SELECT list({'identity': identity, 'excess': excess}) FROM counted) AS spare
+ UNION ALL SELECT n, clip_id, signature, gone, CASE WHEN gone THEN list_transform(spare, lambda x: {'identity': x.identity, 'excess': x.excess - list_contains(signature, x.identity)::BIGINT}) ELSE spare END
+ FROM (SELECT m.n, m.clip_id::BIGINT AS clip_id, m.signature, len(list_filter(w.spare, lambda x: x.excess <= 0 AND list_contains(m.signature, x.identity))) = 0 AS gone, w.spare FROM walk w JOIN m ON m.n = w.n + 1))
+SELECT clip_id, array_to_string(signature, ',') AS signature FROM walk WHERE gone""",
+)
 def rebalance_over_quota(t: Tables):
     return Q.rebalance_over_quota(I.signatures(t.b_members), quotas(t, 0.9)).select("clip_id", F.array_join("signature", ",").alias("signature"))
 
