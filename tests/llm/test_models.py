@@ -343,7 +343,7 @@ def message(*fields):
     return b"".join(kinds[type(v)](k, v) for k, v in fields)
 
 
-def small_model(path, kind, pieces, fallback, squeeze, prefix, rule=None, users=()):
+def unigram_or_pairs(path, kind, pieces, fallback, squeeze, prefix, rule=None, users=()):
     """Writes a model of given pieces (no training), with the character map that the library has under the name `rule`."""
     rows = [(b"<unk>", 0.0, 2), (b"<s>", 0.0, 3), (b"</s>", 0.0, 3), *((u.encode(), 0.0, 4) for u in users)]
     rows += [(f"<0x{b:02X}>".encode(), 0.0, 6) for b in range(256)] if fallback else []
@@ -368,7 +368,7 @@ def test_small_models_equal_the_library(tmp_path, kind, fallback, squeeze, prefi
     pieces = {w: -float(rng.integers(8, 96)) / 8 for w in sorted(names)}  # eighths: sums are exact, ties occur
     if kind == 2:
         pieces = {w: -float(i) for i, w in enumerate(sorted(pieces, key=lambda w: (len(w), w)))}
-    library, fst = small_model(tmp_path / "m.model", kind, pieces, fallback, squeeze, prefix, rule, users)
+    library, fst = unigram_or_pairs(tmp_path / "m.model", kind, pieces, fallback, squeeze, prefix, rule, users)
     letters = list("aabbccddeeé") + [" ", " ", "  ", "▁", "x", "Ａ", "ﬁ", "①", "é", " ", "\t", "\n", "​", "\x01", "한", "ᄒ", "ß", "😀", "´", "<sep>", "a[b]", "A", "\x00"]
     texts = ["", " ", "  ", "\x01", "▁", "a", " a ", "a" * 3000, "ab c" * 2000] + ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(1500)]
     for t in texts:
@@ -379,4 +379,4 @@ def test_small_models_equal_the_library(tmp_path, kind, fallback, squeeze, prefi
 
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(ValueError):
-        small_model(tmp_path / "w.model", 3, {"▁a": -1.0}, False, True, True)
+        unigram_or_pairs(tmp_path / "w.model", 3, {"▁a": -1.0}, False, True, True)
