@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sentencepiece_fst, sharding, topk_search, url_filter
+from . import language_id, lexical_search, line_dedup, lm_scoring, ngram_join, packing, prefix_trie, quality_rules, sentencepiece_fst, sharding, topk_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -90,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,4 +132,37 @@ links AS (SELECT a, b FROM pairs WHERE 100 * i >= 80 * (na + nb - i) UNION ALL S
 reach AS (SELECT DISTINCT a AS node, a AS low FROM links UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node)
 SELECT sets.doc_id, len(s) AS n_shingles, coalesce(least(sets.doc_id, min(low)), sets.doc_id) AS component_id
 FROM sets LEFT JOIN reach ON reach.node = sets.doc_id GROUP BY sets.doc_id, s""",
+    "op11_prefix_trie": """
+WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32, bit by bit
+h AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+  lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+taken AS (SELECT h.c, t.pos, role, text FROM h JOIN t ON t.c = h.c - h.c % 5 AND t.pos <= h.h),
+n AS (SELECT h.c, h.h, count(taken.pos) AS took FROM h LEFT JOIN taken ON taken.c = h.c GROUP BY h.c, h.h),
+r AS (SELECT * FROM taken UNION ALL SELECT t.c, n.took + t.pos - n.h, role, text FROM t JOIN n USING (c) WHERE t.pos > n.h),
+-- a prefix is named by the hashes of its turns, one after the other
+pre AS (SELECT c, 0 AS d, '' AS path, 0 AS bytes FROM n
+  UNION ALL SELECT pre.c, pre.d + 1, pre.path || sha256(length(r.role) || ':' || r.role || r.text), strlen(r.text) FROM pre JOIN r ON r.c = pre.c AND r.pos = pre.d + 1),
+node AS (SELECT path, d, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes FROM pre GROUP BY path, d),
+kids AS (SELECT p.path, count(k.path) AS n_children FROM node p LEFT JOIN node k ON k.d = p.d + 1 AND k.path[:64 * p.d] = p.path GROUP BY p.path),
+sub AS (SELECT p.path, count(*) FILTER (kids.n_children = 0) AS n_leaves, sum((u.n - 1) * u.bytes) AS saved
+  FROM node p JOIN node u ON u.d >= p.d AND u.path[:64 * p.d] = p.path JOIN kids ON kids.path = u.path GROUP BY p.path),
+total AS (SELECT c, max(d) AS d FROM pre GROUP BY c),
+ends AS (SELECT pre.path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM pre JOIN total USING (c, d) GROUP BY pre.path)
+SELECT node.c AS conv_id, CAST(node.d AS BIGINT) AS depth, up.c AS parent_conv_id, node.n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN kids USING (path) JOIN sub USING (path) LEFT JOIN ends USING (path) LEFT JOIN node up ON up.d = node.d - 1 AND up.path = node.path[:64 * (node.d - 1)]""",
+    "op12_lexical_search": f"""
+WITH pat AS (SELECT '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+' AS p),
+dt AS (SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, (SELECT p FROM pat))) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM dt GROUP BY doc_id, t),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+facts AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS l FROM n),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, facts GROUP BY t),
+m AS (SELECT doc_id, 25 + (75 * n * big_n) // l AS m FROM n, facts),
+q AS (SELECT item_id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, (SELECT p FROM pat))) AS t FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
