@@ -51,6 +51,8 @@ VIEWS = {
     "b_lines": "SELECT conv_id AS clip_id, CAST(turn AS INT) AS line, role AS speaker, text FROM conversations",
     "b_segments": """SELECT clip_id, line, speaker, text, CAST(coalesce(sum(length(text)) OVER (PARTITION BY clip_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) * 6 / 100 AS t_start,
   CAST(sum(length(text)) OVER (PARTITION BY clip_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) * 6 / 100 AS t_end FROM b_lines""",
+    "b_names": """SELECT CAST(item_id + 10 AS INT) AS ref_order, CASE item_id % 3 WHEN 0 THEN split_part(text, ' ', 1) WHEN 1 THEN concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)) ELSE lower(split_part(text, ' ', 2)) END AS name FROM benchmark
+  UNION ALL SELECT 0, 'the-ha' UNION ALL SELECT 1, 'the' UNION ALL SELECT 2, 'is the' UNION ALL SELECT 3, 'und der' UNION ALL SELECT 4, 'le' UNION ALL SELECT 5, 'de' UNION ALL SELECT 6, 'The'""",
     "b_attempts": "SELECT CAST(floor(doc_id / 3) AS BIGINT) AS clip_id, CAST(doc_id % 3 AS INT) AS attempt, text AS caption FROM documents",
     "b_captions": "SELECT d.doc_id, d.text AS caption, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "b_checkpoints": """SELECT c_nationkey AS run_id, concat('ck/lora_weights_step_', lpad(CAST(c_custkey * 7 % 5000 AS STRING), 5, '0'), '.safetensors') AS path FROM customer""",

@@ -8,8 +8,6 @@ from cliploom.operators import captions as C
 
 from . import Tables, register
 
-#: Names that occur in the test texts.
-NAMES = ["the-ha", "the", "is the", "und der", "le", "de"]
 #: Every text as a reply: after a thought, before an open one, in marks, or with a verdict.
 REPLY = "(SELECT doc_id, 'name ' || doc_id AS name, CASE doc_id % 4 WHEN 0 THEN '<think>x</think> ' || text WHEN 1 THEN text || ' <think> open' WHEN 2 THEN '**' || text || '** [le]' ELSE text || ' MisMatch' END AS reply FROM documents)"
 
@@ -37,8 +35,7 @@ def first_ok_caption(t: Tables):
 
 @register("normalize_caption")
 def normalize_caption(t: Tables):
-    names = t.spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return C.normalize_caption(t.b_captions, names).select("doc_id", "caption")
+    return C.normalize_caption(t.b_captions, t.b_names).select("doc_id", "caption")
 
 
 @register("speaker_display", """SELECT clip_id, line, CASE WHEN s IN ('', 'unknown') THEN 'Someone' ELSE array_to_string(list_transform(list_filter(string_split(replace(s, '_', '-'), '-'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS display,
@@ -54,23 +51,25 @@ def clean_reply(t: Tables):
     return C.clean_reply(replies(t), "tok").select("doc_id", "clean")
 
 
-def _found(names: list[str], low: str) -> str:
-    one = [f"CASE WHEN regexp_matches({low}, '(^|[^a-z0-9]){n.lower()}($|[^a-z0-9])') THEN '{n}' END" for n in names]
-    return f"list_filter([{', '.join(one)}], lambda x: x IS NOT NULL)"
+#: Names that differ in case only are one; each reply with the names in it, by their order.
+FOUND = f"""n AS (SELECT lower(name) AS k, min(ref_order) AS at, arg_max(name, ref_order) AS name FROM b_names WHERE name <> '' GROUP BY lower(name)),
+r AS (SELECT doc_id, {PLAIN} AS p FROM {REPLY} r),
+f AS (SELECT doc_id, any_value(p) AS p, list(n.name ORDER BY n.at) FILTER (n.name IS NOT NULL) AS found
+  FROM r LEFT JOIN n ON contains(lower(p), n.k) AND regexp_matches(lower(p), '(^|[^a-z0-9])' || regexp_escape(n.k) || '($|[^a-z0-9])') GROUP BY doc_id)"""
 
 
 def _refuse(phrases: tuple[str, ...]) -> str:
     return "(p = '' OR upper(p) = 'NONE' OR " + " OR ".join("contains(upper(p), '" + x.replace("'", "''") + "')" for x in phrases) + ")"
 
 
-@register("parse_cast_reply", f"SELECT doc_id, array_to_string(CASE WHEN {_refuse(C.NO_CAST)} THEN [] ELSE {_found(NAMES, 'lower(p)')} END, ',') AS cast_names FROM (SELECT doc_id, {PLAIN} AS p FROM {REPLY} r) x")
+@register("parse_cast_reply", f"WITH {FOUND} SELECT doc_id, CASE WHEN {_refuse(C.NO_CAST)} THEN '' ELSE coalesce(array_to_string(found, ','), '') END AS cast_names FROM f")
 def parse_cast_reply(t: Tables):
-    return C.parse_cast_reply(replies(t), NAMES).select("doc_id", F.array_join("cast_names", ",").alias("cast_names"))
+    return C.parse_cast_reply(replies(t), t.b_names).select("doc_id", F.array_join("cast_names", ",").alias("cast_names"))
 
 
-@register("parse_location_reply", f"SELECT doc_id, CASE WHEN NOT {_refuse(C.NO_LOCATION)} THEN list_extract({_found(NAMES, 'lower(p)')}, 1) END AS location FROM (SELECT doc_id, trim({PLAIN}, '. ') AS p FROM {REPLY} r) x")
+@register("parse_location_reply", f"WITH {FOUND} SELECT doc_id, CASE WHEN NOT {_refuse(C.NO_LOCATION)} THEN found[1] END AS location FROM (SELECT doc_id, trim(p, '. ') AS p, found FROM f) x")
 def parse_location_reply(t: Tables):
-    return C.parse_location_reply(replies(t), NAMES).select("doc_id", "location")
+    return C.parse_location_reply(replies(t), t.b_names).select("doc_id", "location")
 
 
 @register("verdict_parse", f"SELECT doc_id, CASE WHEN contains(upper(reply), 'MISMATCH') THEN 'reject' ELSE 'match' END AS verdict FROM {REPLY} r")

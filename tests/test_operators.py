@@ -30,14 +30,14 @@ def test_names_and_quotes(spark):
 
 
 def test_captions_are_normalised_as_by_brute_force(spark, sf_dir):
-    from cliploom.jobs.queries_text import NAMES
+    names = {r.name for r in jobs.Tables(spark, sf_dir).b_names.collect() if r.name}
 
     def brute(t):
         if t is None:
             return None
         t = re.sub(captions.QUOTES, "", t)
-        for n in sorted(NAMES, key=lambda n: (-len(n), n)):
-            t = re.sub(rf"\b{re.escape(n)}\b", " ".join(w.capitalize() for w in n.split(" ")), t, flags=re.IGNORECASE)
+        for n in sorted(names, key=lambda n: (-len(n), n)):
+            t = re.sub(rf"\b{re.escape(n)}\b", lambda _, n=n: " ".join(w[:1].upper() + w[1:] for w in n.split(" ") if w), t, flags=re.IGNORECASE)
         return t
 
     want = {r.doc_id: brute(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -48,14 +48,61 @@ def test_captions_are_normalised_as_by_brute_force(spark, sf_dir):
 def test_short_replies(spark):
     rows = [(1, "None"), (2, "No match, the"), (3, "**The** [le]"), (4, None), (5, "<think>the</think> le. <think> the"), (6, " ")]
     df = spark.createDataFrame([(i, f"n{i}", r) for i, r in rows], "i int, name string, reply string")
-    cast = {r.i: r.cast_names for r in captions.parse_cast_reply(df, ["the", "le"]).collect()}
+    table = lambda *names: spark.createDataFrame(list(enumerate(names)), "ref_order int, name string")
+    cast = {r.i: r.cast_names for r in captions.parse_cast_reply(df, table("the", "le", None, "")).collect()}
     assert cast == {1: [], 2: [], 3: ["the", "le"], 4: [], 5: ["le"], 6: []}
-    place = {r.i: r.location for r in captions.parse_location_reply(df, ["le", "the"]).collect()}
+    place = {r.i: r.location for r in captions.parse_location_reply(df, table("le", "the")).collect()}
     assert place == {1: None, 2: None, 3: "le", 4: None, 5: "le", 6: None}
     clean = {r.i: r.clean for r in captions.clean_reply(df, "tok").collect()}
     assert clean == {1: "None", 2: "No match, the", 3: "**The** [le]", 4: "tok n4", 5: "le.", 6: "tok n6"}
 
 
+def test_names_of_a_large_table(spark, monkeypatch):
+    """100,000 names, in one automaton and in several, with the plan of a few; equal names but for case are one."""
+    from cliploom.functions import names as N
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé-' 1") for _ in range(rng.randint(2, 9)))
+    many = [w for w in (word() for _ in range(100_000)) if w.strip()] + ["Ann", "Bob Lee", "ann", "ANN"]
+    texts = ["Ann, bob lee", "annual ann-bob leeds", "", None, "x1y ann1 1ann (ANN)"] + [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "found int, reply string")
+    table = spark.createDataFrame(list(enumerate(many)), "ref_order int, name string")
+
+    spelled = {}
+    for n in many:
+        spelled[n.lower()] = n  # at the first place, spelled as the last
+
+    def brute(t):
+        # what touches a name decides; all substrings up to the longest name are looked up
+        low = (t or "").translate({ord(c): " " for c in "[]{}\"'"}).strip(" ").lower()
+        part = lambda c: c.isascii() and c.isalnum()
+        hits = {low[i:j] for i in range(len(low)) for j in range(i + 1, min(len(low), i + 9) + 1) if low[i:j] in spelled and not (i and part(low[i - 1])) and not (j < len(low) and part(low[j]))}
+        return [n for k, n in spelled.items() if k in hits]
+
+    for chars in (N.BLOCK_CHARS, 100_000):
+        monkeypatch.setattr(N, "BLOCK_CHARS", chars)
+        out = captions.parse_cast_reply(df, table)
+        assert out.columns == ["found", "reply", "cast_names"]
+        got = {r.found: r.cast_names for r in out.collect()}
+        assert got == {i: brute(t) for i, t in enumerate(texts)}
+        assert got[0] == ["ANN", "Bob Lee"] and got[4] == ["ANN"]
+    size = lambda t: len(captions.parse_cast_reply(df, t)._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(N, "BLOCK_CHARS", 16_000_000)
+    assert size(table) == size(table.where("ref_order < 3"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aAbsſσςΣKkiıİßẞ -'x", min_size=1, max_size=4), max_size=8), st.text("aAbBsSſσςΣKKkiıİIßẞ -'xX", max_size=40))
+def test_recasing_equals_one_substitution_after_another(names, text):
+    from cliploom.functions.names import Recase
+
+    pairs = [(n, " ".join(w[:1].upper() + w[1:] for w in n.split(" ") if w)) for n in sorted(set(names), key=lambda n: (-len(n), n))]
+    want = text
+    for n, shown in pairs:
+        want = re.sub(rf"\b{re.escape(n)}\b", lambda _, shown=shown: shown, want, flags=re.IGNORECASE)
+    assert Recase(pairs)(text) == want
+
+
 def test_transcripts_without_captions(spark):
     rows = [(1, None, "hi"), (2, "", "hi"), (3, " A shot", " hi "), (4, "A shot", ""), (5, None, None)]
     df = spark.createDataFrame(rows, "i int, caption string, transcript string").withColumn("transcript_segments", F.lit(None).cast("array<string>"))
