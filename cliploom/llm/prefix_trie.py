@@ -172,8 +172,8 @@ def trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         over = F.when(F.col("d") > 1, F.expr(f"substring(path, 1, (d - 1) * {ID_BYTES})"))  # null at the top: no partner
         kept = kept.join(up, F.col("entry").eqNullSafe(F.col("p_entry")) & (over == F.col("p_path")), "left")
         if start == 0:
-            root = sums.where("d = 0").select(F.col("conv_id").alias("root"))  # one row
-            kept = kept.join(F.broadcast(root), F.col("d") == 1, "left")
+            root = sums.where("d = 0").select(F.col("conv_id").alias("root"), F.lit(1).alias("top"))  # one row
+            kept = kept.join(F.broadcast(root), F.col("d") == F.col("top"), "left")
         else:
             kept = kept.withColumn("root", F.when(F.col("d") == 1, F.col("entry")))
         done.append(kept.select(F.lit(start).alias("start"), "entry", "path", "conv_id", (F.col("d") + start).cast("long").alias("depth"), F.coalesce("p_conv", "root").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens"))

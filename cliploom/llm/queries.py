@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lexical_search, line_dedup, lm_scoring, ngram_join, packing, prefix_trie, quality_rules, sentencepiece_fst, sharding, topk_search, url_filter
+from . import language_id, lexical_search, line_dedup, lm_scoring, ngram_join, packing, prefix_trie, quality_rules, sentencepiece_fst, sharding, topk_search, url_filter, vector_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = vector_graph.near_groups(table(spark, sf_dir, "embeddings"), least=0.93).rows
+    return groups.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
+    "op13_vector_graph": op13_vector_graph,
 }
 
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -165,4 +171,12 @@ q AS (SELECT item_id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, (SEL
 s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
+    "op13_vector_graph": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT DISTINCT a AS node, a AS low FROM links UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+low AS (SELECT node, min(low) AS low FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(low, vec_id), vec_id) AS component_id, coalesce(least(low, vec_id), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN low ON node = vec_id""",
 }
