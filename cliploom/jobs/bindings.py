@@ -21,7 +21,7 @@ VIEWS = {
   CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN '' ELSE concat('Line ', CAST(o_orderkey AS STRING)) END AS transcript
   FROM orders WHERE o_orderkey % 13 <> 0""",
     "b_artifacts": f"""SELECT {STEM} AS stem, CASE l_returnflag WHEN 'A' THEN 'latents' WHEN 'N' THEN 'conditions' ELSE 'audio_latents' END AS kind,
-  CAST(max(l_quantity) * 3 AS INT) AS token_len FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+  CASE WHEN max(o_orderkey) % 7 = 0 THEN NULL ELSE CAST(max(l_quantity) * 3 AS INT) END AS token_len FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "b_videos": """SELECT c_custkey AS video_id, concat('v', CAST(c_custkey AS STRING)) AS stem,
   CAST(CASE c_custkey % 4 WHEN 0 THEN 23.976 WHEN 1 THEN 25 WHEN 2 THEN 29.97 ELSE 60 END AS DOUBLE) AS fps,
   CAST(200 + (c_custkey * 37) % 4000 AS INT) AS total_frames,

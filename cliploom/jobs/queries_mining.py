@@ -80,9 +80,17 @@ def single_identity_gate(t: Tables):
     return out.select("video_id", "chunk_idx", F.round("similarity", 6).alias("similarity"), "reason")
 
 
-@register("identity_counts", "SELECT identity, count(*) AS appearances, count(DISTINCT clip_id) AS clips FROM b_members GROUP BY ROLLUP(identity)")
+#: Members of which some have no identity.
+SOME = "(SELECT clip_id, CASE WHEN clip_id % 11 <> 0 THEN identity END AS identity FROM b_members)"
+
+
+def some_members(t: Tables):
+    return t.b_members.withColumn("identity", F.expr("CASE WHEN clip_id % 11 <> 0 THEN identity END"))
+
+
+@register("identity_counts", f"SELECT identity, count(*) AS appearances, count(DISTINCT clip_id) AS clips, grouping(identity) = 1 AS is_total FROM {SOME} m GROUP BY ROLLUP(identity)")
 def identity_counts(t: Tables):
-    return I.identity_counts(t.b_members)
+    return I.identity_counts(some_members(t))
 
 
 @register("dominant_identities", """WITH s AS (SELECT video_id, identity, count(DISTINCT pos) AS n FROM b_sightings GROUP BY ALL)
@@ -91,16 +99,19 @@ def dominant_identities(t: Tables):
     return I.dominant_identities(t.b_sightings, ["video_id"], 0.8).select("video_id", F.array_join("identities", ",").alias("identities"))
 
 
-@register("relabel_diff", """WITH o AS (SELECT clip_id, identity FROM b_members WHERE clip_id % 5 <> 0 OR identity < 'd'), n AS (SELECT clip_id, identity FROM b_members WHERE clip_id % 3 <> 0 OR identity > 'd'),
+@register("relabel_diff", f"""WITH o AS (SELECT DISTINCT clip_id, identity FROM {SOME} m WHERE clip_id % 5 <> 0 OR identity < 'd'), n AS (SELECT DISTINCT clip_id, identity FROM {SOME} m WHERE clip_id % 3 <> 0 OR identity > 'd'),
 x AS (SELECT *, 1 AS up FROM (SELECT * FROM n EXCEPT SELECT * FROM o) a UNION ALL SELECT *, 0 FROM (SELECT * FROM o EXCEPT SELECT * FROM n) r)
-SELECT identity, count(*) FILTER (up = 1) AS added, count(*) FILTER (up = 0) AS removed, count(DISTINCT clip_id) AS clips FROM x GROUP BY ROLLUP(identity)""")
+SELECT identity, count(*) FILTER (up = 1) AS added, count(*) FILTER (up = 0) AS removed, count(DISTINCT clip_id) AS clips, grouping(identity) = 1 AS is_total FROM x GROUP BY ROLLUP(identity)""")
 def relabel_diff(t: Tables):
-    return I.relabel_diff(t.b_members.where("clip_id % 5 <> 0 OR identity < 'd'"), t.b_members.where("clip_id % 3 <> 0 OR identity > 'd'"))
+    m = some_members(t).distinct()
+    return I.relabel_diff(m.where("clip_id % 5 <> 0 OR identity < 'd'"), m.where("clip_id % 3 <> 0 OR identity > 'd'"))
 
 
-@register("capacity_limit", """SELECT clip_id, source_stem FROM (SELECT *, row_number() OVER (ORDER BY source_stem, clip_id) AS rn FROM b_clips) z WHERE rn <= (SELECT count(*) // 2 FROM b_clips)""")
+@register("capacity_limit", """WITH c AS (SELECT clip_id, CASE WHEN clip_id % 7 <> 0 THEN source_stem END AS source_stem FROM b_clips)
+SELECT clip_id, source_stem FROM (SELECT *, row_number() OVER (ORDER BY source_stem NULLS FIRST, clip_id) AS rn FROM c) z WHERE rn <= (SELECT count(*) // 2 FROM b_clips)""")
 def capacity_limit(t: Tables):
-    return I.capacity_limit(t.b_clips, t.b_clips.count() // 2, ["clip_id"]).select("clip_id", "source_stem")
+    clips = t.b_clips.select("clip_id", F.expr("CASE WHEN clip_id % 7 <> 0 THEN source_stem END AS source_stem"))
+    return I.capacity_limit(clips, t.b_clips.count() // 2, ["clip_id"])
 
 
 @register("capacity_shortfall", """SELECT *, greatest(20000 - samples, 0) AS shortfall, CASE WHEN samples < 20000 THEN CASE WHEN pool_remaining > 0 THEN 'mine more' ELSE 'add sources' END END AS advice
@@ -109,9 +120,9 @@ def capacity_shortfall(t: Tables):
     return I.capacity_shortfall(t.b_clips, t.b_chunks, 20_000)
 
 
-@register("shuffle_pool", "SELECT clip_id, md5('42:' || clip_id) AS shuffle_key FROM b_clips")
+@register("shuffle_pool", "SELECT clip_id, md5('42:' || clip_id) AS shuffle_key, row_number() OVER (ORDER BY md5('42:' || clip_id), clip_id) AS place FROM b_clips")
 def shuffle_pool(t: Tables):
-    return I.shuffle_pool(t.b_clips, 42, "clip_id").select("clip_id", "shuffle_key")
+    return I.shuffle_pool(t.b_clips, 42, "clip_id").select("clip_id", "shuffle_key", "place")
 
 
 @register("chunk_grid", """WITH v AS (SELECT *, CAST(round_even(2 * fps, 0) AS INT) AS f, greatest(CAST(round_even(2 * fps, 0) AS INT), total_frames - CAST(round_even(1.5::DOUBLE * fps, 0) AS INT)) AS l,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.ranking import placed
 from cliploom.functions.vectors import with_best_reference, with_references_over, with_two_nearest
 
 
@@ -74,8 +75,11 @@ def single_identity_gate(positions: DataFrame, det: DataFrame, target: list[floa
 
 
 def identity_counts(members: DataFrame) -> DataFrame:
-    """Appearances of each identity and, in the row without an identity, of all, with the clips. members: (clip_id, identity)."""
-    return members.rollup("identity").agg(F.count("*").alias("appearances"), F.count_distinct("clip_id").alias("clips"))
+    """Appearances of each identity and the clips they are in, and the same of all, marked is_total. members: (clip_id, identity).
+
+    Members without an identity are counted as one, too, in a row that is no total.
+    """
+    return members.rollup("identity").agg(F.count("*").alias("appearances"), F.count_distinct("clip_id").alias("clips"), (F.grouping("identity") == 1).alias("is_total"))
 
 
 def dominant_identities(sightings: DataFrame, keys: list[str], ratio: float = 0.5) -> DataFrame:
@@ -89,12 +93,14 @@ def dominant_identities(sightings: DataFrame, keys: list[str], ratio: float = 0.
 def relabel_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """What changes between two labelings of (clip_id, identity): appearances added and removed, and clips changed.
 
-    A row for each identity with a change and, without an identity, one for all.
+    A row for each identity with a change (null is one), and one for all, marked is_total.
     """
-    added = new.join(old, ["clip_id", "identity"], "left_anti").select("clip_id", "identity", F.lit(1).alias("_up"))
-    removed = old.join(new, ["clip_id", "identity"], "left_anti").select("clip_id", "identity", F.lit(0).alias("_up"))
-    both = added.unionByName(removed)
-    return both.rollup("identity").agg(F.count_if(F.col("_up") == 1).alias("added"), F.count_if(F.col("_up") == 0).alias("removed"), F.count_distinct("clip_id").alias("clips"))
+    same = lambda df: df.select(F.col("clip_id").alias("_c"), F.col("identity").alias("_i"))
+    both = F.col("clip_id").eqNullSafe(F.col("_c")) & F.col("identity").eqNullSafe(F.col("_i"))
+    added = new.join(same(old), both, "left_anti").select("clip_id", "identity", F.lit(1).alias("_up"))
+    removed = old.join(same(new), both, "left_anti").select("clip_id", "identity", F.lit(0).alias("_up"))
+    changed = added.unionByName(removed)
+    return changed.rollup("identity").agg(F.count_if(F.col("_up") == 1).alias("added"), F.count_if(F.col("_up") == 0).alias("removed"), F.count_distinct("clip_id").alias("clips"), (F.grouping("identity") == 1).alias("is_total"))
 
 
 def signatures(members: DataFrame) -> DataFrame:
@@ -103,22 +109,14 @@ def signatures(members: DataFrame) -> DataFrame:
 
 
 def capacity_limit(clips: DataFrame, max_samples: int, order: list[str], group: str = "source_stem") -> DataFrame:
-    """The first max_samples clips of the whole set, source after source (by name); max_samples 0 keeps all.
+    """The first max_samples clips of the whole set, source after source (by name, none first); max_samples 0 keeps all.
 
-    Clips are counted by source. Sources that fit whole are kept whole; only the clips of the one in
-    which the cap lies are put in order. The table of sources, one row each, is summed as one window.
+    The place of each clip comes from range partitions and their sizes, so no task sees all clips or all sources.
     """
     if not max_samples:
         return clips
-    upto = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
-    sources = clips.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
-    whole = clips.join(sources.where(F.col("_upto") <= max_samples).select(group), group, "left_semi")
-    cut = sources.where(F.col("_upto") > max_samples).orderBy("_upto").first()
-    room = max_samples - (cut["_upto"] - cut["_n"]) if cut else 0
-    if not room:
-        return whole
-    part = clips.where(F.col(group).eqNullSafe(F.lit(cut[group]))).orderBy(*order).limit(room)
-    return whole.unionByName(part.select(whole.columns))
+    inner = f"{'_'.join(clips.columns)}_place"  # longer than any column's name
+    return placed(clips, [F.col(group), *map(F.col, order)], out=inner).where(F.col(inner) <= max_samples).drop(inner)
 
 
 def capacity_shortfall(clips: DataFrame, pool: DataFrame, max_samples: int) -> DataFrame:
@@ -134,5 +132,6 @@ def capacity_shortfall(clips: DataFrame, pool: DataFrame, max_samples: int) -> D
 
 
 def shuffle_pool(pool: DataFrame, seed: int, key: str) -> DataFrame:
-    """A column that puts the pool into a random order, the same for the same seed; sort by it where the order is used."""
-    return pool.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    """The pool in a random order, the same for the same seed: each slot's shuffle_key and its place (from 1)."""
+    keyed = pool.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return placed(keyed, [F.col("shuffle_key"), F.col(key)])

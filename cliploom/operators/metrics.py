@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -13,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.ranking import placed
+from cliploom.functions.shared import stored
+
 
 def smoothed(loss: np.ndarray, alpha: float, start: float | None = None) -> np.ndarray:
     """Exponential moving average, begun with `start` or with the first loss."""
@@ -26,16 +27,81 @@ def chart_weight(n: int) -> float:
     return min(0.95, 1 - 2 / (max(n / 5, 2) + 1))
 
 
-def loss_ema(metrics: DataFrame, alpha: float = 0.02) -> DataFrame:
-    """Each step's average before and after its loss (the first has none before), and the chart's average. One run is one group."""
+#: Steps of one block of a run; blocks of a run are worked on side by side.
+BLOCK = 1 << 16
+
+
+def in_blocks(metrics: DataFrame) -> DataFrame:
+    """(run_id, step, loss, place, block): steps with a loss, numbered from 1 in each run, however long it is, and dealt into blocks in order."""
+    rows = metrics.where(F.col("loss").isNotNull()).select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"), F.col("loss").cast("double").alias("loss"))
+    return placed(rows, [F.col("step"), F.col("loss")], ["run_id"], "place").withColumn("block", F.floor((F.col("place") - 1) / BLOCK).cast("long"))
+
+
+def _to_block(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of a table that has one row a block."""
+    named = table.withColumnsRenamed({"run_id": "_run", "block": "_block"})
+    return rows.join(named, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("block") == F.col("_block")), "left").drop("_run", "_block")
+
+
+def averages(rows: DataFrame, past: dict[str, Column]) -> DataFrame:
+    """Rows of in_blocks with exponential averages: <name> after each loss and <name>_before, null at a run's first.
+
+    past: by name, the weight of the average so far, the same in all of a run. A block of steps is one
+    affine map of the average that it begins with. The maps are sums over the blocks' rows; composing them,
+    one number a block, gives each block its start, and all blocks are then averaged side by side.
+    """
+    left = F.lit(BLOCK) * (F.col("block") + 1) - F.col("place")
+    maps = []
+    for name, d in past.items():
+        own = F.when(F.col("place") == 1, 1.0).otherwise(1 - d) * F.pow(d, left) * F.col("loss")
+        maps += [F.sum(own).alias(f"{name}_b"), F.max(d).alias(f"{name}_d")]
+    names = list(past)
+    given = rows.withColumns({f"{n}_d": d for n, d in past.items()})
+
+    def compose(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("block")
+        out = {"run_id": f["run_id"], "block": f["block"]}
+        for n in names:
+            value, starts = math.nan, []
+            for b, d in zip(f[f"{n}_b"], f[f"{n}_d"], strict=True):
+                starts.append(value)
+                value = b if math.isnan(value) else d**BLOCK * value + b
+            out[f"{n}_start"] = starts
+        return pd.DataFrame(out)
+
+    starts = rows.groupBy("run_id", "block").agg(*maps).groupBy("run_id").applyInPandas(compose, ", ".join(["run_id long, block long", *(f"{n}_start double" for n in names)]))
+    given = _to_block(given, starts)
+    extra = [c for c in rows.columns if c not in ("run_id", "step", "loss", "place", "block")]
+    kept = ["run_id", "step", "loss", "place", "block", *extra]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        loss = table["loss"].to_numpy()
+        out = table.select(kept)
+        for n in names:
+            start = table[f"{n}_start"][0].as_py()
+            first = start is None or math.isnan(start)
+            after = smoothed(loss, 1 - table[f"{n}_d"][0].as_py(), None if first else start)
+            before = np.append(math.nan if first else start, after[:-1])
+            out = out.append_column(n, pa.array(after)).append_column(f"{n}_before", pa.array(before, from_pandas=True))
+        return out
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*kept).schema.fields)
+    return given.groupBy("run_id", "block").applyInArrow(run, ", ".join([shape, *(f"{n} double, {n}_before double" for n in names)]))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("step")
-        loss = f["loss"].to_numpy()
-        after = smoothed(loss, alpha)
-        return pd.DataFrame({"run_id": f["run_id"], "step": f["step"], "ema_before": np.append(np.nan, after[:-1]), "ema_after": after, "chart_ema": smoothed(loss, 1 - chart_weight(len(loss)))})
 
-    return metrics.select("run_id", "step", "loss").groupBy("run_id").applyInPandas(run, "run_id long, step int, ema_before double, ema_after double, chart_ema double").replace(float("nan"), None, ["ema_before"])
+def loss_ema(metrics: DataFrame, alpha: float = 0.02) -> DataFrame:
+    """Each step's average before and after its loss (the first has none before), and the chart's average.
+
+    A step without a loss changes no average and has none. A run of any length is averaged block by block, see averages().
+    """
+    rows = in_blocks(metrics)
+    sizes = rows.groupBy(F.col("run_id").alias("_r")).agg(F.max("place").alias("_n"))
+    chart = F.least(F.lit(0.95), 1 - 2 / (F.greatest(F.col("_n") / 5, F.lit(2)) + 1))
+    rows = rows.join(sizes, F.col("run_id").eqNullSafe(F.col("_r"))).withColumn("chart", chart).drop("_r", "_n")
+    out = averages(rows, {"ema": F.lit(1 - alpha), "chart_ema": F.col("chart")})
+    without = metrics.where(F.col("loss").isNull()).select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"))
+    return out.select("run_id", "step", "ema_before", F.col("ema").alias("ema_after"), "chart_ema").unionByName(without, allowMissingColumns=True)
 
 
 @dataclass
@@ -100,35 +166,75 @@ def warmup_end(total_steps: Column, start_step: Column | None = None, least: int
     return (start + F.greatest(F.lit(least), F.floor((total_steps - start) * share))).cast("int")
 
 
+def _watched(rows: DataFrame, threshold: float) -> DataFrame:
+    """Watched steps with how far they are over the lowest average so far, whether that is too far, and whether this begins a stretch of such or other steps in their block."""
+    lows = rows.groupBy("run_id", "block").agg(F.min("ema").alias("least"))
+    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _to_block(rows, lows.select("run_id", "block", F.min("least").over(before).alias("low")))  # the window is over blocks
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        ema, step = table["ema"].to_numpy(), table["step"].to_numpy()
+        low = table["low"][0].as_py()
+        low = np.minimum.accumulate(ema if low is None else np.minimum(ema, low))
+        over = np.where(low > 0, (ema - low) / np.where(low > 0, low, 1) * 100, 0.0)
+        high = (over > threshold) & (step != 0)  # no stretch begins at step 0
+        begins = np.append(True, high[1:] != high[:-1])
+        return table.select(["run_id", "block", "place", "step"]).append_column("over", pa.array(over)).append_column("high", pa.array(high)).append_column("begins", pa.array(begins))
+
+    return rows.groupBy("run_id", "block").applyInArrow(run, "run_id long, block long, place long, step int, over double, high boolean, begins boolean")
+
+
+def _first_from(points: DataFrame, watched: DataFrame, tops: DataFrame, out: str) -> DataFrame:
+    """points with `out`: (place, step, over) of the run's first watched step of at least x, if it lies before `until`.
+
+    points: (run_id, start, until, x, ...), (run_id, start) being unique; tops: the last step of each block. The block is
+    found among tops; then only rows of such blocks are looked at.
+    """
+    on = Window.partitionBy("run_id").orderBy("x", "is_top").rowsBetween(0, Window.unboundedFollowing)
+    both = points.select("run_id", "x", F.lit(0).alias("is_top"), "start", F.lit(None).cast("long").alias("block")).unionByName(tops.select("run_id", F.col("top").alias("x"), F.lit(1).alias("is_top"), F.lit(None).cast("long").alias("start"), "block"))
+    where = both.withColumn("block", F.first("block", ignorenulls=True).over(on)).where("is_top = 0 AND block IS NOT NULL")
+    where = where.select(F.col("run_id").alias("_r"), F.col("block").alias("_b"), F.col("start").alias("_s"), F.col("x").alias("_x"))
+    near = watched.join(where, F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("block") == F.col("_b")) & (F.col("step") >= F.col("_x")) & (F.col("place") >= F.col("_s")))
+    found = near.groupBy("_r", "_s").agg(F.min(F.struct("place", "step", "over")).alias("_f"))
+    got = points.join(found, F.col("run_id").eqNullSafe(F.col("_r")) & (F.col("start") == F.col("_s")), "left")
+    return got.withColumn(out, F.when(F.col("until").isNull() | (F.col("_f.place") < F.col("until")), F.col("_f"))).drop("_r", "_s", "_f")
+
+
 def divergence_events(metrics: DataFrame, threshold: float = 15, detect: int = 150, stop: int = 300, alpha: float = 0.02, warmup: int | None = None, least_warmup: int = 50) -> DataFrame:
     """Events of each run: monitor (detect steps over threshold), recovered, lr_reset (stop steps since first seen), stop (as many again).
 
-    Without a fixed `warmup` each run has its own, from its last step (see warmup_end).
+    Without a fixed `warmup` each run has its own, from its last step (see warmup_end). A step without a loss is none.
 
-    Spark sorts the runs; a task follows each batch by batch and holds no more of it than a Watch.
+    Averages come from averages(), lowest ones from the minimum of each block and of those before it.
+    What happens in a stretch of steps over the threshold depends on that stretch alone: its watch begins with it,
+    and the step after it clears it. So only the ends of stretches are walked over, and the steps at which a stretch is detect and
+    stop steps old are looked up in their blocks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        watch, now, begun = Watch(), None, False
-        for batch in batches:
-            out = []
-            for run_id, rows in groupby(zip(*(c.to_pylist() for c in batch.columns), strict=True), key=lambda r: r[0]):
-                if not begun or run_id != now:
-                    watch, now, begun = Watch(), run_id, True
-                _, steps, losses, first = zip(*rows, strict=True)
-                steps, losses = ([math.nan if x is None else x for x in c] for c in (steps, losses))
-                out += [(run_id, *e) for e in watch.feed(steps, losses, alpha, first[0], threshold, detect, stop)]
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["run_id", "step", "event", "percent_over"])
-
-    rows = metrics.select(F.col("run_id").cast("long"), "step", F.col("loss").cast("double"))
+    rows = in_blocks(metrics)
     if warmup is None:
-        ends = rows.groupBy(F.col("run_id").alias("_r")).agg(warmup_end(F.max("step"), least=least_warmup).alias("first"))
+        ends = rows.groupBy(F.col("run_id").alias("_r")).agg(warmup_end(F.max("step"), least=least_warmup).alias("from_step"))
         rows = rows.join(ends, F.col("run_id").eqNullSafe(F.col("_r"))).drop("_r")
     else:
-        rows = rows.withColumn("first", F.lit(warmup))
-    rows = rows.repartition("run_id")
-    return rows.sortWithinPartitions("run_id", F.asc_nulls_last("step")).mapInArrow(run, EVENTS)
+        rows = rows.withColumn("from_step", F.lit(warmup))
+    watched = stored(averages(rows, {"ema": F.lit(1 - alpha)}).where("step >= from_step").select("run_id", "block", "place", "step", "ema"), "averages")
+    watched = stored(_watched(watched, threshold), "watched")
+    tops = watched.groupBy("run_id", "block").agg(F.max("step").alias("top"))
+    order = Window.partitionBy("run_id").orderBy("place")  # over the ends of stretches
+    ends = watched.where("begins").select("*", F.lag("high").over(order).alias("was")).where("was IS NULL OR was <> high")
+    after = lambda c: F.lead(c).over(order)
+    high = ends.select("run_id", "high", F.col("place").alias("start"), "step", after("place").alias("until"), after("step").alias("after_step"), after("over").alias("after_over")).where("high")
+    high = _first_from(high.withColumn("x", F.col("step") + detect), watched, tops, "seen").where("seen IS NOT NULL")
+    high = stored(_first_from(high.withColumn("x", F.col("step") + max(detect, stop)), watched, tops, "reset"), "stretches")
+    again = high.where("reset IS NOT NULL").withColumns({"x": F.col("reset.step") + max(stop, 1), "stretch": F.col("start"), "start": F.col("reset.place")})
+    again = _first_from(again, watched, tops, "stopped").select(F.col("run_id").alias("_run"), "stretch", "stopped")
+    high = high.join(again, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("start") == F.col("stretch")), "left")
+    recovered = F.when(F.col("stopped").isNull() & F.col("until").isNotNull(), F.struct(F.col("until").alias("place"), F.col("after_step").alias("step"), F.col("after_over").alias("over")))
+    kinds = {"monitor": F.col("seen"), "lr_reset": F.col("reset"), "stop": F.col("stopped"), "recovered": recovered}
+    events = high.select("run_id", F.inline(F.array(*[F.struct(F.lit(k).alias("event"), c.alias("at")) for k, c in kinds.items()]))).where("at IS NOT NULL")
+    last = F.min(F.when(F.col("event") == "stop", F.col("at.place"))).over(Window.partitionBy("run_id"))
+    events = events.withColumn("last", last).where("last IS NULL OR at.place <= last")
+    return events.select("run_id", "at.step", "event", F.col("at.over").alias("percent_over"))
 
 
 def ema_minimum(metrics: DataFrame) -> DataFrame:

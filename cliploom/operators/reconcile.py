@@ -135,9 +135,13 @@ def chunk_pool(grid: DataFrame, clips: DataFrame, entries: DataFrame, ledger: Da
 
 
 def training_manifest(artifacts: DataFrame, kinds: tuple[str, ...] = KINDS[:2]) -> DataFrame:
-    """Stems that have every kind, with each kind's token length; their number is the steps of an epoch."""
-    wide = artifacts.where(F.col("kind").isin(*kinds)).groupBy("stem").agg(*[F.max(F.when(F.col("kind") == k, F.col("token_len"))).alias(f"{k}_len") for k in kinds])
-    return wide.dropna(subset=[f"{k}_len" for k in kinds])
+    """Stems that have every kind, with each kind's token length; their number is the steps of an epoch.
+
+    An artifact is there if it has a row; its length may be null, as that of a placeholder is.
+    """
+    each = [c for k in kinds for c in (F.count_if(F.col("kind") == k).alias(f"has_{k}"), F.max(F.when(F.col("kind") == k, F.col("token_len"))).alias(f"{k}_len"))]
+    wide = artifacts.where(F.col("kind").isin(*kinds)).groupBy("stem").agg(*each)
+    return wide.where(F.least(*[F.col(f"has_{k}") for k in kinds], F.lit(1)) > 0).select("stem", *[f"{k}_len" for k in kinds])
 
 
 def pair_conditioning(entries: DataFrame, files: DataFrame, ext_order: tuple[str, ...]) -> DataFrame:

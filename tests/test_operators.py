@@ -394,19 +394,45 @@ def test_trend_of_the_smoothed_loss(spark):
     assert math.isclose(got[0].slope, np.polyfit(x, [smooth[i] for i in x], 1)[0], rel_tol=1e-9)
 
 
-def test_divergence_follows_runs_batch_by_batch(spark):
-    loss = [1.0] * 60 + [9.0] * 900 + [0.5] * 700
-    rows = [(i, s, x + i / 10) for i in range(3) for s, x in enumerate(loss)] + [(None, s, x) for s, x in enumerate(loss)]
-    want = [(i, *e) for i in (0, 1, 2, None) for e in metrics.Watch().feed(list(range(len(loss))), [x for r, _, x in rows if r == i], 0.02, 50, 15, 150, 300)]
-    random.Random(3).shuffle(rows)
-    got = metrics.divergence_events(spark.createDataFrame(rows, "run_id long, step int, loss double"), warmup=50)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_divergence_of_long_runs_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(metrics, "BLOCK", block)
+    rng = random.Random(4)
+    loss = {0: [1.0] * 60 + [9.0] * 900 + [0.5] * 700, 1: [1.0] * 60 + [9.0] * 380 + [0.5] * 500 + [9.0] * 800, None: [2.0] * 30}
+    loss |= {i: [rng.choice([0.5, 1.0, 3.0]) if rng.random() < 0.1 else 1.0 + 2 * (s // 90 % 2) for s in range(700)] for i in (2, 3, 4)}
+    steps = {i: list(range(len(x))) for i, x in loss.items()}
+    steps |= {i: np.cumsum(np.random.default_rng(i).integers(1, 4, len(loss[i]))).tolist() for i in (3, 4)}  # with gaps
+    rows = [(i, s, x) for i in loss for s, x in zip(steps[i], loss[i])] + [(2, 10_000, None)]
+    want = [(i, *e[:2], round(e[2], 6)) for i in loss for e in metrics.Watch().feed(steps[i], loss[i], 0.2, 20, 60, 40, 60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "run_id long, step int, loss double").repartition(3)
+    got = [(r.run_id, r.step, r.event, round(r.percent_over, 6)) for r in metrics.divergence_events(df, 60, 40, 60, 0.2, warmup=20).collect()]
+    key = lambda r: (str(r[0]), *r[1:])
+    assert {e[2] for e in want} == {"monitor", "recovered", "lr_reset", "stop"} and sorted(got, key=key) == sorted(want, key=key)
+    got = {(r.run_id, r.step): r for r in metrics.loss_ema(df, 0.2).collect()}
+    assert len(got) == len(rows) and got[2, 10_000].ema_after is None
+    for i in loss:
+        for name, a in (("ema_after", 0.2), ("chart_ema", 1 - metrics.chart_weight(len(loss[i])))):
+            np.testing.assert_allclose([getattr(got[i, s], name) for s in steps[i]], metrics.smoothed(np.array(loss[i]), a), rtol=1e-9)
+        before = [got[i, s].ema_before for s in steps[i]]
+        assert before[0] is None
+        np.testing.assert_allclose(before[1:], [got[i, s].ema_after for s in steps[i]][:-1], rtol=1e-9)
+
+
+def test_one_long_run_is_many_tasks(spark):
+    """Two million steps of one run: averaged in more than eight tasks, equal to the fold."""
+    n = 2_000_000
+    df = spark.range(n, numPartitions=8).select(F.lit(1).cast("long").alias("run_id"), (F.col("id") + 1).cast("int").alias("step"), (2 + F.sin(F.col("id") / 999)).alias("loss"))
+    want = metrics.smoothed(2 + np.sin(np.arange(n) / 999), 0.001)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
-        key = lambda r: (str(r[0]), *r[1:])
-        assert want and sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+        out = metrics.loss_ema(df, 0.001)
+        got = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max(F.struct("step", "ema_after")).alias("m")).collect()
+        assert sum(r.n for r in got) == n and len(got) >= 4 and max(r.n for r in got) < n / 2
+        some = out.where("step % 99991 = 0").collect()
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert "InPandas" not in got._jdf.queryExecution().toString()  # no run as one frame
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(some) == n // 99991 and all(math.isclose(r.ema_after, want[r.step - 1], rel_tol=1e-9) for r in some)
 
 
 def test_stream_equals_batch(spark, sf_dir):
@@ -473,6 +499,35 @@ def test_manifest_versions(spark, tmp_path):
     assert media.read_entries(spark, str(tmp_path / "bad.json")).count() == 0
 
 
+def test_capacity_counts_clips_without_a_source(spark):
+    rows = [(1, None), (2, "b"), (3, None), (4, "a"), (5, "a")]
+    clips = spark.createDataFrame(rows, "clip_id int, source_stem string").repartition(2)
+    for most in (10, 3, 2, 1):
+        want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))[:most]
+        assert sorted(tuple(r) for r in identity.capacity_limit(clips, most, ["clip_id"]).collect()) == sorted(want)
+
+
+def test_placeholders_are_complete(spark):
+    rows = [("a", "latents", 5), ("a", "conditions", 7), ("a", "audio_latents", None), ("b", "latents", None), ("b", "conditions", 1), ("c", "latents", 2)]
+    artifacts = spark.createDataFrame(rows, "stem string, kind string, token_len int")
+    assert [tuple(r) for r in reconcile.training_manifest(artifacts, reconcile.KINDS).collect()] == [("a", 5, 7, None)]
+    assert sorted(tuple(r)[0] for r in reconcile.training_manifest(artifacts).collect()) == ["a", "b"]
+
+
+def test_totals_are_no_identity(spark):
+    members = spark.createDataFrame([(1, "a"), (1, None), (2, "a"), (3, None)], "clip_id int, identity string")
+    got = {(r.identity, r.is_total): (r.appearances, r.clips) for r in identity.identity_counts(members).collect()}
+    assert got == {("a", False): (2, 2), (None, False): (2, 2), (None, True): (4, 3)}
+    new = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (3, "a")], "clip_id int, identity string")
+    got = {(r.identity, r.is_total): (r.added, r.removed, r.clips) for r in identity.relabel_diff(members, new).collect()}
+    assert got == {("a", False): (1, 1, 2), ("b", False): (1, 0, 1), (None, False): (0, 1, 1), (None, True): (2, 2, 2)}
+
+
+def test_pool_has_places(spark):
+    got = identity.shuffle_pool(spark.range(50).withColumnRenamed("id", "slot"), 7, "slot").collect()
+    assert [r.place for r in sorted(got, key=lambda r: (r.shuffle_key, r.slot))] == list(range(1, 51))
+
+
 def test_capacity(spark):
     clips = spark.createDataFrame([(i, f"s{i % 4}") for i in range(60)], "clip_id int, source_stem string").repartition(3)
     for most in (50, 45, 15, 7, 60, 99, 0):
