@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of a chunk length by which the search moves, and by which it goes on.
@@ -41,15 +41,61 @@ def sample_positions(chunks: DataFrame, n: int = 4) -> DataFrame:
     return chunks.select("*", F.posexplode(positions_of(F.col("start_frame"), F.col("end_frame"), n)).alias("pos", "frame"))
 
 
+#: Frames of one mask of a video, in words of 64.
+MASK = 1024
+
+
+def masks(matches: DataFrame) -> DataFrame:
+    """(video_id, mask, hits, unknowns): frames with a hit or an unknown as bits of 64-bit words, MASK frames a row. Frames without either have no row.
+
+    Words are put together before the shuffle, so a frame costs a bit.
+    """
+    words = MASK // 64
+    bit = F.expr("shiftleft(1L, cast(pmod(frame, 64) as int))")
+    word = F.floor(F.pmod("frame", F.lit(MASK)) / 64)
+    packed = lambda c: F.array(*[F.coalesce(F.bit_or(F.when(F.col(c) & (word == i), bit)), F.lit(0).cast("long")) for i in range(words)])
+    rows = matches.where(F.col("hit") | F.col("unknown")).withColumn("mask", F.floor(F.col("frame") / MASK).cast("int"))
+    return rows.groupBy("video_id", "mask").agg(packed("hit").alias("hits"), packed("unknown").alias("unknowns"))
+
+
+def with_masks(ranges: DataFrame, matches: DataFrame, low: Column, high: Column) -> DataFrame:
+    """ranges with `_masks`, a map from mask number to its words, of all frames from low to before high.
+
+    A range meets the one or few masks that it touches, its halo included; no frame or position is a row.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in ranges.columns])
+    numbers = F.sequence(F.floor(low / MASK).cast("int"), F.floor(F.greatest(low, high - 1) / MASK).cast("int"))
+    asked = ranges.select(whole.alias("_row"), F.monotonically_increasing_id().alias("_id"), F.explode(numbers).alias("_mask"))
+    found = masks(matches).withColumnsRenamed({"video_id": "_video", "mask": "_number"})
+    joined = asked.join(found, (F.col("_row.video_id") == F.col("_video")) & (F.col("_mask") == F.col("_number")), "left")
+    pair = F.when(F.col("_number").isNotNull(), F.struct("_number", F.struct("hits", "unknowns")))
+    return joined.groupBy("_id").agg(F.first("_row").alias("_row"), F.map_from_entries(F.collect_list(pair)).alias("_masks")).select("_row.*", "_masks")
+
+
+def _bit(frame: Column, kind: str) -> Column:
+    """Whether the frame's bit is set in `_masks`."""
+    words = F.try_element_at(F.col("_masks"), F.floor(frame / MASK).cast("int"))[kind]
+    word = F.get(words, F.floor(F.pmod(frame, F.lit(MASK)) / 64).cast("int"))
+    return F.coalesce(F.getbit(word, F.pmod(frame, F.lit(64)).cast("int")) == 1, F.lit(False))
+
+
+def seen_in(start: Column, end: Column, n: int) -> Column:
+    """struct(hits, unknowns, n_pos, first_hit, last_hit) of the n positions of a range, read from `_masks`."""
+    at = positions_of(start, end, n)
+    hit = F.filter(at, lambda f: _bit(f, "hits"))
+    unknown = F.filter(at, lambda f: _bit(f, "unknowns"))
+    # bound once, as each is used several times
+    return F.transform(F.array(F.struct(hit.alias("h"), unknown.alias("u"), at.alias("p"))), lambda x: F.struct(F.size(x["h"]).cast("long").alias("hits"), F.size(x["u"]).cast("long").alias("unknowns"), F.size(x["p"]).cast("long").alias("n_pos"), F.array_min(x["h"]).alias("first_hit"), F.array_max(x["h"]).alias("last_hit")))[0]
+
+
 def validate_ranges(ranges: DataFrame, matches: DataFrame, keys: list[str], n: int = 4) -> DataFrame:
     """Hits, unknowns, positions and hit frames of ranges (keys, video_id, start_frame, end_frame).
 
-    matches: (video_id, frame, hit, unknown); frames without a row count as read, without a hit.
+    matches: (video_id, frame, hit, unknown); frames without a row count as read, without a hit. Empty ranges have no row.
     """
-    found = matches.select("video_id", "frame", "hit", "unknown")
-    rows = sample_positions(ranges.select(*keys, "start_frame", "end_frame"), n).join(found, ["video_id", "frame"], "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return rows.groupBy(*keys).agg(F.count_if(yes("hit")).alias("hits"), F.count_if(yes("unknown")).alias("unknowns"), F.count("*").alias("n_pos"), F.min(F.when(yes("hit"), F.col("frame"))).alias("first_hit"), F.max(F.when(yes("hit"), F.col("frame"))).alias("last_hit"))
+    rows = ranges.select(*keys, *[c for c in ("video_id", "start_frame", "end_frame") if c not in keys]).where("end_frame > start_frame")
+    seen = with_masks(rows, matches, F.col("start_frame"), F.col("end_frame"))
+    return seen.select(*keys, F.inline(F.array(seen_in(F.col("start_frame"), F.col("end_frame"), n))))
 
 
 def validate_chunks(positions: DataFrame, sightings: DataFrame, unknown: DataFrame, target: list[str] | None = None) -> DataFrame:
@@ -87,35 +133,49 @@ def _snap(x: Column) -> Column:
     return (F.floor(x.cast("int") / 8) * 8).cast("int")
 
 
-def _moved(chunks: DataFrame, moves: Column, keys: list[str]) -> DataFrame:
-    """Candidates (keys, search_order, shift, range) that stay inside the video. moves: array of (search_order, part of the length)."""
-    rows = chunks.withColumn("_m", F.explode(moves))
+def _move(part: Column, length: Column) -> Column:
+    """Frames that a move by a part of a length takes."""
+    size = _snap(length * F.abs(part))
+    return F.when(part < 0, -size).otherwise(size)
+
+
+def _moves(parts: Column, n: int, need_inside: bool = True) -> Column:
+    """Array of the moved ranges with what is seen in them. parts: array of (k, part); with need_inside only moves that stay inside the video."""
     length = F.col("end_frame") - F.col("start_frame")
-    size = _snap(length * F.abs("_m.part"))
-    rows = rows.withColumn("shift", F.when(F.col("_m.part") < 0, -size).otherwise(size)).withColumn("search_order", F.col("_m.k"))
-    rows = rows.withColumns({"start_frame": F.col("start_frame") + F.col("shift"), "end_frame": F.col("end_frame") + F.col("shift")})
-    return rows.drop("_m").withColumn("inside", (F.col("start_frame") >= F.col("first_frame")) & (F.col("end_frame") <= F.col("last_frame")))
+    moved = F.transform(parts, lambda m: F.struct(m["k"].alias("search_order"), _move(m["part"], length).alias("shift")))
+    inside = lambda m: (F.col("start_frame") + m["shift"] >= F.col("first_frame")) & (F.col("end_frame") + m["shift"] <= F.col("last_frame"))
+    if need_inside:
+        moved = F.filter(moved, lambda m: inside(m) & (m["shift"] != 0))
+    placed = lambda m: (F.col("start_frame") + m["shift"], F.col("end_frame") + m["shift"])
+    return F.transform(moved, lambda m: F.struct(m["search_order"].alias("search_order"), m["shift"].alias("shift"), placed(m)[0].alias("start_frame"), placed(m)[1].alias("end_frame"), inside(m).alias("inside"), seen_in(*placed(m), n).alias("seen")))
 
 
 def _array(parts: list[float]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("part")) for k, p in enumerate(parts, 1)])
 
 
+def _passes(seen: Column, required: float, unknown: float) -> Column:
+    need, may = gate_limits(seen["n_pos"], required, unknown)
+    return (seen["hits"] >= need) & (seen["unknowns"] <= may)
+
+
 def candidates(chunks: DataFrame, matches: DataFrame, n: int = 4, required: float = 0.75, unknown: float = 0.25, fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:
-    """Every range that passes: the chunk itself (search_order 0) and its moves, if it has a hit and is not perfect already."""
-    keys = ["video_id", "chunk_idx"]
-    own = chunks.join(validate_ranges(chunks, matches, keys, n), keys)
-    need, may = gate_limits(F.col("n_pos"), required, unknown)
-    own = own.withColumns({"passes": (F.col("hits") >= need) & (F.col("unknowns") <= may), "shift": F.lit(0), "search_order": F.lit(0)})
-    perfect = F.col("passes") & (F.col("hits") == F.col("n_pos"))
-    facts = ["hits", "unknowns", "n_pos", "first_hit", "last_hit"]
-    search = own.where((F.col("hits") > 0) & (F.col("n_pos") >= 2) & ~perfect).drop(*facts, "passes", "shift", "search_order")
-    moved = _moved(search, _array([-f for f in fractions] + list(fractions)), keys).where("inside AND shift <> 0").drop("inside")
-    at = [*keys, "search_order"]
-    tried = moved.join(validate_ranges(moved, matches, at, n), at)
-    need, may = gate_limits(F.col("n_pos"), required, unknown)
-    tried = tried.where((F.col("hits") >= need) & (F.col("unknowns") <= may))
-    return own.where("passes").drop("passes").unionByName(tried)
+    """Every range that passes: the chunk itself (search_order 0) and its moves, if it has a hit and is not perfect already.
+
+    All moves of a chunk are judged in its row, against the masks of the frames that they can reach.
+    """
+    length, reach = F.col("end_frame") - F.col("start_frame"), max(fractions)
+    rows = with_masks(chunks.where("end_frame > start_frame"), matches, F.col("start_frame") - F.ceil(length * reach), F.col("end_frame") + F.ceil(length * reach))
+    rows = rows.withColumn("_own", seen_in(F.col("start_frame"), F.col("end_frame"), n))
+    passes = _passes(F.col("_own"), required, unknown)
+    search = (F.col("_own.hits") > 0) & (F.col("_own.n_pos") >= 2) & ~(passes & (F.col("_own.hits") == F.col("_own.n_pos")))
+    moved = F.filter(_moves(_array([-f for f in fractions] + list(fractions)), n), lambda m: _passes(m["seen"], required, unknown))
+    own = F.struct(F.lit(0).alias("search_order"), F.lit(0).alias("shift"), F.col("start_frame"), F.col("end_frame"), F.lit(True).alias("inside"), F.col("_own").alias("seen"))
+    none = F.filter(F.array(own), lambda _: F.lit(False))
+    every = F.concat(F.when(passes, F.array(own)).otherwise(none), F.when(search, moved).otherwise(none))
+    kept = [c for c in chunks.columns if c not in ("start_frame", "end_frame")]
+    out = rows.select(*kept, F.explode(every).alias("_m"))
+    return out.select(*kept, "_m.search_order", "_m.shift", "_m.start_frame", "_m.end_frame", "_m.seen.*")
 
 
 def shift_search(chunks: DataFrame, matches: DataFrame, **how) -> DataFrame:
@@ -132,22 +192,20 @@ def shift_search(chunks: DataFrame, matches: DataFrame, **how) -> DataFrame:
 
 def shift_extend(best: DataFrame, matches: DataFrame, n: int = 4, required: float = 0.75, unknown: float = 0.25) -> DataFrame:
     """Further moves of chunks whose best one is the farthest and not perfect, as long as each is inside, passes, has no fewer hits than the one before, and none was perfect."""
-    keys = ["video_id", "chunk_idx"]
     length = F.col("end_frame") - F.col("start_frame")
     far = best.where((F.col("shift") != 0) & (F.abs("shift") >= _snap(length * 2.0)) & (F.col("hits") < F.col("n_pos")))
-    rows = far.withColumns({"start_frame": F.col("start_frame") - F.col("shift"), "end_frame": F.col("end_frame") - F.col("shift"), "_sign": F.signum("shift"), "_hits": F.col("hits")})
-    moves = F.transform(_array(list(FURTHER)), lambda m: F.struct(m["k"].alias("k"), (m["part"] * F.col("_sign")).alias("part")))
-    rows = _moved(rows.drop("shift", "hits", "unknowns", "n_pos"), moves, keys)
-    at = [*keys, "search_order"]
-    rows = rows.join(validate_ranges(rows, matches, at, n), at)
-    need, may = gate_limits(F.col("n_pos"), required, unknown)
-    order = Window.partitionBy(*keys).orderBy("search_order")
-    before = F.coalesce(F.lag("hits").over(order), F.col("_hits"))
-    done = F.coalesce(F.lag(F.col("hits") == F.col("n_pos")).over(order), F.lit(False))
-    stop = ~F.col("inside") | (F.col("hits") < need) | (F.col("unknowns") > may) | (F.col("hits") < before) | done
-    rows = rows.withColumn("_stop", stop.cast("int"))
-    rows = rows.withColumn("_stopped", F.sum("_stop").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("_stopped = 0").select(*keys, "search_order", "shift", "hits", "unknowns", "n_pos")
+    rows = far.select("video_id", "chunk_idx", "first_frame", "last_frame", (F.col("start_frame") - F.col("shift")).alias("start_frame"), (F.col("end_frame") - F.col("shift")).alias("end_frame"), F.signum("shift").alias("_sign"), F.col("hits").alias("_hits"))
+    reach = F.ceil(length * max(FURTHER))
+    rows = with_masks(rows, matches, F.col("start_frame") - F.when(F.col("_sign") < 0, reach).otherwise(0), F.col("end_frame") + F.when(F.col("_sign") > 0, reach).otherwise(0))
+    parts = F.transform(_array(list(FURTHER)), lambda m: F.struct(m["k"].alias("k"), (m["part"] * F.col("_sign")).alias("part")))
+    rows = rows.withColumn("_tried", _moves(parts, n, need_inside=False))
+    before = lambda i: F.when(i == 0, F.col("_hits")).otherwise(F.get("_tried", i - 1)["seen"]["hits"])
+    done = lambda i: F.coalesce(F.get("_tried", i - 1)["seen"]["hits"] == F.get("_tried", i - 1)["seen"]["n_pos"], F.lit(False))
+    good = lambda m, i: m["inside"] & _passes(m["seen"], required, unknown) & (m["seen"]["hits"] >= before(i)) & ~F.when(i == 0, F.lit(False)).otherwise(done(i))
+    rows = rows.withColumn("_good", F.transform("_tried", good))
+    end = F.coalesce(F.nullif(F.array_position("_good", F.lit(False)), F.lit(0)), F.size("_tried") + 1).cast("int") - 1
+    out = rows.select("video_id", "chunk_idx", F.explode(F.slice("_tried", F.lit(1), end)).alias("_m"))
+    return out.select("video_id", "chunk_idx", "_m.search_order", "_m.shift", "_m.seen.hits", "_m.seen.unknowns", "_m.seen.n_pos")
 
 
 def hit_centered_probe(cands: DataFrame, chunks: DataFrame, matches: DataFrame, n: int = 4, required: float = 0.75, unknown: float = 0.25) -> DataFrame:

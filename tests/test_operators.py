@@ -499,6 +499,43 @@ def test_manifest_versions(spark, tmp_path):
     assert media.read_entries(spark, str(tmp_path / "bad.json")).count() == 0
 
 
+def test_ranges_are_judged_from_masks_of_a_long_video(spark):
+    """A day-long video: ranges over the borders of masks, few rows shuffled, one video in many tasks."""
+    rng = np.random.default_rng(9)
+    frames = np.sort(rng.choice(200_000, 30_000, replace=False))
+    hit, unknown = rng.random(30_000) < 0.7, rng.random(30_000) < 0.2
+    matches = spark.createDataFrame([(1, int(f), bool(h), bool(u)) for f, h, u in zip(frames, hit, unknown)] + [(1, 7, None, True)] * (7 not in frames), "video_id long, frame int, hit boolean, unknown boolean")
+    of = {int(f): (h, u) for f, h, u in zip(frames, hit, unknown)} | ({7: (False, True)} if 7 not in frames else {})
+    chunks = [(1, i, i * 97, i * 97 + 97, 0, 200_000) for i in range(2000)] + [(2, 0, 5, 90, 0, 100)]
+    df = spark.createDataFrame(chunks, "video_id long, chunk_idx int, start_frame int, end_frame int, first_frame int, last_frame int")
+
+    def look(video, a, b, n=4):
+        at = [a + i * (b - a) // n for i in range(n)]
+        seen = [(f, *of.get(f, (False, False))) if video == 1 else (f, False, False) for f in at]
+        hits = [f for f, h, _ in seen if h]
+        return len(hits), sum(u for *_, u in seen), len(at), min(hits, default=None), max(hits, default=None)
+
+    got = {(r.video_id, r.chunk_idx): (r.hits, r.unknowns, r.n_pos, r.first_hit, r.last_hit) for r in mining.validate_ranges(df, matches, ["video_id", "chunk_idx"]).collect()}
+    assert got == {(v, i): look(v, a, b) for v, i, a, b, *_ in chunks}
+    want = set()
+    for v, i, a, b, lo, hi in chunks:
+        hits, unknowns, n, *_ = look(v, a, b)
+        passes = hits >= max(1, round(0.75 * n)) and unknowns <= round(0.25 * n)
+        if passes:
+            want.add((v, i, 0, 0, hits, unknowns))
+        if hits and not (passes and hits == n):
+            for k, f in enumerate([-f for f in mining.FRACTIONS] + list(mining.FRACTIONS), 1):
+                move = int((b - a) * abs(f)) // 8 * 8 * (1 if f > 0 else -1)
+                if move and a + move >= lo and b + move <= hi:
+                    h, u, m, *_ = look(v, a + move, b + move)
+                    if h >= max(1, round(0.75 * m)) and u <= round(0.25 * m):
+                        want.add((v, i, k, move, h, u))
+    found = mining.candidates(df, matches)
+    assert {(r.video_id, r.chunk_idx, r.search_order, r.shift, r.hits, r.unknowns) for r in found.collect()} == want
+    asked = mining.with_masks(df, matches, F.col("start_frame") - 194, F.col("end_frame") + 194).select(F.sum(F.lit((97 * 5) // mining.MASK + 2)).alias("n")).first().n
+    assert asked <= 2001 * 2 and mining.masks(matches).count() <= 200_000 // mining.MASK + 1  # a position was a row before: 68 a chunk
+
+
 def test_capacity_counts_clips_without_a_source(spark):
     rows = [(1, None), (2, "b"), (3, None), (4, "a"), (5, "a")]
     clips = spark.createDataFrame(rows, "clip_id int, source_stem string").repartition(2)
