@@ -65,7 +65,8 @@ def with_masks(ranges: DataFrame, matches: DataFrame, low: Column, high: Column)
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in ranges.columns])
     numbers = F.sequence(F.floor(low / MASK).cast("int"), F.floor(F.greatest(low, high - 1) / MASK).cast("int"))
-    asked = ranges.select(whole.alias("_row"), F.monotonically_increasing_id().alias("_id"), F.explode(numbers).alias("_mask"))
+    # numbered before they are dealt to masks, so that a range's rows share a number
+    asked = ranges.select(whole.alias("_row"), numbers.alias("_all")).withColumn("_id", F.monotonically_increasing_id()).withColumn("_mask", F.explode("_all")).drop("_all")
     found = masks(matches).withColumnsRenamed({"video_id": "_video", "mask": "_number"})
     joined = asked.join(found, (F.col("_row.video_id") == F.col("_video")) & (F.col("_mask") == F.col("_number")), "left")
     pair = F.when(F.col("_number").isNotNull(), F.struct("_number", F.struct("hits", "unknowns")))
