@@ -7,7 +7,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions.shared import stored
@@ -32,15 +33,34 @@ class Groups(NamedTuple):
     overlap: int
 
 
-def unit(v: Column, width: int) -> Column:
-    """The vector at length one, shorter ones ended by zeros; null if it is null, zero or holds a null or a number that is not finite."""
-    v = v.cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    most = F.array_max(F.transform(v, F.abs))
-    small = F.transform(v, lambda x: x / most)  # squares neither overflow nor vanish
-    norm = F.sqrt(F.aggregate(small, F.lit(0.0), lambda a, x: a + x * x))
-    out = F.concat(F.transform(small, lambda x: x / norm), F.array_repeat(F.lit(0.0), F.lit(width) - F.size(v)))
-    return F.when(~F.coalesce(bad, F.lit(True)) & (most > 0), out)
+def with_units(rows: DataFrame, width: int) -> DataFrame:
+    """(id, label, u) of (id, label, v): vectors at length one, shorter ones ended by zeros.
+
+    u is null if the vector is null, zero or holds a null or a number that is not finite. Squares neither
+    overflow nor vanish.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(2)
+            n = len(v)
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become NaN
+            sizes = np.nan_to_num(pc.list_value_length(v).to_numpy(zero_copy_only=False)).astype(np.int64)
+            row = np.repeat(np.arange(n), sizes)
+            x = np.zeros((n, width))
+            x[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+            bad = ~np.isfinite(x).all(axis=1)
+            x[bad] = 0
+            most = np.abs(x).max(axis=1)
+            bad |= most == 0
+            x /= np.where(bad, 1, most)[:, None]
+            x /= np.where(bad, 1, np.linalg.norm(x, axis=1))[:, None]
+            ends = pa.array(np.append(0, np.cumsum(np.where(bad, 0, width))).astype(np.int32))
+            u = pa.ListArray.from_arrays(ends, pa.array(x[~bad].ravel()), mask=pa.array(bad))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), u], names=["id", "label", "u"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+    return rows.mapInArrow(run, f"{kinds}, u array<double>")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -335,9 +355,9 @@ def near_groups(vectors: DataFrame, least: float = 0.93, overlap: int = 3, least
     id are each a vector. Other columns are not read. An empty table gives no rows.
     """
     width = max(1, vectors.agg(F.max(F.size(vector_col))).first()[0] or 1)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), unit(F.col(vector_col), width).alias("u"))
-    rows = rows.withColumn("u", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("u")))
-    rows = stored(rows, "graph-rows")
+    vector = F.when(F.col(id_col).isNotNull() & F.col(label_col).isNotNull(), F.col(vector_col).cast("array<double>"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vector.alias("v"))
+    rows = stored(with_units(rows, width), "graph-rows")
     nodes = rows.where(F.col("u").isNotNull()).groupBy("label", "u").agg(F.min("id").alias("first"), F.count("*").alias("mult"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "graph-nodes")
     sizes = nodes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
