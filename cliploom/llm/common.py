@@ -1,77 +1,30 @@
-"""Shared pieces: work tables, gapless numbering without hot partitions, word keys."""
+"""Shared pieces: work tables, gapless numbering without hot partitions, word keys, names that clash with none."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.shared import discard, stored, work_tables
+
+__all__ = ["BLANKS", "BLANKS_SQL", "discard", "fresh", "mixed", "running_total", "split_words", "stored", "text_slices", "work_tables"]
+
 #: The white space of all contracts here: space and U+0009..U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
 BLANKS_SQL = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 
-#: The setting by which Spark drops an execution's shuffle files when it ends.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir, which goes when the application ends.
-
-    A temporary folder serves only where that setting is missing and the master is local (tests).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="cliploom-")
-        spark.sparkContext.setCheckpointDir(found)
-    path = f"{found}/cliploom-{spark.sparkContext.applicationId}"
-    if path not in _announced:
-        _announced.add(path)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
-
-
-_announced: set[str] = set()
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
-
-    Shuffle files behind the table go as soon as it is written.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    made.append(out)
-    return out
-
-
-#: Tables of stored() that are still there, in the order in which they were made.
-made: list[DataFrame] = []
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of stored() that nothing reads any more."""
-    for df in tables:
-        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
-        made[:] = [t for t in made if t is not df]
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 #: Bytes of a window, units of each direction, windows that are labelled at once.
 STEPS, UNITS, AT_ONCE = 64, 8, 2048
 UNKNOWN = "und"
@@ -183,9 +185,11 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", keep:
 
     Every byte of the whole text is labelled; a document's score of a language is the mean of its
     probability over all positions. `und` with score 0 if the text is null or has no letter, or
-    nothing could be learned. Repeated rows get equal results.
+    nothing could be learned. Repeated rows get equal results. Columns of docs may have any names; those
+    called _lang or _lang_score give way to the result's.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("_lang", "_lang_score")]
+    held, has_letters = fresh(docs, "_li_text"), fresh(docs, "_li_letters")
     out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
     letters: Column = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
@@ -195,12 +199,12 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", keep:
                 batch = big.slice(at, 500)
                 get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
                 lang, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
-                has = [i for i, x in enumerate(get("_li_letters").to_pylist()) if x and net is not None]
+                has = [i for i, x in enumerate(get(has_letters).to_pylist()) if x and net is not None]
                 if has:
-                    texts = get("_li_text").take(pa.array(has)).cast(pa.large_binary()).to_pylist()
+                    texts = get(held).take(pa.array(has)).cast(pa.large_binary()).to_pylist()
                     for i, p in zip(has, net.pooled(texts), strict=True):
                         k = int(p.argmax())
                         lang[i], score[i] = net.languages[k], min(1.0, float(p[k]))
                 yield pa.record_batch([*[get(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=out.names)
 
-    return docs.select(*keep, F.col(text_col).alias("_li_text"), letters.alias("_li_letters")).mapInArrow(run, out)
+    return docs.select(*keep, F.col(text_col).alias(held), letters.alias(has_letters)).mapInArrow(run, out)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, discard, stored
+from .common import BLANKS, discard, fresh, stored
 
 #: Bits of one segment of a filter, bits for each line, and hash functions.
 SEGMENT_BITS, BITS_PER_LINE, HASHES = 1 << 22, 12, 5
@@ -172,15 +172,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Result: the columns of docs with the text replaced (null becomes empty), then _n_lines and
     _n_dropped. Rows of one id count as one document and are all kept; rows with a null id keep all
-    lines and count for no other document; the order of rows is not kept.
+    lines and count for no other document; the order of rows is not kept. Columns of docs may have any
+    names; those called _n_lines or _n_dropped give way to the result's.
     """
-    drops = repeated_lines(docs, id_col, text_col, least, lines_each).groupBy("_ld_id").agg(F.collect_set("_ld_key").alias("_ld_keys"))
+    docs = docs.select([c for c in docs.columns if c.lower() not in ("_n_lines", "_n_dropped")])
+    own_id, own_keys = fresh(docs, "_ld_id"), fresh(docs, "_ld_keys")
+    drops = repeated_lines(docs, id_col, text_col, least, lines_each).groupBy(F.col("_ld_id").alias(own_id)).agg(F.collect_set("_ld_key").alias(own_keys))
     out = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column(batch.schema.get_field_index("_ld_keys")).to_pylist()
+            gone = batch.column(batch.schema.get_field_index(own_keys)).to_pylist()
             texts, n, dropped = [], [], []
             for text, keys in zip(_texts(batch, text_col), gone, strict=True):
                 lines = text.split(b"\n")
@@ -197,4 +200,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.record_batch([*cols.values(), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "_n_lines", "_n_dropped"])
 
-    return docs.join(drops, docs[id_col] == drops["_ld_id"], "left").drop("_ld_id").mapInArrow(cut, out)
+    return docs.join(drops, F.col(id_col) == F.col(own_id), "left").drop(own_id).mapInArrow(cut, out)

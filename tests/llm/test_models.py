@@ -1,5 +1,6 @@
 """Top-k search, url filter, language identification, language model, SentencePiece and the pipeline."""
 
+import inspect
 import math
 import random
 import re
@@ -13,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cliploom.llm import language_id, lm_scoring, queries, sentencepiece_fst, topk_search, url_filter
+from cliploom.llm import language_id, line_dedup, lm_scoring, ngram_join, packing, quality_rules, queries, sentencepiece_fst, topk_search, url_filter
 from cliploom.llm.common import stored
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -315,12 +316,17 @@ def test_pipeline_of_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     long = " ".join(f"word{i}" for i in range(300_000))
     more = [(None, "short", "en", "s", 5), (None, "the of and to in is that for it as with was on be by at this from or an are have not one had all were we her when there their been has if more who so no out up them then than into only some could time these two may any other what will said each which do how about many its now over such our man me even most made after also did must before through back years where much your way well down should because " * 2, "en", "s", 1), (7_000_001, None, None, None, None), (7_000_002, long, "en", None, 1), (7_000_002, long, "en", None, 1)]
-    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"n_words": F.lit("x"), "_lang": F.lit(1), "component_id": F.lit(None).cast("string"), "length": F.lit(3)})
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    # columns with every name that the stages or the pipeline write anywhere
+    sources = [inspect.getsource(m) for m in (corpus_pipeline, language_id, line_dedup, ngram_join, packing, quality_rules)]
+    inner = {n.lower() for code in sources for n in re.findall(r"[\"' ,(]([A-Za-z_][A-Za-z_0-9]*)[\"' ,)]", code)} - {c.lower() for c in docs.columns}
+    assert {"_lang", "_li_text", "_ld_id", "_ld_keys", "_n_lines", "gone", "rest", "_q_id", "component_id"} <= inner
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(sorted(inner))])
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name == "language":
-            docs = docs.drop("_lang")
+        before = docs.columns
         docs = stored(stage(spark, docs, sf_dir), name)
-        assert "component_id" in docs.columns and docs.where("doc_id IS NULL AND text = 'short'").count() == 0
+        assert docs.columns == before and docs.where("_lang <> %d" % sorted(inner).index("_lang")).count() == 0
+        assert docs.where("doc_id IS NULL AND text = 'short'").count() == 0
     assert docs.where("doc_id = 7000002").count() == 2 and docs.where("doc_id = 7000001").count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert pieces.where("doc_id = 7000002").agg(F.sum("length")).first()[0] == 2 * pieces.where("doc_id = 7000002").first().doc_tokens
