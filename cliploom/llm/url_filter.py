@@ -14,6 +14,8 @@ from .common import stored
 
 #: Longest word of the lexicon, and first letters of words that one row of a run looks up (a host label has 63 characters at most).
 LONGEST, WINDOW = 20, 64
+#: Tokens' worth by which a word's chances in both classes are drawn together.
+PULL = 10.0
 #: Words that mark a url as unwanted when the classifier's examples are gathered; a parameter of judge_urls().
 UNWANTED = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,13 +116,26 @@ def host_words(hosts: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
     return runs.join(done, "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, unwanted: tuple[str, ...] = UNWANTED, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
+def word_odds(examples: DataFrame) -> tuple[DataFrame, bool]:
+    """(word, w) of examples (words, bad, pages): log odds of block to allow, and whether there is an example of block at all."""
+    n = F.when(F.col("bad"), F.col("pages")).otherwise(0)
+    seen = examples.select(F.explode("words").alias("word"), n.alias("b"), (F.col("pages") - n).alias("a")).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    seen = stored(seen, "url-evidence")
+    sums = seen.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a")).first()
+    pull = F.lit(PULL) * (F.col("a") + F.col("b")) / max(1, sums.a + sums.b)
+    odds = F.log((F.col("b") + pull) / (sums.b + PULL)) - F.log((F.col("a") + pull) / (sums.a + PULL))
+    return seen.select("word", odds.alias("w")), sums.b > 0
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, unwanted: tuple[str, ...] = UNWANTED, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", verdicts: DataFrame | None = None) -> DataFrame:
     """Host, path, the rule that fits and the verdict of every url.
 
-    Where no rule fits, multinomial naive Bayes over segmented host words and path tokens decides.
-    Its examples are the given urls themselves: those with an unwanted word are examples of block;
-    those without, unless a rule blocks them, of allow (with equal priors, so that a url is blocked
-    only for its words). Without an unwanted word anywhere, all are allowed. Words are segmented
+    Where no rule fits, multinomial naive Bayes over segmented host words and path tokens decides, with
+    equal priors, so that a url is blocked only for its words. With `verdicts` (url, blocked) it learns
+    from those that are given: of one host and path all count as blocked if one is. Without, the given urls themselves are its
+    examples: those with an unwanted word are examples of block; those without, unless a rule blocks
+    them, of allow. Without an example of block, all are allowed. Each word's chance is its share in a
+    class, drawn by PULL tokens' worth towards its share in both, so that a rare word speaks for neither. Words are segmented
     with the unigram counts of the pages' texts, paths and hosts' parts, a host's own pages left out.
 
     Result: id_col, host, path, rule, verdict, score (log odds of block; null where a rule decides).
@@ -136,18 +151,19 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     hosts = stored(host_words(urls.select("host").distinct(), lexicon, total), "url-hosts")
     path_words = F.filter(tokens(F.col("path")), lambda w: w != "0")
     words = urls.join(hosts, "host", "left").withColumn("words", F.concat(F.coalesce("words", F.array().cast("array<string>")), path_words))
-    bad = F.arrays_overlap("words", F.array(*[F.lit(w) for w in unwanted]).cast("array<string>"))
-    words = stored(words.withColumn("bad", bad), "url-words")
-    taught = words.where(F.col("bad") | F.coalesce(F.col("action") != "block", F.lit(True)))
-    n = F.col("pages")
-    seen = taught.select(F.explode("words").alias("word"), "bad", "pages").groupBy("word").agg(F.sum(F.when(F.col("bad"), n).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(n)).alias("a"))
-    seen = stored(seen, "url-evidence")
-    sums = seen.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
-    vb, va = (sums.b or 0) + (sums.v or 0) + 1, (sums.a or 0) + (sums.v or 0) + 1
-    weights = stored(seen.select("word", (F.log((F.col("b") + 1) / vb) - F.log((F.col("a") + 1) / va)).alias("w")), "url-weights")
+    if verdicts is None:
+        bad = F.arrays_overlap("words", F.array(*[F.lit(w) for w in unwanted]).cast("array<string>"))
+        words = words.withColumn("bad", bad).withColumn("taught", F.col("bad") | F.coalesce(F.col("action") != "block", F.lit(True)))
+    else:
+        host, path = parts(F.col("url").cast("string"))
+        given = verdicts.where(F.col("blocked").isNotNull()).groupBy(host.alias("host"), path.alias("path")).agg(F.bool_or("blocked").alias("bad"))
+        words = words.join(given, ["host", "path"], "left").withColumn("taught", F.col("bad").isNotNull())
+    words = stored(words, "url-words")
+    weights, learned = word_odds(words.where("taught"))
+    weights = stored(weights, "url-weights")
     odds = words.where("rule IS NULL").select("host", "path", F.explode("words").alias("word")).join(weights, "word").groupBy("host", "path").agg(F.sum("w").alias("score"))
     judged = urls.join(odds, ["host", "path"], "left").withColumn("score", F.when(F.col("rule").isNull(), F.coalesce("score", F.lit(0.0))))
-    block = (F.col("score") > 0) if sums.b else F.lit(False)
+    block = (F.col("score") > 0) if learned else F.lit(False)
     verdict = F.coalesce("action", F.when(block, "block").otherwise("allow"))
     judged = stored(judged.select("host", "path", "rule", verdict.alias("verdict"), "score"), "url-verdicts")
     return base.select(F.col("_uf_id").alias(id_col), "host", "path").join(judged, ["host", "path"]).select(id_col, "host", "path", "rule", "verdict", "score")

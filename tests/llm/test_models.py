@@ -1,6 +1,7 @@
 """Top-k search, url filter, language identification, language model, SentencePiece and the pipeline."""
 
 import inspect
+import itertools
 import math
 import random
 import re
@@ -131,6 +132,53 @@ def test_runs_are_cut_into_known_words():
     assert url_filter.segment("zzz", known, 100) == ["zzz"]
 
 
+def test_cuts_are_the_best_of_all():
+    rng = random.Random(3)
+    for _ in range(200):
+        known = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(6)}
+        run = "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
+        cost = lambda w: math.log(known[w] / 300) if w in known else math.log(0.1 / 300) - 2.3 * len(w)  # noqa: E731, B023
+        cuts = [[run[i:j] for i, j in zip([0, *c], [*c, len(run)])] for n in range(len(run)) for c in itertools.combinations(range(1, len(run)), n)]
+        got = url_filter.segment(run, known, 300)
+        assert "".join(got) == run and math.isclose(sum(map(cost, got)), max(sum(map(cost, c)) for c in cuts))
+
+
+def test_word_odds_as_restated(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))], rng.random() < 0.3, rng.randint(1, 5)) for _ in range(80)] + [(["rare"], False, 1)]
+    got, learned = url_filter.word_odds(spark.createDataFrame(rows, "words array<string>, bad boolean, pages long"))
+    n = {bad: Counter() for bad in (True, False)}
+    for words, bad, pages in rows:
+        n[bad].update({w: c * pages for w, c in Counter(words).items()})
+    sums, pull = {b: sum(c.values()) for b, c in n.items()}, url_filter.PULL
+    chance = lambda w, b: (n[b][w] + pull * (n[True][w] + n[False][w]) / sum(sums.values())) / (sums[b] + pull)
+    want = {w: math.log(chance(w, True)) - math.log(chance(w, False)) for w in n[True] | n[False]}
+    odds = {r.word: r.w for r in got.collect()}
+    assert learned and odds.keys() == want.keys() and all(math.isclose(odds[w], want[w], rel_tol=1e-9) for w in want)
+    assert odds["rare"] < 0  # one sight of a word among the allowed does not speak for block
+    assert not url_filter.word_odds(spark.createDataFrame(rows, "words array<string>, bad boolean, pages long").where("not bad"))[1]
+
+
+def test_given_verdicts_teach_unseen_hosts(spark):
+    """Hosts put together from words; half of them have verdicts, the others are kept out."""
+    rng = random.Random(12)
+    good, bad, both = ["garden", "school", "library", "music", "river"], ["loan", "bonus", "jackpot", "miracle", "diet"], ["free", "home", "online", "best", "my"]
+    urls = {}
+    for i in range(400):
+        blocked = i % 3 == 0
+        words = [rng.choice(bad if blocked else good), rng.choice(bad if blocked else good), rng.choice(both)]
+        rng.shuffle(words)
+        urls[f"http://{''.join(words)}{i}.example.com/en/{i}"] = blocked
+    text = " ".join(good + bad + both)
+    pages = spark.createDataFrame([(i, u, f"<p>{text}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    taught = {u: b for i, (u, b) in enumerate(urls.items()) if i % 2}
+    verdicts = spark.createDataFrame([*taught.items(), (None, None)], "url string, blocked boolean")
+    got = {(r.host, r.path): r.verdict == "block" for r in url_filter.judge_urls(pages, rules=(), verdicts=verdicts).collect()}
+    held = [got[url_parts(u)] == b for u, b in urls.items() if u not in taught]
+    assert sum(held) >= 0.95 * len(held)
+    assert {r.verdict for r in url_filter.judge_urls(pages, rules=(), verdicts=verdicts.limit(0)).collect()} == {"allow"}
+
+
 def test_gradients_match_differences():
     net = language_id.Network.fresh(["a", "b"], seed=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
