@@ -577,11 +577,12 @@ def test_capacity(spark):
     assert identity.capacity_shortfall(clips, clips, 70).first().advice == "mine more" and identity.capacity_shortfall(clips, clips, 60).first().advice is None
 
 
-def test_references_with_gaps_and_in_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_blocks,vectors_each", [(10, 16_384), (1, 16_384), (1, 3)])
+def test_references_with_gaps_and_in_many_blocks(spark, monkeypatch, broadcast_blocks, vectors_each):
     from cliploom.functions import vectors
 
-    monkeypatch.setattr(vectors, "BLOCK", 2)
-    monkeypatch.setattr(vectors, "BLOCKS_PER_PASS", 2)
+    for name, value in (("BLOCK", 2), ("BROADCAST_BLOCKS", broadcast_blocks), ("EACH", 3), ("VECTORS", vectors_each)):
+        monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(4)
     refs = rng.normal(size=(11, 6))
     refs /= np.linalg.norm(refs, axis=1, keepdims=True)
@@ -605,6 +606,33 @@ def test_references_with_gaps_and_in_many_blocks(spark, monkeypatch):
     assert identity.match_face_refs(det, table.limit(0)).where("matched IS NULL").count() == 41
 
 
+def test_many_references_are_pruned(spark, monkeypatch):
+    """20,000 references around 50 people: the same matches as with all of them, and few units asked."""
+    from cliploom.functions import vectors
+
+    rng = np.random.default_rng(11)
+    people = rng.normal(size=(50, 24))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    refs = unit(people[rng.integers(0, 50, 20_000)] + rng.normal(size=(20_000, 24)) * 0.15)
+    faces = unit(people[rng.integers(0, 50, 400)] + rng.normal(size=(400, 24)) * 0.15)
+    table = spark.createDataFrame([(i, f"r{i}", v.tolist()) for i, v in enumerate(refs)], "ref_order int, trigger_name string, ref_embedding array<double>").repartition(6)
+    det = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(faces)], "det_id int, embedding array<double>").repartition(6)
+    for name, value in (("BLOCK", 400), ("BROADCAST_BLOCKS", 2), ("EACH", 100)):
+        monkeypatch.setattr(vectors, name, value)
+    asked = []
+    real = vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df, what: asked.append((what, real(df, what))) or asked[-1][1])
+    sims = faces @ refs.T
+    got = {r.det_id: r for r in identity.match_face_refs(det, table).collect()}
+    assert all(got[i].matched == f"r{sims[i].argmax()}" and math.isclose(got[i].similarity, sims[i].max(), rel_tol=1e-9) for i in range(400))
+    written = dict(asked)
+    units = written["reference-units"].select("pivot", "part").distinct().count()
+    assert units > 100 and written["asked-units"].count() < 0.25 * 400 * units
+    assert [what for what, _ in asked].count("asking") == 1  # rows are written once
+    over = {(r.det_id, r.trigger_name) for r in identity.match_scene_refs(det, table, 0.9).collect()}
+    assert over == {(i, f"r{j}") for i, j in zip(*np.nonzero(sims >= 0.9))}
+
+
 def test_media_and_references_by_extension(spark, tmp_path):
     names = ["a.TIFF", "b.wmv", "c.flv", "d.tif", "_e.mp4", "notes.txt", "f.wav", "Big_Cat.png"]
     for n in names:
