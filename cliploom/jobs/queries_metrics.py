@@ -105,11 +105,14 @@ def event_stream(t: Tables, folder: str = "events"):
     return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{folder}.parque[t]")
 
 
-@register("stream_divergence", watch_sql("(SELECT user_id AS run_id, event_id::INT AS step, value AS loss FROM events)", **LIMITS))
+@register("stream_divergence", watch_sql("(SELECT user_id AS run_id, event_id::INT AS step, value AS loss FROM events)", **{**LIMITS, "warmup": None}, least_warmup=10))
 def stream_divergence(t: Tables):
+    # each run's own warm-up: a quarter of the steps that it is planned to take
+    limits = {k: v for k, v in LIMITS.items() if k != "warmup"}
+    plan = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.max("event_id").alias("total_steps"))
     stream = event_stream(t).select(F.col("user_id").alias("run_id"), F.col("event_id").cast("int").alias("step"), F.col("value").alias("loss"))
     path = S.work_path(t.spark, "divergence")
-    S.run_once(S.stream_divergence(stream, **LIMITS), path)
+    S.run_once(S.stream_divergence(stream, plan, **limits, least_warmup=10), path)
     return t.spark.read.schema(K.EVENTS).parquet(path).withColumn("percent_over", F.round("percent_over", 6))
 
 

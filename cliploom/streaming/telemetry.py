@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cliploom.functions.shared import shared_folder
-from cliploom.operators.metrics import EVENTS, WATCH, Watch
+from cliploom.operators.metrics import EVENTS, WATCH, Watch, warmup_end
 
 
 def work_path(spark: SparkSession, what: str) -> str:
@@ -20,28 +19,65 @@ def work_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Where streams keep their state: on the executors' disks, with changes in the checkpoint.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Write all that a stream has now to parquet under path, with its checkpoint beside it."""
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    """Write all that a stream has now to parquet under path, with its checkpoint beside it; called again, it goes on from there."""
+    conf = stream.sparkSession.conf
+    before = conf.get(ROCKSDB[0], None)
+    conf.set(*ROCKSDB)
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    finally:
+        conf.unset(ROCKSDB[0]) if before is None else conf.set(ROCKSDB[0], before)
+    query.awaitTermination()
+
+
+class DivergenceWatch(StatefulProcessor):
+    """Feeds each run's steps to its Watch, whose few numbers are the run's state."""
+
+    def __init__(self, threshold: float, detect: int, stop: int, alpha: float) -> None:
+        self.limits = (threshold, detect, stop)
+        self.alpha = alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("watch", WATCH)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        new = pd.concat(list(rows)).dropna(subset=["loss"]).sort_values(["step", "loss"])
+        watch = Watch(*self.state.get()) if self.state.exists() else Watch()
+        if len(new) and new["step"].iloc[0] <= watch.last_step:
+            watch = Watch()
+        got = []
+        if len(new):
+            got = watch.feed(new["step"].tolist(), new["loss"].tolist(), self.alpha, int(new["from_step"].iloc[0]), *self.limits)
+            self.state.update(watch.as_tuple())
+        yield pd.DataFrame([(key[0], *e) for e in got], columns=["run_id", "step", "event", "percent_over"])
+
+    def close(self) -> None:
+        pass
 
 
-def stream_divergence(stream: DataFrame, threshold: float = 15, detect: int = 150, stop: int = 300, alpha: float = 0.02, warmup: int = 50) -> DataFrame:
+def stream_divergence(stream: DataFrame, plan: DataFrame | None = None, threshold: float = 15, detect: int = 150, stop: int = 300, alpha: float = 0.02, warmup: int | None = None, least_warmup: int = 50) -> DataFrame:
     """Divergence events of a stream of (run_id, step, loss), equal to those of divergence_events.
 
-    A run's state is a few numbers. Rows of a micro-batch are taken in order of steps; a first step
-    that isn't after the last one seen is a new run of that name, and clears the state.
+    plan: (run_id, total_steps), the steps that each run will take, from which its warm-up follows as in
+    batch; a run without a plan is watched after least_warmup steps, and a fixed `warmup` goes before all plans. A run's
+    state is a few numbers in RocksDB. Rows of a micro-batch are taken in order of steps; a first step
+    that isn't after the last one seen is a new run of that name, and clears the state. Start it by run_once().
     """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("step")
-        watch = Watch(*state.get) if state.exists else Watch()
-        if len(rows) and rows["step"].iloc[0] <= watch.last_step:
-            watch = Watch()
-        got = watch.feed(rows["step"].tolist(), rows["loss"].tolist(), alpha, warmup, threshold, detect, stop)
-        state.update(watch.as_tuple())
-        yield pd.DataFrame([(key[0], *e) for e in got], columns=["run_id", "step", "event", "percent_over"])
-
-    return stream.select("run_id", "step", "loss").groupBy("run_id").applyInPandasWithState(update, EVENTS, WATCH, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col("run_id").cast("long").alias("run_id"), F.col("step").cast("int").alias("step"), F.col("loss").cast("double").alias("loss"))
+    if warmup is not None:
+        rows = rows.withColumn("from_step", F.lit(warmup))
+    elif plan is None:
+        rows = rows.withColumn("from_step", F.lit(least_warmup))
+    else:
+        ends = plan.groupBy(F.col("run_id").cast("long").alias("_run")).agg(warmup_end(F.max("total_steps"), least=least_warmup).alias("from_step"))
+        rows = rows.join(ends, F.col("run_id") == F.col("_run"), "left").drop("_run").withColumn("from_step", F.coalesce("from_step", F.lit(least_warmup)))
+    watch = DivergenceWatch(threshold, detect, stop, alpha)
+    return rows.groupBy("run_id").transformWithStateInPandas(watch, EVENTS, "Append", "None")
 
 
 def stream_identity_status(stream: DataFrame, sink: str) -> StreamingQuery:

@@ -435,14 +435,24 @@ def test_one_long_run_is_many_tasks(spark):
     assert len(some) == n // 99991 and all(math.isclose(r.ema_after, want[r.step - 1], rel_tol=1e-9) for r in some)
 
 
-def test_stream_equals_batch(spark, sf_dir):
-    from cliploom.jobs.queries_metrics import LIMITS
-
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run_id"), F.col("event_id").cast("int").alias("step"), F.col("value").alias("loss"))
-    batch = metrics.divergence_events(rows, **LIMITS).collect()
-    stream = jobs.QUERIES["stream_divergence"](spark, sf_dir).collect()
-    key = lambda rs: sorted((r.run_id, r.step, r.event) for r in rs)
-    assert key(batch) == key(stream) and batch
+def test_stream_equals_batch(spark, tmp_path):
+    """With defaults, in two parts with a restart from the checkpoint between them, each run with a warm-up of its own."""
+    from cliploom.streaming import telemetry
+
+    loss = [1.0] * 500 + [9.0] * 700 + [0.5] * 500
+    runs = {1: loss, 2: loss[:1300], 3: [2.0] * 10 + loss}
+    rows = [(r, s, x) for r, v in runs.items() for s, x in enumerate(v, 1)] + [(1, 5000, None)]
+    shape = "run_id long, step int, loss double"
+    batch = metrics.divergence_events(spark.createDataFrame(rows[:-1], shape)).collect()
+    plan = spark.createDataFrame([(r, len(v)) for r, v in runs.items()], "run_id long, total_steps int")
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (range(0, 700), range(700, 10_000)):
+        spark.createDataFrame([r for r in rows if r[1] in part], shape).coalesce(1).write.mode("append").parquet(source)
+        telemetry.run_once(telemetry.stream_divergence(spark.readStream.schema(shape).parquet(source), plan), sink)
+    stream = spark.read.schema(metrics.EVENTS).parquet(sink).collect()
+    key = lambda rs: sorted((r.run_id, r.step, r.event, round(r.percent_over, 6)) for r in rs)
+    assert key(batch) == key(stream) and {r.event for r in batch} == {"monitor", "lr_reset", "stop"}
+    assert len({r.step for r in batch if r.event == "monitor"}) > 1
 
 
 def test_media_are_taken_in_once(spark, sf_dir, tmp_path):
