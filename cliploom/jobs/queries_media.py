@@ -142,6 +142,14 @@ def missing_artifacts(t: Tables):
     return R.missing_artifacts(t.b_clips, t.b_artifacts)
 
 
+@register("bucketed_inventory", f"""SELECT stem, kind AS missing, NULL::INT AS latents_len FROM (SELECT stem, kind FROM (SELECT DISTINCT stem FROM b_clips) c CROSS JOIN {KIND_ROWS} k EXCEPT SELECT stem, kind FROM b_artifacts) m
+UNION ALL SELECT a.stem, NULL, a.token_len FROM b_artifacts a JOIN b_artifacts c USING (stem) WHERE a.kind = 'latents' AND c.kind = 'conditions'""")
+def bucketed_inventory(t: Tables):
+    clips, artifacts = M.bucketed(t.b_clips, "clips"), M.bucketed(t.b_artifacts, "artifacts")
+    missing = R.missing_artifacts(clips, artifacts).select("stem", F.col("kind").alias("missing"), F.lit(None).cast("int").alias("latents_len"))
+    return missing.unionByName(R.training_manifest(artifacts).select("stem", F.lit(None).cast("string").alias("missing"), "latents_len"))
+
+
 @register("orphan_entries", """SELECT media_path, source_file, 'deleted' AS reason, CAST(entry_id AS INT) AS chunk_idx FROM b_entries WHERE media_path NOT IN (SELECT path FROM b_clips)""")
 def orphan_entries(t: Tables):
     return R.orphan_entries(t.b_entries, t.b_clips)

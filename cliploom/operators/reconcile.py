@@ -79,10 +79,17 @@ def quarantine_destinations(rejected: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("quarantined_path", F.concat("_folder", F.lit("/"), named)).drop("_folder", "_name", "_n")
 
 
+def _held(artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(_stem, has_<kind>...): which kinds each stem has. One row a stem, so joins with it need the stem alone and keep bucketed tables in place."""
+    return artifacts.where(F.col("kind").isin(*kinds)).groupBy(F.col("stem").alias("_stem")).agg(*[F.max(F.col("kind") == k).alias(f"has_{k}") for k in kinds])
+
+
 def missing_artifacts(clips: DataFrame, artifacts: DataFrame, with_audio: bool = True) -> DataFrame:
-    """(stem, kind) of every artifact that a clip lacks."""
-    wanted = clips.select("stem").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, _kinds(with_audio)))))
-    return wanted.join(artifacts, ["stem", "kind"], "left_anti")
+    """(stem, kind) of every artifact that a clip lacks. Tables of bucketed() are joined without a shuffle."""
+    kinds = _kinds(with_audio)
+    rows = clips.select("stem").distinct().join(_held(artifacts, kinds), F.col("stem") == F.col("_stem"), "left")
+    lacks = F.array_compact(F.array(*[F.when(~F.coalesce(f"has_{k}", F.lit(False)), F.lit(k)) for k in kinds]))
+    return rows.select("stem", F.explode(lacks).alias("kind"))
 
 
 def orphan_entries(entries: DataFrame, clips: DataFrame) -> DataFrame:
@@ -158,9 +165,9 @@ def union_missing(missing: DataFrame) -> DataFrame:
 
 
 def complete_stems(clips: DataFrame, artifacts: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Clips that have all kinds."""
-    full = artifacts.where(F.col("kind").isin(*kinds)).groupBy("stem").agg(F.count_distinct("kind").alias("_n")).where(F.col("_n") == len(kinds))
-    return clips.select("stem").intersect(full.select("stem"))
+    """Clips that have all kinds. Tables of bucketed() are joined without a shuffle."""
+    full = _held(artifacts, kinds).where(F.least(*[F.coalesce(f"has_{k}", F.lit(False)) for k in kinds], F.lit(True)))
+    return clips.select("stem").distinct().join(full, F.col("stem") == F.col("_stem"), "left_semi")
 
 
 def reconcile_report(clips: DataFrame, artifacts: DataFrame, with_audio: bool = True) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cliploom.functions.shared import shared_folder
+
 #: What counts as video, as image and as voice reference.
 VIDEO_EXT = ("mp4", "mov", "avi", "mkv", "webm", "flv", "wmv")
 IMAGE_EXT = ("png", "jpg", "jpeg", "webp", "bmp", "tiff", "tif")
@@ -114,6 +116,21 @@ def artifact_inventory(artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFram
     return artifacts.groupBy("stem").agg(*[F.max(F.when(F.col("kind") == k, 1).otherwise(0)).cast("int").alias(f"has_{k}") for k in kinds])
 
 
+def bucketed(df: DataFrame, name: str, key: str = "stem", buckets: int | None = None) -> DataFrame:
+    """df as a table of the catalogue, dealt into buckets by key and sorted in them, under a name of its own in the shared folder.
+
+    Whoever groups by the key, or joins two such tables of as many buckets by it, shuffles neither. An
+    inventory is written once so and reconciled as often as need be. buckets: as many as shuffles have partitions, if not given.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # dealt as the buckets are, so that each bucket is one file
+    dealt = df.repartition(number, key)
+    dealt.write.bucketBy(number, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def load_refs(files: DataFrame, kind: str = "character") -> DataFrame:
     """Reference files keyed by trigger (lower-case stem, _ as -) or, for locations, by label (stem, _ as space).
 

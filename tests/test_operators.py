@@ -561,6 +561,25 @@ def test_placeholders_are_complete(spark):
     assert sorted(tuple(r)[0] for r in reconcile.training_manifest(artifacts).collect()) == ["a", "b"]
 
 
+def test_bucketed_tables_are_not_shuffled(spark):
+    rng = random.Random(2)
+    clips = spark.createDataFrame([(f"c{i}",) for i in range(300)] + [("c1",), (None,)], "stem string")
+    artifacts = spark.createDataFrame([(f"c{rng.randrange(350)}", rng.choice(reconcile.KINDS), rng.choice([None, 5])) for _ in range(900)], "stem string, kind string, token_len int").dropDuplicates(["stem", "kind"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c, a = media.bucketed(clips, "clips", buckets=6), media.bucketed(artifacts, "artifacts", buckets=6)
+        for f in (lambda c, a: reconcile.missing_artifacts(c, a), lambda c, a: reconcile.complete_stems(c, a), lambda c, a: reconcile.training_manifest(a)):
+            out = f(c, a)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+            assert sorted(map(str, out.collect())) == sorted(map(str, f(clips, artifacts).collect())) and out.count() > 0
+        got = {(r.stem, r.kind) for r in reconcile.missing_artifacts(c, a).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    have = {(r.stem, r.kind) for r in artifacts.collect()}
+    assert got == {(s, k) for s in {r.stem for r in clips.collect()} for k in reconcile.KINDS if (s, k) not in have}
+
+
 def test_totals_are_no_identity(spark):
     members = spark.createDataFrame([(1, "a"), (1, None), (2, "a"), (3, None)], "clip_id int, identity string")
     got = {(r.identity, r.is_total): (r.appearances, r.clips) for r in identity.identity_counts(members).collect()}
