@@ -300,7 +300,21 @@ def rebalance_over_quota(t: Tables):
     return Q.rebalance_over_quota(I.signatures(t.b_members), quotas(t, 0.9)).select("clip_id", F.array_join("signature", ",").alias("signature"))
 
 
-@register("quota_intake")
+@register(
+    "quota_intake",
+    """WITH RECURSIVE sig AS (SELECT clip_id, list_sort(list(DISTINCT identity)) AS g FROM b_members GROUP BY clip_id),
+one AS (SELECT DISTINCT clip_id, identity FROM b_members), h AS (SELECT identity, count(*) FILTER (clip_id % 2 = 1) AS n, floor(count(*) * 0.5::DOUBLE)::BIGINT AS q FROM one GROUP BY identity),
+pool AS (SELECT list({'clip': clip_id::BIGINT, 'g': g, 'new': clip_id % 2 = 0} ORDER BY len(g), clip_id % 2 = 0, clip_id) AS p FROM sig),
+m AS MATERIALIZED (SELECT clip_id, g, row_number() OVER (ORDER BY clip_id) AS n FROM sig WHERE clip_id % 2 = 0),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS clip_id, (SELECT list({'identity': identity, 'n': n, 'q': q}) FROM h) AS counts, []::BIGINT[] AS gone, []::BIGINT[] AS taken, NULL::BOOLEAN AS accepted, NULL::BIGINT AS swapped
+ UNION ALL SELECT n, clip_id, CASE WHEN accepted THEN list_transform(counts, lambda x: {'identity': x.identity, 'n': x.n + list_contains(g, x.identity)::BIGINT - coalesce(list_contains(leaver.g, x.identity), false)::BIGINT, 'q': x.q}) ELSE counts END,
+  CASE WHEN leaver IS NOT NULL THEN list_append(gone, leaver.clip) ELSE gone END, CASE WHEN accepted THEN list_append(taken, clip_id) ELSE taken END, accepted, leaver.clip
+ FROM (SELECT *, NOT stop AND (len(hit) = 0 OR leaver IS NOT NULL) AS accepted
+ FROM (SELECT *, CASE WHEN NOT stop AND len(hit) > 0 AND len(hit) < len(g) THEN list_filter((SELECT p FROM pool), lambda x: len(x.g) < len(g) AND list_has_all(g, x.g) AND list_has_all(x.g, hit) AND NOT list_contains(gone, x.clip) AND (NOT x.new OR list_contains(taken, x.clip)))[1] END AS leaver
+ FROM (SELECT m.n, m.clip_id::BIGINT AS clip_id, m.g, w.counts, w.gone, w.taken, len(list_filter(w.counts, lambda x: x.n < x.q)) = 0 AS stop, list_filter(m.g, lambda c: len(list_filter(w.counts, lambda x: x.identity = c AND x.n >= x.q)) > 0) AS hit
+ FROM walk w JOIN m ON m.n = w.n + 1))))
+SELECT clip_id, accepted, swapped FROM walk WHERE n > 0""",
+)
 def quota_intake(t: Tables):
     sig = I.signatures(t.b_members)
     q = quotas(t, 0.5)

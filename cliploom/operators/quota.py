@@ -76,6 +76,58 @@ def rebalance_over_quota(entries: DataFrame, quotas: DataFrame, order: str = "cl
     return entries.join(gone, F.col(order) == F.col("_at"), "left_semi")
 
 
+class SetTrie:
+    """Signatures by their sorted identities, each with a queue of clips; finds the smallest ones between two sets without a scan."""
+
+    __slots__ = ("kids", "live", "queue")
+
+    def __init__(self) -> None:
+        self.kids: dict[str, SetTrie] = {}
+        self.live = 0  # clips under here
+        self.queue: deque = deque()
+
+    def add(self, signature: tuple[str, ...], clips: list) -> None:
+        node = self
+        node.live += len(clips)
+        for c in signature:
+            node = node.kids.setdefault(c, SetTrie())
+            node.live += len(clips)
+        node.queue.extend(clips)
+
+    def pop(self, signature: tuple[str, ...]):
+        """The first clip of a signature, which has one; branches without clips go."""
+        node, self.live = self, self.live - 1
+        for c in signature:
+            below = node.kids[c]
+            below.live -= 1
+            if not below.live:
+                del node.kids[c]
+            node = below
+        return node.queue.popleft()
+
+    def smallest(self, inside: tuple[str, ...], held: set[str]) -> tuple[str, ...] | None:
+        """Of the proper subsets of `inside` (sorted) that hold all of `held`, one with the fewest identities; of equal ones that whose first clip comes first."""
+        # places in `inside` after which no identity that must be held is left
+        last = max((i for i, c in enumerate(inside) if c in held), default=-1)
+        level: list[tuple[SetTrie, int, tuple[str, ...]]] = [(self, -1, ())]
+        for _ in range(len(inside) - 1):
+            deeper, done = [], []
+            for node, at, path in level:
+                for i in range(at + 1, len(inside)):
+                    kid = node.kids.get(inside[i])
+                    if kid is not None:
+                        way = (*path, inside[i])
+                        deeper.append((kid, i, way))
+                        if i >= last and kid.queue:
+                            done.append((kid.queue[0], way))
+                    if inside[i] in held:
+                        break  # it can't be passed over
+            if done:
+                return min(done)[1]
+            level = deeper
+        return None
+
+
 def intake(candidates: list[tuple[int, tuple[str, ...]]], existing: dict[tuple[str, ...], tuple[int, list[int]]], quotas: dict[str, int]) -> list[tuple[int, bool, int | None]]:
     """Walk candidates (id, identities) in order: (id, accepted, id of the clip that leaves for it).
 
@@ -83,38 +135,41 @@ def intake(candidates: list[tuple[int, tuple[str, ...]]], existing: dict[tuple[s
     clips being ordered by `place` of their id in the manifest, which is the order of the ids. The clip
     that leaves is the first of those with fewest identities; accepted clips come after all others.
     """
-    queues = {s: deque((0, i) for i in ids) for s, (_, ids) in existing.items()}
+    trie = SetTrie()
     counts: Counter = Counter()
-    members: dict[str, set] = {}
-    for s, (n, _) in existing.items():
+    for s, (n, ids) in existing.items():
         for c in s:
             counts[c] += n
-            members.setdefault(c, set()).add(s)
+        trie.add(tuple(sorted(set(s))), [(0, i) for i in ids])
+    open_quotas = {c for c, q in quotas.items() if counts[c] < q}
     out = []
     for turn, (clip, s) in enumerate(candidates):
-        if all(counts[c] >= q for c, q in quotas.items()):
+        if not open_quotas:
             break
         if not s:
             out.append((clip, True, None))
             continue
-        full = {c for c in s if counts[c] >= quotas.get(c, 0)}
-        if len(full) == len(set(s)):
+        mine = tuple(sorted(set(s)))
+        full = {c for c in mine if counts[c] >= quotas.get(c, 0)}
+        if len(full) == len(mine):
             out.append((clip, False, None))
             continue
         leaves = None
         if full:
-            fit = [o for o in members.get(next(iter(full)), ()) if queues[o] and set(o) < set(s) and full <= set(o)]
-            if not fit:
+            swap = trie.smallest(mine, full)
+            if swap is None:
                 out.append((clip, False, None))
                 continue
-            swap = min(fit, key=lambda o: (len(o), queues[o][0]))
-            leaves = queues[swap].popleft()[-1]
+            leaves = trie.pop(swap)[-1]
             for c in swap:
                 counts[c] -= 1
-        queues.setdefault(tuple(s), deque()).append((1, turn, clip))
-        for c in s:
+                if c in quotas and counts[c] < quotas[c]:
+                    open_quotas.add(c)
+        trie.add(mine, [(1, turn, clip)])
+        for c in mine:
             counts[c] += 1
-            members.setdefault(c, set()).add(tuple(s))
+            if c in quotas and counts[c] >= quotas[c]:
+                open_quotas.discard(c)
         out.append((clip, True, leaves))
     return out
 
@@ -151,15 +206,30 @@ def quota_intake(candidates: DataFrame, entries: DataFrame, quotas: DataFrame, m
     return out.withColumn("accepted", F.coalesce("accepted", free)).drop("_last")
 
 
+#: Identities that a clip may have beside its full ones, so that its subsets are looked up one by one.
+FREE = 10
+
+
 def swap_candidates(new: DataFrame, entries: DataFrame, quotas: DataFrame) -> DataFrame:
     """The existing signature that could make room for each new clip: the smallest proper subset that holds all its full identities.
 
-    Both sides are joined by signature classes, never clip by clip. quotas: (identity, met).
+    Both sides are joined by signature classes, never clip by clip: the subsets of a signature that
+    hold its full identities are looked up as they are, at most 2**FREE of them; a signature with more identities
+    meets those that hold the one of its full identities that is rarest among the existing ones. quotas: (identity, met).
     """
     full = F.broadcast(quotas.agg(F.sort_array(F.collect_list(F.when(F.col("met"), F.col("identity")))).alias("full")).withColumn("_k", F.lit(1)))
     fresh = new.select("signature").distinct().withColumn("_k", F.lit(1)).join(full, "_k").select("signature", F.array_intersect("signature", "full").alias("held"))
-    fresh = fresh.where(F.size("held") > 0).withColumn("member", F.explode("held"))
-    old = entries.where(F.size("signature") > 0).select(F.col("signature").alias("old")).distinct().withColumn("member", F.explode("old"))
+    fresh = fresh.where(F.size("held") > 0).withColumn("free", F.array_except("signature", "held"))
+    old = entries.where(F.size("signature") > 0).select(F.array_sort(F.array_distinct("signature")).alias("old"), F.col("signature").alias("shown")).groupBy("old").agg(F.min("shown").alias("shown"))
+    few = F.size("free") <= FREE
+    # every number but the last is a choice among the free ones; the last one would be the whole signature
+    chosen = F.transform(F.sequence(F.lit(0), F.expr("cast(shiftleft(1, size(free)) - 2 as int)")), lambda n: F.filter("free", lambda _, i: F.getbit(n, i) == 1))
+    small = fresh.where(few & (F.size("free") > 0)).select("signature", F.explode(chosen).alias("_more"), "held").select("signature", F.array_sort(F.concat("held", "_more")).alias("old"))
+    found = small.join(old, "old").select("signature", "old", "shown")
+    large = fresh.where(~few)
+    uses = old.select(F.explode("old").alias("member")).groupBy("member").agg(F.count("*").alias("n"))
+    rarest = large.select("signature", "held", F.explode("held").alias("member")).join(uses, "member").groupBy("signature", "held").agg(F.min_by("member", F.struct("n", "member")).alias("member"))
     fits = (F.size(F.array_except("old", "signature")) == 0) & (F.size(F.array_except("signature", "old")) > 0) & (F.size(F.array_except("held", "old")) == 0)
-    best = fresh.join(old, "member").where(fits).groupBy("signature").agg(F.min_by("old", F.struct(F.size("old"), "old")).alias("swap"))
+    found = found.unionByName(rarest.join(old.withColumn("member", F.explode("old")), "member").where(fits).select("signature", "old", "shown"))
+    best = found.groupBy("signature").agg(F.min_by("shown", F.struct(F.size("old"), "old")).alias("swap"))
     return new.join(best, "signature", "left")

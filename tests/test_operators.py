@@ -314,6 +314,91 @@ def test_first_clips_of_a_signature_decide_on_intake(pool, old, q):
     assert {i: leaves for i, ok, leaves in quota.intake(some, existing, quotas) if ok} == brute_intake(pool, old, quotas)
 
 
+def brute_walk(candidates, existing, quotas):
+    """intake() with a scan of all signatures for each clip."""
+    from collections import Counter, deque
+
+    queues = {s: deque((0, i) for i in ids) for s, (_, ids) in existing.items()}
+    counts = Counter({c: 0 for c in quotas})
+    for s, (n, _) in existing.items():
+        counts.update({c: n for c in s})
+    out = []
+    for turn, (clip, s) in enumerate(candidates):
+        if all(counts[c] >= q for c, q in quotas.items()):
+            break
+        full = {c for c in s if counts[c] >= quotas.get(c, 0)}
+        leaves = None
+        if s and len(full) == len(s):
+            out.append((clip, False, None))
+            continue
+        if full:
+            fit = [o for o in queues if queues[o] and set(o) < set(s) and full <= set(o)]
+            if not fit:
+                out.append((clip, False, None))
+                continue
+            swap = min(fit, key=lambda o: (len(o), queues[o][0]))
+            leaves = queues[swap].popleft()[-1]
+            counts.subtract(swap)
+        if s:
+            queues.setdefault(tuple(sorted(s)), deque()).append((1, turn, clip))
+            counts.update(s)
+        out.append((clip, True, leaves))
+    return out
+
+
+def test_intake_by_trie_equals_a_scan():
+    rng = random.Random(6)
+    for _ in range(300):
+        cast = "abcdefghij"[: rng.randint(2, 10)]
+        sets = [tuple(sorted(rng.sample(cast, rng.randint(0, min(6, len(cast)))))) for _ in range(rng.randint(1, 60))]
+        held: dict = {}
+        for i in range(rng.randint(0, 60)):
+            s = tuple(sorted(rng.sample(cast, rng.randint(1, min(4, len(cast))))))
+            n, ids = held.get(s, (0, []))
+            held[s] = (n + 1, [*ids, i])
+        quotas = {c: rng.randint(0, 12) for c in cast if rng.random() < 0.9}
+        new = list(enumerate(sets, 1000))
+        assert quota.intake(new, held, quotas) == brute_walk(new, held, quotas)
+
+
+def test_intake_of_many_signatures_is_fast():
+    import time
+
+    rng = random.Random(7)
+    cast = [f"p{i}" for i in range(3000)]
+    draw = lambda k: tuple(sorted({cast[int(3000 * rng.random() ** 3)] for _ in range(k)}))  # noqa: E731  a few are in most
+    held: dict = {}
+    for i in range(100_000):
+        s = draw(rng.randint(1, 4))
+        n, ids = held.get(s, (0, []))
+        held[s] = (n + 1, [*ids, i])
+    new = [(200_000 + i, draw(rng.randint(1, 6))) for i in range(100_000)]
+    began = time.perf_counter()
+    got = quota.intake(new, held, {c: 60 for c in cast})
+    assert time.perf_counter() - began < 30 and sum(x is not None for _, _, x in got) > 100
+
+
+def test_swaps_of_large_signatures(spark, monkeypatch):
+    rng = random.Random(9)
+    cast = "abcdefghijkl"
+    sig = lambda k: sorted(rng.sample(cast, k))
+    new = [(i, sig(rng.randint(0, 9))) for i in range(200)]
+    old = [(1000 + i, sig(rng.randint(0, 5))) for i in range(150)]
+    met = set("abdgh")
+    q = spark.createDataFrame([(c, c in met) for c in cast], "identity string, met boolean")
+
+    def brute(s):
+        held = set(s) & met
+        fit = sorted((len(o), o) for _, o in old if o and held and set(o) < set(s) and held <= set(o))
+        return fit[0][1] if fit else None
+
+    tables = [spark.createDataFrame(x, "clip_id int, signature array<string>") for x in (new, old)]
+    for free in (10, 2):
+        monkeypatch.setattr(quota, "FREE", free)
+        got = {r.clip_id: r.swap for r in quota.swap_candidates(*tables, q).collect()}
+        assert got == {i: brute(s) for i, s in new} and any(got.values())
+
+
 def test_intake_marks_all_candidates(spark):
     new = spark.createDataFrame([(i, i, s) for i, s in enumerate([["a"], ["a"], ["a"], [], ["a", "b"], ["b"], ["b"]])], "clip_id long, pos long, signature array<string>")
     old = spark.createDataFrame([(100, ["a"])], "clip_id long, signature array<string>")
