@@ -34,4 +34,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from . import queries_media, queries_metrics, queries_mining, queries_text, queries_timeline  # noqa: E402,F401
+from . import queries_curation, queries_media, queries_metrics, queries_mining, queries_text, queries_timeline  # noqa: E402,F401

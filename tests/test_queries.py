@@ -10,7 +10,7 @@ from cliploom import jobs
 from cliploom.jobs import bindings
 
 #: Those that SQL can't say, with the test that holds them against a restatement.
-OTHERWISE = {"normalize_caption", "silence_dp_cuts", "align_words_to_lines"}
+OTHERWISE = {"normalize_caption", "silence_dp_cuts", "align_words_to_lines", "curation_pass"}
 
 
 @pytest.fixture(scope="module")
