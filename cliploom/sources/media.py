@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,45 +72,161 @@ def portable_paths(entries: DataFrame, root: str) -> DataFrame:
     return entries.withColumn("media_path", F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(F.col("media_path")))
 
 
-def write_entries(entries: DataFrame, root: str) -> str:
+class Conflict(Exception):
+    """Somebody else has written a version meanwhile."""
+
+
+def _store(spark: SparkSession, folder: str):
+    """The folder's path and its file system, whatever the store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    path, fs = _store(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def _versions(spark: SparkSession, log: str) -> list[int]:
+    """Numbers of the versions that a log names."""
+    return [int(n.removesuffix(".json")) for n in _names(spark, log) if n.endswith(".json")]
+
+
+def _record(spark: SparkSession, log: str, version: int) -> dict:
+    """What the log says about a version."""
+    return json.loads(spark.read.text(f"{log}/{version:09d}.json", wholetext=True).first().value)
+
+
+def _commit(spark: SparkSession, log: str, version: int, record: dict) -> None:
+    """Add a version to the log, as a file that must not be there yet; Conflict if it is.
+
+    The record is written under another name and renamed without overwriting, so it is whole once it
+    is there, and of two writers one gets the version and the other hears of it (in one step on stores such as HDFS).
+    """
+    jvm = spark._jvm
+    (draft, fs), (path, _) = _store(spark, f"{log}/.{uuid.uuid4().hex}.draft"), _store(spark, f"{log}/{version:09d}.json")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(json.dumps(record).encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()) if path.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    never_over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(draft, path, never_over)
+    except Exception as e:
+        fs.delete(draft, False)
+        if fs.exists(path):
+            raise Conflict(f"version {version} is there already") from e
+        raise
+
+
+def write_entries(entries: DataFrame, root: str, based_on: int | None = None) -> str:
     """Write a new version of the manifest beside the old ones, then a record that names it.
 
     The record is one more file, and nothing is replaced: after a crash the newest record still names
     a whole version, and the versions before stay readable as backups. Returns the new version's folder.
+
+    based_on: the version that the entries were made from (0: none); if there is a newer one, nothing is
+    committed and Conflict is raised. Without it the entries become the newest version whatever came before.
     """
     spark = entries.sparkSession
-    made = _versions(spark, root)
-    number = 1 + max((r.version for r in made.select("version").collect()), default=0) if made is not None else 1
-    target = f"{root}/manifest/v{number:06d}-{uuid.uuid4().hex}"
+    log = f"{root}/manifest/current"
+    target = f"{root}/manifest/v{uuid.uuid4().hex}"
     portable_paths(entries, root).write.mode("errorifexists").parquet(target)
-    spark.createDataFrame([(number, target)], "version long, current string").coalesce(1).write.mode("append").json(f"{root}/manifest/current")
-    return target
+    while True:
+        newest = max(_versions(spark, log), default=0)
+        if based_on is not None and newest != based_on:
+            raise Conflict(f"version {newest} came after {based_on}")
+        try:
+            _commit(spark, log, newest + 1, {"path": target})
+            return target
+        except Conflict:
+            if based_on is not None:
+                raise
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest version, 0 if there is none."""
+    return max(_versions(spark, f"{root}/manifest/current"), default=0)
+
+
+def current_entries(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The newest whole version of the manifest, or the given one."""
+    version = version or current_version(spark, root)
+    if not version:
+        raise FileNotFoundError(f"no manifest under {root}")
+    return spark.read.parquet(_record(spark, f"{root}/manifest/current", version)["path"])
 
 
-def _versions(spark: SparkSession, root: str) -> DataFrame | None:
-    """Records of whole versions; None if nothing was ever written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/current")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema("version long, current string").json(f"{root}/manifest/current")
+def update_entries(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame]) -> str:
+    """Replace the manifest by what `change` makes of it. If another writer was faster, it is made again of their version, so that neither's change is lost."""
+    while True:
+        version = current_version(spark, root)
+        try:
+            return write_entries(change(current_entries(spark, root, version)), root, version)
+        except Conflict:
+            continue
 
 
-def current_entries(spark: SparkSession, root: str) -> DataFrame:
-    """The newest whole version of the manifest."""
-    made = _versions(spark, root)
-    if made is None:
-        raise FileNotFoundError(f"no manifest under {root}")
-    return spark.read.parquet(made.orderBy(F.desc("version"), "current").first().current)
+def expire_versions(spark: SparkSession, root: str, keep: int = 5) -> int:
+    """Delete all but the newest `keep` versions of the manifest, tables before records; gives their number."""
+    log = f"{root}/manifest/current"
+    old = sorted(_versions(spark, log))[: -max(1, keep)]
+    for v in old:
+        for folder in (_record(spark, log, v)["path"], f"{log}/{v:09d}.json"):
+            path, fs = _store(spark, folder)
+            fs.delete(path, True)
+    return len(old)
 
 
 def append_rejections(new: DataFrame, path: str) -> None:
-    """Append records to the ledger under path, a folder for each reason; what is there is not read."""
-    new.write.mode("append").partitionBy("reason").parquet(path)
+    """Append records to the ledger under path, as a part of its own with a folder for each reason; what is there is not read."""
+    new.write.partitionBy("reason").parquet(f"{path}/part=a{uuid.uuid4().hex}")
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of compactions of a ledger, and its parts: all that are whole and not held by a newer one."""
+    log = f"{path}/compactions"
+    version = max(_versions(spark, log), default=0)
+    record = _record(spark, log, version) if version else {"part": None, "holds": []}
+    # the part of a compaction counts once its record is there, an append once it is whole
+    live = [n for n in _names(spark, path) if n.startswith("part=a") and n not in record["holds"]]
+    whole = [n for n in live if "_SUCCESS" in _names(spark, f"{path}/{n}")]
+    return version, [record["part"], *whole] if record["part"] else whole
+
+
+def _read_parts(spark: SparkSession, path: str, parts: list[str], schema: str) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/{n}" for n in parts)).drop("part")
 
 
 def read_rejections(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The whole ledger; columns that some records lack are null."""
-    return spark.read.schema(schema).parquet(path)
+    return _read_parts(spark, path, _parts(spark, path)[1], schema)
+
+
+def compact_rejections(spark: SparkSession, path: str, schema: str, files: int = 1) -> int:
+    """Write the ledger anew as a few files for each reason and delete the parts that these hold; gives the number of parts.
+
+    The new part counts from the moment its record is there. Appends that come meanwhile stay beside it;
+    if another compaction was faster, this one is a Conflict and leaves the ledger as it is.
+    """
+    version, parts = _parts(spark, path)
+    if not parts:
+        return 0
+    target = f"part=c{uuid.uuid4().hex}"
+    rows = _read_parts(spark, path, parts, schema)
+    # a reason may hold most rows: its rows are dealt over `files` tasks
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "reason"]), F.lit(files))
+    rows.withColumn("_f", spread).repartition("reason", "_f").drop("_f").write.partitionBy("reason").parquet(f"{path}/{target}")
+    _commit(spark, f"{path}/compactions", version + 1, {"part": target, "holds": parts})
+    for name in parts:
+        where, fs = _store(spark, f"{path}/{name}")
+        fs.delete(where, True)
+    return len(parts)
 
 
 def artifact_inventory(artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

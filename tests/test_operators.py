@@ -679,6 +679,53 @@ def test_pool_has_places(spark):
     assert [r.place for r in sorted(got, key=lambda r: (r.shuffle_key, r.slot))] == list(range(1, 51))
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    import threading
+
+    root = str(tmp_path)
+    shape = "media_path string, n int"
+    media.write_entries(spark.createDataFrame([("a", 0)], shape), root)
+    both = threading.Barrier(2)
+    waits = {1: True, 2: True}
+
+    def add(k):
+        def change(old):
+            if waits[k]:  # the first time both have read the same version
+                waits[k] = False
+                both.wait(timeout=60)
+            return old.unionByName(spark.createDataFrame([(f"w{k}", k)], shape))
+
+        media.update_entries(spark, root, change)
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in (1, 2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert media.current_version(spark, root) == 3
+    assert sorted(tuple(r) for r in media.current_entries(spark, root).collect()) == [("a", 0), ("w1", 1), ("w2", 2)]
+    assert media.current_entries(spark, root, 1).count() == 1
+    with pytest.raises(media.Conflict):
+        media.write_entries(spark.createDataFrame([("late", 9)], shape), root, based_on=2)
+    assert media.expire_versions(spark, root, keep=1) == 2 and media.expire_versions(spark, root, keep=1) == 0
+    assert media.current_entries(spark, root).count() == 3
+    with pytest.raises(FileNotFoundError):
+        media.current_entries(spark, str(tmp_path / "none"))
+
+
+def test_many_appends_become_few_files(spark, tmp_path):
+    path, shape = str(tmp_path / "ledger"), "media_path string, chunk_idx int, reason string"
+    assert media.read_rejections(spark, path, shape).count() == 0 and media.compact_rejections(spark, str(tmp_path / "empty"), shape) == 0
+    for i in range(25):
+        media.append_rejections(spark.createDataFrame([(f"c{i}", i, "a/b" if i % 3 else "x")], shape).repartition(2), path)
+    rows = sorted(tuple(r) for r in media.read_rejections(spark, path, shape).collect())
+    assert len(rows) == 25
+    assert media.compact_rejections(spark, path, shape) == 25
+    files = list((tmp_path / "ledger").rglob("*.parquet"))
+    assert len(files) == 2 and sorted(tuple(r) for r in media.read_rejections(spark, path, shape).collect()) == rows
+    media.append_rejections(spark.createDataFrame([("late", 1, "x")], shape), path)
+    assert media.read_rejections(spark, path, shape).count() == 26
+    assert media.compact_rejections(spark, path, shape, files=3) == 2 and media.read_rejections(spark, path, shape).count() == 26
+
+
 def test_capacity(spark):
     clips = spark.createDataFrame([(i, f"s{i % 4}") for i in range(60)], "clip_id int, source_stem string").repartition(3)
     for most in (50, 45, 15, 7, 60, 99, 0):
