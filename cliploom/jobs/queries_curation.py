@@ -11,7 +11,7 @@ from cliploom.sources import media as M
 from cliploom.streaming.telemetry import work_path
 
 from . import Tables, register
-from .curation import curate, read_set
+from .curation import curate, read_set, repair
 
 
 def curation_inputs(t: Tables) -> dict[str, DataFrame]:
@@ -49,3 +49,24 @@ def curation_pass(t: Tables):
 @register("purge_list", """SELECT a.stem, a.kind FROM b_artifacts a WHERE a.stem IN (SELECT regexp_replace(regexp_extract(media_path, '([^/]*)$', 1), '\\.[^.]*$', '') FROM b_ledger WHERE media_path IS NOT NULL)""")
 def purge_list(t: Tables):
     return C.purge_list(t.b_ledger, t.b_artifacts).select("stem", "kind")
+
+
+#: Source files by number, so that some source stems have one.
+SOURCES = "(SELECT concat('/src/', CAST(file_id % 3 AS STRING), '/v', CAST(file_id AS STRING), '.mov') AS path FROM b_files)"
+
+
+@register("repair_entries", f"""WITH m AS (SELECT regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS s, min(path) AS p FROM {SOURCES} f GROUP BY 1),
+a AS (SELECT stem, max(token_len) AS n FROM b_artifacts WHERE kind = 'conditions' GROUP BY stem)
+SELECT 'entry' AS kind, media_path, source_file, CASE WHEN coalesce(n, 0) > 128 THEN '' ELSE caption END AS caption FROM b_entries LEFT JOIN a USING (stem) WHERE media_path IN (SELECT path FROM b_clips)
+UNION ALL SELECT 'entry', path, p, '' FROM (SELECT DISTINCT path, source_stem FROM b_clips) c LEFT JOIN m ON s = source_stem WHERE path NOT IN (SELECT media_path FROM b_entries)
+UNION ALL SELECT 'deleted', media_path, source_file, NULL FROM b_entries WHERE media_path NOT IN (SELECT path FROM b_clips)
+UNION ALL SELECT 'artifact', stem, NULL, NULL FROM (SELECT DISTINCT stem FROM b_entries JOIN a USING (stem) WHERE n > 128 AND caption <> '' AND media_path IN (SELECT path FROM b_clips)) d""")
+def repair_entries(t: Tables):
+    root = work_path(t.spark, "set")
+    M.write_entries(t.b_entries.select("stem", "media_path", "source_file", "caption"), root)
+    files = t.spark.sql(SOURCES.replace("b_files", "{f}")[1:-1], f=t.b_files)
+    done = repair(t.spark, root, t.b_clips, files, t.b_artifacts)
+    entries, ledger = read_set(t.spark, root)
+    rows = entries.select(F.lit("entry").alias("kind"), "media_path", "source_file", "caption")
+    rows = rows.unionByName(ledger.select(F.col("reason").alias("kind"), "media_path", "source_file"), allowMissingColumns=True)
+    return rows.unionByName(done.drop.select(F.lit("artifact").alias("kind"), F.col("stem").alias("media_path")), allowMissingColumns=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,3 +191,25 @@ def audit_summary(entries: DataFrame, clips: DataFrame, artifacts: DataFrame, li
     blanked = blank_overlong_conditions(kept, artifacts, limit).agg(F.count_if("drop_artifact").alias("blanked"))
     one = lambda df: df.withColumn("_k", F.lit(1))
     return one(dropped).join(one(stubs), "_k").join(one(blanked), "_k").drop("_k")
+
+
+class Repaired(NamedTuple):
+    """entries: the repaired manifest; rejections: ledger rows of entries that went; drop: (stem, kind) of artifacts to delete."""
+
+    entries: DataFrame
+    rejections: DataFrame
+    drop: DataFrame
+
+
+def repair_entries(entries: DataFrame, clips: DataFrame, media: DataFrame, artifacts: DataFrame, limit: int = 128) -> Repaired:
+    """The manifest as it should be: entries whose clip is gone go to the ledger, clips without an entry get an empty one, and captions of overlong conditions are blanked.
+
+    entries: (stem, media_path, source_file, caption, ...), clips: (stem, path, source_stem), media: (path). Once `drop` is deleted, a
+    second repair changes nothing. Other columns stay; they are null in new entries.
+    """
+    clips = clips.select("stem", "path", "source_stem").distinct()
+    checked = blank_overlong_conditions(surviving_entries(entries, clips), artifacts, limit)
+    stubs = stub_entries(clips, entries, media).withColumn("stem", stem_of("media_path"))
+    drop = checked.where("drop_artifact").select("stem", F.lit("conditions").alias("kind")).distinct()
+    repaired = checked.drop("drop_artifact").unionByName(stubs, allowMissingColumns=True).select(entries.columns)
+    return Repaired(repaired, orphan_entries(entries, clips), drop)

@@ -7,7 +7,7 @@ import pytest
 
 from cliploom import jobs
 from cliploom.jobs import queries_curation
-from cliploom.jobs.curation import curate, read_set
+from cliploom.jobs.curation import curate, read_set, repair
 from cliploom.operators import curation, mining
 from cliploom.sources import media
 
@@ -143,3 +143,20 @@ def test_purge_names_artifacts_of_rejected_clips(spark):
     ledger = spark.createDataFrame([("clips/a_chunk0001.mp4", "a.mp4", "x", 1), (None, "b.mp4", "y", None)], "media_path string, source_file string, reason string, chunk_idx int")
     artifacts = spark.createDataFrame([("a_chunk0001", "latents"), ("a_chunk0001", "conditions"), ("a_chunk0002", "latents"), ("b_chunk0001", "latents")], "stem string, kind string")
     assert sorted(map(tuple, curation.purge_list(ledger, artifacts).collect())) == [("a_chunk0001", "conditions"), ("a_chunk0001", "latents")]
+
+
+def test_a_second_repair_changes_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    shape = "stem string, media_path string, source_file string, caption string, characters array<string>"
+    rows = [("a_chunk0001", "clips/a_chunk0001.mp4", "a.mp4", "long", ["x"]), ("a_chunk0002", "clips/a_chunk0002.mp4", "a.mp4", "gone", None), ("b_chunk0001", "clips/b_chunk0001.mp4", "b.mp4", "", None), (None, None, "c.mp4", "no path", None)]
+    media.write_entries(spark.createDataFrame(rows, shape), root)
+    clips = spark.createDataFrame([(f"{s}_chunk000{i}", f"clips/{s}_chunk000{i}.mp4", s) for s, i in (("a", 1), ("b", 1), ("b", 2), ("b", 2))], "stem string, path string, source_stem string")
+    files = spark.createDataFrame([("/s/b.mov",), ("/s/b.avi",)], "path string")
+    artifacts = spark.createDataFrame([("a_chunk0001", "conditions", 500), ("b_chunk0001", "conditions", 900), ("a_chunk0001", "latents", 900)], "stem string, kind string, token_len int")
+    done = repair(spark, root, clips, files, artifacts)
+    want = {("clips/a_chunk0001.mp4", "a.mp4", "", ("x",)), ("clips/b_chunk0001.mp4", "b.mp4", "", None), ("clips/b_chunk0002.mp4", "/s/b.avi", "", None)}
+    state = lambda: {(r.media_path, r.source_file, r.caption, tuple(r.characters) if r.characters else None) for r in read_set(spark, root)[0].collect()}
+    assert state() == want and [tuple(r) for r in done.drop.collect()] == [("a_chunk0001", "conditions")]
+    assert sorted((str(r.media_path), r.reason, r.chunk_idx) for r in read_set(spark, root)[1].collect()) == [("None", "deleted", None), ("clips/a_chunk0002.mp4", "deleted", 2)]
+    again = repair(spark, root, clips, files, artifacts.join(done.drop, ["stem", "kind"], "left_anti"))
+    assert state() == want and again.rejections.count() == again.drop.count() == 0 and media.current_version(spark, root) == 2
