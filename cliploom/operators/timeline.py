@@ -141,15 +141,34 @@ def proportional_cuts(lines: DataFrame, total: Column, weight: Column) -> DataFr
     return rows.where(F.col("_last").isNotNull()).withColumn("cut_sample", F.floor(F.col("share") * total).cast("bigint")).drop("_last")
 
 
+#: Frames of one block of a recording; blocks are searched side by side.
+SIGNAL_BLOCK = 1 << 16
+
+
 def silence_regions(signal: DataFrame, ratio: float = 0.1, min_len: int = 10, hop: int = 160) -> DataFrame:
-    """Runs of at least min_len frames quieter than ratio x the clip's mean, with the sample of their centre."""
-    clip = Window.partitionBy("clip_id")
-    rows = signal.withColumn("_quiet", F.col("rms") < F.avg("rms").over(clip) * ratio)
-    order = clip.orderBy("frame_idx")
-    rows = rows.withColumn("_rn", F.row_number().over(order)).where("_quiet")
-    rows = rows.withColumn("_island", F.col("_rn") - F.row_number().over(order))
-    runs = rows.groupBy("clip_id", "_island").agg(F.min("frame_idx").alias("start_frame"), F.count("*").alias("frames"))
-    return runs.where(F.col("frames") >= min_len).withColumn("center", ((F.col("start_frame") + F.floor(F.col("frames") / 2)) * hop).cast("bigint")).drop("_island")
+    """Runs of at least min_len frames quieter than ratio x the clip's mean, with the sample of their centre.
+
+    A long recording is cut into blocks. Runs inside a block are whole; those that touch its first or last frame are
+    put together with their neighbours', at most two a block. So one recording is many tasks, and only what
+    touches a border is ordered by clip.
+    """
+    means = signal.groupBy(F.col("clip_id").alias("_clip")).agg((F.avg("rms") * ratio).alias("_limit"))
+    rows = signal.select("clip_id", "frame_idx", "rms", F.floor(F.col("frame_idx") / SIGNAL_BLOCK).alias("_block"))
+    rows = rows.join(means, F.col("clip_id").eqNullSafe(F.col("_clip"))).withColumn("_quiet", F.col("rms") < F.col("_limit"))
+    block = Window.partitionBy("clip_id", "_block")
+    rows = rows.withColumns({"_rn": F.row_number().over(block.orderBy("frame_idx")), "_n": F.count("*").over(block)}).where("_quiet OR _rn = 1")
+    # a block's first frame stays even where it is loud: it tells that the block has frames
+    rows = rows.withColumn("_island", F.col("_rn") - F.row_number().over(Window.partitionBy("clip_id", "_block", "_quiet").orderBy("frame_idx")))
+    runs = rows.groupBy("clip_id", "_block", "_quiet", "_island").agg(F.min("frame_idx").alias("start_frame"), F.count("*").alias("frames"), (F.min("_rn") == 1).alias("_head"), (F.max("_rn") == F.max("_n")).alias("_tail"))
+    inner = runs.where("_quiet AND NOT _head AND NOT _tail").select("clip_id", "start_frame", "frames")
+    order = Window.partitionBy("clip_id").orderBy("_block", "start_frame")
+    edge = runs.where("_head OR _tail OR NOT _quiet")
+    # a loud first frame has no run before it in its block, so it parts what is on both sides
+    goes_on = F.col("_quiet") & F.col("_head") & F.lag(F.col("_quiet") & F.col("_tail")).over(order)
+    edge = edge.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    joined = edge.where("_quiet").groupBy("clip_id", "_run").agg(F.min("start_frame").alias("start_frame"), F.sum("frames").alias("frames")).drop("_run")
+    found = inner.unionByName(joined).where(F.col("frames") >= min_len)
+    return found.withColumn("center", ((F.col("start_frame") + F.floor(F.col("frames") / 2)) * hop).cast("bigint"))
 
 
 def best_cuts(centers: list[float], targets: list[float], total: float) -> list[int]:
@@ -260,10 +279,13 @@ def trim_ranges(clips: DataFrame, fps: Column, in_sec: Column, out_sec: Column)
 
 
 def waveform_peaks(signal: DataFrame, cols: int) -> DataFrame:
-    """Largest absolute value of each of `cols` equal columns of a clip; column c covers frames floor(c*n/cols) to floor((c+1)*n/cols)."""
-    n = F.count("*").over(Window.partitionBy("clip_id"))
-    rows = signal.withColumn("_n", n)
+    """Largest absolute value of each of `cols` equal columns of a clip; column c covers frames floor(c*n/cols) to floor((c+1)*n/cols).
+
+    Frames are counted and their peaks taken before anything is shuffled, however long the clip.
+    """
+    sizes = signal.groupBy(F.col("clip_id").alias("_clip")).agg(F.count("*").alias("_n"))
     col = F.floor(((F.col("frame_idx") + 1) * cols - 1) / F.col("_n"))
+    rows = signal.join(sizes, F.col("clip_id").eqNullSafe(F.col("_clip")))
     return rows.groupBy("clip_id", col.cast("int").alias("col")).agg(F.max(F.abs("rms")).alias("peak"))
 
 

@@ -726,6 +726,33 @@ def test_many_appends_become_few_files(spark, tmp_path):
     assert media.compact_rejections(spark, path, shape, files=3) == 2 and media.read_rejections(spark, path, shape).count() == 26
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_silences_over_block_borders(spark, monkeypatch, block):
+    monkeypatch.setattr(timeline, "SIGNAL_BLOCK", block)
+    rng = np.random.default_rng(5)
+    clips = {}
+    for i in range(6):
+        frames = np.sort(rng.choice(900, 500 + 50 * i, replace=False)) if i % 2 else np.arange(400 + i)  # gaps: neighbours are what is there
+        loud = np.repeat(rng.random(len(frames) // 20 + 1) < 0.5, 20)[: len(frames)]
+        clips[i] = list(zip(frames.tolist(), np.where(loud, 1.0, 0.01 * rng.random(len(frames))).tolist()))
+    clips[6], clips[None] = [(f, 0.0) for f in range(300)], [(f, 1.0 if f < 150 else 0.0) for f in range(300)]
+    want = set()
+    for i, rows in clips.items():
+        limit = np.mean([x for _, x in rows]) * 0.3
+        at = 0
+        for quiet, run in itertools.groupby(rows, key=lambda r: r[1] < limit):
+            run = list(run)
+            if quiet and len(run) >= 5:
+                want.add((i, run[0][0], len(run), (run[0][0] + len(run) // 2) * 160))
+            at += len(run)
+    df = spark.createDataFrame([(i, f, x) for i, rows in clips.items() for f, x in rows], "clip_id long, frame_idx int, rms double").repartition(3)
+    assert {tuple(r) for r in timeline.silence_regions(df, 0.3, 5).collect()} == want
+    peaks = {(r.clip_id, r.col): r.peak for r in timeline.waveform_peaks(df.where("clip_id = 0 OR clip_id IS NULL"), 9).collect()}
+    for i in (0, None):
+        n = len(clips[i])
+        assert all(peaks[i, c] == max(abs(x) for _, x in clips[i][c * n // 9 : (c + 1) * n // 9]) for c in range(9))
+
+
 def test_capacity(spark):
     clips = spark.createDataFrame([(i, f"s{i % 4}") for i in range(60)], "clip_id int, source_stem string").repartition(3)
     for most in (50, 45, 15, 7, 60, 99, 0):
