@@ -295,7 +295,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, t
     sources have more of each window than of the corpus, and the largest ones fill the last windows.
 
     A queue is ordered by runs, a run being one source's documents in one task of the reading; only
-    the runs' sizes are shuffled to find where each begins, and tokens never are.
+    the runs' sizes are shuffled to find where each begins, and tokens only where the table of runs is too large to be sent to the tasks.
 
     Result, a row for each piece: id_col, start, length, doc_tokens, sequence_id, offset, ids (binary,
     little-endian uint32). Null and empty texts are their end id alone; a null source is the source
