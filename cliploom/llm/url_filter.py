@@ -58,7 +58,8 @@ def word_counts(pages: DataFrame, html_col: str | None, unwanted: tuple[str, ...
     left to the cost of unknown words.
     """
     text = F.col("path") if html_col is None else F.concat_ws(" ", "path", F.regexp_replace(F.col("_uf_html"), r"(?s)<[^>]*>|&#?\w+;", " "))
-    words = pages.select(letter_runs(F.col("host")).alias("own"), F.explode(F.split(F.translate(text, UPPER, LOWER), r"\P{L}+")).alias("word"))
+    # the host's runs are found before its page is cut into rows, not again for each of them
+    words = pages.withColumn("own", letter_runs(F.col("host"))).select("own", F.explode(F.split(F.translate(text, UPPER, LOWER), r"\P{L}+")).alias("word"))
     words = words.where(F.length("word").between(2, LONGEST) & ~F.array_contains("own", F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
     labels, none = F.split("host", r"\."), F.lit(0).cast("long")
     hosts = pages.groupBy("host").agg(F.count("*").alias("k"))
