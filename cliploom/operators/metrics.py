@@ -43,6 +43,20 @@ def _to_block(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(named, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("block") == F.col("_block")), "left").drop("_run", "_block")
 
 
+def _bucketed(rows: DataFrame):
+    """Rows grouped so that a group holds whole blocks, of about BLOCK rows together: short runs share one."""
+    buckets = 1 + rows.count() // BLOCK
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("run_id", "block"), F.lit(buckets))).groupBy("_bucket")
+
+
+def _cut_blocks(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A group of _bucketed() in order, and where its blocks begin and end."""
+    table = table.sort_by([("run_id", "ascending"), ("block", "ascending"), ("place", "ascending")])
+    run, none, block = table["run_id"].fill_null(0).to_numpy(), table["run_id"].is_null().to_numpy(), table["block"].to_numpy()
+    new = (run[1:] != run[:-1]) | (none[1:] != none[:-1]) | (block[1:] != block[:-1])
+    return table, np.concatenate([[0], np.flatnonzero(new) + 1, [len(run)]])
+
+
 def averages(rows: DataFrame, past: dict[str, Column]) -> DataFrame:
     """Rows of in_blocks with exponential averages: <name> after each loss and <name>_before, null at a run's first.
 
@@ -69,25 +83,28 @@ def averages(rows: DataFrame, past: dict[str, Column]) -> DataFrame:
             out[f"{n}_start"] = starts
         return pd.DataFrame(out)
 
-    starts = rows.groupBy("run_id", "block").agg(*maps).groupBy("run_id").applyInPandas(compose, ", ".join(["run_id long, block long", *(f"{n}_start double" for n in names)]))
+    # a run of one block has nothing to compose
+    several = rows.groupBy("run_id", "block").agg(*maps).withColumn("_last", F.max("block").over(Window.partitionBy("run_id"))).where("_last > 0").drop("_last")
+    starts = several.groupBy("run_id").applyInPandas(compose, ", ".join(["run_id long, block long", *(f"{n}_start double" for n in names)]))
     given = _to_block(given, starts)
     extra = [c for c in rows.columns if c not in ("run_id", "step", "loss", "place", "block")]
     kept = ["run_id", "step", "loss", "place", "block", *extra]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
+        table, cuts = _cut_blocks(table)
         loss = table["loss"].to_numpy()
         out = table.select(kept)
         for n in names:
-            start = table[f"{n}_start"][0].as_py()
-            first = start is None or math.isnan(start)
-            after = smoothed(loss, 1 - table[f"{n}_d"][0].as_py(), None if first else start)
-            before = np.append(math.nan if first else start, after[:-1])
+            starts, weights = table[f"{n}_start"].to_numpy(), table[f"{n}_d"].to_numpy()
+            after, before = np.empty(len(loss)), np.empty(len(loss))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                after[a:b] = smoothed(loss[a:b], 1 - weights[a], None if math.isnan(starts[a]) else starts[a])
+                before[a], before[a + 1 : b] = starts[a], after[a : b - 1]
             out = out.append_column(n, pa.array(after)).append_column(f"{n}_before", pa.array(before, from_pandas=True))
         return out
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.select(*kept).schema.fields)
-    return given.groupBy("run_id", "block").applyInArrow(run, ", ".join([shape, *(f"{n} double, {n}_before double" for n in names)]))
+    return _bucketed(given).applyInArrow(run, ", ".join([shape, *(f"{n} double, {n}_before double" for n in names)]))
 
 
 def loss_ema(metrics: DataFrame, alpha: float = 0.02) -> DataFrame:
@@ -173,16 +190,18 @@ def _watched(rows: DataFrame, threshold: float) -> DataFrame:
     rows = _to_block(rows, lows.select("run_id", "block", F.min("least").over(before).alias("low")))  # the window is over blocks
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
+        table, cuts = _cut_blocks(table)
         ema, step = table["ema"].to_numpy(), table["step"].to_numpy()
-        low = table["low"][0].as_py()
-        low = np.minimum.accumulate(ema if low is None else np.minimum(ema, low))
+        low = np.fmin(ema, table["low"].to_numpy())  # no blocks before: NaN
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            low[a:b] = np.minimum.accumulate(low[a:b])
         over = np.where(low > 0, (ema - low) / np.where(low > 0, low, 1) * 100, 0.0)
         high = (over > threshold) & (step != 0)  # no stretch begins at step 0
         begins = np.append(True, high[1:] != high[:-1])
+        begins[cuts[:-1]] = True
         return table.select(["run_id", "block", "place", "step"]).append_column("over", pa.array(over)).append_column("high", pa.array(high)).append_column("begins", pa.array(begins))
 
-    return rows.groupBy("run_id", "block").applyInArrow(run, "run_id long, block long, place long, step int, over double, high boolean, begins boolean")
+    return _bucketed(rows).applyInArrow(run, "run_id long, block long, place long, step int, over double, high boolean, begins boolean")
 
 
 def _first_from(points: DataFrame, watched: DataFrame, tops: DataFrame, out: str) -> DataFrame:
