@@ -145,6 +145,22 @@ def proportional_cuts(lines: DataFrame, total: Column, weight: Column) -> DataFr
 SIGNAL_BLOCK = 1 << 16
 
 
+def _limits(signal: DataFrame, ratio: float) -> DataFrame:
+    """(_clip, _limit): ratio x each clip's mean.
+
+    A sum of doubles depends on its order, and so does a frame that equals the limit but for rounding. Clips that have
+    such a frame, nearer to the limit than any two orders can be apart, are summed again in the order of their frames.
+    """
+    clip = F.col("clip_id").alias("_clip")
+    rough = signal.groupBy(clip).agg((F.avg("rms") * ratio).alias("_limit"), (F.avg(F.abs("rms")) * abs(ratio) * (F.count("rms") + 4) * 1e-15).alias("_apart"))
+    near = signal.join(rough, F.col("clip_id").eqNullSafe(F.col("_clip"))).where(F.abs(F.col("rms") - F.col("_limit")) <= F.col("_apart")).select("_clip").distinct()
+    again = signal.join(near, F.col("clip_id").eqNullSafe(F.col("_clip")), "left_semi").where("rms IS NOT NULL")
+    upto = Window.partitionBy("clip_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    summed = again.select(clip, "frame_idx", F.sum("rms").over(upto).alias("_sum")).groupBy("_clip").agg((F.max_by("_sum", "frame_idx") / F.count("*") * ratio).alias("_exact"))
+    summed = summed.withColumnRenamed("_clip", "_same")
+    return rough.join(summed, F.col("_clip").eqNullSafe(F.col("_same")), "left").select("_clip", F.coalesce("_exact", "_limit").alias("_limit"))
+
+
 def silence_regions(signal: DataFrame, ratio: float = 0.1, min_len: int = 10, hop: int = 160) -> DataFrame:
     """Runs of at least min_len frames quieter than ratio x the clip's mean, with the sample of their centre.
 
@@ -152,7 +168,7 @@ def silence_regions(signal: DataFrame, ratio: float = 0.1, min_len: int = 10, ho
     put together with their neighbours', at most two a block. So one recording is many tasks, and only what
     touches a border is ordered by clip.
     """
-    means = signal.groupBy(F.col("clip_id").alias("_clip")).agg((F.avg("rms") * ratio).alias("_limit"))
+    means = _limits(signal, ratio)
     rows = signal.select("clip_id", "frame_idx", "rms", F.floor(F.col("frame_idx") / SIGNAL_BLOCK).alias("_block"))
     rows = rows.join(means, F.col("clip_id").eqNullSafe(F.col("_clip"))).withColumn("_quiet", F.col("rms") < F.col("_limit"))
     block = Window.partitionBy("clip_id", "_block")

@@ -860,3 +860,28 @@ def test_status_has_totals(spark, tmp_path):
     assert {(r.identity, r.appearances) for r in status.collect()} == {("a", 1), ("b", 3), ("d", 1), (None, 5)}
     totals = telemetry.status_totals(status, status, status.limit(2), 9, 50).first()
     assert (totals.appearances, totals.clips, totals.pool_remaining, totals.cap, totals.pool_total) == (5, 4, 2, 50, 9)
+
+
+def test_a_frame_at_the_limit_is_judged_by_the_mean_in_frame_order(spark):
+    """0.3 x the mean equals a frame but for rounding, and rows come in an order that rounds the other way."""
+    values = [0.1, 0.2, 0.3, 0.4, 0.7, 1.3, 2.2, 0.6, 3.1]
+    rng = random.Random(3)
+    rows, want = [], set()
+    for clip in range(150):
+        rest = rng.sample(values, len(values))
+        # the last value makes 0.3 x the mean of all eleven equal to the first one, in decimals
+        first = rng.choice([0.3, 0.6, 0.9])
+        frames = [first, *rest, round(first / 0.3 * (len(rest) + 2) - first - sum(rest), 6)]
+        total = 0.0
+        for x in frames:
+            total += x
+        if first < total / len(frames) * 0.3:
+            want.add(clip)
+        assert math.isclose(first, total / len(frames) * 0.3)
+        rows += [(clip, i, x) for i, x in enumerate(frames)]
+    assert 0 < len(want) < 150
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "clip_id long, frame_idx int, rms double").repartition(4)
+        got = timeline.silence_regions(df, 0.3, 1).where("start_frame = 0").collect()
+        assert {r.clip_id for r in got} == want
