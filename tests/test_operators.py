@@ -103,6 +103,13 @@ def test_recasing_equals_one_substitution_after_another(names, text):
     assert Recase(pairs)(text) == want
 
 
+def test_a_location_may_end_with_a_dot(spark):
+    names = spark.createDataFrame([(1, "st."), (2, "the attic "), (3, "..hall")], "ref_order int, name string")
+    rows = [(1, "Main St."), (2, "in the attic ."), (3, " ..Hall of mirrors"), (4, "None."), (5, "main st"), (6, "St. No match. ")]
+    got = {r.i: r.location for r in captions.parse_location_reply(spark.createDataFrame(rows, "i int, reply string"), names).collect()}
+    assert got == {1: "st.", 2: "the attic ", 3: "..hall", 4: None, 5: None, 6: None}
+
+
 def test_transcripts_without_captions(spark):
     rows = [(1, None, "hi"), (2, "", "hi"), (3, " A shot", " hi "), (4, "A shot", ""), (5, None, None)]
     df = spark.createDataFrame(rows, "i int, caption string, transcript string").withColumn("transcript_segments", F.lit(None).cast("array<string>"))
