@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,19 +242,20 @@ def align_lines(heard: list[str], lines: list[str]) -> tuple[list[int | None], f
 
 def align_words_to_lines(words: DataFrame, lines: DataFrame, min_ratio: float = 0.4) -> DataFrame:
     """Words with the script line that each belongs to (null: none found); clips under min_ratio of matching words are left out."""
-    heard = words.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "t_start", "t_end"))).alias("words"))
-    script = lines.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
-
-    def align(frames):
-        for f in frames:
-            rows = []
-            for clip, said, text in zip(f["clip_id"], f["words"], f["lines"], strict=True):
-                found, ratio = align_lines([w["word"] for w in said], [x["text"] or "" for x in text])
-                if ratio >= min_ratio:
-                    rows += [(clip, w["pos"], w["word"], w["t_start"], w["t_end"], None if i is None else int(text[i]["line"])) for w, i in zip(said, found, strict=True)]
-            yield pd.DataFrame(rows, columns=["clip_id", "pos", "word", "t_start", "t_end", "line"]).astype({"line": "Int32"})
-
-    return heard.join(script, "clip_id").mapInPandas(align, "clip_id long, pos int, word string, t_start double, t_end double, line int")
+    shape = pa.schema([("clip_id", pa.int64()), ("pos", pa.int32()), ("word", pa.string()), ("t_start", pa.float64()), ("t_end", pa.float64()), ("line", pa.int32())])
+
+    def align(said: pa.Table, script: pa.Table) -> pa.Table:
+        if said.num_rows and script.num_rows:
+            said, script = said.sort_by([("pos", "ascending"), ("word", "ascending")]), script.sort_by([("line", "ascending"), ("text", "ascending")])
+            found, ratio = align_lines(said["word"].to_pylist(), [x or "" for x in script["text"].to_pylist()])
+            if ratio >= min_ratio:
+                line = script["line"].take(pa.array(found, pa.int64()))
+                return pa.table([*(said[c].cast(shape.field(c).type) for c in shape.names[:-1]), line.cast(pa.int32())], schema=shape)
+        return shape.empty_table()
+
+    # clip by clip: a worker holds the words of one at a time
+    heard = words.where("clip_id IS NOT NULL").select("clip_id", "pos", "word", "t_start", "t_end").groupBy("clip_id")
+    return heard.cogroup(lines.where("clip_id IS NOT NULL").select("clip_id", "line", "text").groupBy("clip_id")).applyInArrow(align, "clip_id long, pos int, word string, t_start double, t_end double, line int")
 
 
 def fill_word_lines(aligned: DataFrame) -> DataFrame:

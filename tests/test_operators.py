@@ -900,3 +900,23 @@ def test_token_padding_keeps_rows_without_a_length(spark, sf_dir):
     every = jobs.Tables(spark, sf_dir).b_artifacts
     got = jobs.QUERIES["token_padding"](spark, sf_dir)
     assert got.count() == every.count() and got.where("padded_len IS NULL").count() == every.where("token_len IS NULL").count() > 0
+
+
+def test_alignment_goes_clip_by_clip(spark):
+    """A worker gets one clip at a time; nulls, clips on one side and clips without a match give no rows."""
+    rng = random.Random(12)
+    lines = {c: ["".join(rng.choice("ab c") for _ in range(30)) if rng.random() < 0.9 else None for _ in range(5)] for c in range(8)}
+    said = {c: [w if rng.random() < 0.8 else "noise" for x in lines[c] for w in (x or "").split()] for c in range(7)}
+    said[3] = ["nothing"] * 9
+    words = [(c, i, w, float(i), i + 0.5) for c, ws in said.items() for i, w in enumerate(ws)] + [(None, 0, "a", 0.0, 1.0), (99, 0, "a", 0.0, 1.0)]
+    script = [(c, 10 * i, x) for c, xs in lines.items() for i, x in enumerate(xs)] + [(None, 0, "a")]
+    rng.shuffle(words)
+    rng.shuffle(script)
+    out = timeline.align_words_to_lines(spark.createDataFrame(words, "clip_id long, pos int, word string, t_start double, t_end double"), spark.createDataFrame(script, "clip_id long, line int, text string"))
+    want = set()
+    for c, ws in said.items():
+        found, ratio = timeline.align_lines(ws, [x or "" for x in lines[c]])
+        if ratio >= 0.4:
+            want |= {(c, i, w, float(i), i + 0.5, None if f is None else 10 * f) for i, (w, f) in enumerate(zip(ws, found, strict=True))}
+    assert {tuple(r) for r in out.collect()} == want and {r[0] for r in want} < set(said)
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
