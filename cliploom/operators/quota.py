@@ -1,18 +1,23 @@
 """Per-identity quotas: tables, rebalancing and intake.
 
 The greedy walks never take all clips: clips of equal signature (identity set) differ only in order,
-so of each signature only as many first clips are walked over as the walk could take.
+so of each signature only as many first clips are walked over as the walk could take. A walk reads its
+clips batch by batch in their order, and keeps counts, or eight to sixteen bytes a clip that may leave.
 """
 
 from __future__ import annotations
 
-from collections import Counter, deque
-from collections.abc import Callable
+import json
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.shared import stored
+
 
 def quota_table(counts: DataFrame, identities: DataFrame, max_samples: int) -> DataFrame:
     """Quota of each identity (an equal share, the first ones in order one more), its count and what it lacks or has over.
@@ -26,16 +31,30 @@ def quota_table(counts: DataFrame, identities: DataFrame, max_samples: int) -> D
     return out.withColumns({"over": F.greatest(F.lit(0), F.col("n") - F.col("quota")), "under": F.greatest(F.lit(0), F.col("quota") - F.col("n")), "met": F.col("n") >= F.col("quota")})
 
 
-#: Rows that one walk may take; they are a few numbers each.
-WALK_ROWS = 20_000_000
+#: Rows that an intake may walk over.
+WALK_ROWS = 100_000_000
 
 
-def _one_walk(rows: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], shape: str) -> DataFrame:
-    """fold() over all rows as one group, whose size is checked before."""
-    n = rows.count()
-    if n > WALK_ROWS:
-        raise ValueError(f"a walk over {n} rows does not fit one task (at most {WALK_ROWS}); lower the cap or the quotas")
-    return rows.withColumn("_k", F.lit(1)).groupBy("_k").applyInPandas(fold, shape)
+def _one_walk(rows: DataFrame, walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], order: list, shape: str) -> DataFrame:
+    """walk() over all rows in one order, batch after batch; signatures come as JSON in the column _key."""
+    rows = rows.withColumn("_key", F.to_json("signature")).drop("signature")
+    return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(walk, shape)
+
+
+def _signatures(batch: pa.RecordBatch) -> list[tuple[str, ...]]:
+    """Of each row; equal ones are one object."""
+    keys = batch.column("_key").dictionary_encode()
+    known = [tuple(json.loads(k)) for k in keys.dictionary.to_pylist()]
+    return [known[i] for i in keys.indices.to_pylist()]
+
+
+def _goes(signature: tuple[str, ...], counts: dict[str, int], quotas: dict[str, int]) -> bool:
+    """Whether all identities are over their quotas; then the clip goes, and is counted no more."""
+    if not all(counts[c] > quotas[c] for c in signature):
+        return False
+    for c in signature:
+        counts[c] -= 1
+    return True
 
 
 def removals(clips: list[tuple[int, tuple[str, ...]]], counts: dict[str, int], quotas: dict[str, int]) -> list[int]:
@@ -47,10 +66,8 @@ def removals(clips: list[tuple[int, tuple[str, ...]]], counts: dict[str, int], q
     over = {c for c, q in quotas.items() if start.get(c, 0) > q}
     able = [(max(start[c] - quotas[c] for c in s), at, s) for at, s in clips if s and over.issuperset(s)]
     for _, at, s in sorted(able, key=lambda x: (-x[0], x[1])):
-        if all(counts[c] > quotas[c] for c in s):
+        if _goes(s, counts, quotas):
             out.append(at)
-            for c in s:
-                counts[c] -= 1
     return out
 
 
@@ -65,17 +82,43 @@ def rebalance_over_quota(entries: DataFrame, quotas: DataFrame, order: str = "cl
     counts, limits = {c: n for c, (n, _) in table.items()}, {r: q for r, (_, q) in table.items()}
     excess = quotas.join(seen, "identity").select("identity", (F.col("n") - F.col("quota")).alias("x"))
     each = entries.where(F.size("signature") > 0).select("signature").distinct().withColumn("identity", F.explode("signature"))
-    most = each.join(excess, "identity", "left").groupBy("signature").agg(F.min(F.coalesce("x", F.lit(0))).alias("most"))
+    most = each.join(excess, "identity", "left").groupBy("signature").agg(F.min(F.coalesce("x", F.lit(0))).alias("most"), F.max("x").alias("_top"))
     place = F.row_number().over(Window.partitionBy("signature").orderBy(order))
     some = entries.join(most.where(F.col("most") > 0), "signature").withColumn("_rn", place).where(F.col("_rn") <= F.col("most"))
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"_at": removals([(int(p), tuple(s)) for p, s in zip(f["_at"], f["signature"], strict=True)], counts, limits)}, dtype="int64")
+    def walk(batches):
+        left = dict(counts)
+        for batch in batches:
+            goes = [_goes(x, left, limits) for x in _signatures(batch)]
+            yield pa.record_batch([batch.column("_at").filter(pa.array(goes, pa.bool_()))], ["_at"])
 
-    gone = _one_walk(some.select(F.col(order).cast("long").alias("_at"), "signature"), fold, "_at long")
+    gone = _one_walk(some.select(F.col(order).cast("long").alias("_at"), "signature", "_top"), walk, [F.desc("_top"), "_at"], "_at long")
     return entries.join(gone, F.col(order) == F.col("_at"), "left_semi")
 
 
+class Clips:
+    """A queue of clips of one signature: ids that were there before, in order, then (turn, id) of those taken in."""
+
+    __slots__ = ("at", "new", "old")
+
+    def __init__(self) -> None:
+        self.old, self.new, self.at = array("q"), array("q"), 0
+
+    def __bool__(self) -> bool:
+        return self.at < len(self.old) + len(self.new) // 2
+
+    def first(self) -> tuple[int, ...]:
+        if self.at < len(self.old):
+            return 0, self.old[self.at]
+        i = 2 * (self.at - len(self.old))
+        return 1, self.new[i], self.new[i + 1]
+
+    def pop(self) -> int:
+        clip = self.first()[-1]
+        self.at += 1
+        return clip
+
+
 class SetTrie:
     """Signatures by their sorted identities, each with a queue of clips; finds the smallest ones between two sets without a scan."""
 
@@ -84,17 +127,23 @@ class SetTrie:
     def __init__(self) -> None:
         self.kids: dict[str, SetTrie] = {}
         self.live = 0  # clips under here
-        self.queue: deque = deque()
+        self.queue = Clips()
 
-    def add(self, signature: tuple[str, ...], clips: list) -> None:
+    def add(self, signature: tuple[str, ...], clip: int, turn: int | None = None) -> None:
+        """A clip that was there before, or that came in its turn."""
         node = self
-        node.live += len(clips)
+        node.live += 1
         for c in signature:
-            node = node.kids.setdefault(c, SetTrie())
-            node.live += len(clips)
-        node.queue.extend(clips)
-
-    def pop(self, signature: tuple[str, ...]):
+            if c not in node.kids:
+                node.kids[c] = SetTrie()
+            node = node.kids[c]
+            node.live += 1
+        if turn is None:
+            node.queue.old.append(clip)
+        else:
+            node.queue.new.extend((turn, clip))
+
+    def pop(self, signature: tuple[str, ...]) -> int:
         """The first clip of a signature, which has one; branches without clips go."""
         node, self.live = self, self.live - 1
         for c in signature:
@@ -103,7 +152,7 @@ class SetTrie:
             if not below.live:
                 del node.kids[c]
             node = below
-        return node.queue.popleft()
+        return node.queue.pop()
 
     def smallest(self, inside: tuple[str, ...], held: set[str]) -> tuple[str, ...] | None:
         """Of the proper subsets of `inside` (sorted) that hold all of `held`, one with the fewest identities; of equal ones that whose first clip comes first."""
@@ -119,7 +168,7 @@ class SetTrie:
                         way = (*path, inside[i])
                         deeper.append((kid, i, way))
                         if i >= last and kid.queue:
-                            done.append((kid.queue[0], way))
+                            done.append((kid.queue.first(), way))
                     if inside[i] in held:
                         break  # it can't be passed over
             if done:
@@ -128,49 +177,67 @@ class SetTrie:
         return None
 
 
+class Intake:
+    """The state of a walk over candidates: what each identity has, and the clips that can leave.
+
+    The clip that leaves is the first of those with fewest identities; accepted clips come after all others.
+    """
+
+    def __init__(self, quotas: dict[str, int]) -> None:
+        self.quotas, self.trie, self.turn = quotas, SetTrie(), 0
+        self.counts: Counter = Counter()
+        self.open_quotas = {c for c, q in quotas.items() if q > 0}
+
+    def _count(self, signature: tuple[str, ...], n: int) -> None:
+        for c in signature:
+            self.counts[c] += n
+            if c in self.quotas:
+                (self.open_quotas.add if self.counts[c] < self.quotas[c] else self.open_quotas.discard)(c)
+
+    def hold(self, signature: tuple[str, ...], n: int, ids: list[int]) -> None:
+        """n clips that are there before the walk, of which the given ones can leave."""
+        self._count(signature, n)
+        mine = tuple(sorted(set(signature)))
+        for i in ids:
+            self.trie.add(mine, i)
+
+    def offer(self, clip: int, signature: tuple[str, ...]) -> tuple[bool, int | None] | None:
+        """(accepted, the clip that leaves for it); None once all quotas are met, which ends the walk."""
+        if not self.open_quotas:
+            return None
+        self.turn += 1
+        if not signature:
+            return True, None
+        mine = tuple(sorted(set(signature)))
+        full = {c for c in mine if self.counts[c] >= self.quotas.get(c, 0)}
+        if len(full) == len(mine):
+            return False, None
+        leaves = None
+        if full:
+            swap = self.trie.smallest(mine, full)
+            if swap is None:
+                return False, None
+            leaves = self.trie.pop(swap)
+            self._count(swap, -1)
+        self.trie.add(mine, clip, self.turn)
+        self._count(mine, 1)
+        return True, leaves
+
+
 def intake(candidates: list[tuple[int, tuple[str, ...]]], existing: dict[tuple[str, ...], tuple[int, list[int]]], quotas: dict[str, int]) -> list[tuple[int, bool, int | None]]:
     """Walk candidates (id, identities) in order: (id, accepted, id of the clip that leaves for it).
 
     existing: of each signature the number of its clips, and the ids of the first ones, all signatures'
-    clips being ordered by `place` of their id in the manifest, which is the order of the ids. The clip
-    that leaves is the first of those with fewest identities; accepted clips come after all others.
+    clips being ordered by their id, which is their place in the manifest.
     """
-    trie = SetTrie()
-    counts: Counter = Counter()
+    walk, out = Intake(quotas), []
     for s, (n, ids) in existing.items():
-        for c in s:
-            counts[c] += n
-        trie.add(tuple(sorted(set(s))), [(0, i) for i in ids])
-    open_quotas = {c for c, q in quotas.items() if counts[c] < q}
-    out = []
-    for turn, (clip, s) in enumerate(candidates):
-        if not open_quotas:
+        walk.hold(s, n, ids)
+    for clip, s in candidates:
+        said = walk.offer(clip, s)
+        if said is None:
             break
-        if not s:
-            out.append((clip, True, None))
-            continue
-        mine = tuple(sorted(set(s)))
-        full = {c for c in mine if counts[c] >= quotas.get(c, 0)}
-        if len(full) == len(mine):
-            out.append((clip, False, None))
-            continue
-        leaves = None
-        if full:
-            swap = trie.smallest(mine, full)
-            if swap is None:
-                out.append((clip, False, None))
-                continue
-            leaves = trie.pop(swap)[-1]
-            for c in swap:
-                counts[c] -= 1
-                if c in quotas and counts[c] < quotas[c]:
-                    open_quotas.add(c)
-        trie.add(mine, [(1, turn, clip)])
-        for c in mine:
-            counts[c] += 1
-            if c in quotas and counts[c] >= quotas[c]:
-                open_quotas.discard(c)
-        out.append((clip, True, leaves))
+        out.append((clip, *said))
     return out
 
 
@@ -188,18 +255,28 @@ def quota_intake(candidates: DataFrame, entries: DataFrame, quotas: DataFrame, m
     first = F.row_number().over(Window.partitionBy("signature").orderBy("clip_id"))
     held = entries.where(F.size("signature") > 0).withColumns({"n": size, "_rn": first}).where(F.col("_rn") <= max_samples + 1)
     limits = {r.identity: r.quota for r in quotas.select("identity", "quota").collect()}  # the cast
-    rows = some.select("pos", "clip_id", "signature", F.lit(None).cast("long").alias("n")).unionByName(held.select(F.lit(None).cast("long").alias("pos"), "clip_id", "signature", "n"))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        mine = f[f["pos"].notna()].sort_values("pos")
-        existing: dict[tuple, tuple[int, list[int]]] = {}
-        for clip, s, n in f[f["pos"].isna()].sort_values("clip_id")[["clip_id", "signature", "n"]].itertuples(index=False):
-            existing.setdefault(tuple(s), (int(n), []))[1].append(int(clip))
-        place = dict(zip(mine["clip_id"], mine["pos"], strict=True))
-        got = intake([(int(c), tuple(s)) for c, s in zip(mine["clip_id"], mine["signature"], strict=True)], existing, limits)
-        return pd.DataFrame({"pos": [int(place[c]) for c, _, _ in got], "accepted": [a for _, a, _ in got], "swapped": pd.array([x for *_, x in got], dtype="Int64")})
-
-    done = _one_walk(rows.withColumn("pos", F.col("pos").cast("long")), fold, "pos long, accepted boolean, swapped long")
+    none = F.lit(None).cast("long")
+    rows = some.select(F.col("pos").cast("long").alias("pos"), F.col("clip_id").cast("long").alias("clip_id"), "signature", none.alias("n"))
+    # a signature's first entry tells the number of all
+    rows = rows.unionByName(held.select(none.alias("pos"), F.col("clip_id").cast("long").alias("clip_id"), "signature", F.when(F.col("_rn") == 1, F.col("n")).otherwise(0).alias("n")))
+    rows = stored(rows, "walk")
+    n = rows.count()
+    if n > WALK_ROWS:
+        raise ValueError(f"a walk over {n} rows does not fit one task (at most {WALK_ROWS}); lower the cap or the quotas")
+
+    def walk(batches):
+        state = Intake(limits)
+        for batch in batches:
+            said: list[tuple[int, bool, int | None]] = []
+            for pos, clip, n, s in zip(batch.column("pos").to_pylist(), batch.column("clip_id").to_pylist(), batch.column("n").to_pylist(), _signatures(batch), strict=True):
+                if pos is None:
+                    state.hold(s, n, [clip])
+                elif (answer := state.offer(clip, s)) is not None:
+                    said.append((pos, *answer))
+            columns = list(zip(*said, strict=True)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["pos", "accepted", "swapped"])
+
+    done = stored(_one_walk(rows, walk, [F.asc_nulls_first("pos"), "clip_id"], "pos long, accepted boolean, swapped long"), "intake")
     last = F.broadcast(done.agg(F.max("pos").alias("_last")).withColumn("_k", F.lit(1)))
     out = candidates.withColumn("_k", F.lit(1)).join(last, "_k", "left").drop("_k").join(done, "pos", "left")
     free = (F.size("signature") == 0) & (F.col("pos") <= F.coalesce("_last", F.col("pos")))

@@ -920,3 +920,18 @@ def test_alignment_goes_clip_by_clip(spark):
             want |= {(c, i, w, float(i), i + 0.5, None if f is None else 10 * f) for i, (w, f) in enumerate(zip(ws, found, strict=True))}
     assert {tuple(r) for r in out.collect()} == want and {r[0] for r in want} < set(said)
     assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_intake_keeps_a_few_bytes_a_clip():
+    import tracemalloc
+
+    n = 200_000
+    walk = quota.Intake({"a": n // 2 + 1000, "b": n})
+    tracemalloc.start()
+    for i in range(n):
+        walk.hold(("a",) if i % 2 else ("b",), 1, [i])
+    for i in range(n, 2 * n):
+        walk.offer(i, ("a", "b"))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert walk.counts["a"] >= n // 2 + 1000 and held < 30 * n
