@@ -935,3 +935,15 @@ def test_an_intake_keeps_a_few_bytes_a_clip():
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert walk.counts["a"] >= n // 2 + 1000 and held < 30 * n
+
+
+def test_a_rebalancing_reads_its_walk_in_batches(spark):
+    df = spark.createDataFrame([(i, ["a"]) for i in range(20)], "clip_id long, signature array<string>")
+    out = quota.rebalance_over_quota(df, spark.createDataFrame([("a", 5)], "identity string, quota long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(r.clip_id for r in out.collect()) == list(range(15))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
