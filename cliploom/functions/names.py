@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of names in one automaton. Names beyond that go to further automata, one pass over the texts each.
 BLOCK_CHARS = 16_000_000
+#: Texts that a worker has as Python strings at once; the rest of a batch stays in Arrow's buffers.
+SLICE = 64
 #: Automata that a worker keeps.
 KEPT = 4
 _built: dict[int, tuple] = {}
@@ -43,6 +45,12 @@ def _kept(sent: Broadcast, build):
     return _built[key][1]
 
 
+def by_text(texts: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
+    """f of each text (or null), few texts at a time."""
+    done = [pa.array([f(t) for t in texts.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def automaton(keys: list[str]) -> ahocorasick.Automaton:
     """Of keys that differ; each carries its number and length."""
     out = ahocorasick.Automaton()
@@ -78,10 +86,10 @@ def with_names(df: DataFrame, column: Column, names: DataFrame, out: str) -> Dat
 
 
 def _found_in(sent: Broadcast):
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
         one = _kept(sent, lambda names: automaton([n.lower() for n in names]))
-        return texts.map(lambda t: [] if t is None else [sent.value[i] for i in sorted(whole_words(one, t.lower()))])
+        return by_text(texts, lambda t: [] if t is None else [sent.value[i] for i in sorted(whole_words(one, t.lower()))], pa.list_(pa.string()))
 
     return found
 
@@ -145,8 +153,8 @@ def recased(column: Column, df: DataFrame, names: DataFrame) -> Column:
 
 
 def _recase_by(sent: Broadcast):
-    @F.pandas_udf("string")
-    def cased(texts: pd.Series) -> pd.Series:
-        return texts.map(_kept(sent, Recase))
+    @F.arrow_udf("string")
+    def cased(texts: pa.Array) -> pa.Array:
+        return by_text(texts, _kept(sent, Recase), pa.string())
 
     return cased

@@ -947,3 +947,13 @@ def test_a_rebalancing_reads_its_walk_in_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_names_are_sought_in_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from cliploom.functions import names as N
+
+    texts, seen = pa.array([f"text {i}" if i % 7 else None for i in range(1000)])[3:], []
+    assert N.by_text(texts, lambda t: seen.append(t) or (None if t is None else [t]), pa.list_(pa.string())).to_pylist() == [None if t is None else [t] for t in texts.to_pylist()]
+    assert seen == texts.to_pylist() and N.by_text(texts[:0], str, pa.string()).type == pa.string()
