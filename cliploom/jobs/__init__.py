@@ -13,13 +13,13 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Views of one folder by attribute: t.b_clips."""
+    """Views of one folder by attribute: t.b_clips. Views that are `ready` are not made again."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, ready: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.sf_dir, self.ready = spark, sf_dir, ready or {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name) if name.startswith("b_") else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return view(self.spark, self.sf_dir, name, self.ready) if name.startswith("b_") else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
 def register(name: str, sql: str | None = None):

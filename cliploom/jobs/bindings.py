@@ -68,11 +68,13 @@ def _needs(text: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", text)]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a DataFrame, straight from the tables it reads."""
+def view(spark: SparkSession, sf_dir: str, name: str, ready: dict[str, DataFrame]) -> DataFrame:
+    """The view as a DataFrame, straight from the tables it reads and the views that are `ready`."""
+    if name in ready:
+        return ready[name]
     text = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", text)}
-    used |= {v: view(spark, sf_dir, v) for v in _needs(text)}
+    used |= {v: view(spark, sf_dir, v, ready) for v in _needs(text)}
     for t in used:
         text = re.sub(rf"\b{t}\b(?!\.)", f"{{{t}}}", text)
     return spark.sql(text, **used)

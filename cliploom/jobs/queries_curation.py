@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cliploom.functions.shared import stored
 from cliploom.operators import curation as C
 from cliploom.operators import reconcile as R
 from cliploom.sources import media as M
@@ -15,16 +16,22 @@ from .curation import curate, read_set, repair
 
 
 def curation_inputs(t: Tables) -> dict[str, DataFrame]:
-    """A set with a fifth of the chunks in its manifest and some in its ledger, and what was seen in all frames."""
-    grid = t.b_chunks.withColumn("source_stem", F.concat(F.lit("v"), F.col("video_id").cast("string")))
+    """A set with a fifth of the chunks in its manifest and some in its ledger, and what was seen in all frames.
+
+    Frames and grid are written once, as every step of a pass reads them.
+    """
+    t = Tables(t.spark, t.sf_dir, {"b_frames": stored(t.b_frames.select("event_id", "video_id", "event_type", "frame"), "frames")})
+    grid = stored(t.b_chunks.withColumn("source_stem", F.concat(F.lit("v"), F.col("video_id").cast("string"))), "grid")
     path = F.concat(F.lit("clips/"), R.chunk_name(F.col("source_stem"), F.col("chunk_idx")))
     source = F.concat("source_stem", F.lit(".mp4"))
     sightings = t.b_frames.where("event_id % 5 < 3").select("video_id", "frame", F.col("event_type").alias("identity"))
-    first = grid.join(sightings, "video_id").where("frame >= start_frame AND frame < start_frame + 3").groupBy("video_id", "chunk_idx").agg(F.collect_set("identity").alias("characters"))
-    some = grid.where("(video_id * 7 + chunk_idx) % 5 = 0").join(first, ["video_id", "chunk_idx"], "left")
-    entries = some.select((F.col("video_id") * 1000 + F.col("chunk_idx")).alias("entry_id"), M.stem_of(path).alias("stem"), path.alias("media_path"), source.alias("source_file"), F.lit("seen").alias("caption"), "characters")
+    some = grid.where("(video_id * 7 + chunk_idx) % 5 = 0")
+    # b_chunks cuts a video every 16 frames
+    first = sightings.withColumn("chunk_idx", F.floor(F.col("frame") / 16).cast("int")).join(some, ["video_id", "chunk_idx"]).where("frame < start_frame + 3").groupBy("video_id", "chunk_idx").agg(F.collect_set("identity").alias("characters"))
+    held = some.join(first, ["video_id", "chunk_idx"], "left")
+    entries = held.select((F.col("video_id") * 1000 + F.col("chunk_idx")).alias("entry_id"), M.stem_of(path).alias("stem"), path.alias("media_path"), source.alias("source_file"), F.lit("seen").alias("caption"), "characters")
     ledger = grid.where("(video_id + chunk_idx) % 11 = 3 AND (video_id * 7 + chunk_idx) % 5 <> 0").select(path.alias("media_path"), source.alias("source_file"), F.lit("unknown_face").alias("reason"), F.col("chunk_idx").cast("int").alias("chunk_idx"))
-    return {"entries": entries, "ledger": ledger, "clips": entries.select("stem"), "grid": grid, "matches": t.b_matches, "sightings": sightings, "cast": sightings.select("identity").distinct()}
+    return {"entries": entries, "ledger": ledger, "clips": some.select(M.stem_of(path).alias("stem")), "grid": grid, "matches": t.b_matches, "sightings": sightings, "cast": sightings.select("identity").distinct()}
 
 
 def samples(entries: DataFrame) -> int:

@@ -69,6 +69,7 @@ def curation_pass(entries: DataFrame, ledger: DataFrame, clips: DataFrame, grid:
     needed stay in the pool. Nothing is ever taken for an empty cast.
     """
     entries = stored(entries.select("entry_id", "stem", "media_path", "source_file", "caption", F.array_sort(F.array_distinct(F.coalesce("characters", F.array().cast("array<string>")))).alias("characters")), "entries")
+    cast = stored(cast.select("identity").distinct(), "cast")
     counted = entries.select(F.explode("characters").alias("identity")).groupBy("identity").agg(F.count("*").alias("n"))
     quotas = stored(quota.quota_table(counted, cast, max_samples), "quotas")
     held = entries.select(F.col("entry_id").alias("clip_id"), F.col("characters").alias("signature"))
@@ -82,8 +83,7 @@ def curation_pass(entries: DataFrame, ledger: DataFrame, clips: DataFrame, grid:
     skipped = stored(absorbed(pool.select(*SLOT, "place"), best), "absorbed")
     taken = best.join(skipped, SLOT, "left_anti").join(pool.select(*SLOT, "source_stem", "place"), SLOT)
     frames = mining.sample_positions(taken.select(*SLOT, "start_frame", "end_frame"), n)
-    named = cast.select("identity").distinct()
-    seen = frames.join(sightings.join(named, "identity", "left_semi"), ["video_id", "frame"]).select(*SLOT, "pos", "identity")
+    seen = frames.join(sightings.join(cast, "identity", "left_semi"), ["video_id", "frame"]).select(*SLOT, "pos", "identity")
     signatures = identity.dominant_identities(seen, SLOT, ratio).withColumnRenamed("identities", "signature")
     base = entries.agg(F.coalesce(F.max("entry_id"), F.lit(0)).cast("long")).first()[0]
     taken = taken.join(signatures, SLOT, "left").withColumn("signature", F.coalesce("signature", F.array().cast("array<string>")))

@@ -82,11 +82,10 @@ def _bit(frame: Column, kind: str) -> Column:
 
 def seen_in(start: Column, end: Column, n: int) -> Column:
     """struct(hits, unknowns, n_pos, first_hit, last_hit) of the n positions of a range, read from `_masks`."""
-    at = positions_of(start, end, n)
-    hit = F.filter(at, lambda f: _bit(f, "hits"))
-    unknown = F.filter(at, lambda f: _bit(f, "unknowns"))
-    # bound once, as each is used several times
-    return F.transform(F.array(F.struct(hit.alias("h"), unknown.alias("u"), at.alias("p"))), lambda x: F.struct(F.size(x["h"]).cast("long").alias("hits"), F.size(x["u"]).cast("long").alias("unknowns"), F.size(x["p"]).cast("long").alias("n_pos"), F.array_min(x["h"]).alias("first_hit"), F.array_max(x["h"]).alias("last_hit")))[0]
+    # each step is bound once, as later ones use it several times, and a lambda's expressions are worked out anew at each use
+    at = lambda p: F.struct(p.alias("p"), F.filter(p, lambda f: _bit(f, "hits")).alias("h"), F.filter(p, lambda f: _bit(f, "unknowns")).alias("u"))
+    seen = F.transform(F.array(positions_of(start, end, n)), at)
+    return F.transform(seen, lambda x: F.struct(F.size(x["h"]).cast("long").alias("hits"), F.size(x["u"]).cast("long").alias("unknowns"), F.size(x["p"]).cast("long").alias("n_pos"), F.array_min(x["h"]).alias("first_hit"), F.array_max(x["h"]).alias("last_hit")))[0]
 
 
 def validate_ranges(ranges: DataFrame, matches: DataFrame, keys: list[str], n: int = 4) -> DataFrame:

@@ -160,3 +160,16 @@ def test_a_second_repair_changes_nothing(spark, tmp_path):
     assert sorted((str(r.media_path), r.reason, r.chunk_idx) for r in read_set(spark, root)[1].collect()) == [("None", "deleted", None), ("clips/a_chunk0002.mp4", "deleted", 2)]
     again = repair(spark, root, clips, files, artifacts.join(done.drop, ["stem", "kind"], "left_anti"))
     assert state() == want and again.rejections.count() == again.drop.count() == 0 and media.current_version(spark, root) == 2
+
+
+def test_the_steps_of_a_pass_read_frames_that_were_numbered_once(spark, sf_dir):
+    given = queries_curation.curation_inputs(jobs.Tables(spark, sf_dir))
+    for name, df in given.items():
+        assert not any("events.parquet" in f for f in df.inputFiles()) and "Window" not in df._jdf.queryExecution().executedPlan().toString(), name
+    # a frame meets its own chunk, not all of its video
+    first = given["sightings"].join(given["grid"], "video_id").where("frame >= start_frame AND frame < start_frame + 3").select("video_id", "chunk_idx", "identity").distinct()
+    want = {(r.video_id * 1000 + r.chunk_idx, r.identity) for r in first.where("(video_id * 7 + chunk_idx) % 5 = 0").collect()}
+    entries = given["entries"].collect()
+    assert {(r.entry_id, c) for r in entries for c in r.characters or ()} == want and len(entries) == given["clips"].count()
+    plan = given["entries"]._jdf.queryExecution().optimizedPlan().toString()
+    assert all("chunk_idx" in line for line in plan.splitlines() if "Join" in line)
